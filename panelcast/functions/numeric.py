@@ -1,9 +1,13 @@
-"""Numeric column expressions shared by the operators."""
+"""Numeric expressions shared by the operators.
+
+Functions ending in ``_sql`` return expression text: operators over hundreds of
+measures build one string per measure, which is far cheaper to hand to Spark than
+a tree of Column objects and plans the same.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,12 +19,13 @@ def ratio(num: Column, den: Column, scale: float = 1.0) -> Column:
     return F.when(den == 0, at_zero).otherwise(F.try_divide(num, den) * F.lit(scale))
 
 
-def percent_of(base: Column, pct: Column) -> Column:
-    return base * pct / F.lit(100)
+def percent_of_sql(base: str, pct: str) -> str:
+    return f"{base} * {pct} / 100"
 
 
-def add_all(cols: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)
+def max_when_sql(column: str, key: str, value: str) -> str:
+    """The value of ``column`` in the row of a group whose key has the given value."""
+    return f"max(CASE WHEN {key} = '{value}' THEN {column} END)"
 
 
 def standard_score(x: Column, mean: Column, sd: Column) -> Column:
@@ -33,15 +38,19 @@ def at_least(x: Column, floor: Column) -> Column:
     return F.when(x < floor, floor).otherwise(x)
 
 
-def ema_steps(series: Sequence[Column], span: int = 2) -> list[Column]:
+def ema_steps_sql(series: Sequence[str], span: int = 2) -> list[str]:
     """Exponential moving average at every step of an ordered series, seeded with its first value."""
-    a = 2.0 / (span + 1)
+    a = f"(2D / {span + 1})"
     out = [series[0]]
     for x in series[1:]:
-        out.append(F.lit(a) * x + F.lit(1 - a) * out[-1])
+        out.append(f"({a} * {x} + (1 - {a}) * {out[-1]})")
     return out
 
 
+def weighted_sum_sql(weights: Sequence[float], terms: Sequence[str]) -> str:
+    return "(" + " + ".join(f"{float(w)!r}D * {x}" for w, x in zip(weights, terms)) + ")"
+
+
 def pseudo_huber_quantile(y: Column, pred: Column, q: Column) -> Column:
     """Signed pseudo-Huber quantile loss; its absolute value is the per-cell loss."""
     e = y - pred

@@ -20,8 +20,8 @@ def with_totals(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence
     Only the totals are aggregated, with partial sums; detail rows are not shuffled.
     """
     cols = list(measures(df, (*by, *keys)) if cols is None else cols)
-    totals = df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in cols])
-    totals = totals.select(*by, *[F.lit(TOTAL_KEY).alias(k) for k in keys], *cols)
+    totals = df.groupBy(*by).agg(*[F.expr(f"sum(`{c}`) AS `{c}`") for c in cols])
+    totals = totals.selectExpr(*by, *[f"'{TOTAL_KEY}' AS {k}" for k in keys], *cols)
     return df.select(*by, *keys, *cols).unionByName(totals)
 
 

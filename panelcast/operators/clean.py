@@ -12,11 +12,6 @@ from panelcast.functions.numeric import at_least
 from panelcast.operators.sizing import checked_broadcast
 
 
-def _on_measures(df: DataFrame, fn, cols: Sequence[str] | None) -> DataFrame:
-    chosen = set(measures(df) if cols is None else cols)
-    return df.select(*[fn(F.col(c)).alias(c) if c in chosen else F.col(c) for c in df.columns])
-
-
 def fill_missing(df: DataFrame, value: float = 0.0, cols: Sequence[str] | None = None) -> DataFrame:
     """Null and NaN measures become ``value``; infinities stay."""
     return df.na.fill(value, list(measures(df) if cols is None else cols))
@@ -24,12 +19,14 @@ def fill_missing(df: DataFrame, value: float = 0.0, cols: Sequence[str] | None =
 
 def clean_sentinel(df: DataFrame, threshold: float = SENTINEL, cols: Sequence[str] | None = None) -> DataFrame:
     """Measures at or below the threshold become 0; keys are never touched."""
-    return _on_measures(df, lambda c: F.when(c <= threshold, F.lit(0.0)).otherwise(c), cols)
+    chosen = set(measures(df) if cols is None else cols)
+    return df.selectExpr(*[f"CASE WHEN `{c}` <= {threshold!r}D THEN 0D ELSE `{c}` END AS `{c}`" if c in chosen
+                           else f"`{c}`" for c in df.columns])
 
 
 def metric_means(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One row holding the mean of every measure (A2); no data is shuffled."""
-    return df.agg(*[F.avg(c).alias(c) for c in (measures(df) if cols is None else cols)])
+    return df.selectExpr(*[f"avg(`{c}`) AS `{c}`" for c in (measures(df) if cols is None else cols)])
 
 
 def zero_metrics(df: DataFrame) -> list[str]:

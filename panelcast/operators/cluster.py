@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.codes import KEYS, TIME, measures
+from panelcast.operators.features import row_sql
 from panelcast.operators.sizing import cut_lineage
 
 # Cells (centres x steps x measures) that may travel to every task and back to the driver.
@@ -26,7 +27,7 @@ def entity_series(df: DataFrame, n: int, cols: Sequence[str] | None = None, keys
                   t: str = TIME) -> DataFrame:
     """``(keys, series)``: an n x measures matrix per entity with all ``n`` time points."""
     cols = list(measures(df, (t, *keys)) if cols is None else cols)
-    row = F.struct(F.col(t), F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
+    row = F.expr(f"struct({t}, {row_sql(cols)} AS v)")
     packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_s"))
     return packed.where(F.size("_s") == n).select(*keys, F.transform("_s", lambda r: r["v"]).alias("series"))
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from panelcast.functions.codes import (
     AGE_GROUPS, BIRTHS, KEYS, LAYOUT_CHANGE_YEAR, MIGRATION, POPULATION, RESIDUAL, TIME, measures, parse,
 )
-from panelcast.functions.numeric import add_all, percent_of, ratio
+from panelcast.functions.numeric import percent_of_sql, ratio
 
 
-def _replace(df: DataFrame, exprs: Mapping) -> DataFrame:
-    return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
+def _replace(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
+    return df.selectExpr(*[f"{exprs[c]} AS `{c}`" if c in exprs else f"`{c}`" for c in df.columns])
 
 
 def pct_to_count(df: DataFrame, tbl: str = "S0101", base_row: str = "001E",
@@ -26,8 +26,8 @@ def pct_to_count(df: DataFrame, tbl: str = "S0101", base_row: str = "001E",
         parts = parse(name)
         if parts is None or parts[0] != tbl or parts[1] not in cols or parts[2] == base_row:
             continue
-        count = F.bround(percent_of(F.col(f"{tbl}_{parts[1]}_{base_row}"), F.col(name)), digits)
-        exprs[name] = count if before is None else F.when(F.col(t) < before, count).otherwise(F.col(name))
+        count = f"bround({percent_of_sql(f'{tbl}_{parts[1]}_{base_row}', name)}, {digits})"
+        exprs[name] = count if before is None else f"CASE WHEN {t} < {before} THEN {count} ELSE {name} END"
     return _replace(df, exprs)
 
 
@@ -39,13 +39,13 @@ def scale_by_sibling(df: DataFrame, tbl: str, base_col: str, cols: Sequence[str]
         parts = parse(name)
         if parts is None or parts[0] != tbl or parts[1] not in cols or parts[2] in exclude_rows:
             continue
-        exprs[name] = percent_of(F.col(f"{tbl}_{base_col}_{parts[2]}"), F.col(name))
+        exprs[name] = percent_of_sql(f"{tbl}_{base_col}_{parts[2]}", name)
     return _replace(df, exprs)
 
 
 def sum_family(df: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFrame:
     """New measures, each the row-wise sum of a family of measures (P10)."""
-    return df.select("*", *[add_all([F.col(c) for c in cols]).alias(n) for n, cols in families.items()])
+    return df.selectExpr("*", *[f"{' + '.join(cols)} AS `{n}`" for n, cols in families.items()])
 
 
 def sum_columns(df: DataFrame, tbl: str, cols: Sequence[str], into: str,

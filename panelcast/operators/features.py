@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelcast.functions.codes import KEYS, TIME
-from panelcast.functions.numeric import ema_steps
+from panelcast.functions.numeric import ema_steps_sql, max_when_sql
 
 SERIES = (*KEYS, "metric")
 
@@ -46,9 +46,8 @@ def history(df: DataFrame, n: int = 7, value: str = "value", by: Sequence[str] =
 
 def ema_features(df: DataFrame, span: int = 2, window: int = 7, keep: int = 5, value: str = "value") -> DataFrame:
     """EMA over lag_(window-1) .. lag_1, current; ``ema_keep`` (oldest) .. ``ema_1`` (current)."""
-    ordered = [F.col(f"lag_{i}") for i in range(window - 1, 0, -1)] + [F.col(value)]
-    last = ema_steps(ordered, span)[-keep:]
-    return df.select("*", *[e.alias(f"ema_{keep - i}") for i, e in enumerate(last)])
+    last = ema_steps_sql([*[f"lag_{i}" for i in range(window - 1, 0, -1)], value], span)[-keep:]
+    return df.selectExpr("*", *[f"{e} AS ema_{keep - i}" for i, e in enumerate(last)])
 
 
 def panel_features(df: DataFrame, lookback: int = 6, value: str = "value", by: Sequence[str] = SERIES,
@@ -58,6 +57,11 @@ def panel_features(df: DataFrame, lookback: int = 6, value: str = "value", by: S
                         window=lookback + 1, value=value)
 
 
+def row_sql(cols: Sequence[str]) -> str:
+    """Array of the measures of one row."""
+    return "array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in cols) + ")"
+
+
 def window_samples(df: DataFrame, cols: Sequence[str], lookback: int = 6, horizon: int = 1,
                    anchors: Sequence[int] | None = None, keys: Sequence[str] = KEYS, t: str = TIME) -> DataFrame:
     """Model samples: ``x`` is (lookback+1) rows of measures, ``y`` the row(s) after.
@@ -66,8 +70,7 @@ def window_samples(df: DataFrame, cols: Sequence[str], lookback: int = 6, horizo
     missing time are left out.
     """
     w = _order(keys, t).rangeBetween(-lookback, horizon)
-    row = F.array(*[F.col(c).cast("double") for c in cols])
-    framed = df.select(*keys, t, F.collect_list(row).over(w).alias("_w"))
+    framed = df.select(*keys, t, F.collect_list(F.expr(row_sql(cols))).over(w).alias("_w"))
     framed = framed.where(F.size("_w") == lookback + 1 + horizon)
     if anchors is not None:
         framed = framed.where(F.col(t).isin(*anchors))
@@ -79,30 +82,30 @@ def latest_window(df: DataFrame, cols: Sequence[str], at: int, lookback: int = 6
                   keys: Sequence[str] = KEYS, t: str = TIME) -> DataFrame:
     """The last (lookback+1) rows up to time ``at`` of every entity that has them all."""
     recent = df.where(F.col(t).between(at - lookback, at))
-    row = F.struct(F.col(t), F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
+    row = F.expr(f"struct({t}, {row_sql(cols)} AS v)")
     packed = recent.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_w"))
     return packed.where(F.size("_w") == lookback + 1).select(*keys, F.transform("_w", lambda r: r["v"]).alias("x"))
 
 
-def target_vector(x: str | Column, i: int, m: int, lookback: int = 6, span: int = 2, keep: int = 5) -> Column:
-    """Feature array of target ``i``: its current value, lags and EMA, and the others' current values (K4)."""
-    x = F.col(x) if isinstance(x, str) else x
-    own = [F.element_at(F.element_at(x, step), i + 1) for step in range(1, lookback + 2)]
-    ema = ema_steps(own, span)[-keep:]
-    others = [F.element_at(F.element_at(x, lookback + 1), j + 1) for j in range(m) if j != i]
-    return F.array(*reversed(own), *ema, *others)
+def target_vector(x: str, i: int, m: int, lookback: int = 6, span: int = 2, keep: int = 5) -> Column:
+    """Feature array of target ``i``: its current value, lags and EMA, and the others' current values (K4).
+
+    ``x`` names a column holding (lookback+1) rows of ``m`` measures, oldest first.
+    """
+    own = [f"{x}[{step}][{i}]" for step in range(lookback + 1)]
+    ema = ema_steps_sql(own, span)[-keep:]
+    others = [f"{x}[{lookback}][{j}]" for j in range(m) if j != i]
+    return F.expr(f"array({', '.join([*reversed(own), *ema, *others])})")
 
 
 def target_features(features: DataFrame, target: str, metrics: Sequence[str], lookback: int = 6, keep: int = 5,
                     keys: Sequence[str] = KEYS, t: str = TIME, metric: str = "metric",
                     value: str = "value") -> DataFrame:
     """Wide feature table of one target from long features (K4)."""
-    def of(name: str, column: str) -> Column:
-        return F.max(F.when(F.col(metric) == name, F.col(column)))
+    def of(name: str, column: str, alias: str) -> Column:
+        return F.expr(f"{max_when_sql(column, metric, name)} AS `{alias}`")
 
-    own = [value, *[f"lag_{i}" for i in range(1, lookback + 1)], *[f"ema_{i}" for i in range(keep, 0, -1)]]
+    own = [*[f"lag_{i}" for i in range(1, lookback + 1)], *[f"ema_{i}" for i in range(keep, 0, -1)]]
     return features.groupBy(*keys, t).agg(
-        *[of(target, c).alias(target if c == value else f"{target}_{c}") for c in own],
-        *[of(m, value).alias(m) for m in metrics if m != target],
-        of(target, "y").alias("y"),
-    )
+        of(target, value, target), *[of(target, c, f"{target}_{c}") for c in own],
+        *[of(m, value, m) for m in metrics if m != target], of(target, "y", "y"))

@@ -12,13 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.codes import KEYS, RESIDUAL, TIME
-from panelcast.functions.numeric import add_all, at_least
-from panelcast.operators.clean import zero_floor
+from panelcast.functions.numeric import weighted_sum_sql
 from panelcast.operators.features import SERIES, target_vector
 from panelcast.operators.forest import QuantileForestModel
 from panelcast.operators.shape import with_quantile_dim
@@ -36,9 +35,15 @@ class LinearScorer:
     def lookback(self) -> int:
         return len(self.weights)
 
-    def next(self, window: Column, q: Column) -> Column:
-        terms = [F.lit(float(w)) * F.element_at(window, i + 1) for i, w in enumerate(self.weights)]
-        return add_all(terms) * (1 + F.lit(float(self.spread)) * (q - 0.5))
+    def next_sql(self, path: str, q: str) -> str:
+        """Expression of the value after the end of array ``path`` on quantile path ``q``."""
+        last = [f"element_at({path}, {i - self.lookback})" for i in range(self.lookback)]
+        return f"{weighted_sum_sql(self.weights, last)} * (1 + {float(self.spread)!r}D * ({q} - 0.5D))"
+
+
+def _floor_sql(by: Sequence[str], floor: float) -> str:
+    """The floor of a series; null, hence none, for the residual."""
+    return f"CASE WHEN metric <> '{RESIDUAL}' THEN {float(floor)!r}D END" if "metric" in by else f"{float(floor)!r}D"
 
 
 def project_linear(df: DataFrame, scorer: LinearScorer, at: int, steps: int, quantiles: Sequence[float],
@@ -46,19 +51,13 @@ def project_linear(df: DataFrame, scorer: LinearScorer, at: int, steps: int, qua
     """``(by, q, t, value)`` for the ``steps`` times after ``at``, in a single plan (K8)."""
     n = scorer.lookback
     recent = df.where(F.col(t).between(at - n + 1, at))
-    packed = recent.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(t, value))).alias("_h"))
-    packed = packed.where(F.size("_h") == n).select(*by, F.transform("_h", lambda r: r[value]).alias("_h"))
-    bottom = zero_floor(F.col("metric"), F.lit(float(floor))) if "metric" in by else F.lit(float(floor))
-
-    def grow(path: Column, _: Column) -> Column:
-        nxt = scorer.next(F.slice(path, -n, n), F.col("q"))
-        return F.concat(path, F.array(at_least(nxt, F.col("_floor"))))
-
-    paths = with_quantile_dim(packed.withColumn("_floor", bottom), quantiles).withColumn(
-        "_p", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("_h"), grow))
-    future = F.posexplode(F.slice("_p", n + 1, steps)).alias("_i", value)
-    return (paths.select(*by, "q", future)
-            .select(*by, "q", (F.col("_i") + F.lit(at + 1)).cast("int").alias(t), value))
+    packed = recent.groupBy(*by).agg(F.expr(f"sort_array(collect_list(struct({t}, {value})))").alias("_h"))
+    packed = packed.where(F.size("_h") == n).selectExpr(*by, f"_h.{value} AS _h", f"{_floor_sql(by, floor)} AS _floor")
+    grow = f"(path, i) -> concat(path, array(greatest({scorer.next_sql('path', 'q')}, _floor)))"
+    paths = with_quantile_dim(packed, quantiles).selectExpr(
+        *by, "q", f"slice(aggregate(sequence(1, {steps}), _h, {grow}), {n + 1}, {steps}) AS _p")
+    return (paths.selectExpr(*by, "q", f"posexplode(_p) AS (_i, {value})")
+            .selectExpr(*by, "q", f"CAST(_i + {at + 1} AS INT) AS {t}", value))
 
 
 def backtest(df: DataFrame, scorer: LinearScorer, years: Sequence[int], floor: float = 0.0,
@@ -73,18 +72,16 @@ def backtest(df: DataFrame, scorer: LinearScorer, years: Sequence[int], floor: f
                        F.max(value).over(w.rangeBetween(1, 1)).alias("actual"))
     anchors = framed.where(F.col(t).isin(*[y - 1 for y in years]) & (F.size("_h") == n)
                            & F.col("actual").isNotNull())
-    bottom = zero_floor(F.col("metric"), F.lit(float(floor))) if "metric" in by else F.lit(float(floor))
-    pred = at_least(scorer.next(F.col("_h"), F.lit(0.5)), bottom)
-    return anchors.select(*by, (F.col(t) + 1).cast("int").alias(t), pred.alias("pred"), "actual")
+    pred = f"greatest({scorer.next_sql('_h', '0.5D')}, {_floor_sql(by, floor)})"
+    return anchors.selectExpr(*by, f"CAST({t} + 1 AS INT) AS {t}", f"{pred} AS pred", "actual")
 
 
 def _paths_to_long(state: DataFrame, metrics: Sequence[str], at: int, lookback: int, keys: Sequence[str],
                    t: str) -> DataFrame:
-    steps = F.posexplode(F.slice("x", lookback + 2, F.size("x") - (lookback + 1))).alias("_i", "_row")
-    cells = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.element_at("_row", i + 1).alias("value"))
-                               for i, m in enumerate(metrics)]))
-    return (state.select(*keys, "q", steps)
-            .select(*keys, "q", (F.col("_i") + F.lit(at + 1)).cast("int").alias(t), cells))
+    cells = ", ".join(f"struct('{m}' AS metric, _row[{i}] AS value)" for i, m in enumerate(metrics))
+    future = f"slice(x, {lookback + 2}, size(x) - {lookback + 1})"
+    return (state.selectExpr(*keys, "q", f"posexplode({future}) AS (_i, _row)")
+            .selectExpr(*keys, "q", f"CAST(_i + {at + 1} AS INT) AS {t}", f"inline(array({cells}))"))
 
 
 def project_forest(windows: DataFrame, models: Mapping[str, QuantileForestModel],
@@ -101,27 +98,25 @@ def project_forest(windows: DataFrame, models: Mapping[str, QuantileForestModel]
     levels = sorted({float(q) for q in quantiles})
     lookups = {m: model.lookup(levels) for m, model in models.items()}
     state = with_quantile_dim(windows.select(*keys, "x"), levels)
-    which = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col("q")).cast("int")
+    which = "CASE q " + " ".join(f"WHEN {v!r}D THEN {i}" for i, v in enumerate(levels)) + " END"
 
-    def shift(metric: str) -> Column:
-        out = F.lit(0.0)
+    def shift(metric: str) -> str:
+        """The conformal shift of a measure on the row's quantile path."""
+        moves = []
         for level in levels:
-            alpha = round(min(level, 1 - level), 6)
             sign = -1.0 if level < 0.5 else 1.0 if level > 0.5 else 0.0
-            out = F.when(F.col("q") == level, F.lit(sign * qhat.get((metric, alpha), 0.0))).otherwise(out)
-        return out
+            moves.append(sign * qhat.get((metric, round(min(level, 1 - level), 6)), 0.0))
+        return "CASE q " + " ".join(f"WHEN {v!r}D THEN {mv!r}D" for v, mv in zip(levels, moves)) + " END"
 
     for step in range(1, steps + 1):
-        scored = state.withColumn("_w", F.slice("x", -(lookback + 1), lookback + 1))
-        for i, m in enumerate(metrics):
-            features = target_vector("_w", i, len(metrics), lookback)
-            scored = models[m].leaf_column(scored, features, f"_leaf_{i}")
+        scored = state.withColumn("_w", F.expr(f"slice(x, -{lookback + 1}, {lookback + 1})"))
         for i, m in enumerate(metrics):
-            moved = F.element_at(lookups[m](F.col(f"_leaf_{i}")), which) + shift(m)
-            clipped = moved if m == RESIDUAL else at_least(moved, F.lit(float(floor)))
-            scored = scored.withColumn(f"_next_{i}", clipped)
-        grown = F.concat("x", F.array(F.array(*[F.col(f"_next_{i}") for i in range(len(metrics))])))
-        state = scored.select(*keys, "q", grown.alias("x"))
+            scored = models[m].leaf_column(scored, target_vector("_w", i, len(metrics), lookback), f"_leaf_{i}")
+        scored = scored.select(*keys, "q", "x", *[
+            lookups[m](F.col(f"_leaf_{i}")).alias(f"_p_{i}") for i, m in enumerate(metrics)])
+        moved = [f"_p_{i}[{which}] + {shift(m)}" for i, m in enumerate(metrics)]
+        row = [v if m == RESIDUAL else f"greatest({v}, {float(floor)!r}D)" for m, v in zip(metrics, moved)]
+        state = scored.selectExpr(*keys, "q", f"concat(x, array(array({', '.join(row)}))) AS x")
         if step % cut_every == 0 or step == steps:
             state = cut_lineage(state)
     return _paths_to_long(state, metrics, at, lookback, keys, t)

@@ -1,56 +1,86 @@
-"""Exact quantiles that never gather a group in one task.
+"""Exact quantiles that never gather an unbounded group in one task.
 
-Equal values are merged first.  A mergeable sketch then cuts every group into
-buckets of about equal size, bucket totals say which bucket holds each wanted
-position, and only those buckets are sorted.  The sketch decides nothing but where
-the cuts fall, so the answer is exact however rough it is.
+Equal values are merged first, and every group is counted.  Where all groups are
+small, one window per group finishes the job.  Otherwise a mergeable sketch cuts the
+groups into buckets of about equal size, bucket totals say which bucket holds each
+wanted position, and only those buckets are sorted.  The sketch decides nothing but
+where the cuts fall, so the answer is exact however rough it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.sizing import checked_broadcast, small_table
+from panelcast.operators.sizing import checked_broadcast, fetch_small, local_table
 
 BUCKETS = 64
 SKETCH_ACCURACY = 2_000
 MAX_LOCAL_GROUPS = 5_000
+# Different values a single window task may sort.
+SMALL_GROUP = 200_000
 
 Position = Callable[[Column], Column]
 
 
 def _values_at(df: DataFrame, by: Sequence[str], x: str, positions: Sequence[Position],
-               weight: str | None, right_closed: bool) -> DataFrame:
+               weight: str | None, right_closed: bool, small_group: int = SMALL_GROUP) -> DataFrame:
     """``(by, i, n, v)``: the value covering the i-th position on the cumulative weight axis.
 
     A position is a function of the group's total weight ``n``.  A value covers
     [before, upto), or (before, upto] if ``right_closed``.
     """
-    by = list(by)
+    by, spark = list(by), df.sparkSession
     w = F.count(F.lit(1)) if weight is None else F.sum(weight)
     used = df.where(F.col(x).isNotNull())
     if weight is not None:
         used = used.where(F.col(weight) > 0)
     values = used.groupBy(*by, F.col(x).cast("double").alias("_x")).agg(w.cast("double").alias("_w"))
     values = values.persist(StorageLevel.MEMORY_AND_DISK)
-
     cuts = F.percentile_approx("_x", [i / BUCKETS for i in range(1, BUCKETS)], SKETCH_ACCURACY)
-    group_stats = values.groupBy(*by).agg(F.sum("_w").alias("n"), cuts.alias("_cuts"))
-    local_groups = small_table(group_stats, MAX_LOCAL_GROUPS)
-    groups = group_stats if local_groups is None else F.broadcast(local_groups)
+    stats = values.groupBy(*by).agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("_d"), cuts.alias("_cuts"))
+    local = fetch_small(stats, MAX_LOCAL_GROUPS)
+    if local is None:
+        return _in_buckets(values, stats, by, positions, right_closed)
+    if local.num_rows == 0 or pc.max(local["_d"]).as_py() <= small_group:
+        found = _in_windows(values, by, positions, right_closed)
+    else:
+        found = _in_buckets(values, F.broadcast(local_table(spark, local, stats)), by, positions, right_closed)
+    result = local_table(spark, found.toArrow(), found)
+    values.unpersist()
+    return result
+
+
+def _reached(cum: str, pos: Column, right_closed: bool) -> Column:
+    return F.col(cum) >= pos if right_closed else F.col(cum) > pos
+
+
+def _in_windows(values: DataFrame, by: list[str], positions: Sequence[Position], right_closed: bool) -> DataFrame:
+    """Positions of groups known to be small: one cumulative window."""
+    ordered = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    running = values.select(*by, "_x", F.sum("_w").over(ordered).alias("_cum"),
+                            F.sum("_w").over(Window.partitionBy(*by)).alias("n"))
+    first = [F.coalesce(F.min(F.when(_reached("_cum", p(F.col("n")).cast("double"), right_closed), F.col("_x"))),
+                        F.max("_x")) for p in positions]
+    at = running.groupBy(*by, "n").agg(F.array(*first).alias("_v"))
+    return at.select(*by, F.posexplode("_v").alias("i", "v"), "n")
+
+
+def _in_buckets(values: DataFrame, groups: DataFrame, by: list[str], positions: Sequence[Position],
+                right_closed: bool) -> DataFrame:
+    """Positions of groups of any size: sort only the buckets that hold one."""
     bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
     placed = values.join(groups.select(*by, "_cuts"), by).select(*by, "_x", "_w", bucket.alias("_b"))
 
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    last = Window.partitionBy(*by)
     totals = placed.groupBy(*by, "_b").agg(F.sum("_w").alias("_bw"))
     spans = totals.select(*by, "_b", F.sum("_bw").over(upto).alias("_upto"),
                           (F.sum("_bw").over(upto) - F.col("_bw")).alias("_before"),
-                          (F.max("_b").over(last) == F.col("_b")).alias("_last"))
+                          (F.max("_b").over(Window.partitionBy(*by)) == F.col("_b")).alias("_last"))
     wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), p(F.col("n")).cast("double").alias("_pos"))
                                  for i, p in enumerate(positions)])).alias("_p")
     asked = groups.select(*by, "n", wanted).select(*by, "n", "_p.i", "_p._pos")
@@ -64,22 +94,17 @@ def _values_at(df: DataFrame, by: Sequence[str], x: str, positions: Sequence[Pos
     within = Window.partitionBy(*by, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     opened = placed.join(hits.select(*by, "_b", "_before").distinct(), [*by, "_b"])
     running = opened.select(*by, "_b", "_x", (F.col("_before") + F.sum("_w").over(within)).alias("_cum"))
-    reached = F.col("_cum") >= pos if right_closed else F.col("_cum") > pos
-    found = (running.join(hits.select(*by, "_b", "n", "i", "_pos"), [*by, "_b"])
-             .groupBy(*by, "i", "n")
-             .agg(F.coalesce(F.min(F.when(reached, F.col("_x"))), F.max("_x")).alias("v")))
-    if local_groups is None:
-        return found
-    result = df.sparkSession.createDataFrame(found.collect(), found.schema)
-    values.unpersist()
-    return result
+    first = F.coalesce(F.min(F.when(_reached("_cum", pos, right_closed), F.col("_x"))), F.max("_x"))
+    return (running.join(hits.select(*by, "_b", "n", "i", "_pos"), [*by, "_b"])
+            .groupBy(*by, "i", "n").agg(first.alias("v")))
 
 
 def _level(p: Column, n: Column) -> Column:
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * (n - 1)
 
 
-def exact_quantiles(df: DataFrame, x: str, levels: Sequence[float | Position], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, x: str, levels: Sequence[float | Position], by: Sequence[str] = (),
+                    small_group: int = SMALL_GROUP) -> DataFrame:
     """``(by, level, n, value)``: linear-interpolation quantiles of every group.
 
     A level is a number or a function of the group size giving one (A10); such
@@ -92,7 +117,7 @@ def exact_quantiles(df: DataFrame, x: str, levels: Sequence[float | Position], b
     ends = []
     for fn in fns:
         ends += [lambda n, fn=fn: F.floor(_level(fn(n), n)), lambda n, fn=fn: F.ceil(_level(fn(n), n))]
-    at = _values_at(df, groups, x, ends, weight=None, right_closed=False)
+    at = _values_at(df, groups, x, ends, None, False, small_group)
     which = F.floor(F.col("i") / 2).cast("int")
     pairs = at.groupBy(*groups, "n", which.alias("_k")).agg(
         F.max(F.when(F.col("i") % 2 == 0, F.col("v"))).alias("_lo"),
@@ -107,12 +132,13 @@ def exact_quantiles(df: DataFrame, x: str, levels: Sequence[float | Position], b
 
 
 def weighted_quantiles(df: DataFrame, x: str, weight: str, levels: Sequence[float],
-                       by: Sequence[str] = ()) -> DataFrame:
+                       by: Sequence[str] = (), small_group: int = SMALL_GROUP) -> DataFrame:
     """``(by, level, value)``: smallest value whose cumulative weight reaches the level."""
     groups = list(by) or ["_all"]
     if not by:
         df = df.withColumn("_all", F.lit(0))
-    at = _values_at(df, groups, x, [lambda n, lv=lv: n * F.lit(float(lv)) for lv in levels], weight, True)
+    at = _values_at(df, groups, x, [lambda n, lv=lv: n * F.lit(float(lv)) for lv in levels], weight, True,
+                    small_group)
     level = F.element_at(F.array(*[F.lit(float(lv)) for lv in levels]), F.col("i") + 1)
     return at.select(*by, level.alias("level"), F.col("v").alias("value"))
 

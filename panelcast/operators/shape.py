@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.codes import CODE, KEYS, RESIDUAL, SPLIT_LABELS, TIME, code_part, matching, measures, parse
+from panelcast.functions.numeric import max_when_sql
 
 # Beyond this many measures a conditional aggregate per measure is slower than pivot's own.
 CONDITIONAL_PIVOT_LIMIT = 64
@@ -38,7 +39,7 @@ def align_vintage(df: DataFrame, renames: Mapping[str, Mapping[str, str]]) -> Da
         tbl, col, row = parts
         return f"{tbl}_{renames.get(tbl, {}).get(col, col)}_{row}"
 
-    return df.select(*[F.col(c).alias(new_name(c)) for c in df.columns])
+    return df.toDF(*[new_name(c) for c in df.columns])
 
 
 def align_vintage_long(df: DataFrame, renames: Mapping[str, Mapping[str, str]], before: int,
@@ -92,8 +93,8 @@ def to_long(df: DataFrame, ids: Sequence[str] = (TIME, *KEYS), cols: Sequence[st
     entity and measure that follow need no further shuffle.
     """
     cols = list(cols if cols is not None else measures(df, ids))
-    pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in cols])
-    return df.select(*ids, F.inline(pairs))
+    pairs = ", ".join(f"struct('{c}' AS {name}, CAST(`{c}` AS DOUBLE) AS {value})" for c in cols)
+    return df.selectExpr(*ids, f"inline(array({pairs}))")
 
 
 def to_wide(df: DataFrame, metrics: Sequence[str], ids: Sequence[str] = (TIME, *KEYS),
@@ -101,7 +102,7 @@ def to_wide(df: DataFrame, metrics: Sequence[str], ids: Sequence[str] = (TIME, *
     """Pivot long to wide over an explicit measure list: one shuffle by ``ids``."""
     if len(metrics) > CONDITIONAL_PIVOT_LIMIT:
         return df.groupBy(*ids).pivot(name, list(metrics)).agg(F.max(value))
-    return df.groupBy(*ids).agg(*[F.max(F.when(F.col(name) == m, F.col(value))).alias(m) for m in metrics])
+    return df.groupBy(*ids).agg(*[F.expr(f"{max_when_sql(value, name, m)} AS `{m}`") for m in metrics])
 
 
 def transpose(df: DataFrame, row: str, columns: Sequence[str], to: str = "measure") -> DataFrame:
@@ -121,8 +122,12 @@ def take_quantile(df: DataFrame, level: float, q: str = "q") -> DataFrame:
 
 def label_metrics(df: DataFrame, labels: Mapping[str, str], metric: str = "metric") -> DataFrame:
     """Replace codes by labels; codes without a label stay."""
-    lookup = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    return df.withColumn(metric, F.coalesce(F.try_element_at(lookup, F.col(metric)), F.col(metric)))
+    return df.withColumn(metric, F.expr(label_sql(metric, labels)))
+
+
+def label_sql(metric: str, labels: Mapping[str, str]) -> str:
+    cases = " ".join(f"WHEN '{code}' THEN '{label}'" for code, label in labels.items())
+    return f"CASE {metric} {cases} ELSE {metric} END"
 
 
 def in_order(label: str, order: Sequence[str]) -> Column:

@@ -4,28 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 50_000
 
 
-def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
-    """A driver-held copy of ``df`` if it has at most ``max_rows`` rows, else None.
+def fetch_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> pa.Table | None:
+    """The rows of ``df`` if there are at most ``max_rows``, else None.
 
     Never fetches more than ``max_rows + 1`` rows, so an unexpectedly large table
     costs a bounded look and nothing else.
     """
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    rows = df.limit(max_rows + 1).toArrow()
+    return rows if rows.num_rows <= max_rows else None
+
+
+def local_table(spark: SparkSession, rows: pa.Table, like: DataFrame) -> DataFrame:
+    return spark.createDataFrame(rows, like.schema)
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """``df`` marked for broadcast if counted to be small; unmarked (shuffled join) if not."""
-    local = small_table(df, max_rows)
-    return df if local is None else F.broadcast(local)
+    rows = fetch_small(df, max_rows)
+    return df if rows is None else F.broadcast(local_table(df.sparkSession, rows, df))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -10,21 +10,18 @@ from panelcast.functions.codes import KEYS, LAYOUT_CHANGE_YEAR, TIME, VINTAGE_RE
 from panelcast.operators.clean import clean_sentinel, fill_missing, zero_metrics
 from panelcast.operators.derive import pct_to_count
 from panelcast.operators.relate import decode, split_by_list
-from panelcast.operators.shape import align_vintage
+from panelcast.operators.shape import align_vintage, stack_releases
 from panelcast.sources.releases import stack_all
 
 
-def clean_release(df: DataFrame, year: int, layout_change: int = LAYOUT_CHANGE_YEAR,
-                  legacy_order: bool = False) -> DataFrame:
-    """One release with sentinels removed, percentages as counts and current column groups.
+def clean_releases(df: DataFrame, old_layout: bool, legacy_order: bool = False) -> DataFrame:
+    """Releases of one layout with sentinels removed, percentages as counts and current column groups.
 
     ``legacy_order`` leaves sentinels in until the counts are made, as older runs did;
     a sentinel percentage of a tiny total then survives as a large negative count.
     """
     out = df if legacy_order else clean_sentinel(fill_missing(df))
-    if year < layout_change:
-        out = align_vintage(pct_to_count(out, before=None), VINTAGE_RENAMES)
-    return out
+    return align_vintage(pct_to_count(out, before=None), VINTAGE_RENAMES) if old_layout else out
 
 
 def collect_panels(releases: Mapping[int, DataFrame], holdout: DataFrame | None = None,
@@ -36,8 +33,11 @@ def collect_panels(releases: Mapping[int, DataFrame], holdout: DataFrame | None
     lookup that turns held-out place codes into names.  Measures that are always
     zero are decided on the training panel and dropped from both.
     """
-    cleaned = {y: clean_release(df, y, layout_change, legacy_order) for y, df in releases.items()}
-    stacked = clean_sentinel(fill_missing(stack_all(cleaned)))
+    layouts = {old: {y: df for y, df in releases.items() if (y < layout_change) == old} for old in (True, False)}
+    cleaned = [clean_releases(stack_all(part), old, legacy_order) for old, part in layouts.items() if part]
+    stacked = fill_missing(stack_releases(cleaned))
+    if legacy_order:
+        stacked = clean_sentinel(stacked)
     if holdout is None:
         return stacked.drop(*zero_metrics(stacked)), None
     held, training = split_by_list(stacked, holdout)

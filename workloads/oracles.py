@@ -76,7 +76,7 @@ def long(codes: list[str], t: str = "year") -> str:
     return wide(codes, t) + ",\n" + melt("w", "p", f"{t}, state, place")
 
 
-def rnd(x: str, digits: int = 4, name: str = "value") -> str:
+def rnd(x: str, digits: int = 6, name: str = "value") -> str:
     return f"round({x}, {digits}) + 0.0 AS {name}"
 
 
@@ -86,9 +86,9 @@ def ratio(num: str, den: str, scale: str = "") -> str:
 
 
 RATIOS = ", ".join([
-    f"{rnd(ratio('working', 'senior'), 4, 'working_senior_ratio')}",
-    f"{rnd(ratio('working', 'total', '* 100'), 4, 'working_total_ratio')}",
-    f"{rnd(ratio('senior', 'total', '* 100'), 4, 'senior_total_ratio')}"])
+    f"{rnd(ratio('working', 'senior'), 6, 'working_senior_ratio')}",
+    f"{rnd(ratio('working', 'total', '* 100'), 6, 'working_total_ratio')}",
+    f"{rnd(ratio('senior', 'total', '* 100'), 6, 'senior_total_ratio')}"])
 
 GROUPS = {"youth": AGES[0:5], "working": AGES[5:13], "senior": AGES[13:18]}
 
@@ -122,7 +122,7 @@ FROM grid LEFT JOIN p ON p.metric = 'S0101_C' || lpad(CAST(col AS VARCHAR), 2, '
 GROUP BY col, row"""
 
 ORACLES["typed_reread"] = """SELECT o_orderstatus, count(*) AS n, max(o_custkey) AS last_customer,
-  round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS total FROM orders GROUP BY o_orderstatus"""
+  round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 6) + 0.0 AS total FROM orders GROUP BY o_orderstatus"""
 
 ORACLES["vintage_union"] = f"""WITH {OLD},
 codes AS (SELECT 'S0101_' || c || '_' || lpad(CAST(x AS VARCHAR), 3, '0') || 'E' AS metric
@@ -131,7 +131,7 @@ cells AS (SELECT 'old' AS layout, year, state, place, metric, value FROM old
           UNION ALL SELECT 'new', year, state, place, metric, value FROM new),
 rows AS (SELECT DISTINCT layout, year, state, place FROM cells)
 SELECT r.layout, r.year, c.metric, count(*) AS n_rows, count(*) - count(x.value) AS n_null,
-       round(sum(CASE WHEN x.value > -1e8 THEN x.value END), 2) AS total
+       round(sum(CASE WHEN x.value > -1e8 THEN x.value END), 6) + 0.0 AS total
 FROM rows r CROSS JOIN codes c LEFT JOIN cells x ON x.layout = r.layout AND x.year = r.year AND x.state = r.state
      AND x.place = r.place AND x.metric = c.metric
 GROUP BY r.layout, r.year, c.metric"""
@@ -142,7 +142,7 @@ UNION ALL SELECT year, state, place, new_metric, value FROM new WHERE new_metric
 
 ORACLES["align_vintage_long"] = f"""WITH {OLD},
 cells AS (SELECT year, new_metric AS metric, value FROM old UNION ALL SELECT year, new_metric, value FROM new)
-SELECT year, metric, count(*) AS n, round(sum(CASE WHEN value > -1e8 THEN value END), 2) AS total
+SELECT year, metric, count(*) AS n, round(sum(CASE WHEN value > -1e8 THEN value END), 6) + 0.0 AS total
 FROM cells GROUP BY year, metric"""
 
 ORACLES["metric_parse"] = f"""WITH {long(S0101)}
@@ -150,7 +150,7 @@ SELECT substr(metric, 1, 5) AS tbl, substr(metric, 7, 3) AS col, substr(metric,
 FROM p WHERE regexp_matches(metric, '^S0101_C0[15]_01') AND metric NOT LIKE '%019E' GROUP BY ALL"""
 
 ORACLES["drop_families"] = f"""WITH {long(sorted([*S0101, *S0701, *S1301]))}
-SELECT metric, CAST(row_number() OVER (ORDER BY metric) AS INTEGER) AS position, round(sum(value), 2) AS total FROM p
+SELECT metric, CAST(row_number() OVER (ORDER BY metric) AS INTEGER) AS position, round(sum(value), 6) + 0.0 AS total FROM p
 WHERE NOT regexp_matches(metric, '^S1301_C0[34]|^S0701_C.._(011|048)E|^S1301_C01_03[12]E') GROUP BY metric"""
 
 ORACLES["common_schema"] = f"""WITH {long([POP, *AGES])}
@@ -189,10 +189,10 @@ SELECT age_group, {', '.join(f"sum(value) FILTER (WHERE year = {y}) AS y{y}" for
 FROM m GROUP BY age_group"""
 
 ORACLES["quantile_dim"] = f"""WITH {long([POP, *AGES])}
-SELECT 'upper' AS path, year, metric, count(*) AS n, round(sum(value * (CAST(0.6 AS DOUBLE) + 0.5)), 2) AS total
+SELECT 'upper' AS path, year, metric, count(*) AS n, round(sum(value * (CAST(0.6 AS DOUBLE) + 0.5)), 6) + 0.0 AS total
 FROM p GROUP BY year, metric
 UNION ALL
-SELECT 'all', year, metric, count(*), round(sum(value * (q + 0.5)), 2)
+SELECT 'all', year, metric, count(*), round(sum(value * (q + 0.5)), 6) + 0.0
 FROM p, (VALUES (CAST(0.4 AS DOUBLE)), (0.5), (0.6)) v(q) GROUP BY year, metric"""
 
 LABELS = ["0-4", "5-9", "10-14", "15-19", "20-24", "25-29", "30-34", "35-39", "40-44", "45-49", "50-54", "55-59",
@@ -204,11 +204,11 @@ SELECT year, {LABEL_CASE} AS label, sum(value) AS total FROM p GROUP BY ALL"""
 
 ORACLES["clean_sentinel"] = f"""WITH {OLD},
 cleaned AS (SELECT year, metric, CASE WHEN value <= -111111111 THEN 0.0 ELSE value END AS value FROM old)
-SELECT year, metric, round(sum(value), 2) AS total, min(value) AS lowest, count(*) FILTER (WHERE value = 0) AS n_zero
+SELECT year, metric, round(sum(value), 6) + 0.0 AS total, min(value) AS lowest, count(*) FILTER (WHERE value = 0) AS n_zero
 FROM cleaned GROUP BY year, metric"""
 
 ORACLES["drop_zero_metrics"] = f"""WITH {long(S1301)}
-SELECT metric, {rnd('avg(value)', 4, 'mean')} FROM p GROUP BY metric HAVING avg(value) <> 0"""
+SELECT metric, {rnd('avg(value)', 6, 'mean')} FROM p GROUP BY metric HAVING avg(value) <> 0"""
 
 PCT = """CASE WHEN new_metric LIKE '%_001E' THEN value WHEN value <= -111111111 THEN 0.0
               ELSE round_even(base * value / 100, 0) END"""
@@ -239,8 +239,8 @@ ORACLES["ratios"] = f"""WITH {wide([POP, *AGES])}, g AS ({groups_of('w')}) SELEC
 ORACLES["growth_rate"] = f"""WITH {wide([POP])}
 SELECT state, place, max(CASE WHEN year = 1995 THEN {POP} END) AS first_value,
        max(CASE WHEN year = 2001 THEN {POP} END) AS last_value,
-       {rnd(f'100 * (max(CASE WHEN year = 2001 THEN {POP} END) - max(CASE WHEN year = 1995 THEN {POP} END))'
-            f' / max(CASE WHEN year = 1995 THEN {POP} END)', 4, 'growth_rate')}
+       {rnd(f'(max(CASE WHEN year = 2001 THEN {POP} END) - max(CASE WHEN year = 1995 THEN {POP} END))'
+            f' / max(CASE WHEN year = 1995 THEN {POP} END) * 100', 6, 'growth_rate')}
 FROM w GROUP BY state, place HAVING count(*) = 7"""
 
 
@@ -261,13 +261,13 @@ QUARTERS_COMPONENTS = model("period", 0, COMPONENTS)
 QUARTERS_AGES = model("period", 0, AGES)
 
 ORACLES["residual_change"] = f"""WITH {model('year', -1, ['dn'])}
-SELECT year, state, place, {rnd('dn', 4, 'dn')} FROM e"""
+SELECT year, state, place, {rnd('dn', 6, 'dn')} FROM e"""
 
 STATS = """st AS (SELECT metric, avg(value) AS mean, stddev_samp(value) AS sd FROM f GROUP BY metric)"""
 
 ORACLES["clip_floor"] = f"""WITH {YEARLY_MODEL}, {STATS}
 SELECT year, state, place, f.metric, round(CASE WHEN f.metric = 'dn' THEN value - 2
-  ELSE greatest(value - 2, round(mean / 2, 4)) END, 4) + 0.0 AS value FROM f JOIN st ON f.metric = st.metric"""
+  ELSE greatest(value - 2, round(mean / 2, 6)) END, 6) + 0.0 AS value FROM f JOIN st ON f.metric = st.metric"""
 
 # Hold-out, decoding, entity tables.
 PLACES = """places AS (SELECT lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS state,
@@ -354,7 +354,7 @@ def ema_cte(source: str) -> str:
 
 
 ORACLES["ema"] = f"""WITH {QUARTERS_COMPONENTS}, {ema_cte('f')}
-SELECT period, state, place, metric, {', '.join(rnd(f'ema_{i}', 4, f'ema_{i}') for i in range(5, 0, -1))} FROM em"""
+SELECT period, state, place, metric, {', '.join(rnd(f'ema_{i}', 6, f'ema_{i}') for i in range(5, 0, -1))} FROM em"""
 
 ORACLES["history_vector"] = f"""WITH {QUARTERS_COMPONENTS}
 SELECT period, state, place, metric, array_to_string(list_transform(
@@ -365,10 +365,10 @@ ORACLES["window_samples"] = f"""WITH {QUARTERS},
 s AS (SELECT period, state, place, sum(value) AS total, max(CASE WHEN metric = '{AGES[0]}' THEN value END) AS head,
              max(CASE WHEN metric = 'dn' THEN value END) AS dn FROM f GROUP BY period, state, place)
 SELECT a.period, a.state, a.place, CAST(7 AS INTEGER) AS steps,
-       round(sum(CASE WHEN b.period <= a.period THEN b.total END), 2) AS x_total,
-       round(max(CASE WHEN b.period = a.period - 6 THEN b.head END), 4) AS x_first,
-       round(max(a.dn), 4) + 0.0 AS x_last,
-       round(max(CASE WHEN b.period = a.period + 1 THEN b.total END), 2) AS y_total
+       round(sum(CASE WHEN b.period <= a.period THEN b.total END), 6) + 0.0 AS x_total,
+       round(max(CASE WHEN b.period = a.period - 6 THEN b.head END), 6) AS x_first,
+       round(max(a.dn), 6) + 0.0 AS x_last,
+       round(max(CASE WHEN b.period = a.period + 1 THEN b.total END), 6) + 0.0 AS y_total
 FROM s a JOIN s b ON a.state = b.state AND a.place = b.place AND b.period BETWEEN a.period - 6 AND a.period + 1
 GROUP BY a.period, a.state, a.place HAVING count(*) = 8"""
 
@@ -377,22 +377,22 @@ _own = {TARGET: "value", **{f"{TARGET}_lag_{i}": f"l{i}" for i in range(1, 7)},
         **{f"{TARGET}_ema_{i}": f"ema_{i}" for i in range(5, 0, -1)}, "y": "y"}
 ORACLES["target_features"] = f"""WITH {QUARTERS}, {ema_cte('f')}
 SELECT period, state, place,
-  {', '.join(f"round(max(CASE WHEN metric = '{TARGET}' THEN {c} END), 4) + 0.0 AS {n}" for n, c in _own.items())},
-  {', '.join(f"round(max(CASE WHEN metric = '{m}' THEN value END), 4) + 0.0 AS {m}" for m in MODEL if m != TARGET)}
+  {', '.join(f"round(max(CASE WHEN metric = '{TARGET}' THEN {c} END), 6) + 0.0 AS {n}" for n, c in _own.items())},
+  {', '.join(f"round(max(CASE WHEN metric = '{m}' THEN value END), 6) + 0.0 AS {m}" for m in MODEL if m != TARGET)}
 FROM em GROUP BY period, state, place"""
 
 # Scaling.
 ORACLES["fit_scaler"] = f"""WITH {YEARLY_MODEL}, {STATS}
-SELECT metric, {rnd('mean', 4, 'mean')}, {rnd('sd', 4, 'sd')}, {rnd('-mean / sd', 4, 'zero_value')} FROM st"""
+SELECT metric, {rnd('mean', 6, 'mean')}, {rnd('sd', 6, 'sd')}, {rnd('-mean / sd', 6, 'zero_value')} FROM st"""
 ORACLES["standardize"] = f"""WITH {YEARLY_MODEL}, {STATS}
 SELECT year, state, place, f.metric, {rnd('(value - mean) / sd')} FROM f JOIN st ON f.metric = st.metric"""
 ORACLES["unstandardize"] = f"""WITH {YEARLY_MODEL}, {STATS}
 SELECT year, state, place, f.metric, round(CASE WHEN f.metric = 'dn' THEN (value - mean) / sd - 0.5
-  ELSE greatest((value - mean) / sd - 0.5, -mean / sd) END * sd + mean, 4) + 0.0 AS value
+  ELSE greatest((value - mean) / sd - 0.5, -mean / sd) END * sd + mean, 6) + 0.0 AS value
 FROM f JOIN st ON f.metric = st.metric"""
 ORACLES["global_scale"] = f"""WITH {YEARLY_MODEL}
-SELECT metric, {rnd('sum(value) / (SELECT stddev_samp(value) FROM f)', 4, 'scaled_total')},
-       {rnd('sum(value) / 2', 4, 'halved_total')} FROM f GROUP BY metric"""
+SELECT metric, {rnd('sum(value) / (SELECT stddev_samp(value) FROM f)', 6, 'scaled_total')},
+       {rnd('sum(value) / 2', 6, 'halved_total')} FROM f GROUP BY metric"""
 
 # Aggregates and distributions.
 TOTALS = f"""{wide([POP, *AGES])},
@@ -403,7 +403,7 @@ ORACLES["age_profile"] = f"""WITH {TOTALS}, u AS (UNPIVOT t ON {', '.join(AGES)}
 SELECT year, age_bin, population FROM u"""
 ORACLES["exact_quantile"] = """SELECT l_returnflag, l_linestatus, level, count(*) AS n, round(CASE level
   WHEN 0.05 THEN quantile_cont(l_extendedprice, 0.05) WHEN 0.25 THEN quantile_cont(l_extendedprice, 0.25)
-  WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.95) END, 4) AS value
+  WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.95) END, 6) AS value
 FROM lineitem, (VALUES (CAST(0.05 AS DOUBLE)), (0.25), (0.5), (0.95)) v(level) GROUP BY l_returnflag, l_linestatus, level"""
 ORACLES["weighted_quantile"] = """WITH c AS (
   SELECT l_returnflag, l_extendedprice, sum(sum(l_quantity)) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS cum
@@ -417,11 +417,11 @@ GROWTH = f"""{CUSTOMER},
 gr AS (SELECT state, place, max(CASE WHEN year = 1995 THEN v END) AS a, max(CASE WHEN year = 2000 THEN v END) AS b
   FROM (SELECT year, state, place, {' + '.join(FIVE)} AS v FROM c) GROUP BY state, place)"""
 ORACLES["histogram_density"] = f"""WITH {GROWTH},
-x AS (SELECT 100 * (b - a) / a AS g FROM gr WHERE a IS NOT NULL AND b IS NOT NULL),
+x AS (SELECT (b - a) / a * 100 AS g FROM gr WHERE a IS NOT NULL AND b IS NOT NULL),
 h AS (SELECT least(floor((g + 250) / (CAST(500 AS DOUBLE) / 30)), 29) AS bin, count(*) AS n
       FROM x WHERE g BETWEEN -250 AND 250 GROUP BY 1)
-SELECT CAST(bin AS INTEGER) AS bin, round(-250 + bin * (CAST(500 AS DOUBLE) / 30), 4) AS bin_start, n,
-       round(n / (sum(n) OVER () * (CAST(500 AS DOUBLE) / 30)), 8) AS density FROM h"""
+SELECT CAST(bin AS INTEGER) AS bin, round(-250 + bin * (CAST(500 AS DOUBLE) / 30), 6) + 0.0 AS bin_start, n,
+       round(n / (sum(n) OVER () * (CAST(500 AS DOUBLE) / 30)), 6) AS density FROM h"""
 
 ORACLES["kde"] = f"""WITH {wide([POP, *AGES])}, g AS ({groups_of('w')}),
 x AS (SELECT year, {ratio('working', 'senior')} AS v FROM g),
@@ -435,18 +435,19 @@ mass AS (SELECT year, bin, sum(m) AS m FROM (
 k AS (SELECT mass.year, i, -8 + i * (CAST(18 AS DOUBLE) / 511) AS x, m, bw, n,
              (-8 + i * (CAST(18 AS DOUBLE) / 511) - (-8 - 4 * bw + bin * ((18 + 8 * bw) / 511))) / bw AS d
       FROM mass JOIN b ON mass.year = b.year, range(0, 512) r(i))
-SELECT year, CAST(i AS INTEGER) AS i, round(x, 4) + 0.0 AS x, round(sum(m * exp(-0.5::DOUBLE * d * d) / (bw * sqrt(2 * pi()))) / max(n), 6) + 0.0 AS density
+SELECT year, CAST(i AS INTEGER) AS i, round(x, 6) + 0.0 AS x, round(sum(m * exp(-0.5::DOUBLE * d * d) / (bw * sqrt(2 * pi()))) / max(n), 6) + 0.0 AS density
 FROM k GROUP BY year, i, x"""
 
 # Back-test: seven weights, oldest first.
-SMOOTH = (0.05, 0.05, 0.1, 0.1, 0.15, 0.2, 0.35)
+SMOOTH = tuple(f"CAST({k} AS DOUBLE) / 21" for k in (1, 1, 2, 2, 3, 4, 8))
+STEADY = tuple(f"CAST({k} AS DOUBLE)" for k in (0, 0, 0, 0, 0, 0, 1))
 
 
-def scored(weights: tuple[float, ...], names: list[str]) -> str:
-    return "(" + " + ".join(f"CAST({w} AS DOUBLE) * {n}" for w, n in zip(weights, names)) + ")"
+def scored(weights: tuple[str, ...], names: list[str]) -> str:
+    return "(" + " + ".join(f"{w} * {n}" for w, n in zip(weights, names)) + ")"
 
 
-def backtest(source: str, name: str = "bt", weights: tuple[float, ...] = SMOOTH) -> str:
+def backtest(source: str, name: str = "bt", weights: tuple[str, ...] = SMOOTH) -> str:
     """CTE: each period from 8 on predicted from the seven periods before, all present."""
     joins = " ".join(
         f"JOIN {source} h{i} ON h{i}.state = a.state AND h{i}.place = a.place AND h{i}.metric = a.metric "
@@ -461,8 +462,8 @@ BT_AGES = f"{QUARTERS_AGES}, {backtest('f')}"
 BT_COMPONENTS = f"{QUARTERS_COMPONENTS}, {backtest('f')}"
 
 ORACLES["backtest_linear"] = f"""WITH {BT_COMPONENTS}
-SELECT period, state, place, metric, {rnd('pred', 4, 'pred')}, {rnd('actual', 4, 'actual')} FROM bt"""
-ORACLES["mae"] = f"WITH {BT_AGES} SELECT metric, {rnd('avg(abs(pred - actual))', 4, 'mae')} FROM bt GROUP BY metric"
+SELECT period, state, place, metric, {rnd('pred', 6, 'pred')}, {rnd('actual', 6, 'actual')} FROM bt"""
+ORACLES["mae"] = f"WITH {BT_AGES} SELECT metric, {rnd('avg(abs(pred - actual))', 6, 'mae')} FROM bt GROUP BY metric"
 
 
 def mape(source: str, by: str) -> str:
@@ -472,10 +473,10 @@ mp AS (SELECT {', '.join(f'er.{c.strip()}' for c in by.split(','))}, avg(CASE WH
        FROM er JOIN cu ON {' AND '.join(f'er.{c.strip()} = cu.{c.strip()}' for c in by.split(','))} GROUP BY {', '.join(f'er.{c.strip()}' for c in by.split(','))})"""
 
 
-ORACLES["trimmed_mape"] = f"WITH {BT_AGES}, {mape('bt', 'metric')} SELECT metric, {rnd('mape', 4, 'mape')} FROM mp"
+ORACLES["trimmed_mape"] = f"WITH {BT_AGES}, {mape('bt', 'metric')} SELECT metric, {rnd('mape', 6, 'mape')} FROM mp"
 ORACLES["regression_metrics"] = f"""WITH {BT_AGES}
-SELECT metric, {rnd('sqrt(avg((pred - actual) * (pred - actual)))', 4, 'rmse')},
-       {rnd('pow(corr(pred, actual), 2)', 4, 'r2')}, {rnd('avg(abs(pred - actual))', 4, 'mae')} FROM bt GROUP BY metric"""
+SELECT metric, {rnd('sqrt(avg((pred - actual) * (pred - actual)))', 6, 'rmse')},
+       {rnd('pow(corr(pred, actual), 2)', 6, 'r2')}, {rnd('avg(abs(pred - actual))', 6, 'mae')} FROM bt GROUP BY metric"""
 
 
 def huber(q: str) -> str:
@@ -489,11 +490,11 @@ ql AS (SELECT period, state, place, avg(abs(s)) AS q_loss, abs(avg(s)) AS m_loss
 
 
 ORACLES["pseudo_huber"] = f"""WITH {BT_AGES}, {huber('CAST(0.6 AS DOUBLE)')}
-SELECT period, state, place, {rnd('q_loss', 4, 'q_loss')}, {rnd('m_loss', 4, 'm_loss')} FROM ql"""
+SELECT period, state, place, {rnd('q_loss', 6, 'q_loss')}, {rnd('m_loss', 6, 'm_loss')} FROM ql"""
 ORACLES["ssim_loss"] = f"""WITH {BT_AGES}, {huber('CAST(0.6 AS DOUBLE)')}
-SELECT period, state, place, {rnd('s_loss', 4, 's_loss')} FROM ql"""
+SELECT period, state, place, {rnd('s_loss', 6, 's_loss')} FROM ql"""
 ORACLES["combined_loss"] = f"""WITH {BT_AGES}, {huber('CAST(0.4 AS DOUBLE)')}
-SELECT period, state, place, {rnd('q_loss + m_loss * s_loss', 4, 'loss')} FROM ql"""
+SELECT period, state, place, {rnd('q_loss + m_loss * s_loss', 6, 'loss')} FROM ql"""
 
 
 def qhat(source: str) -> str:
@@ -510,7 +511,7 @@ qh AS (SELECT target, alpha, n, clamped,
 ORACLES["conformal_qhat"] = f"""WITH {BT_AGES},
 sc AS (SELECT metric AS target, alpha, abs(pred - actual) AS score
        FROM bt, (VALUES (CAST(0.05 AS DOUBLE)), (0.1), (0.2), (0.45)) v(alpha)), {qhat('sc')}
-SELECT target, alpha, n, {rnd('qhat', 4, 'qhat')}, clamped FROM qh"""
+SELECT target, alpha, n, {rnd('qhat', 6, 'qhat')}, clamped FROM qh"""
 
 CQR = f"""{BT_COMPONENTS},
 qp AS (SELECT state, place, period, metric AS target, q, pred * (1 + CAST(0.4 AS DOUBLE) * (q - 0.5)) AS pred, actual AS y
@@ -519,16 +520,16 @@ sc AS (SELECT lo.target, lo.q AS alpha, greatest(lo.pred - lo.y, hi.y - hi.pred)
   FROM qp lo JOIN qp hi ON lo.state = hi.state AND lo.place = hi.place AND lo.period = hi.period
        AND lo.target = hi.target AND round(1 - lo.q, 6) = hi.q WHERE lo.q < 0.5),
 {qhat('sc')}"""
-ORACLES["cqr_calibrate"] = f"WITH {CQR} SELECT target, alpha, n, {rnd('qhat', 4, 'qhat')}, clamped FROM qh"
+ORACLES["cqr_calibrate"] = f"WITH {CQR} SELECT target, alpha, n, {rnd('qhat', 6, 'qhat')}, clamped FROM qh"
 ORACLES["cqr_adjust"] = f"""WITH {CQR},
 mv AS (SELECT qp.target AS metric, qp.q, qp.period, CASE WHEN qp.q < 0.5 THEN pred - qhat
     WHEN qp.q > 0.5 THEN pred + qhat ELSE pred END AS v
   FROM qp LEFT JOIN qh ON qp.target = qh.target AND round(least(qp.q, 1 - qp.q), 6) = qh.alpha)
-SELECT metric, q, period, count(*) AS n, round(sum(CASE WHEN metric = 'dn' THEN v ELSE greatest(v, 0) END), 2) + 0.0 AS total
+SELECT metric, q, period, count(*) AS n, round(sum(CASE WHEN metric = 'dn' THEN v ELSE greatest(v, 0) END), 6) + 0.0 AS total
 FROM mv GROUP BY metric, q, period"""
 
 
-def projection(source: str, steps: int, name: str = "pj", weights: tuple[float, ...] = SMOOTH) -> str:
+def projection(source: str, steps: int, name: str = "pj", weights: tuple[str, ...] = SMOOTH) -> str:
     """CTE: recursive projection after period 27, a 7-value window carried along."""
     hist = ", ".join(f"max(CASE WHEN period = {21 + i} THEN value END) AS h{i}" for i in range(7))
     nxt = f"{scored(weights, [f'h{i}' for i in range(7)])} * (1 + CAST(0.1 AS DOUBLE) * (q - 0.5))"
@@ -548,7 +549,7 @@ SELECT state, place, metric, q, period, {rnd('h6')} FROM pj WHERE period > 27"""
 EVAL_CASE = "CASE metric " + " ".join(f"WHEN '{a}' THEN {i + 1}" for i, a in enumerate(AGES)) + " ELSE 19 END"
 EVAL_LABEL = "CASE metric " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(AGES, LABELS)) + " ELSE 'Total' END"
 ORACLES["evaluation_table"] = f"""WITH {QUARTERS_AGES}, {backtest('f', 'b1')},
-{backtest('f', 'b2', (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0))},
+{backtest('f', 'b2', STEADY)},
 m0 AS (SELECT 'smooth' AS model, * FROM b1 UNION ALL SELECT 'steady', * FROM b2),
 al AS (SELECT model, period, state, place, metric, pred, actual FROM m0 UNION ALL
        SELECT model, period, state, place, 'Total', sum(pred), sum(actual) FROM m0 GROUP BY model, period, state, place),
@@ -566,7 +567,7 @@ SELECT CAST(sort AS INTEGER) AS sort, label, round_even(mae_smooth, 2) AS mae_sm
 
 _pivot = ", ".join(f"max(CASE WHEN metric = '{m}' THEN h6 END) AS {m}" for m in AGES)
 REPORTS = f"""{QUARTERS_AGES}, {projection('f', 4, 'p1')},
-{projection('f', 4, 'p2', (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0))},
+{projection('f', 4, 'p2', STEADY)},
 pw AS (SELECT model, q, period AS year, state, place, {_pivot}
   FROM (SELECT 'smooth' AS model, * FROM p1 UNION ALL SELECT 'steady', * FROM p2) WHERE period > 27
   GROUP BY model, q, period, state, place),
@@ -575,10 +576,10 @@ pt AS (SELECT * FROM pw UNION ALL SELECT model, q, year, '0', '0', {', '.join(f'
 rs AS (SELECT model, CASE q WHEN 0.4 THEN 'Lower' WHEN 0.5 THEN 'Middle' ELSE 'Upper' END AS quantile, year, state, place,
   {', '.join(f"{' + '.join(cols)} AS {g}" for g, cols in GROUPS.items())}, {' + '.join(AGES)} AS total FROM pt)"""
 ORACLES["projection_report"] = f"""WITH RECURSIVE {REPORTS}
-SELECT model, quantile, year, state, place, {rnd(ratio('working', 'senior'), 4, 'working_senior_ratio')},
+SELECT model, quantile, year, state, place, {rnd(ratio('working', 'senior'), 6, 'working_senior_ratio')},
        CASE quantile WHEN 'Upper' THEN 1 WHEN 'Middle' THEN 2 ELSE 3 END AS quantile_order FROM rs"""
 _cmp = ", ".join(
-    f"round(max(CASE WHEN model = '{m}' AND quantile = '{q}' THEN total END), 4) + 0.0 AS total_{q.lower()}_{m}"
+    f"round(max(CASE WHEN model = '{m}' AND quantile = '{q}' THEN total END), 6) + 0.0 AS total_{q.lower()}_{m}"
     for m in ("smooth", "steady") for q in ("Lower", "Middle", "Upper"))
 ORACLES["compare_projections"] = f"""WITH RECURSIVE {REPORTS}
 SELECT year, state, place, {_cmp} FROM rs GROUP BY year, state, place"""
@@ -612,12 +613,12 @@ d AS (SELECT year, state, place, {', '.join(f'{_prepared(c)} AS {c}' for c in _k
       {', '.join(f'{x} AS {n}' for n, x in _sums.items())} FROM w),
 e AS (SELECT *, coalesce({POP} - lag({POP}) OVER (PARTITION BY state, place ORDER BY year) - {MIG} - {BIRTHS}, 0) AS dn FROM d),
 e1 AS (SELECT * FROM e WHERE year <> 1995), {melt('e1', 'x')}
-SELECT year, metric, count(*) AS n, round(sum(value), 2) + 0.0 AS total FROM x GROUP BY year, metric"""
+SELECT year, metric, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM x GROUP BY year, metric"""
 
 ORACLES["collect_stage"] = f"""WITH {OLD}, {PLACES},
 cells AS (SELECT year, state, place, new_metric AS metric, {PCT} AS value FROM old
           UNION ALL SELECT year, state, place, metric, value FROM new),
 named AS (SELECT CASE WHEN h.place IS NULL THEN 'training' ELSE 'held' END AS panel, year, metric, value,
                  coalesce(h.s_name, cells.place) AS place FROM cells LEFT JOIN held h ON cells.place = h.place)
-SELECT panel, year, metric, count(*) AS n, round(sum(value), 2) AS total, max(place) AS last_place
+SELECT panel, year, metric, count(*) AS n, round(sum(value), 6) + 0.0 AS total, max(place) AS last_place
 FROM named GROUP BY panel, year, metric"""

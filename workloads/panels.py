@@ -43,62 +43,48 @@ def quarter_index(ts: str) -> Column:
     return ((F.year(ts) - FIRST_YEAR) * 4 + F.quarter(ts) - 1).cast("int")
 
 
-def _count(cond: Column | None) -> Column:
-    return (F.count(F.lit(1)) if cond is None else F.count_if(cond)).cast("double")
+SEX = {1: None, 3: "l_linestatus = 'F'", 5: "l_linestatus = 'O'"}
+MOVED = {1: None, 2: "l_returnflag = 'A'", 3: "l_returnflag = 'R'"}
+TAX = {1: None, 2: "l_tax < 0.02D", 3: "l_tax BETWEEN 0.02D AND 0.03D", 4: "l_tax BETWEEN 0.04D AND 0.05D",
+       5: "l_tax >= 0.06D"}
+MOTHER = "l_discount >= 0.08D"
+SHARE = {3: "l_returnflag = 'A'", 4: "l_returnflag = 'R'", 5: "l_returnflag = 'N'"}
 
 
-def _both(a: Column | None, b: Column | None) -> Column | None:
-    return b if a is None else a if b is None else a & b
+def _count(*conditions: str | None) -> str:
+    used = " AND ".join(c for c in conditions if c)
+    return f"CAST(count_if({used}) AS DOUBLE)" if used else "CAST(count(1) AS DOUBLE)"
 
 
-def _measure(name: str) -> tuple[str, list[Column]]:
-    """How a code is made: a kind, and the aggregates it needs."""
+def _measure(name: str) -> str:
+    """Aggregate expression of a code."""
     tbl, col, row = name[:5], int(name[7:9]), int(name[10:13])
-    female, male = F.col("l_linestatus") == "O", F.col("l_linestatus") == "F"
     if tbl == "S0101":
-        sex = {1: None, 3: male, 5: female}[col]
-        age = None if row == 1 else (F.floor((F.col("l_quantity") - 1) * 18 / 50) + 2) == row
-        return "count", [_count(_both(sex, age))]
+        return _count(SEX[col], None if row == 1 else f"floor((l_quantity - 1) * 18 / 50) + 2 = {row}")
     if tbl == "S0701":
-        tax = {1: None, 2: F.col("l_tax") < 0.02, 3: F.col("l_tax").between(0.02, 0.03),
-               4: F.col("l_tax").between(0.04, 0.05), 5: F.col("l_tax") >= 0.06}[col]
         if row in (11, 48):
-            price = F.col("l_extendedprice") if row == 11 else F.col("l_discount")
-            return "count", [F.max(price if tax is None else F.when(tax, price))]
-        moved = {1: None, 2: F.col("l_returnflag") == "A", 3: F.col("l_returnflag") == "R"}[row]
-        return ("count", [_count(moved)]) if col == 1 else ("percent", [_count(_both(moved, tax)), _count(moved)])
-    mother = F.col("l_discount") >= 0.08
+            value = "l_extendedprice" if row == 11 else "l_discount"
+            return f"max({value})" if col == 1 else f"max(CASE WHEN {TAX[col]} THEN {value} END)"
+        return _count(MOVED[row]) if col == 1 else _percent(_count(MOVED[row], TAX[col]), _count(MOVED[row]))
     if col == 1:
-        women = {1: F.col("l_quantity").between(15, 45), 2: F.col("l_quantity").between(15, 45) & female}
-        if row in women:
-            return "count", [_count(women[row])]
-        return "count", [F.max(F.col("l_tax")) if row == 31 else F.sum(F.lit(0.0))]
-    group = None if row == 1 else female
-    if col == 2:
-        return "count", [_count(_both(mother, group))]
-    share = {3: F.col("l_returnflag") == "A", 4: F.col("l_returnflag") == "R", 5: F.col("l_returnflag") == "N"}[col]
-    return "percent", [_count(_both(_both(mother, group), share)), _count(_both(mother, group))]
+        women = "l_quantity BETWEEN 15 AND 45"
+        return {1: _count(women), 2: _count(women, SEX[5]), 31: "max(l_tax)", 32: "sum(0D)"}[row]
+    group = (MOTHER, None if row == 1 else SEX[5])
+    return _count(*group) if col == 2 else _percent(_count(*group, SHARE[col]), _count(*group))
+
+
+def _percent(part: str, base: str) -> str:
+    return f"CASE WHEN {base} = 0 THEN 0D ELSE {part} * 100 / {base} END"
 
 
 def census(spark: SparkSession, sf: str, codes: Sequence[str], t: str = "year") -> DataFrame:
     """Wide panel ``(t, state, place, codes...)`` with ``t`` in years or (``period``) quarters."""
     when = (F.year("l_shipdate") if t == "year" else quarter_index("l_shipdate")).cast("int")
-    kinds, aggs = {}, []
-    for c in codes:
-        kind, parts = _measure(c)
-        kinds[c] = kind
-        aggs += [p.alias(c if kind == "count" else f"{c}.{i}") for i, p in enumerate(parts)]
-    cells = table(spark, sf, "lineitem").groupBy("l_suppkey", when.alias(t)).agg(*aggs)
+    cells = table(spark, sf, "lineitem").groupBy("l_suppkey", when.alias(t)).agg(
+        *[F.expr(f"{_measure(c)} AS {c}") for c in codes])
     places = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-
-    def value(c: str) -> Column:
-        if kinds[c] == "count":
-            return F.col(c)
-        part, base = F.col(f"`{c}.0`"), F.col(f"`{c}.1`")
-        return F.when(base == 0, F.lit(0.0)).otherwise(F.try_divide(part * 100, base)).alias(c)
-
     return cells.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        t, padded("s_nationkey", 2).alias("state"), padded("l_suppkey", 10).alias("place"), *[value(c) for c in codes])
+        t, padded("s_nationkey", 2).alias("state"), padded("l_suppkey", 10).alias("place"), *codes)
 
 
 def age_panel(spark: SparkSession, sf: str, t: str = "year") -> DataFrame:
@@ -119,15 +105,15 @@ def old_layout(panel: DataFrame) -> DataFrame:
     cols = []
     for c in panel.columns:
         if not c.startswith("S0101"):
-            cols.append(F.col(c))
+            cols.append(c)
             continue
         new = f"S0101_{moved[c[6:9]]}_{c[10:]}"
         if c.endswith("_001E"):
-            cols.append(F.col(c).alias(new))
+            cols.append(f"{c} AS {new}")
         else:
-            pct = F.round(F.try_divide(F.col(c) * 100, F.col(c[:10] + "001E")), 1)
-            cols.append(F.when(F.col(c) == 0, F.lit(MISSING)).otherwise(pct).alias(new))
-    return panel.select(*cols)
+            pct = f"round(try_divide({c} * 100, {c[:10]}001E), 1)"
+            cols.append(f"CASE WHEN {c} = 0 THEN {MISSING!r}D ELSE {pct} END AS {new}")
+    return panel.selectExpr(*cols)
 
 
 def releases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +124,7 @@ def releases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def orders_by_customer(spark: SparkSession, sf: str) -> DataFrame:
     """Wide panel of customers by year; a priority a customer did not use that year is null."""
-    used = [F.sum(F.when(F.substring("o_orderpriority", 1, 1) == str(i + 1), F.lit(1.0))).alias(m)
+    used = [F.expr(f"sum(CASE WHEN o_orderpriority LIKE '{i + 1}%' THEN 1D END) AS {m}")
             for i, m in enumerate(PRIORITY_BINS)]
     cells = table(spark, sf, "orders").groupBy("o_custkey", F.year("o_orderdate").cast("int").alias("year")).agg(*used)
     places = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -155,7 +141,7 @@ def segment_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Wide panel of market segments by nation and year, from the customer panel."""
     return (orders_by_customer(spark, sf)
             .groupBy("year", "state", F.col("c_mktsegment").alias("place"))
-            .agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in PRIORITY_BINS]))
+            .agg(*[F.expr(f"coalesce(sum({m}), 0D) AS {m}") for m in PRIORITY_BINS]))
 
 
 def supplier_places(spark: SparkSession, sf: str) -> DataFrame:

@@ -32,7 +32,7 @@ QUARTERLY = ("period", *KEYS)
 COMPONENTS = (MIGRATION, WOMEN, BIRTHS, RESIDUAL)
 LAST_QUARTER = 27
 BACKTEST_PERIODS = range(8, 28)
-SMOOTH = project.LinearScorer((0.05, 0.05, 0.1, 0.1, 0.15, 0.2, 0.35), spread=0.1)
+SMOOTH = project.LinearScorer([k / 21 for k in (1, 1, 2, 2, 3, 4, 8)], spread=0.1)
 STEADY = project.LinearScorer((0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), spread=0.1)
 PATHS = {"Lower": 0.4, "Middle": 0.5, "Upper": 0.6}
 HOLDOUT_EXCLUDED = ("0000000001", "0000000005")
@@ -44,7 +44,7 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def r(x: Column | str, digits: int = 4) -> Column:
+def r(x: Column | str, digits: int = 6) -> Column:
     """Round for comparison; adding 0 turns -0.0 into 0.0."""
     return F.round(x, digits) + F.lit(0.0)
 
@@ -105,7 +105,7 @@ def typed_reread(spark, sf):
     orders = read_panel(spark, f"{sf}/orders.parquet", schema, fmt="parquet")
     money = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_custkey").alias("last_customer"),
-                                               r(money, 2).alias("total"))
+                                               r(money).alias("total"))
 
 
 @query
@@ -115,7 +115,7 @@ def vintage_union(spark, sf):
     cells = shape.to_long(stacked, ("layout", *YEARLY))
     return cells.groupBy("layout", "year", "metric").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_null"),
-        r(F.sum(F.when(F.col("value") > -1e8, F.col("value"))), 2).alias("total"))
+        r(F.sum(F.when(F.col("value") > -1e8, F.col("value")))).alias("total"))
 
 
 @query
@@ -131,7 +131,7 @@ def align_vintage_long(spark, sf):
     cells = shape.to_long(old, YEARLY).unionByName(shape.to_long(new, YEARLY))
     aligned = shape.align_vintage_long(cells, VINTAGE_RENAMES, before=P.LAYOUT_CHANGE)
     return aligned.groupBy("year", "metric").agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum(F.when(F.col("value") > -1e8, F.col("value"))), 2).alias("total"))
+        F.count(F.lit(1)).alias("n"), r(F.sum(F.when(F.col("value") > -1e8, F.col("value")))).alias("total"))
 
 
 @query
@@ -145,9 +145,9 @@ def metric_parse(spark, sf):
 def drop_families(spark, sf):
     kept = shape.canonical_order(shape.drop_metrics(P.census(spark, sf, P.ALL_CODES), REDUNDANT_PATTERN,
                                                     *NON_COUNT_PATTERNS))
-    order = F.create_map(*[F.lit(x) for i, c in enumerate(measures(kept)) for x in (c, i + 1)])
-    return shape.to_long(kept, YEARLY).groupBy("metric").agg(r(F.sum("value"), 2).alias("total")).select(
-        "metric", F.element_at(order, F.col("metric")).alias("position"), "total")
+    order = "CASE metric " + " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate(measures(kept))) + " END"
+    return shape.to_long(kept, YEARLY).groupBy("metric").agg(r(F.sum("value")).alias("total")).selectExpr(
+        "metric", f"{order} AS position", "total")
 
 
 @query
@@ -192,7 +192,7 @@ def quantile_dim(spark, sf):
     upper = shape.take_quantile(widened, 0.6).withColumn("path", F.lit("upper"))
     every = widened.drop("q").withColumn("path", F.lit("all"))
     return upper.unionByName(every).groupBy("path", "year", "metric").agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum("value"), 2).alias("total"))
+        F.count(F.lit(1)).alias("n"), r(F.sum("value")).alias("total"))
 
 
 @query
@@ -213,7 +213,7 @@ def fill_missing(spark, sf):
 def clean_sentinel(spark, sf):
     old, _ = P.releases(spark, sf)
     return shape.to_long(clean.clean_sentinel(old), YEARLY).groupBy("year", "metric").agg(
-        r(F.sum("value"), 2).alias("total"), F.min("value").alias("lowest"),
+        r(F.sum("value")).alias("total"), F.min("value").alias("lowest"),
         F.count_if(F.col("value") == 0).alias("n_zero"))
 
 
@@ -375,16 +375,16 @@ def window_samples(spark, sf):
         return F.aggregate(F.flatten(rows), F.lit(0.0), lambda acc, x: acc + x)
 
     return samples.select(
-        *QUARTERLY, F.size("x").alias("steps"), r(total(F.col("x")), 2).alias("x_total"),
+        *QUARTERLY, F.size("x").alias("steps"), r(total(F.col("x"))).alias("x_total"),
         r(F.col("x")[0][0]).alias("x_first"), r(F.col("x")[6][21]).alias("x_last"),
-        r(total(F.array("y")), 2).alias("y_total"))
+        r(total(F.array("y"))).alias("y_total"))
 
 
 @query
 def target_features(spark, sf):
     cells = features.panel_features(quarterly_series(spark, sf), t="period")
     table = features.target_features(cells, code("S0101", 1, 10), MODEL_METRICS, t="period")
-    return table.select(*QUARTERLY, *[r(c).alias(c) for c in table.columns if c not in QUARTERLY])
+    return table.selectExpr(*QUARTERLY, *[f"round({c}, 6) + 0D AS {c}" for c in table.columns if c not in QUARTERLY])
 
 
 # Scaling
@@ -514,14 +514,14 @@ def customer_growth(spark, sf):
 @query
 def histogram_density(spark, sf):
     bars = aggregate.histogram_density(customer_growth(spark, sf), "growth_rate", -250.0, 250.0)
-    return bars.select("bin", r("bin_start").alias("bin_start"), "n", r("density", 8).alias("density"))
+    return bars.select("bin", r("bin_start").alias("bin_start"), "n", r("density").alias("density"))
 
 
 @query
 def kde(spark, sf):
     shaped = derive.add_ratios(derive.add_age_groups(P.age_panel(spark, sf)))
     curve = aggregate.kde(shaped, "working_senior_ratio", ["year"], -8.0, 10.0)
-    return curve.select("year", "i", r("x").alias("x"), r("density", 6).alias("density"))
+    return curve.select("year", "i", r("x").alias("x"), r("density").alias("density"))
 
 
 # Accuracy and calibration
@@ -588,7 +588,7 @@ def cqr_adjust(spark, sf):
     moved = conformal.cqr_adjust(preds, qhat).withColumnsRenamed({"target": "metric", "pred": "value"})
     clipped = clean.clip_floor(moved, 0.0)
     return clipped.groupBy("metric", "q", "period").agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum("value"), 2).alias("total"))
+        F.count(F.lit(1)).alias("n"), r(F.sum("value")).alias("total"))
 
 
 # Projection and reports
@@ -631,7 +631,7 @@ def projected_reports(spark, sf):
     cells = quarterly_series(spark, sf, AGE_METRICS).withColumnRenamed("period", "year")
     out = {}
     for model, scorer in (("smooth", SMOOTH), ("steady", STEADY)):
-        paths = project.project_linear(cells, scorer, LAST_QUARTER, 4, list(PATHS.values()))
+        paths = cut_lineage(project.project_linear(cells, scorer, LAST_QUARTER, 4, list(PATHS.values())))
         for quantile, level in PATHS.items():
             wide = shape.to_wide(shape.take_quantile(paths, level), AGE_METRICS, YEARLY)
             out[model, quantile] = report.report_series(wide)
@@ -672,7 +672,7 @@ def segment_report(spark, sf):
 def prepare_panel(spark, sf):
     prepared = run_prepare(P.census(spark, sf, P.ALL_CODES), first=P.FIRST_YEAR)
     return shape.to_long(prepared, YEARLY).groupBy("year", "metric").agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum("value"), 2).alias("total"))
+        F.count(F.lit(1)).alias("n"), r(F.sum("value")).alias("total"))
 
 
 @query
@@ -685,7 +685,7 @@ def collect_stage(spark, sf):
     training, held = collect_panels(by_year, listed, names, layout_change=P.LAYOUT_CHANGE)
     both = shape.stack_releases([shape.tag(training, panel="training"), shape.tag(held, panel="held")])
     return shape.to_long(both, ("panel", *YEARLY)).groupBy("panel", "year", "metric").agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum("value"), 2).alias("total"), F.max("place").alias("last_place"))
+        F.count(F.lit(1)).alias("n"), r(F.sum("value")).alias("total"), F.max("place").alias("last_place"))
 
 
 # Forests (no SQL counterpart)
