@@ -41,15 +41,13 @@ def _values_at(df: DataFrame, by: Sequence[str], x: str, positions: Sequence[Pos
         used = used.where(F.col(weight) > 0)
     values = used.groupBy(*by, F.col(x).cast("double").alias("_x")).agg(w.cast("double").alias("_w"))
     values = values.persist(StorageLevel.MEMORY_AND_DISK)
-    cuts = F.percentile_approx("_x", [i / BUCKETS for i in range(1, BUCKETS)], SKETCH_ACCURACY)
-    stats = values.groupBy(*by).agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("_d"), cuts.alias("_cuts"))
-    local = fetch_small(stats, MAX_LOCAL_GROUPS)
-    if local is None:
-        return _in_buckets(values, stats, by, positions, right_closed)
-    if local.num_rows == 0 or pc.max(local["_d"]).as_py() <= small_group:
+    sizes = fetch_small(values.groupBy(*by).agg(F.count(F.lit(1)).alias("_d")), MAX_LOCAL_GROUPS)
+    if sizes is not None and (sizes.num_rows == 0 or pc.max(sizes["_d"]).as_py() <= small_group):
         found = _in_windows(values, by, positions, right_closed)
     else:
-        found = _in_buckets(values, F.broadcast(local_table(spark, local, stats)), by, positions, right_closed)
+        found = _in_buckets(values, by, positions, right_closed, few_groups=sizes is not None)
+    if sizes is None:
+        return found
     result = local_table(spark, found.toArrow(), found)
     values.unpersist()
     return result
@@ -70,9 +68,13 @@ def _in_windows(values: DataFrame, by: list[str], positions: Sequence[Position],
     return at.select(*by, F.posexplode("_v").alias("i", "v"), "n")
 
 
-def _in_buckets(values: DataFrame, groups: DataFrame, by: list[str], positions: Sequence[Position],
-                right_closed: bool) -> DataFrame:
+def _in_buckets(values: DataFrame, by: list[str], positions: Sequence[Position], right_closed: bool,
+                few_groups: bool) -> DataFrame:
     """Positions of groups of any size: sort only the buckets that hold one."""
+    cuts = F.percentile_approx("_x", [i / BUCKETS for i in range(1, BUCKETS)], SKETCH_ACCURACY)
+    groups = values.groupBy(*by).agg(F.sum("_w").alias("n"), cuts.alias("_cuts"))
+    if few_groups:
+        groups = checked_broadcast(groups, MAX_LOCAL_GROUPS)
     bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
     placed = values.join(groups.select(*by, "_cuts"), by).select(*by, "_x", "_w", bucket.alias("_b"))
 
