@@ -16,14 +16,15 @@ def build_holdout(lookups: Sequence[DataFrame], names: DataFrame, exclude: Seque
                   code: str = "FIPS", name: str = "Name") -> DataFrame:
     """Lookup rows whose name is wanted, lookups stacked, known-bad codes removed."""
     stacked = reduce(DataFrame.unionByName, [df.select(code, name) for df in lookups])
-    kept = stacked.join(checked_broadcast(names.select(name).distinct()), name, "left_semi")
+    kept = stacked.join(checked_broadcast(names.select(name).distinct()), name, "left_semi").select(code, name)
     return kept.where(~F.col(code).isin(*exclude)) if exclude else kept
 
 
 def split_by_list(df: DataFrame, entities: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Rows of the listed entities and all other rows."""
     listed = checked_broadcast(entities.select(*keys).distinct())
-    return df.join(listed, list(keys), "left_semi"), df.join(listed, list(keys), "left_anti")
+    held, rest = (df.join(listed, list(keys), how) for how in ("left_semi", "left_anti"))
+    return held.select(*df.columns), rest.select(*df.columns)
 
 
 def decode(df: DataFrame, lookup: DataFrame, code: str, name: str, column: str) -> DataFrame:
@@ -64,7 +65,7 @@ def require_history(df: DataFrame, n: int, at_least: bool = False, present_at: i
     kept = counts.where(F.col("_n") >= n if at_least else F.col("_n") == n)
     if present_at is not None:
         kept = kept.where(F.col("_present") == 1)
-    return df.join(kept.select(*keys), list(keys), "left_semi")
+    return df.join(kept.select(*keys), list(keys), "left_semi").select(*df.columns)
 
 
 def compare_projections(series: Mapping[str, DataFrame], value: str,

@@ -562,8 +562,8 @@ tb AS (SELECT {EVAL_CASE} AS sort, {EVAL_LABEL} AS label,
 fu AS (SELECT * FROM tb WHERE sort < 19 UNION ALL
    SELECT 19, 'Mean', avg(mae_smooth), avg(mae_steady), avg(mape_smooth), avg(mape_steady) FROM tb WHERE sort < 19 UNION ALL
    SELECT 20, label, mae_smooth, mae_steady, mape_smooth, mape_steady FROM tb WHERE sort = 19)
-SELECT CAST(sort AS INTEGER) AS sort, label, round_even(mae_smooth, 2) AS mae_smooth, round_even(mae_steady, 2) AS mae_steady,
-       round_even(mape_smooth, 2) AS mape_smooth, round_even(mape_steady, 2) AS mape_steady FROM fu"""
+SELECT CAST(sort AS INTEGER) AS sort, label, round_even(mae_smooth, 6) AS mae_smooth, round_even(mae_steady, 6) AS mae_steady,
+       round_even(mape_smooth, 6) AS mape_smooth, round_even(mape_steady, 6) AS mape_steady FROM fu"""
 
 _pivot = ", ".join(f"max(CASE WHEN metric = '{m}' THEN h6 END) AS {m}" for m in AGES)
 REPORTS = f"""{QUARTERS_AGES}, {projection('f', 4, 'p1')},

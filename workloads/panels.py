@@ -155,3 +155,10 @@ def supplier_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Cluster assignment: the nation of every supplier in credit; the others are unclustered."""
     return (supplier_places(spark, sf).where("s_acctbal > 0")
             .select("state", "place", (F.col("s_nationkey") + 1).cast("int").alias("cluster")))
+
+
+def region_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster assignment: the region of every supplier."""
+    regions = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    return (supplier_places(spark, sf).join(regions, F.col("s_nationkey") == F.col("n_nationkey"))
+            .select("state", "place", (F.col("n_regionkey") + 1).cast("int").alias("cluster")))

@@ -623,7 +623,7 @@ def backtest_linear(spark, sf):
 def evaluation_table(spark, sf):
     models = {name: backtested(spark, sf, scorer).withColumnRenamed("period", "year")
               for name, scorer in (("smooth", SMOOTH), ("steady", STEADY))}
-    return evaluate.evaluation_table(models)
+    return evaluate.evaluation_table(models, digits=6)
 
 
 def projected_reports(spark, sf):
@@ -693,8 +693,7 @@ def collect_stage(spark, sf):
 
 def forest_split(spark, sf):
     panel = quarterly_model_panel(spark, sf).select(*QUARTERLY, *COMPONENTS)
-    labelled = split.cluster_split(panel, P.supplier_clusters(spark, sf))
-    return cut_lineage(labelled)
+    return cut_lineage(split.cluster_split(panel, P.region_clusters(spark, sf)))
 
 
 @query
