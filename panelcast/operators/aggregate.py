@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.codes import AGE_METRICS, KEYS, TIME, TOTAL_KEY, measures
 from panelcast.operators.quantiles import exact_quantiles
 from panelcast.operators.shape import to_long
-from panelcast.operators.sizing import checked_broadcast
+from panelcast.operators.sizing import fetch_small, local_table
+
+# Groups whose curves are held by the driver: at most this many times ``points`` rows.
+MAX_LOCAL_GROUPS = 500
 
 
 def with_totals(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = KEYS,
@@ -72,7 +76,10 @@ def kde(df: DataFrame, x: str, by: Sequence[str], lo: float, hi: float, points:
     """
     by = list(by)
     used = df.where(F.col(x).between(lo, hi)).select(*by, F.col(x).cast("double").alias("_x"))
-    bw = checked_broadcast(bandwidth(used, "_x", by))
+    used = used.persist(StorageLevel.MEMORY_AND_DISK)
+    widths = bandwidth(used, "_x", by)
+    local = fetch_small(widths, MAX_LOCAL_GROUPS)
+    bw = widths if local is None else F.broadcast(local_table(df.sparkSession, local, widths))
     start = F.lit(lo) - 4 * F.col("bw")
     step = (F.lit(hi - lo) + 8 * F.col("bw")) / (points - 1)
     pos = (F.col("_x") - start) / step
@@ -85,5 +92,10 @@ def kde(df: DataFrame, x: str, by: Sequence[str], lo: float, hi: float, points:
     at = F.lit(lo) + F.col("i") * F.lit((hi - lo) / (points - 1))
     u = (F.col("x") - (start + F.col("_bin") * step)) / F.col("bw")
     kernel = F.exp(-0.5 * u * u) / (F.col("bw") * F.sqrt(2 * F.pi()))
-    return (masses.join(bw, by).select("*", grid).withColumn("x", at)
-            .groupBy(*by, "i", "x").agg((F.sum(F.col("_mass") * kernel) / F.max("n")).alias("density")))
+    curve = (masses.join(bw, by).select("*", grid).withColumn("x", at)
+             .groupBy(*by, "i", "x").agg((F.sum(F.col("_mass") * kernel) / F.max("n")).alias("density")))
+    if local is None:
+        return curve
+    result = local_table(df.sparkSession, curve.toArrow(), curve)
+    used.unpersist()
+    return result

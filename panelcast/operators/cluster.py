@@ -11,16 +11,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.codes import KEYS, TIME, measures
 from panelcast.operators.features import row_sql
-from panelcast.operators.sizing import cut_lineage
+from panelcast.operators.sizing import cut_lineage, spread
 
 # Cells (centres x steps x measures) that may travel to every task and back to the driver.
-MAX_CENTRE_CELLS = 5_000_000
+MAX_CENTRE_CELLS = 20_000_000
+# Cells worked on at a time inside a task.
+CHUNK_CELLS = 4_000_000
 
 
 def entity_series(df: DataFrame, n: int, cols: Sequence[str] | None = None, keys: Sequence[str] = KEYS,
@@ -35,20 +38,22 @@ def entity_series(df: DataFrame, n: int, cols: Sequence[str] | None = None, keys
 def soft_dtw_kernel(gamma: float):
     """``(values, alignment)`` functions of a batch of series (n, T, m) against one centre (S, m)."""
 
-    def costs(x, centre):
-        d = (x ** 2).sum(-1)[:, :, None] + (centre ** 2).sum(-1)[None, None, :] - 2 * x @ centre.T
-        return np.maximum(d, 0.0)
+    def diagonals(steps, width):
+        """Cells (i, j) of each anti-diagonal: independent of one another, so done together."""
+        for total in range(2, steps + width + 1):
+            i = np.arange(max(1, total - width), min(steps, total - 1) + 1)
+            yield i, total - i
 
     def table(x, centre):
-        d = costs(x, centre)
+        d = (x ** 2).sum(-1)[:, :, None] + (centre ** 2).sum(-1)[None, None, :] - 2 * x @ centre.T
+        d = np.maximum(d, 0.0)
         n, steps, width = d.shape
         r = np.full((n, steps + 1, width + 1), np.inf)
         r[:, 0, 0] = 0.0
-        for i in range(1, steps + 1):
-            for j in range(1, width + 1):
-                before = np.stack([r[:, i - 1, j - 1], r[:, i - 1, j], r[:, i, j - 1]])
-                low = before.min(0)
-                r[:, i, j] = d[:, i - 1, j - 1] + low - gamma * np.log(np.exp(-(before - low) / gamma).sum(0))
+        for i, j in diagonals(steps, width):
+            before = np.stack([r[:, i - 1, j - 1], r[:, i - 1, j], r[:, i, j - 1]])
+            low = before.min(0)
+            r[:, i, j] = d[:, i - 1, j - 1] + low - gamma * np.log(np.exp(-(before - low) / gamma).sum(0))
         return r
 
     def values(x, centre):
@@ -60,14 +65,13 @@ def soft_dtw_kernel(gamma: float):
         n, steps, width = r.shape[0], r.shape[1] - 1, r.shape[2] - 1
         e = np.zeros((n, steps + 1, width + 1))
         e[:, steps, width] = 1.0
-        for i in range(steps, 0, -1):
-            for j in range(width, 0, -1):
-                before = np.stack([r[:, i - 1, j - 1], r[:, i - 1, j], r[:, i, j - 1]])
-                share = np.exp(-(before - before.min(0)) / gamma)
-                share = e[:, i, j] * share / share.sum(0)
-                e[:, i - 1, j - 1] += share[0]
-                e[:, i - 1, j] += share[1]
-                e[:, i, j - 1] += share[2]
+        for i, j in reversed(list(diagonals(steps, width))):
+            before = np.stack([r[:, i - 1, j - 1], r[:, i - 1, j], r[:, i, j - 1]])
+            share = np.exp(-(before - before.min(0)) / gamma)
+            share = e[:, i, j] * share / share.sum(0)
+            e[:, i - 1, j - 1] += share[0]
+            e[:, i - 1, j] += share[1]
+            e[:, i, j - 1] += share[2]
         return e[:, 1:, 1:]
 
     return values, alignment
@@ -78,84 +82,102 @@ def _check_centres(centres: np.ndarray) -> None:
         raise ValueError(f"{centres.shape[0]} centres of {centres.shape[1:]} exceed {MAX_CENTRE_CELLS} cells")
 
 
-def _self_contained_matrix():
-    # Nested, so that it travels with the task and executors need no copy of this package.
-    def to_matrix(batch):
-        return np.array([[list(step) for step in s] for s in batch], dtype=float)
+def _on_series(df: DataFrame, centres: np.ndarray, keys: Sequence[str], schema: T.StructType | str, work) -> DataFrame:
+    """Run ``work(keys of a chunk, series (n, T, m), centres)`` over Arrow batches; it yields record batches.
+
+    Centres are broadcast once, after a check of their size.
+    """
+    _check_centres(centres)
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+    keys, chunk_cells = list(keys), CHUNK_CELLS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = shared.value
+        m = centres.shape[2]
+
+        def chunks():
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.asarray(batch.column("series").flatten().flatten()).reshape(batch.num_rows, -1, m)
+                size = max(1, chunk_cells // (x.shape[1] * (m + 4 * centres.shape[1])))
+                for lo in range(0, len(x), size):
+                    yield [batch.column(k).slice(lo, size) for k in keys], x[lo:lo + size]
 
-    return to_matrix
+        yield from work(chunks(), centres)
+
+    return df.select(*keys, "series").mapInArrow(run, schema)
+
+
+def _keyed(series: DataFrame, keys: Sequence[str], column: str) -> T.StructType:
+    return T.StructType([series.schema[k] for k in keys] + [
+        T.StructField(column, T.IntegerType()), T.StructField("distance", T.DoubleType())])
 
 
 def series_distances(series: DataFrame, centres: np.ndarray, gamma: float = 0.01,
                      keys: Sequence[str] = KEYS) -> DataFrame:
     """``(keys, centre, distance)``: soft-DTW of every series to every centre (K1)."""
-    _check_centres(centres)
-    keys, to_matrix = list(keys), _self_contained_matrix()
     values, _ = soft_dtw_kernel(gamma)
+    names = [*keys, "centre", "distance"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = to_matrix(pdf["series"])
-                for c, centre in enumerate(centres):
-                    yield pdf[keys].assign(centre=np.int32(c + 1), distance=values(x, centre))
+    def work(chunks, centres):
+        for ids, x in chunks:
+            for c, centre in enumerate(centres):
+                yield pa.RecordBatch.from_arrays(
+                    [*ids, pa.array(np.full(len(x), c + 1, dtype="int32")), pa.array(values(x, centre))], names)
 
-    out = T.StructType([series.schema[k] for k in keys] + [
-        T.StructField("centre", T.IntegerType()), T.StructField("distance", T.DoubleType())])
-    return series.select(*keys, "series").mapInPandas(run, out)
+    return _on_series(series, centres, keys, _keyed(series, keys, "centre"), work)
 
 
 def assign_clusters(series: DataFrame, centres: np.ndarray, gamma: float = 0.01,
                     keys: Sequence[str] = KEYS) -> DataFrame:
     """``(keys, cluster, distance)``: the nearest centre of every series; ties go to the lower number."""
-    _check_centres(centres)
-    keys, to_matrix = list(keys), _self_contained_matrix()
     values, _ = soft_dtw_kernel(gamma)
+    names = [*keys, "cluster", "distance"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = to_matrix(pdf["series"])
-                d = np.stack([values(x, c) for c in centres], axis=1)
-                yield pdf[keys].assign(cluster=(d.argmin(1) + 1).astype("int32"), distance=d.min(1))
+    def work(chunks, centres):
+        for ids, x in chunks:
+            d = np.stack([values(x, c) for c in centres], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*ids, pa.array((d.argmin(1) + 1).astype("int32")), pa.array(d.min(1))], names)
 
-    out = T.StructType([series.schema[k] for k in keys] + [
-        T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType())])
-    return series.select(*keys, "series").mapInPandas(run, out)
+    return _on_series(series, centres, keys, _keyed(series, keys, "cluster"), work)
 
 
 def _moved_centres(series: DataFrame, centres: np.ndarray, gamma: float) -> np.ndarray:
     """One barycentre step: every centre step becomes the mean of what is aligned to it.
 
-    Each task reduces its series to one sum per centre cell; Spark adds those up,
-    so a cluster holding most series costs no more than an even one.
+    Each task reduces its series to one sum per centre, and those sums are added per
+    centre: a group holds one row per task, so a cluster holding most series costs no
+    more than an even one.
     """
     k, steps, m = centres.shape
-    to_matrix = _self_contained_matrix()
     values, alignment = soft_dtw_kernel(gamma)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(chunks, centres):
         total, mass = np.zeros((k, steps, m)), np.zeros((k, steps))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = to_matrix(pdf["series"])
+        for _, x in chunks:
             nearest = np.stack([values(x, c) for c in centres], axis=1).argmin(1)
             for c in np.unique(nearest):
                 mine = x[nearest == c]
                 e = alignment(mine, centres[c])
                 total[c] += np.einsum("nts,ntm->sm", e, mine)
                 mass[c] += e.sum((0, 1))
-        c, s, j = np.meshgrid(np.arange(k), np.arange(steps), np.arange(m), indexing="ij")
-        used = mass[c.ravel(), s.ravel()] > 0
-        yield pd.DataFrame({"c": c.ravel()[used], "s": s.ravel()[used], "j": j.ravel()[used],
-                            "total": total.ravel()[used], "mass": mass[c.ravel(), s.ravel()][used]})
+        for c in np.flatnonzero(mass.sum(1) > 0):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c], pa.int32()), pa.array([total[c].ravel()], pa.list_(pa.float64())),
+                 pa.array([mass[c]], pa.list_(pa.float64()))], ["c", "total", "mass"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": pdf["c"].iloc[:1], "total": [np.sum(np.vstack(pdf["total"]), axis=0)],
+                             "mass": [np.sum(np.vstack(pdf["mass"]), axis=0)]})
 
-    parts = series.select("series").mapInPandas(run, "c int, s int, j int, total double, mass double")
-    sums = parts.groupBy("c", "s", "j").agg((F.sum("total") / F.sum("mass")).alias("v")).collect()
+    shape = "c int, total array<double>, mass array<double>"
+    parts = _on_series(series, centres, (), shape, work)
     moved = centres.copy()
-    for r in sums:
-        moved[r["c"], r["s"], r["j"]] = r["v"]
+    for row in parts.groupBy("c").applyInPandas(add, shape).toArrow().to_pylist():
+        mass = np.array(row["mass"])
+        moved[row["c"]] = np.array(row["total"]).reshape(steps, m) / mass[:, None]
     return moved
 
 
@@ -178,7 +200,7 @@ def fit_centres(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123,
 def cluster_series(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, max_iter: int = 20,
                    keys: Sequence[str] = KEYS) -> DataFrame:
     """``(keys, cluster, distance)`` after clustering; ``series`` is written once and read per round (K2)."""
-    series = cut_lineage(series)
+    series = cut_lineage(spread(series, *keys))
     return assign_clusters(series, fit_centres(series, k, gamma, seed, max_iter, keys=keys), gamma, keys)
 
 

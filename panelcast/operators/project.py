@@ -96,7 +96,8 @@ def project_forest(windows: DataFrame, models: Mapping[str, QuantileForestModel]
     """
     metrics = list(models)
     levels = sorted({float(q) for q in quantiles})
-    lookups = {m: model.lookup(levels) for m, model in models.items()}
+    local = all(model.fits_locally() for model in models.values())
+    lookups = {m: model.lookup(levels) for m, model in models.items()} if local else {}
     state = with_quantile_dim(windows.select(*keys, "x"), levels)
     which = "CASE q " + " ".join(f"WHEN {v!r}D THEN {i}" for i, v in enumerate(levels)) + " END"
 
@@ -111,9 +112,14 @@ def project_forest(windows: DataFrame, models: Mapping[str, QuantileForestModel]
     for step in range(1, steps + 1):
         scored = state.withColumn("_w", F.expr(f"slice(x, -{lookback + 1}, {lookback + 1})"))
         for i, m in enumerate(metrics):
-            scored = models[m].leaf_column(scored, target_vector("_w", i, len(metrics), lookback), f"_leaf_{i}")
-        scored = scored.select(*keys, "q", "x", *[
-            lookups[m](F.col(f"_leaf_{i}")).alias(f"_p_{i}") for i, m in enumerate(metrics)])
+            features = target_vector("_w", i, len(metrics), lookback)
+            if local:
+                scored = models[m].leaf_column(scored, features, f"_leaf_{i}")
+            else:
+                scored = models[m].predict(scored.withColumn("_f", features), levels, [*keys, "q"], "_f", f"_p_{i}")
+        if local:
+            scored = scored.select(*keys, "q", "x", *[
+                lookups[m](F.col(f"_leaf_{i}")).alias(f"_p_{i}") for i, m in enumerate(metrics)])
         moved = [f"_p_{i}[{which}] + {shift(m)}" for i, m in enumerate(metrics)]
         row = [v if m == RESIDUAL else f"greatest({v}, {float(floor)!r}D)" for m, v in zip(metrics, moved)]
         state = scored.selectExpr(*keys, "q", f"concat(x, array(array({', '.join(row)}))) AS x")

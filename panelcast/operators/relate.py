@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.codes import KEYS, TIME
-from panelcast.operators.sizing import checked_broadcast
+from panelcast.operators.sizing import checked_broadcast, fetch_small, local_table
 
 
 def build_holdout(lookups: Sequence[DataFrame], names: DataFrame, exclude: Sequence[str] = (),
@@ -32,10 +32,16 @@ def decode(df: DataFrame, lookup: DataFrame, code: str, name: str, column: str)
 
     A code with two names would multiply rows, so it is rejected.
     """
-    twice = lookup.groupBy(code).count().where("count > 1").select(code).take(1)
+    pairs = lookup.select(F.col(code).alias(column), F.col(name).alias("_name"))
+    local = fetch_small(pairs)
+    if local is None:
+        twice = pairs.groupBy(column).count().where("count > 1").select(column).take(1)
+    else:
+        counts = local.group_by(column).aggregate([([], "count_all")])
+        twice = [[r[column]] for r in counts.to_pylist() if r["count_all"] > 1]
+        pairs = F.broadcast(local_table(df.sparkSession, local, pairs))
     if twice:
         raise ValueError(f"lookup gives code {twice[0][0]!r} more than one name")
-    pairs = checked_broadcast(lookup.select(F.col(code).alias(column), F.col(name).alias("_name")))
     joined = df.join(pairs, column, "inner")
     return joined.select(*[F.col("_name").alias(c) if c == column else F.col(c) for c in df.columns])
 

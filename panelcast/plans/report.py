@@ -3,49 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.codes import AGE_GROUPS, AGE_METRICS, KEYS, TIME
+from panelcast.functions.codes import AGE_GROUPS, AGE_METRICS, KEYS, TIME, TOTAL_KEY
 from panelcast.operators.aggregate import kde, with_totals
 from panelcast.operators.clean import fill_missing
 from panelcast.operators.derive import add_age_groups, add_ratios
 from panelcast.operators.relate import compare_projections
-from panelcast.operators.shape import in_order, tag
+from panelcast.operators.shape import in_order, to_wide
 
-# Report names and order of the quantile paths.
+# Report order of the quantile paths.
 QUANTILE_ORDER = ("Upper", "Middle", "Lower")
 REPORT_COLUMNS = ("total", "youth", "working", "senior", "working_senior_ratio", "working_total_ratio",
                   "senior_total_ratio")
+PATH = ("model", "quantile")
 
 
-def report_series(df: DataFrame, bins: Sequence[str] = AGE_METRICS,
-                  groups: Mapping[str, Sequence[str]] = AGE_GROUPS) -> DataFrame:
-    """Totals, age groups and ratios per place and year of one wide projection."""
-    totals = with_totals(df, bins)
-    shaped = add_ratios(add_age_groups(totals, groups))
-    return fill_missing(shaped.select(TIME, *KEYS, *REPORT_COLUMNS))
+def projection_series(paths: DataFrame, names: Mapping[float, str], bins: Sequence[str] = AGE_METRICS,
+                      groups: Mapping[str, Sequence[str]] = AGE_GROUPS) -> DataFrame:
+    """Totals, age groups and ratios per model, quantile path, year and place.
 
+    ``paths`` is ``(model, q, year, state, place, metric, value)``: all models and quantiles
+    go through one pivot and one total, whatever their number.  ``names`` labels the levels.
+    """
+    quantile = "CASE q " + " ".join(f"WHEN {q!r}D THEN '{n}'" for q, n in names.items()) + " END"
+    labelled = paths.withColumn("quantile", F.expr(quantile)).where("quantile IS NOT NULL")
+    wide = to_wide(labelled, bins, (*PATH, TIME, *KEYS))
+    totals = with_totals(wide, bins, by=(*PATH, TIME))
+    shaped = add_ratios(add_age_groups(totals, groups)).select(*PATH, TIME, *KEYS, *REPORT_COLUMNS)
+    return fill_missing(shaped, cols=REPORT_COLUMNS)
 
-def total_comparison(series: Mapping[tuple[str, str], DataFrame], value: str = "total") -> DataFrame:
-    """One column per model and quantile path; the first entry decides the rows."""
-    return compare_projections({f"{value}_{quantile.lower()}_{model}": df for (model, quantile), df in series.items()},
-                               value)
 
+def total_comparison(series: DataFrame, paths: Sequence[tuple[str, str]], value: str = "total") -> DataFrame:
+    """One column per (model, quantile); the first one decides the rows."""
+    return compare_projections({
+        f"{value}_{quantile.lower()}_{model}": series.where((F.col("model") == model) & (F.col("quantile") == quantile))
+        for model, quantile in paths}, value)
 
-def tagged_series(series: Mapping[tuple[str, str], DataFrame], value: str = "working_senior_ratio") -> DataFrame:
-    """All paths stacked, with model, quantile and its position in the legend."""
-    parts = [tag(df.select(TIME, *KEYS, value), model=model, quantile=quantile)
-             for (model, quantile), df in series.items()]
-    return reduce(DataFrame.unionByName, parts).withColumn("quantile_order", in_order("quantile", QUANTILE_ORDER))
 
+def tagged_series(series: DataFrame, value: str = "working_senior_ratio") -> DataFrame:
+    """One measure of every path with its quantile's position in the legend."""
+    return (series.select(*PATH, TIME, *KEYS, value)
+            .withColumn("quantile_order", in_order("quantile", QUANTILE_ORDER)))
 
-def ratio_distribution(series: Mapping[tuple[str, str], DataFrame], years: Sequence[int], lo: float = -8.0,
-                       hi: float = 10.0) -> DataFrame:
-    """Density of the working/senior ratio by year and model, median paths, entities only."""
-    middle = {key: df for key, df in series.items() if key[1] == "Middle"}
-    rows = tagged_series(middle).where(F.col(TIME).isin(*years) & (F.col("place") != "0"))
+
+def ratio_distribution(series: DataFrame, years: Sequence[int], lo: float = -8.0, hi: float = 10.0) -> DataFrame:
+    """Density of the working/senior ratio by year and model: median paths, entities only."""
+    rows = series.where(F.col(TIME).isin(*years) & (F.col("place") != TOTAL_KEY) & (F.col("quantile") == "Middle"))
     kind = F.concat_ws("_", F.col(TIME).cast("string"), "model")
     return kde(rows.withColumn("type", kind), "working_senior_ratio", ["type"], lo, hi)

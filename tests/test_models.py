@@ -59,7 +59,7 @@ def test_clustering_separates_two_shapes(spark):
 
 def test_too_many_centres_are_refused(spark):
     with pytest.raises(ValueError):
-        cluster._check_centres(np.zeros((1000, 100, 100)))
+        cluster._check_centres(np.zeros((1000, 200, 101)))
 
 
 def regression_rows(spark, n=1200):
@@ -137,3 +137,22 @@ def test_forest_projection_end_to_end(spark):
     assert out.where("value is null or isnan(value)").count() == 0
     wide = out.groupBy("place", "year", "metric").pivot("q", [0.4, 0.5, 0.6]).agg(F.first("value"))
     assert wide.where("`0.4` > `0.6` + 1e-9").count() == 0
+
+
+def test_projection_without_local_leaves_is_the_same(spark, monkeypatch):
+    panel = wide_panel(spark, 8)
+    samples = features.window_samples(panel, ["a", "dn"])
+    models = {}
+    for i, m in enumerate(["a", "dn"]):
+        rows = samples.select("state", "place", "year", features.target_vector("x", i, 2).alias("features"),
+                              F.element_at("y", i + 1).alias("y"))
+        models[m] = forest.QuantileForest(num_trees=5, max_depth=4, min_leaf=2).fit(rows, ["state", "place", "year"])
+    windows = features.latest_window(panel, ["a", "dn"], 11)
+    args = (windows, models, {("a", 0.4): 1.0}, 11, 2, [0.4, 0.6])
+    local = project.project_forest(*args)
+    monkeypatch.setattr(forest, "MAX_LOCAL_LEAVES", 0)
+    joined = project.project_forest(*args)
+    keys = ["place", "metric", "q", "year"]
+    both = local.join(joined.withColumnRenamed("value", "v2"), keys)
+    assert both.count() == 8 * 2 * 2 * 2
+    assert both.where("abs(value - v2) > 1e-9").count() == 0

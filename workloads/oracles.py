@@ -423,20 +423,26 @@ h AS (SELECT least(floor((g + 250) / (CAST(500 AS DOUBLE) / 30)), 29) AS bin, co
 SELECT CAST(bin AS INTEGER) AS bin, round(-250 + bin * (CAST(500 AS DOUBLE) / 30), 6) + 0.0 AS bin_start, n,
        round(n / (sum(n) OVER () * (CAST(500 AS DOUBLE) / 30)), 6) AS density FROM h"""
 
-ORACLES["kde"] = f"""WITH {wide([POP, *AGES])}, g AS ({groups_of('w')}),
-x AS (SELECT year, {ratio('working', 'senior')} AS v FROM g),
-u AS (SELECT * FROM x WHERE v BETWEEN -8 AND 10),
-b AS (SELECT year, count(*) AS n, 0.9::DOUBLE * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34::DOUBLE)
-             * pow(count(*), -0.2::DOUBLE) AS bw FROM u GROUP BY year),
-pos AS (SELECT u.year, (v - (-8 - 4 * bw)) / ((18 + 8 * bw) / 511) AS z FROM u JOIN b ON u.year = b.year),
-mass AS (SELECT year, bin, sum(m) AS m FROM (
-    SELECT year, CAST(floor(z) AS INTEGER) AS bin, 1 - (z - floor(z)) AS m FROM pos
-    UNION ALL SELECT year, CAST(floor(z) AS INTEGER) + 1, z - floor(z) FROM pos) GROUP BY year, bin),
-k AS (SELECT mass.year, i, -8 + i * (CAST(18 AS DOUBLE) / 511) AS x, m, bw, n,
+
+def kde_of(source: str, by: str) -> str:
+    """CTEs and select: curve of the values ``v`` of each ``by`` within [-8, 10], 512 bins and points."""
+    return f"""u AS (SELECT * FROM {source} WHERE v BETWEEN -8 AND 10),
+b AS (SELECT {by}, count(*) AS n, 0.9::DOUBLE * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34::DOUBLE)
+             * pow(count(*), -0.2::DOUBLE) AS bw FROM u GROUP BY {by}),
+pos AS (SELECT u.{by}, (v - (-8 - 4 * bw)) / ((18 + 8 * bw) / 511) AS z FROM u JOIN b ON u.{by} = b.{by}),
+mass AS (SELECT {by}, bin, sum(m) AS m FROM (
+    SELECT {by}, CAST(floor(z) AS INTEGER) AS bin, 1 - (z - floor(z)) AS m FROM pos
+    UNION ALL SELECT {by}, CAST(floor(z) AS INTEGER) + 1, z - floor(z) FROM pos) GROUP BY {by}, bin),
+k AS (SELECT mass.{by}, i, -8 + i * (CAST(18 AS DOUBLE) / 511) AS x, m, bw, n,
              (-8 + i * (CAST(18 AS DOUBLE) / 511) - (-8 - 4 * bw + bin * ((18 + 8 * bw) / 511))) / bw AS d
-      FROM mass JOIN b ON mass.year = b.year, range(0, 512) r(i))
-SELECT year, CAST(i AS INTEGER) AS i, round(x, 6) + 0.0 AS x, round(sum(m * exp(-0.5::DOUBLE * d * d) / (bw * sqrt(2 * pi()))) / max(n), 6) + 0.0 AS density
-FROM k GROUP BY year, i, x"""
+      FROM mass JOIN b ON mass.{by} = b.{by}, range(0, 512) r(i))
+SELECT {by}, CAST(i AS INTEGER) AS i, round(x, 6) + 0.0 AS x,
+       round(sum(m * exp(-0.5::DOUBLE * d * d) / (bw * sqrt(2 * pi()))) / max(n), 6) + 0.0 AS density
+FROM k GROUP BY {by}, i, x"""
+
+
+ORACLES["kde"] = f"""WITH {wide([POP, *AGES])}, g AS ({groups_of('w')}),
+x AS (SELECT year, {ratio('working', 'senior')} AS v FROM g), {kde_of('x', 'year')}"""
 
 # Back-test: seven weights, oldest first.
 SMOOTH = tuple(f"CAST({k} AS DOUBLE) / 21" for k in (1, 1, 2, 2, 3, 4, 8))
@@ -578,6 +584,9 @@ rs AS (SELECT model, CASE q WHEN 0.4 THEN 'Lower' WHEN 0.5 THEN 'Middle' ELSE 'U
 ORACLES["projection_report"] = f"""WITH RECURSIVE {REPORTS}
 SELECT model, quantile, year, state, place, {rnd(ratio('working', 'senior'), 6, 'working_senior_ratio')},
        CASE quantile WHEN 'Upper' THEN 1 WHEN 'Middle' THEN 2 ELSE 3 END AS quantile_order FROM rs"""
+ORACLES["ratio_distribution"] = f"""WITH RECURSIVE {REPORTS},
+x AS (SELECT year || '_' || model AS type, {ratio('working', 'senior')} AS v FROM rs
+      WHERE quantile = 'Middle' AND place <> '0' AND year IN (28, 31)), {kde_of('x', 'type')}"""
 _cmp = ", ".join(
     f"round(max(CASE WHEN model = '{m}' AND quantile = '{q}' THEN total END), 6) + 0.0 AS total_{q.lower()}_{m}"
     for m in ("smooth", "steady") for q in ("Lower", "Middle", "Upper"))

@@ -626,30 +626,33 @@ def evaluation_table(spark, sf):
     return evaluate.evaluation_table(models, digits=6)
 
 
-def projected_reports(spark, sf):
+def projected_series(spark, sf):
     """Report series of two scorers and three quantile paths, four quarters ahead."""
     cells = quarterly_series(spark, sf, AGE_METRICS).withColumnRenamed("period", "year")
-    out = {}
-    for model, scorer in (("smooth", SMOOTH), ("steady", STEADY)):
-        paths = cut_lineage(project.project_linear(cells, scorer, LAST_QUARTER, 4, list(PATHS.values())))
-        for quantile, level in PATHS.items():
-            wide = shape.to_wide(shape.take_quantile(paths, level), AGE_METRICS, YEARLY)
-            out[model, quantile] = report.report_series(wide)
-    return out
+    paths = [shape.tag(project.project_linear(cells, scorer, LAST_QUARTER, 4, list(PATHS.values())), model=model)
+             for model, scorer in (("smooth", SMOOTH), ("steady", STEADY))]
+    return report.projection_series(paths[0].unionByName(paths[1]), {q: name for name, q in PATHS.items()})
 
 
 @query
 def projection_report(spark, sf):
-    rows = report.tagged_series(projected_reports(spark, sf))
+    rows = report.tagged_series(projected_series(spark, sf))
     return rows.withColumn("working_senior_ratio", r("working_senior_ratio"))
 
 
 @query
 def compare_projections(spark, sf):
-    table = report.total_comparison(projected_reports(spark, sf))
+    columns = [(model, quantile) for model in ("smooth", "steady") for quantile in PATHS]
+    table = report.total_comparison(cut_lineage(projected_series(spark, sf)), columns)
     return table.select(*YEARLY, *[r(c).alias(c) for c in table.columns if c not in YEARLY])
 
 
+@query
+def ratio_distribution(spark, sf):
+    curve = report.ratio_distribution(projected_series(spark, sf), [28, 31])
+    return curve.select("type", "i", r("x").alias("x"), r("density").alias("density"))
+
+
 @query
 def descriptive_report(spark, sf):
     held, training = split_panel(spark, sf)
