@@ -41,13 +41,32 @@ class LinearScorer:
         return f"{weighted_sum_sql(self.weights, last)} * (1 + {float(self.spread)!r}D * ({q} - 0.5D))"
 
 
-def _floor_sql(by: Sequence[str], floor: float) -> str:
+# One floor for all measures, or one per measure (such as the standardized zero); the residual never has one.
+Floor = float | Mapping[str, float]
+
+
+def _floor_of(floor: Floor, metric: str) -> float | None:
+    if metric == RESIDUAL:
+        return None
+    return floor.get(metric) if isinstance(floor, Mapping) else float(floor)
+
+
+def _floor_sql(by: Sequence[str], floor: Floor) -> str:
     """The floor of a series; null, hence none, for the residual."""
+    if isinstance(floor, Mapping):
+        cases = " ".join(f"WHEN '{m}' THEN {float(v)!r}D" for m, v in floor.items() if m != RESIDUAL)
+        return f"CASE metric {cases} END"
     return f"CASE WHEN metric <> '{RESIDUAL}' THEN {float(floor)!r}D END" if "metric" in by else f"{float(floor)!r}D"
 
 
+def conformal_shift(qhat: Mapping[tuple[str, float], float], metric: str, level: float) -> float:
+    """What conformal calibration adds to a measure's prediction at a quantile level."""
+    sign = -1.0 if level < 0.5 else 1.0 if level > 0.5 else 0.0
+    return sign * qhat.get((metric, round(min(level, 1 - level), 6)), 0.0)
+
+
 def project_linear(df: DataFrame, scorer: LinearScorer, at: int, steps: int, quantiles: Sequence[float],
-                   floor: float = 0.0, by: Sequence[str] = SERIES, t: str = TIME, value: str = "value") -> DataFrame:
+                   floor: Floor = 0.0, by: Sequence[str] = SERIES, t: str = TIME, value: str = "value") -> DataFrame:
     """``(by, q, t, value)`` for the ``steps`` times after ``at``, in a single plan (K8)."""
     n = scorer.lookback
     recent = df.where(F.col(t).between(at - n + 1, at))
@@ -60,7 +79,7 @@ def project_linear(df: DataFrame, scorer: LinearScorer, at: int, steps: int, qua
             .selectExpr(*by, "q", f"CAST(_i + {at + 1} AS INT) AS {t}", value))
 
 
-def backtest(df: DataFrame, scorer: LinearScorer, years: Sequence[int], floor: float = 0.0,
+def backtest(df: DataFrame, scorer: LinearScorer, years: Sequence[int], floor: Floor = 0.0,
              by: Sequence[str] = SERIES, t: str = TIME, value: str = "value") -> DataFrame:
     """``(by, t, pred, actual)``: each year predicted from actual history up to the year before (K9).
 
@@ -84,9 +103,31 @@ def _paths_to_long(state: DataFrame, metrics: Sequence[str], at: int, lookback:
             .selectExpr(*keys, "q", f"CAST(_i + {at + 1} AS INT) AS {t}", f"inline(array({cells}))"))
 
 
+def _forest_quantiles(rows: DataFrame, models: Mapping[str, QuantileForestModel], x: str, levels: Sequence[float],
+                    ids: Sequence[str], lookback: int) -> DataFrame:
+    """Add ``_p_0`` .. : every measure's predictions at the levels, from windows in column ``x``.
+
+    While leaf values fit on the executors all lookups run in one Python pass and nothing is shuffled.
+    """
+    columns, metrics = rows.columns, list(models)
+    vectors = [target_vector(x, i, len(metrics), lookback) for i in range(len(metrics))]
+    if not all(model.fits_locally() for model in models.values()):
+        for i, m in enumerate(metrics):
+            rows = models[m].predict(rows.withColumn("_f", vectors[i]), levels, ids, "_f", f"_p_{i}").drop("_f")
+        return rows
+    for i, m in enumerate(metrics):
+        rows = models[m].leaf_column(rows, vectors[i], f"_leaf_{i}")
+    return rows.select(*columns, *[models[m].lookup(levels)(F.col(f"_leaf_{i}")).alias(f"_p_{i}")
+                                   for i, m in enumerate(metrics)])
+
+
+def _clipped_sql(value: str, floor: float | None) -> str:
+    return value if floor is None else f"greatest({value}, {float(floor)!r}D)"
+
+
 def project_forest(windows: DataFrame, models: Mapping[str, QuantileForestModel],
                    qhat: Mapping[tuple[str, float], float], at: int, steps: int, quantiles: Sequence[float],
-                   floor: float = 0.0, lookback: int = 6, keys: Sequence[str] = KEYS, t: str = TIME,
+                   floor: Floor = 0.0, lookback: int = 6, keys: Sequence[str] = KEYS, t: str = TIME,
                    cut_every: int = 1) -> DataFrame:
     """Projection with one quantile forest per measure (K8).
 
@@ -96,54 +137,53 @@ def project_forest(windows: DataFrame, models: Mapping[str, QuantileForestModel]
     """
     metrics = list(models)
     levels = sorted({float(q) for q in quantiles})
-    local = all(model.fits_locally() for model in models.values())
-    lookups = {m: model.lookup(levels) for m, model in models.items()} if local else {}
-    state = with_quantile_dim(windows.select(*keys, "x"), levels)
     which = "CASE q " + " ".join(f"WHEN {v!r}D THEN {i}" for i, v in enumerate(levels)) + " END"
 
-    def shift(metric: str) -> str:
-        """The conformal shift of a measure on the row's quantile path."""
-        moves = []
-        for level in levels:
-            sign = -1.0 if level < 0.5 else 1.0 if level > 0.5 else 0.0
-            moves.append(sign * qhat.get((metric, round(min(level, 1 - level), 6)), 0.0))
-        return "CASE q " + " ".join(f"WHEN {v!r}D THEN {mv!r}D" for v, mv in zip(levels, moves)) + " END"
+    def next_value(i: int, m: str) -> str:
+        shift = " ".join(f"WHEN {v!r}D THEN {conformal_shift(qhat, m, v)!r}D" for v in levels)
+        return _clipped_sql(f"_p_{i}[{which}] + CASE q {shift} END", _floor_of(floor, m))
 
+    row = ", ".join(next_value(i, m) for i, m in enumerate(metrics))
+    state = with_quantile_dim(windows.select(*keys, "x"), levels)
     for step in range(1, steps + 1):
-        scored = state.withColumn("_w", F.expr(f"slice(x, -{lookback + 1}, {lookback + 1})"))
-        for i, m in enumerate(metrics):
-            features = target_vector("_w", i, len(metrics), lookback)
-            if local:
-                scored = models[m].leaf_column(scored, features, f"_leaf_{i}")
-            else:
-                scored = models[m].predict(scored.withColumn("_f", features), levels, [*keys, "q"], "_f", f"_p_{i}")
-        if local:
-            scored = scored.select(*keys, "q", "x", *[
-                lookups[m](F.col(f"_leaf_{i}")).alias(f"_p_{i}") for i, m in enumerate(metrics)])
-        moved = [f"_p_{i}[{which}] + {shift(m)}" for i, m in enumerate(metrics)]
-        row = [v if m == RESIDUAL else f"greatest({v}, {float(floor)!r}D)" for m, v in zip(metrics, moved)]
-        state = scored.selectExpr(*keys, "q", f"concat(x, array(array({', '.join(row)}))) AS x")
+        framed = state.withColumn("_w", F.expr(f"slice(x, -{lookback + 1}, {lookback + 1})"))
+        scored = _forest_quantiles(framed, models, "_w", levels, [*keys, "q"], lookback)
+        state = scored.selectExpr(*keys, "q", f"concat(x, array(array({row}))) AS x")
         if step % cut_every == 0 or step == steps:
             state = cut_lineage(state)
     return _paths_to_long(state, metrics, at, lookback, keys, t)
 
 
-def project_sequences(windows: DataFrame, scorer: Callable[[np.ndarray, float], np.ndarray],
-                      metrics: Sequence[str], at: int, steps: int, quantiles: Sequence[float], floor: float = 0.0,
-                      lookback: int = 6, keys: Sequence[str] = KEYS, t: str = TIME) -> DataFrame:
+def backtest_forest(samples: DataFrame, models: Mapping[str, QuantileForestModel], floor: Floor = 0.0,
+                    lookback: int = 6, keys: Sequence[str] = KEYS, t: str = TIME) -> DataFrame:
+    """``(keys, t, metric, pred, actual)``: medians for the time after each sample of actual history (K9)."""
+    scored = _forest_quantiles(samples.select(*keys, t, "x", "y"), models, "x", [0.5], [*keys, t], lookback)
+    cells = ", ".join(f"struct('{m}' AS metric, {_clipped_sql(f'_p_{i}[0]', _floor_of(floor, m))} AS pred, "
+                      f"y[{i}] AS actual)" for i, m in enumerate(models))
+    return scored.selectExpr(*keys, f"CAST({t} + 1 AS INT) AS {t}", f"inline(array({cells}))")
+
+
+Scorer = Callable[[np.ndarray, float], np.ndarray]
+
+
+def project_sequences(windows: DataFrame, scorer: Scorer, metrics: Sequence[str], at: int, steps: int,
+                      quantiles: Sequence[float], qhat: Mapping[tuple[str, float], float] | None = None,
+                      floor: Floor = 0.0, lookback: int = 6, keys: Sequence[str] = KEYS, t: str = TIME) -> DataFrame:
     """Projection with any model of whole windows: ``scorer((n, lookback+1, m), q) -> (n, m)`` (K8).
 
     The scorer sees batches of entities as arrays; all steps of a batch run in one task.
     """
     keys, m = list(keys), len(metrics)
-    bottom = np.array([-np.inf if name == RESIDUAL else floor for name in metrics])
+    floors = [_floor_of(floor, name) for name in metrics]
+    bottom = np.array([-np.inf if f is None else f for f in floors])
+    shifts = {float(q): np.array([conformal_shift(qhat or {}, name, q) for name in metrics]) for q in quantiles}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for q, part in pdf.groupby("q"):
                 path = np.array([[list(r) for r in x] for x in part["x"]], dtype=float)
                 for _ in range(steps):
-                    nxt = np.asarray(scorer(path[:, -(lookback + 1):, :], float(q))).reshape(-1, m)
+                    nxt = np.asarray(scorer(path[:, -(lookback + 1):, :], float(q))).reshape(-1, m) + shifts[q]
                     path = np.concatenate([path, np.maximum(nxt, bottom)[:, None, :]], axis=1)
                 yield part[[*keys, "q"]].assign(x=[p.tolist() for p in path])
 
@@ -152,3 +192,31 @@ def project_sequences(windows: DataFrame, scorer: Callable[[np.ndarray, float],
                        [T.StructField("x", T.ArrayType(T.ArrayType(T.DoubleType())))])
     paths = state.select(*keys, "q", "x").mapInPandas(run, out)
     return _paths_to_long(paths, metrics, at, lookback, keys, t)
+
+
+def score_sequences(samples: DataFrame, scorer: Scorer, metrics: Sequence[str], quantiles: Sequence[float] = (0.5,),
+                    floor: Floor | None = None, keys: Sequence[str] = KEYS, t: str = TIME) -> DataFrame:
+    """``(target, keys, t, q, pred, y)`` for the time after each sample, from actual history (K9).
+
+    Without a floor these are the calibration predictions of K6; with one, the back-test.
+    """
+    keys, m = list(keys), len(metrics)
+    floors = [None if floor is None else _floor_of(floor, name) for name in metrics]
+    bottom = np.array([-np.inf if f is None else f for f in floors])
+    levels = [float(q) for q in quantiles]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.array([[list(r) for r in w] for w in pdf["x"]], dtype=float)
+            for q in levels:
+                pred = np.maximum(np.asarray(scorer(x, q)).reshape(-1, m), bottom)
+                yield pdf[[*keys, t, "y"]].assign(q=q, pred=list(pred))
+
+    rows = samples.select(*keys, t, "x", "y")
+    out = T.StructType([rows.schema[c] for c in (*keys, t, "y")] + [
+        T.StructField("q", T.DoubleType()), T.StructField("pred", T.ArrayType(T.DoubleType()))])
+    cells = ", ".join(f"struct('{name}' AS target, pred[{i}] AS pred, y[{i}] AS y)" for i, name in enumerate(metrics))
+    return rows.mapInPandas(run, out).selectExpr(
+        *keys, f"CAST({t} + 1 AS INT) AS {t}", "q", f"inline(array({cells}))")

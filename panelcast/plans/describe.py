@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.codes import POPULATION, TIME
+from panelcast.functions.codes import POPULATION, TIME, TOTAL_KEY
 from panelcast.operators.aggregate import histogram_density, kde, report_max, with_totals, without_totals
 from panelcast.operators.derive import add_age_groups, add_ratios, growth_rate
 from panelcast.operators.shape import intersect_schema, select_metrics, to_long
@@ -24,17 +24,6 @@ def age_panel(training: DataFrame, held: DataFrame) -> DataFrame:
     return add_ratios(grouped, total=POPULATION)
 
 
-@dataclass
-class Description:
-    panel: DataFrame
-    growth: DataFrame
-    growth_histogram: DataFrame
-    growth_density: DataFrame
-    ratio_density: DataFrame
-    composition: DataFrame
-    axis: DataFrame
-
-
 def stacked_series(df: DataFrame, ids: list[str]) -> DataFrame:
     """Age groups crossed with ratio types, 3 x 2 rows per input row (P25)."""
     groups = to_long(df, [*ids, "working_total_ratio", "senior_total_ratio"], ["youth", "working", "senior"],
@@ -43,19 +32,46 @@ def stacked_series(df: DataFrame, ids: list[str]) -> DataFrame:
                    "ratio_type", "ratio")
 
 
+@dataclass
+class Description:
+    """Tables of :func:`descriptive_report`, each computed only when asked for."""
+
+    panel: DataFrame
+    first: int
+    last: int
+    n: int
+
+    @property
+    def entities(self) -> DataFrame:
+        return without_totals(self.panel)
+
+    @property
+    def everyone(self) -> DataFrame:
+        return self.panel.where(F.col("place") == TOTAL_KEY)
+
+    def growth(self) -> DataFrame:
+        """Growth of every complete entity between the two years; totals do not count as an entity."""
+        return growth_rate(self.entities, POPULATION, self.first, self.last, self.n)
+
+    def growth_histogram(self) -> DataFrame:
+        return histogram_density(self.growth(), "growth_rate", *GROWTH_RANGE)
+
+    def growth_density(self) -> DataFrame:
+        return kde(self.growth().withColumn("kind", F.lit("growth")), "growth_rate", ["kind"], *GROWTH_RANGE)
+
+    def ratio_density(self) -> DataFrame:
+        """Working/senior ratio of the entities in the first and the last year."""
+        ends = self.entities.where(F.col(TIME).isin(self.first, self.last))
+        return kde(ends, "working_senior_ratio", [TIME], *RATIO_RANGE)
+
+    def composition(self) -> DataFrame:
+        """Age groups and ratios of everyone, by year."""
+        return stacked_series(self.everyone, [TIME])
+
+    def axis(self) -> DataFrame:
+        return report_max(self.everyone, [POPULATION])
+
+
 def descriptive_report(training: DataFrame, held: DataFrame, first: int, last: int, n: int) -> Description:
-    """Totals, growth between two years of complete entities, and distributions."""
-    panel = age_panel(training, held)
-    entities = without_totals(panel)
-    growth = growth_rate(entities, POPULATION, first, last, n)
-    ends = entities.where(F.col(TIME).isin(first, last))
-    total = panel.where(F.col("place") == "0")
-    return Description(
-        panel=panel,
-        growth=growth,
-        growth_histogram=histogram_density(growth, "growth_rate", *GROWTH_RANGE),
-        growth_density=kde(growth.withColumn("all", F.lit(0)), "growth_rate", ["all"], *GROWTH_RANGE),
-        ratio_density=kde(ends, "working_senior_ratio", [TIME], *RATIO_RANGE),
-        composition=stacked_series(total, [TIME]),
-        axis=report_max(total, [POPULATION]),
-    )
+    """Totals, growth between two years of entities with ``n`` rows, and distributions."""
+    return Description(age_panel(training, held), first, last, n)

@@ -424,17 +424,18 @@ SELECT CAST(bin AS INTEGER) AS bin, round(-250 + bin * (CAST(500 AS DOUBLE) / 30
        round(n / (sum(n) OVER () * (CAST(500 AS DOUBLE) / 30)), 6) AS density FROM h"""
 
 
-def kde_of(source: str, by: str) -> str:
-    """CTEs and select: curve of the values ``v`` of each ``by`` within [-8, 10], 512 bins and points."""
-    return f"""u AS (SELECT * FROM {source} WHERE v BETWEEN -8 AND 10),
+def kde_of(source: str, by: str, lo: int = -8, hi: int = 10) -> str:
+    """CTEs and select: curve of the values ``v`` of each ``by`` within [lo, hi], 512 bins and points."""
+    width = hi - lo
+    return f"""u AS (SELECT * FROM {source} WHERE v BETWEEN {lo} AND {hi}),
 b AS (SELECT {by}, count(*) AS n, 0.9::DOUBLE * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34::DOUBLE)
              * pow(count(*), -0.2::DOUBLE) AS bw FROM u GROUP BY {by}),
-pos AS (SELECT u.{by}, (v - (-8 - 4 * bw)) / ((18 + 8 * bw) / 511) AS z FROM u JOIN b ON u.{by} = b.{by}),
+pos AS (SELECT u.{by}, (v - ({lo} - 4 * bw)) / (({width} + 8 * bw) / 511) AS z FROM u JOIN b ON u.{by} = b.{by}),
 mass AS (SELECT {by}, bin, sum(m) AS m FROM (
     SELECT {by}, CAST(floor(z) AS INTEGER) AS bin, 1 - (z - floor(z)) AS m FROM pos
     UNION ALL SELECT {by}, CAST(floor(z) AS INTEGER) + 1, z - floor(z) FROM pos) GROUP BY {by}, bin),
-k AS (SELECT mass.{by}, i, -8 + i * (CAST(18 AS DOUBLE) / 511) AS x, m, bw, n,
-             (-8 + i * (CAST(18 AS DOUBLE) / 511) - (-8 - 4 * bw + bin * ((18 + 8 * bw) / 511))) / bw AS d
+k AS (SELECT mass.{by}, i, {lo} + i * (CAST({width} AS DOUBLE) / 511) AS x, m, bw, n,
+             ({lo} + i * (CAST({width} AS DOUBLE) / 511) - ({lo} - 4 * bw + bin * (({width} + 8 * bw) / 511))) / bw AS d
       FROM mass JOIN b ON mass.{by} = b.{by}, range(0, 512) r(i))
 SELECT {by}, CAST(i AS INTEGER) AS i, round(x, 6) + 0.0 AS x,
        round(sum(m * exp(-0.5::DOUBLE * d * d) / (bw * sqrt(2 * pi()))) / max(n), 6) + 0.0 AS density
@@ -467,7 +468,7 @@ def backtest(source: str, name: str = "bt", weights: tuple[str, ...] = SMOOTH) -
 BT_AGES = f"{QUARTERS_AGES}, {backtest('f')}"
 BT_COMPONENTS = f"{QUARTERS_COMPONENTS}, {backtest('f')}"
 
-ORACLES["backtest_linear"] = f"""WITH {BT_COMPONENTS}
+ORACLES["backtest_linear"] = ORACLES["score_sequences"] = f"""WITH {BT_COMPONENTS}
 SELECT period, state, place, metric, {rnd('pred', 6, 'pred')}, {rnd('actual', 6, 'actual')} FROM bt"""
 ORACLES["mae"] = f"WITH {BT_AGES} SELECT metric, {rnd('avg(abs(pred - actual))', 6, 'mae')} FROM bt GROUP BY metric"
 
@@ -597,6 +598,17 @@ ORACLES["descriptive_report"] = f"""WITH {TOTALS}, z AS (SELECT * FROM w UNION A
 j AS (SELECT g.* EXCLUDE (total), z.{POP}, z.{POP} AS total FROM g JOIN z ON g.year = z.year AND g.state = z.state AND g.place = z.place)
 SELECT year, state, place, {POP}, youth, working, senior, {RATIOS} FROM j"""
 
+ORACLES["composition"] = f"""WITH {TOTALS}, g AS ({groups_of('t')}),
+s AS (SELECT *, {RATIOS} FROM g)
+SELECT year, age_group, CASE age_group WHEN 'youth' THEN youth WHEN 'working' THEN working ELSE senior END AS population,
+       ratio_type, CASE ratio_type WHEN 'working_total_ratio' THEN working_total_ratio ELSE senior_total_ratio END AS ratio
+FROM s, (VALUES ('youth'), ('working'), ('senior')) a(age_group),
+     (VALUES ('working_total_ratio'), ('senior_total_ratio')) b(ratio_type)"""
+ORACLES["growth_density"] = f"""WITH {wide([POP])},
+x AS (SELECT 'growth' AS kind, (max(CASE WHEN year = 2000 THEN {POP} END) - max(CASE WHEN year = 1995 THEN {POP} END))
+             / max(CASE WHEN year = 1995 THEN {POP} END) * 100 AS v
+      FROM w GROUP BY state, place HAVING count(*) = 7), {kde_of('x', 'kind', -250, 250)}"""
+
 ORACLES["segment_report"] = f"""WITH {CUSTOMER},
 s AS (SELECT year, state, segment AS place, {', '.join(f'sum({m}) AS {m}' for m in FIVE)} FROM c GROUP BY year, state, segment),
 a AS (SELECT * FROM s UNION ALL SELECT year, '0', '0', {', '.join(f'sum({m})' for m in FIVE)} FROM s GROUP BY year),

@@ -601,15 +601,27 @@ def project_linear(spark, sf):
     return paths.withColumn("value", r("value"))
 
 
-@query
-def project_sequences(spark, sf):
+def window_scorer():
+    """SMOOTH as a function of whole windows."""
     weights, spread = np.array(SMOOTH.weights), SMOOTH.spread
 
     def scorer(windows: np.ndarray, q: float) -> np.ndarray:
         return np.einsum("w,nwm->nm", weights, windows) * (1 + spread * (q - 0.5))
 
+    return scorer
+
+
+@query
+def score_sequences(spark, sf):
+    samples = features.window_samples(quarterly_model_panel(spark, sf), COMPONENTS, t="period")
+    scored = project.score_sequences(samples, window_scorer(), COMPONENTS, floor=0.0, t="period")
+    return scored.select(*QUARTERLY, F.col("target").alias("metric"), r("pred").alias("pred"), r("y").alias("actual"))
+
+
+@query
+def project_sequences(spark, sf):
     windows = features.latest_window(quarterly_model_panel(spark, sf), COMPONENTS, LAST_QUARTER, t="period")
-    paths = project.project_sequences(windows, scorer, COMPONENTS, LAST_QUARTER, 39, list(PATHS.values()), t="period")
+    paths = project.project_sequences(windows, window_scorer(), COMPONENTS, LAST_QUARTER, 39, list(PATHS.values()), t="period")
     return paths.withColumn("value", r("value"))
 
 
@@ -653,11 +665,26 @@ def ratio_distribution(spark, sf):
     return curve.select("type", "i", r("x").alias("x"), r("density").alias("density"))
 
 
+def described(spark, sf):
+    held, training = split_panel(spark, sf)
+    return describe.descriptive_report(training, held, P.FIRST_YEAR, 2000, 7)
+
+
+@query
+def growth_density(spark, sf):
+    curve = described(spark, sf).growth_density()
+    return curve.select("kind", "i", r("x").alias("x"), r("density").alias("density"))
+
+
+@query
+def composition(spark, sf):
+    report_of = described(spark, sf)
+    return report_of.composition().withColumn("ratio", r("ratio"))
+
+
 @query
 def descriptive_report(spark, sf):
-    held, training = split_panel(spark, sf)
-    panel = describe.age_panel(training, held)
-    return panel.select(*YEARLY, POPULATION, "youth", "working", "senior", r("working_senior_ratio").alias(
+    return described(spark, sf).panel.select(*YEARLY, POPULATION, "youth", "working", "senior", r("working_senior_ratio").alias(
         "working_senior_ratio"), r("working_total_ratio").alias("working_total_ratio"), r("senior_total_ratio").alias(
         "senior_total_ratio"))
 
@@ -717,3 +744,16 @@ def project_forest(spark, sf):
         split.training_rows(panel), split.calibration_rows(panel), panel, COMPONENTS, LAST_QUARTER, 4,
         list(PATHS.values()), list(range(7, 27)), forest, levels=(0.4, 0.5, 0.6), t="period")
     return paths.withColumn("value", r("value"))
+
+
+@query
+def backtest_forest(spark, sf):
+    panel = forest_split(spark, sf)
+    train_rows = features.window_samples(split.training_rows(panel), COMPONENTS, t="period").persist()
+    forest = QuantileForest(num_trees=10, max_depth=6, max_bins=32)
+    models = {m: forest.fit(train.target_samples(train_rows, i, len(COMPONENTS), t="period"), [*KEYS, "period"])
+              for i, m in enumerate(COMPONENTS)}
+    train_rows.unpersist()
+    held = features.window_samples(split.calibration_rows(panel), COMPONENTS, t="period")
+    scored = project.backtest_forest(held, models, t="period")
+    return scored.select(*QUARTERLY, "metric", r("pred").alias("pred"), r("actual").alias("actual"))
