@@ -1,7 +1,8 @@
 """Time the queries and print one JSON line.
 
-Each query is built and fully materialised (no-op sink).  One untimed pass over all
-queries warms the JVM; the figure is the median of ``BENCH_RUNS`` timed runs.
+Each query is built and fully materialised (no-op sink) once untimed, then
+``BENCH_RUNS`` times; the figure is the median.  ``BENCH_QUERIES`` is a comma
+separated list, or ``all``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,13 @@ sys.path.insert(0, ROOT)
 from panelcast.session import build_session  # noqa: E402
 from workloads.queries import QUERIES  # noqa: E402
 
+HEADLINE = (
+    "segment_report", "vintage_union", "clean_sentinel", "pct_to_count", "drop_zero_metrics", "prepare_panel",
+    "descriptive_report", "complete_history", "lags", "ema", "window_samples", "target_features", "standardize",
+    "stratified_holdout", "cluster_split", "cluster_series", "exact_quantile", "kde", "trimmed_mape", "cqr_calibrate",
+    "project_linear", "backtest_linear", "evaluation_table", "projection_report", "quantile_forest",
+)
+
 
 def run(fn, spark, sf) -> float:
     start = time.perf_counter()
@@ -29,13 +37,15 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     runs = int(os.environ.get("BENCH_RUNS", "1"))
-    chosen = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(QUERIES)
+    asked = os.environ.get("BENCH_QUERIES", "")
+    chosen = list(QUERIES) if asked == "all" else [n for n in asked.split(",") if n] or list(HEADLINE)
     spark = build_session(f"local[{cpus}]", "panelcast-bench", shuffle_partitions=int(cpus), **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
+    times = {}
     for name in chosen:
         run(QUERIES[name], spark, sf)
-    times = {n: round(statistics.median(run(QUERIES[n], spark, sf) for _ in range(runs)), 3) for n in chosen}
+        times[name] = round(statistics.median(run(QUERIES[name], spark, sf) for _ in range(runs)), 3)
     print(json.dumps({"metric": "total query time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf).removeprefix("sf"), "cpus": int(cpus)}))
     spark.stop()

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.operators import cluster, features, forest, project
+from panelcast.operators import cluster, conformal, features, forest, project
 from panelcast.plans.train import train_and_project
 
 
@@ -156,3 +156,77 @@ def test_projection_without_local_leaves_is_the_same(spark, monkeypatch):
     both = local.join(joined.withColumnRenamed("value", "v2"), keys)
     assert both.count() == 8 * 2 * 2 * 2
     assert both.where("abs(value - v2) > 1e-9").count() == 0
+
+
+def test_centre_step_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x, centres, gamma = rng.normal(size=(20, 4, 2)), rng.normal(size=(3, 4, 2)), 0.5
+    df = spark.createDataFrame([(f"p{i}", s.tolist()) for i, s in enumerate(x)], "place string, series array<array<double>>")
+    d = np.array([[soft_dtw(s, c, gamma) for c in centres] for s in x])
+    got = {(r["place"], r["centre"]): r["distance"] for r in
+           cluster.series_distances(df, centres, gamma, keys=["place"]).collect()}
+    assert all(got[f"p{i}", c + 1] == pytest.approx(d[i, c]) for i in range(20) for c in range(3))
+    assigned = {r["place"]: r["cluster"] for r in cluster.assign_clusters(df, centres, gamma, ["place"]).collect()}
+    assert assigned == {f"p{i}": int(d[i].argmin()) + 1 for i in range(20)}
+
+    _, alignment = cluster.soft_dtw_kernel(gamma)
+    want = centres.copy()
+    for c in range(3):
+        members = [i for i in range(20) if d[i].argmin() == c]
+        e = {i: alignment(x[i:i + 1], centres[c])[0] for i in members}
+        for s in range(4):
+            weight = sum(e[i][t, s] for i in members for t in range(4))
+            if members:
+                want[c, s] = sum(e[i][t, s] * x[i, t] for i in members for t in range(4)) / weight
+    for parts in (1, 6):
+        assert cluster._moved_centres(df.repartition(parts), centres, gamma) == pytest.approx(want)
+
+
+def test_sequence_scores_feed_calibration(spark):
+    samples = features.window_samples(wide_panel(spark, 6), ["a", "dn"])
+
+    def steady(windows, q):
+        return windows[:, -1, :] + (q - 0.5)
+
+    scored = project.score_sequences(samples, steady, ["a", "dn"], [0.49, 0.51])
+    qhat = conformal.cqr_calibrate(scored, ids=["state", "place", "year"])
+    got = {r["target"]: r["qhat"] for r in qhat.collect()}
+    assert got == {"a": pytest.approx(1 - 0.01), "dn": pytest.approx(2 - 0.01)}
+    windows = features.latest_window(wide_panel(spark, 6), ["a", "dn"], 11)
+    shifted = project.project_sequences(windows, steady, ["a", "dn"], 11, 1, [0.49, 0.51],
+                                        qhat={("a", 0.49): 5.0}, floor={"a": 8.0, "dn": 1e9})
+    first = {(r["metric"], r["q"]): r["value"] for r in shifted.where("place = 'p00'").collect()}
+    assert first["a", 0.49] == 8.0 and first["a", 0.51] == pytest.approx(11 + 0.01 + 5)
+    assert first["dn", 0.51] == pytest.approx(22.01)
+
+
+def test_forest_backtest_matches_prediction(spark):
+    samples = features.window_samples(wide_panel(spark, 12), ["a", "dn"])
+    models = {}
+    for i, m in enumerate(["a", "dn"]):
+        rows = samples.select("state", "place", "year", features.target_vector("x", i, 2).alias("features"),
+                              F.element_at("y", i + 1).alias("y"))
+        models[m] = forest.QuantileForest(num_trees=5, max_depth=4, min_leaf=2).fit(rows, ["state", "place", "year"])
+    out = project.backtest_forest(samples, models)
+    assert out.count() == samples.count() * 2
+    assert out.join(samples.withColumn("year", F.col("year") + 1), ["state", "place", "year"]).where(
+        "actual <> y[CASE metric WHEN 'a' THEN 0 ELSE 1 END]").count() == 0
+    direct = models["a"].predict(samples.select("state", "place", "year", features.target_vector("x", 0, 2).alias("f")),
+                                 [0.5], ["state", "place", "year"], "f", "direct")
+    both = out.where("metric = 'a'").join(direct.withColumn("year", F.col("year") + 1), ["state", "place", "year"])
+    assert both.count() == samples.count() and both.where("abs(pred - greatest(direct[0], 0)) > 1e-9").count() == 0
+
+
+def test_leaf_values_come_from_the_leaf(spark):
+    df = regression_rows(spark, 300).cache()
+    model = forest.QuantileForest(num_trees=3, max_depth=4).fit(df, ["id"])
+    placed = {}
+    for r in model.leaf_column(df, F.col("features"), "leaf").collect():
+        for tree, leaf in enumerate(r["leaf"]):
+            placed.setdefault((tree, int(leaf)), set()).add(r["y"])
+    drawn = {(r["tree"], r["leaf"]): r["value"] for r in model.leaves.collect()}
+    assert drawn.keys() == placed.keys()
+    assert all(v in placed[k] for k, v in drawn.items())
+    scored = model.predict(df, [0.3], ["id"]).first()
+    row = model.leaf_column(df.where(F.col("id") == scored["id"]), F.col("features"), "leaf").first()
+    assert scored["pred"][0] == pytest.approx(np.quantile([drawn[t, int(v)] for t, v in enumerate(row["leaf"])], 0.3))
