@@ -124,6 +124,10 @@ GROUP BY col, row"""
 ORACLES["typed_reread"] = """SELECT o_orderstatus, count(*) AS n, max(o_custkey) AS last_customer,
   round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 6) + 0.0 AS total FROM orders GROUP BY o_orderstatus"""
 
+ORACLES["predicate_filter"] = """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority, count(*) AS n
+FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND o_orderstatus IN ('F', 'O') AND o_orderpriority <> '5-LOW'
+GROUP BY ALL"""
+
 ORACLES["vintage_union"] = f"""WITH {OLD},
 codes AS (SELECT 'S0101_' || c || '_' || lpad(CAST(x AS VARCHAR), 3, '0') || 'E' AS metric
           FROM (VALUES ('C01'), ('C02'), ('C03'), ('C05')) v(c), range(1, 20) g(x)),

@@ -108,6 +108,16 @@ def typed_reread(spark, sf):
                                                r(money).alias("total"))
 
 
+@query
+def predicate_filter(spark, sf):
+    orders = P.table(spark, sf, "orders").select("o_orderdate", "o_orderstatus", "o_orderpriority")
+    start, end = (F.lit(d).cast("timestamp_ntz") for d in ("1996-01-01", "1999-01-01"))
+    inside = orders.where((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end)
+                          & F.col("o_orderstatus").isin("F", "O") & (F.col("o_orderpriority") != "5-LOW"))
+    return inside.groupBy(F.year("o_orderdate").cast("int").alias("year"), "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query
 def vintage_union(spark, sf):
     old, new = P.releases(spark, sf)
