@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.sizing import checked_broadcast, cut_lineage
 
 VERSION = "WARC/1.1"
-#: What ends a record, and what stands between two; the latter never occurs within a block, see ``_chunks``.
+#: What ends a record, and what stands between two; the latter occurs nowhere else, see ``_chunks``.
 ENDING, BETWEEN = "\r\n\r\n", f"\r\n\r\n{VERSION}\r\n"
 #: Characters of a payload in one record; longer ones go on in continuation records.
 CHUNK_CHARS = 1 << 20
@@ -61,15 +61,17 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 
 def _chunks(payload: str, chunk_chars: int) -> Iterator[str]:
-    """Pieces of a payload; none holds the text between two records, because each of its places is cut through."""
+    """Pieces of a payload.  With the line ends that stand around it none makes up the text between two records: a piece ends
+    behind the first letter of the version in every such place.
+    """
     start = 0
     while True:
-        stop = min(len(payload), start + chunk_chars)
-        found = payload.find(BETWEEN, start, stop)
-        if found >= 0:
-            stop = found + len(BETWEEN) - 1
-        yield payload[start:stop]
-        start = stop
+        piece = payload[start:start + chunk_chars]
+        found = (ENDING + piece + BETWEEN).find(BETWEEN)
+        if found < len(ENDING) + len(piece):
+            piece = piece[:found + 1]
+        yield piece
+        start += len(piece)
         if start >= len(payload):
             return
 
