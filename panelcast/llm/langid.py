@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents learnt from, about, for each language; they are chosen by hash.
-SAMPLE_PER_LANGUAGE = 2_000
+SAMPLE_PER_LANGUAGE = 800
 #: Hashed features: half for three neighbouring bytes, half for four.
-FEATURES = 1 << 15
+FEATURES = 1 << 14
+#: Partitions of the sample, and SVMs fitted at once.
+SAMPLE_PARTITIONS, AT_ONCE = 4, 3
 #: Bytes of a text hashed at once.
 BLOCK = 1 << 20
 UNDETERMINED = "und"
@@ -45,8 +48,8 @@ def _features(text: str) -> Iterator[np.ndarray]:
         three = b[:-2] | b[1:-1] << 8 | b[2:] << 16
         four = three[:-1] | b[3:] << 24
         half = FEATURES // 2
-        yield np.concatenate([(three[:BLOCK] * np.uint32(2654435761) >> np.uint32(18)) % half,
-                              (four[:BLOCK] * np.uint32(2246822519) >> np.uint32(18)) % half + half]).astype(np.int64)
+        yield np.concatenate([(three[:BLOCK] * np.uint32(2654435761) >> np.uint32(19)) % half,
+                              (four[:BLOCK] * np.uint32(2246822519) >> np.uint32(19)) % half + half]).astype(np.int64)
 
 
 def has_letters(text: str | None) -> bool:
@@ -116,31 +119,30 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
                     yield pa.RecordBatch.from_pylist([{"lang": lang, "at": at.tolist(), "value": (total[at] * SCALE / total.sum()).tolist()}])
 
     vector = F.udf(lambda at, value: SparseVector(FEATURES, at, value), VectorUDT())
-    cores = drawn.sparkSession.sparkContext.defaultParallelism
     sample = (drawn.mapInArrow(featurise, "lang string, at array<long>, value array<double>")
-              .select("lang", vector("at", "value").alias("features")).repartition(cores).persist())
-    pairs, weights, intercepts = [], [], []
+              .select("lang", vector("at", "value").alias("features")).repartition(SAMPLE_PARTITIONS).persist())
 
-    def learn(a: str, b: str, one: list[str], two: list[str]) -> None:
+    def learn(pair: tuple[list[str], list[str]]) -> tuple[np.ndarray, float]:
+        one, two = pair
         found = sample.where(F.col("lang").isin(one + two)).select(
             F.col("lang").isin(one).cast("double").alias("label"), "features")
-        svm = LinearSVC(maxIter=25, regParam=1e-4, standardization=False, tol=1e-3).fit(found)
-        pairs.append((a, b))
-        weights.append(svm.coefficients.toArray())
-        intercepts.append(svm.intercept)
+        svm = LinearSVC(maxIter=15, regParam=1e-4, standardization=False, tol=1e-3).fit(found)
+        return svm.coefficients.toArray(), svm.intercept
 
     members: dict[str, list[str]] = {}
     for name in sorted(r.lang for r in sample.select("lang").distinct().collect()):
         members.setdefault(families.get(name, f"own:{name}"), []).append(name)
     groups = tuple(sorted(members))
-    for a, b in combinations(groups, 2):
-        learn(a, b, members[a], members[b])
+    pairs = [(a, b) for a, b in combinations(groups, 2)]
+    sides = [(members[a], members[b]) for a, b in pairs]
     for group in groups:
-        for a, b in combinations(members[group], 2):
-            learn(a, b, [a], [b])
+        pairs += combinations(members[group], 2)
+        sides += [([a], [b]) for a, b in combinations(members[group], 2)]
+    with ThreadPool(AT_ONCE) as pool:  # a fit is many short jobs, several fits fill the gaps
+        fitted = pool.map(learn, sides)
     sample.unpersist()
     return Model(groups, {g: tuple(m) for g, m in members.items()}, tuple(pairs),
-                 np.array(weights).reshape(-1, FEATURES), np.array(intercepts))
+                 np.array([w for w, _ in fitted]).reshape(-1, FEATURES), np.array([i for _, i in fitted]))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
