@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.codes import AGE_METRICS, KEYS, TIME, TOTAL_KEY, measures
 from panelcast.operators.quantiles import exact_quantiles
 from panelcast.operators.shape import to_long
-from panelcast.operators.sizing import fetch_small, local_table
-
-# Groups whose curves are held by the driver: at most this many times ``points`` rows.
-MAX_LOCAL_GROUPS = 500
 
 
 def with_totals(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[str] = KEYS,
@@ -46,13 +41,18 @@ def age_profile(df: DataFrame, place: str, bins: Sequence[str] = AGE_METRICS, t:
 
 def histogram_density(df: DataFrame, x: str, lo: float, hi: float, bins: int = 30,
                       by: Sequence[str] = ()) -> DataFrame:
-    """Density per equal-width bin of the values within [lo, hi]."""
+    """Density per equal-width bin of the values within [lo, hi], empty bins included.
+
+    A group without a value in the range has no rows.
+    """
     width = (hi - lo) / bins
     bin_no = F.least(F.floor((F.col(x) - lo) / width), F.lit(bins - 1)).cast("int")
-    counts = (df.where(F.col(x).between(lo, hi)).groupBy(*by, bin_no.alias("bin"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    everything = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    density = F.col("n") / (F.sum("n").over(everything) * F.lit(width))
+    # One row per group and filled bin, then a map of at most ``bins`` entries per group.
+    filled = (df.where(F.col(x).between(lo, hi)).groupBy(*by, bin_no.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+              .groupBy(*by).agg(F.sum("_n").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_b", "_n"))).alias("_bins")))
+    counts = (filled.where("_all > 0").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+              .withColumn("n", F.coalesce(F.try_element_at("_bins", F.col("bin")), F.lit(0).cast("long"))))
+    density = F.col("n") / (F.col("_all") * F.lit(width))
     return counts.select(*by, "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_start"), "n",
                          density.alias("density"))
 
@@ -72,14 +72,11 @@ def kde(df: DataFrame, x: str, by: Sequence[str], lo: float, hi: float, points:
 
     Values are split linearly between the two nearest of ``points`` bins spanning
     [lo - 4 bw, hi + 4 bw], which one partial aggregate does for any number of rows;
-    the curve is then a sum over bins, a fixed amount of work per group.
+    the curve is then a sum over bins, a fixed amount of work per group.  A group of one value has no bandwidth and no curve.
     """
     by = list(by)
     used = df.where(F.col(x).between(lo, hi)).select(*by, F.col(x).cast("double").alias("_x"))
-    used = used.persist(StorageLevel.MEMORY_AND_DISK)
-    widths = bandwidth(used, "_x", by)
-    local = fetch_small(widths, MAX_LOCAL_GROUPS)
-    bw = widths if local is None else F.broadcast(local_table(df.sparkSession, local, widths))
+    bw = bandwidth(used, "_x", by).where("bw is not null")
     start = F.lit(lo) - 4 * F.col("bw")
     step = (F.lit(hi - lo) + 8 * F.col("bw")) / (points - 1)
     pos = (F.col("_x") - start) / step
@@ -87,15 +84,12 @@ def kde(df: DataFrame, x: str, by: Sequence[str], lo: float, hi: float, points:
     frac = pos - F.floor(pos)
     shares = F.inline(F.array(F.struct(cell.alias("_bin"), (1 - frac).alias("_m")),
                               F.struct((cell + 1).alias("_bin"), frac.alias("_m"))))
-    masses = used.join(bw, by).select(*by, shares).groupBy(*by, "_bin").agg(F.sum("_m").alias("_mass"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
+    masses = used.join(bw, by).select(*by, "bw", "n", shares).groupBy(*by, "bw", "n", "_bin").agg(F.sum("_m").alias("_mass"))
+    # The bins of a group, ``points`` at most, in one row; every point of its curve is a sum over them.
+    bins = masses.groupBy(*by, "bw", "n").agg(F.collect_list(F.struct(
+        (start + F.col("_bin") * step).alias("at"), F.col("_mass").alias("m"))).alias("_bins"))
     at = F.lit(lo) + F.col("i") * F.lit((hi - lo) / (points - 1))
-    u = (F.col("x") - (start + F.col("_bin") * step)) / F.col("bw")
-    kernel = F.exp(-0.5 * u * u) / (F.col("bw") * F.sqrt(2 * F.pi()))
-    curve = (masses.join(bw, by).select("*", grid).withColumn("x", at)
-             .groupBy(*by, "i", "x").agg((F.sum(F.col("_mass") * kernel) / F.max("n")).alias("density")))
-    if local is None:
-        return curve
-    result = local_table(df.sparkSession, curve.toArrow(), curve)
-    used.unpersist()
-    return result
+    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
+    height = F.expr("aggregate(_bins, 0D, (s, b) -> s + b.m * exp(-0.5D * pow((x - b.at) / bw, 2)))")
+    return (bins.select("*", grid).withColumn("x", at)
+            .select(*by, "i", "x", (height / (F.col("n") * F.col("bw") * F.sqrt(2 * F.pi()))).alias("density")))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,9 +146,8 @@ def assign_clusters(series: DataFrame, centres: np.ndarray, gamma: float = 0.01,
 def _moved_centres(series: DataFrame, centres: np.ndarray, gamma: float) -> np.ndarray:
     """One barycentre step: every centre step becomes the mean of what is aligned to it.
 
-    Each task reduces its series to one sum per centre, and those sums are added per
-    centre: a group holds one row per task, so a cluster holding most series costs no
-    more than an even one.
+    Each task reduces its series to one sum per centre and cell; Spark adds the cells up, partially where they are
+    made, so neither a crowded cluster nor the number of tasks gathers anything in one place.
     """
     k, steps, m = centres.shape
     values, alignment = soft_dtw_kernel(gamma)
@@ -164,26 +162,29 @@ def _moved_centres(series: DataFrame, centres: np.ndarray, gamma: float) -> np.n
                 total[c] += np.einsum("nts,ntm->sm", e, mine)
                 mass[c] += e.sum((0, 1))
         for c in np.flatnonzero(mass.sum(1) > 0):
+            # A centre's cells: steps x measures totals, then a mass per step.
+            values_of = np.concatenate([total[c].ravel(), mass[c]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([c], pa.int32()), pa.array([total[c].ravel()], pa.list_(pa.float64())),
-                 pa.array([mass[c]], pa.list_(pa.float64()))], ["c", "total", "mass"])
+                [pa.array(np.full(len(values_of), c, "int32")), pa.array(np.arange(len(values_of), dtype="int32")),
+                 pa.array(values_of)], ["c", "cell", "value"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"c": pdf["c"].iloc[:1], "total": [np.sum(np.vstack(pdf["total"]), axis=0)],
-                             "mass": [np.sum(np.vstack(pdf["mass"]), axis=0)]})
-
-    shape = "c int, total array<double>, mass array<double>"
-    parts = _on_series(series, centres, (), shape, work)
+    parts = _on_series(series, centres, (), "c int, cell int, value double", work)
+    sums = np.zeros((k, steps * (m + 1)))
+    for row in parts.groupBy("c", "cell").agg(F.sum("value").alias("value")).toArrow().to_pylist():
+        sums[row["c"], row["cell"]] = row["value"]
     moved = centres.copy()
-    for row in parts.groupBy("c").applyInPandas(add, shape).toArrow().to_pylist():
-        mass = np.array(row["mass"])
-        moved[row["c"]] = np.array(row["total"]).reshape(steps, m) / mass[:, None]
+    for c in np.flatnonzero(sums.any(1)):
+        moved[c] = sums[c, :steps * m].reshape(steps, m) / sums[c, steps * m:, None]
     return moved
 
 
 def fit_centres(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, max_iter: int = 20,
-                tol: float = 1e-6, keys: Sequence[str] = KEYS) -> np.ndarray:
-    """Soft-DTW k-means centres (k, steps, measures), started from the ``k`` lowest md5 values (K2)."""
+                tol: float = 1e-6, keys: Sequence[str] = KEYS) -> tuple[np.ndarray, bool]:
+    """Soft-DTW k-means centres (k, steps, measures) and whether they settled within ``max_iter`` rounds (K2).
+
+    They start from the series with the ``k`` lowest md5 values; settled means that no coordinate moved by more than ``tol``
+    times the largest one.
+    """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys]))
     first = series.orderBy(digest, *keys).limit(k).collect()
     centres = np.array([r["series"] for r in first], dtype=float)
@@ -193,15 +194,19 @@ def fit_centres(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123,
         step = np.abs(moved - centres).max()
         centres = moved
         if step <= tol * max(1.0, np.abs(centres).max()):
-            break
-    return centres
+            return centres, True
+    return centres, False
 
 
 def cluster_series(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, max_iter: int = 20,
                    keys: Sequence[str] = KEYS) -> DataFrame:
-    """``(keys, cluster, distance)`` after clustering; ``series`` is written once and read per round (K2)."""
+    """``(keys, cluster, distance, settled)``; ``series`` is written once and read per round (K2).
+
+    ``settled`` says whether the centres came to rest within ``max_iter`` rounds.
+    """
     series = cut_lineage(spread(series, *keys))
-    return assign_clusters(series, fit_centres(series, k, gamma, seed, max_iter, keys=keys), gamma, keys)
+    centres, settled = fit_centres(series, k, gamma, seed, max_iter, keys=keys)
+    return assign_clusters(series, centres, gamma, keys).withColumn("settled", F.lit(settled))
 
 
 def exemplars(assignment: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

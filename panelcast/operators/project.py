@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.codes import KEYS, RESIDUAL, TIME
 from panelcast.functions.numeric import weighted_sum_sql
+from panelcast.operators import forest
 from panelcast.operators.features import SERIES, target_vector
 from panelcast.operators.forest import QuantileForestModel
 from panelcast.operators.shape import with_quantile_dim
@@ -60,9 +61,17 @@ def _floor_sql(by: Sequence[str], floor: Floor) -> str:
 
 
 def conformal_shift(qhat: Mapping[tuple[str, float], float], metric: str, level: float) -> float:
-    """What conformal calibration adds to a measure's prediction at a quantile level."""
+    """What conformal calibration adds to a measure's prediction at a quantile level.
+
+    An empty ``qhat`` means uncalibrated; one without this measure and level is an error.
+    """
     sign = -1.0 if level < 0.5 else 1.0 if level > 0.5 else 0.0
-    return sign * qhat.get((metric, round(min(level, 1 - level), 6)), 0.0)
+    if not sign or not qhat:
+        return 0.0
+    key = (metric, round(min(level, 1 - level), 6))
+    if key not in qhat:
+        raise KeyError(f"no qhat for {key}")
+    return sign * qhat[key]
 
 
 def project_linear(df: DataFrame, scorer: LinearScorer, at: int, steps: int, quantiles: Sequence[float],
@@ -111,7 +120,7 @@ def _forest_quantiles(rows: DataFrame, models: Mapping[str, QuantileForestModel]
     """
     columns, metrics = rows.columns, list(models)
     vectors = [target_vector(x, i, len(metrics), lookback) for i in range(len(metrics))]
-    if not all(model.fits_locally() for model in models.values()):
+    if sum(model.num_leaves for model in models.values()) > forest.MAX_LOCAL_LEAVES:
         for i, m in enumerate(metrics):
             rows = models[m].predict(rows.withColumn("_f", vectors[i]), levels, ids, "_f", f"_p_{i}").drop("_f")
         return rows
@@ -133,7 +142,8 @@ def project_forest(windows: DataFrame, models: Mapping[str, QuantileForestModel]
 
     ``windows`` holds ``(keys, x)`` from :func:`latest_window`, its columns in the order
     of ``models``.  Each step scores every measure, moves it by its conformal shift,
-    clips it and appends the row; the state is checkpointed every ``cut_every`` steps.
+    clips it and appends the row.  Every ``cut_every`` steps the state is checkpointed, its new rows go to the result and it
+    is cut back to one window, so what is written grows with the steps, not with their square.
     """
     metrics = list(models)
     levels = sorted({float(q) for q in quantiles})
@@ -144,14 +154,19 @@ def project_forest(windows: DataFrame, models: Mapping[str, QuantileForestModel]
         return _clipped_sql(f"_p_{i}[{which}] + CASE q {shift} END", _floor_of(floor, m))
 
     row = ", ".join(next_value(i, m) for i, m in enumerate(metrics))
-    state = with_quantile_dim(windows.select(*keys, "x"), levels)
+    window = f"slice(x, -{lookback + 1}, {lookback + 1})"
+    state = with_quantile_dim(windows.select(*keys, "x"), levels).withColumn("x", F.expr(window))
+    out, done = None, 0
     for step in range(1, steps + 1):
-        framed = state.withColumn("_w", F.expr(f"slice(x, -{lookback + 1}, {lookback + 1})"))
+        framed = state.withColumn("_w", F.expr(window))
         scored = _forest_quantiles(framed, models, "_w", levels, [*keys, "q"], lookback)
         state = scored.selectExpr(*keys, "q", f"concat(x, array(array({row}))) AS x")
         if step % cut_every == 0 or step == steps:
             state = cut_lineage(state)
-    return _paths_to_long(state, metrics, at, lookback, keys, t)
+            part = _paths_to_long(state, metrics, at + done, lookback, keys, t)
+            out, done = part if out is None else out.unionByName(part), step
+            state = state.withColumn("x", F.expr(window))
+    return out
 
 
 def backtest_forest(samples: DataFrame, models: Mapping[str, QuantileForestModel], floor: Floor = 0.0,
@@ -166,6 +181,21 @@ def backtest_forest(samples: DataFrame, models: Mapping[str, QuantileForestModel
 Scorer = Callable[[np.ndarray, float], np.ndarray]
 
 
+def _windows(column: pa.Array, measures: int) -> np.ndarray:
+    """Windows of equal length as (rows, steps, measures); a missing value is NaN."""
+    flat = column.flatten().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1, measures) if len(column) else flat.reshape(0, 0, measures)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """An array of two or three dimensions as nested lists."""
+    out = pa.array(np.ascontiguousarray(values, dtype=float).ravel())
+    for axis in range(values.ndim - 1, 0, -1):
+        rows = int(np.prod(values.shape[:axis]))
+        out = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * values.shape[axis]), out)
+    return out
+
+
 def project_sequences(windows: DataFrame, scorer: Scorer, metrics: Sequence[str], at: int, steps: int,
                       quantiles: Sequence[float], qhat: Mapping[tuple[str, float], float] | None = None,
                       floor: Floor = 0.0, lookback: int = 6, keys: Sequence[str] = KEYS, t: str = TIME) -> DataFrame:
@@ -178,19 +208,22 @@ def project_sequences(windows: DataFrame, scorer: Scorer, metrics: Sequence[str]
     bottom = np.array([-np.inf if f is None else f for f in floors])
     shifts = {float(q): np.array([conformal_shift(qhat or {}, name, q) for name in metrics]) for q in quantiles}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for q, part in pdf.groupby("q"):
-                path = np.array([[list(r) for r in x] for x in part["x"]], dtype=float)
-                for _ in range(steps):
-                    nxt = np.asarray(scorer(path[:, -(lookback + 1):, :], float(q))).reshape(-1, m) + shifts[q]
-                    path = np.concatenate([path, np.maximum(nxt, bottom)[:, None, :]], axis=1)
-                yield part[[*keys, "q"]].assign(x=[p.tolist() for p in path])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = batch.column("q").to_numpy()
+            for q in np.unique(levels):
+                part = batch.filter(pa.array(levels == q))
+                past = _windows(part.column("x"), m)
+                path = np.concatenate([past, np.empty((len(past), steps, m))], axis=1)
+                for end in range(past.shape[1], path.shape[1]):
+                    nxt = np.asarray(scorer(path[:, end - lookback - 1:end, :], float(q))).reshape(-1, m) + shifts[q]
+                    path[:, end] = np.maximum(nxt, bottom)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*keys, "q")), _lists(path)], [*keys, "q", "x"])
 
     state = with_quantile_dim(windows.select(*keys, "x"), quantiles)
     out = T.StructType([state.schema[c] for c in (*keys, "q")] +
                        [T.StructField("x", T.ArrayType(T.ArrayType(T.DoubleType())))])
-    paths = state.select(*keys, "q", "x").mapInPandas(run, out)
+    paths = state.select(*keys, "q", "x").mapInArrow(run, out)
     return _paths_to_long(paths, metrics, at, lookback, keys, t)
 
 
@@ -205,18 +238,20 @@ def score_sequences(samples: DataFrame, scorer: Scorer, metrics: Sequence[str],
     bottom = np.array([-np.inf if f is None else f for f in floors])
     levels = [float(q) for q in quantiles]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, t, "y"]
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.array([[list(r) for r in w] for w in pdf["x"]], dtype=float)
+            x = _windows(batch.column("x"), m)
             for q in levels:
-                pred = np.maximum(np.asarray(scorer(x, q)).reshape(-1, m), bottom)
-                yield pdf[[*keys, t, "y"]].assign(q=q, pred=list(pred))
+                pred = np.maximum(np.asarray(scorer(x, q), dtype=float).reshape(-1, m), bottom)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in names), pa.array(np.full(len(x), q)), _lists(pred)], [*names, "q", "pred"])
 
     rows = samples.select(*keys, t, "x", "y")
     out = T.StructType([rows.schema[c] for c in (*keys, t, "y")] + [
         T.StructField("q", T.DoubleType()), T.StructField("pred", T.ArrayType(T.DoubleType()))])
     cells = ", ".join(f"struct('{name}' AS target, pred[{i}] AS pred, y[{i}] AS y)" for i, name in enumerate(metrics))
-    return rows.mapInPandas(run, out).selectExpr(
+    return rows.mapInArrow(run, out).selectExpr(
         *keys, f"CAST({t} + 1 AS INT) AS {t}", "q", f"inline(array({cells}))")

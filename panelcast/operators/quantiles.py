@@ -1,28 +1,30 @@
 """Exact quantiles that never gather an unbounded group in one task.
 
-Equal values are merged first, and every group is counted.  Where all groups are
-small, one window per group finishes the job.  Otherwise a mergeable sketch cuts the
-groups into buckets of about equal size, bucket totals say which bucket holds each
-wanted position, and only those buckets are sorted.  The sketch decides nothing but
-where the cuts fall, so the answer is exact however rough it is.
+One aggregated row, the size of the largest group and the number of groups, says how often groups must be
+cut.  A cut takes a mergeable sketch of the raw column, sums the weights between its points where the rows are read, and opens
+only the buckets that hold a wanted position; they are cut again until a bucket is small enough for one
+window.  The sketch decides nothing but where the cuts fall, so the answer is exact however rough it is.
+The result is a DataFrame in every case, nothing is cached or passes through the driver; opened buckets, if any, are
+kept in the checkpoint folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.sizing import checked_broadcast, fetch_small, local_table
+from panelcast.operators.sizing import cut_lineage
 
 BUCKETS = 64
 SKETCH_ACCURACY = 2_000
-MAX_LOCAL_GROUPS = 5_000
-# Different values a single window task may sort.
+# A bucket holds at most this share of what was cut: 1 / BUCKETS and the error of the sketch on both sides.
+SHRINK = 32
+# Rows a single window task may sort.
 SMALL_GROUP = 200_000
+# Groups up to which cuts and hits, a row for each group and position, are sent to the executors.
+SENT_GROUPS = 10_000
 
 Position = Callable[[Column], Column]
 
@@ -34,70 +36,75 @@ def _values_at(df: DataFrame, by: Sequence[str], x: str, positions: Sequence[Pos
     A position is a function of the group's total weight ``n``.  A value covers
     [before, upto), or (before, upto] if ``right_closed``.
     """
-    by, spark = list(by), df.sparkSession
-    w = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    used = df.where(F.col(x).isNotNull())
+    by = list(by)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), w.alias("_w"))
     if weight is not None:
-        used = used.where(F.col(weight) > 0)
-    values = used.groupBy(*by, F.col(x).cast("double").alias("_x")).agg(w.cast("double").alias("_w"))
-    values = values.persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = fetch_small(values.groupBy(*by).agg(F.count(F.lit(1)).alias("_d")), MAX_LOCAL_GROUPS)
-    if sizes is not None and (sizes.num_rows == 0 or pc.max(sizes["_d"]).as_py() <= small_group):
-        found = _in_windows(values, by, positions, right_closed)
-    else:
-        found = _in_buckets(values, by, positions, right_closed, few_groups=sizes is not None)
-    if sizes is None:
-        return found
-    result = local_table(spark, found.toArrow(), found)
-    values.unpersist()
-    return result
+        rows = rows.where("_w > 0")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_d"))
+    largest, groups = sizes.agg(F.max("_d"), F.count(F.lit(1))).first()
+    levels, left = 0, largest or 0
+    while left > max(1, small_group):
+        levels, left = levels + 1, left / SHRINK
+    if not levels:
+        return _in_windows(rows, by, positions, right_closed)
+    return _in_buckets(rows, by, positions, right_closed, levels, F.broadcast if groups <= SENT_GROUPS else lambda df: df)
 
 
 def _reached(cum: str, pos: Column, right_closed: bool) -> Column:
     return F.col(cum) >= pos if right_closed else F.col(cum) > pos
 
 
-def _in_windows(values: DataFrame, by: list[str], positions: Sequence[Position], right_closed: bool) -> DataFrame:
+def _merged(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Equal values of a group as one row with their weight."""
+    return rows.groupBy(*by, "_x").agg(F.sum("_w").alias("_w"))
+
+
+def _in_windows(rows: DataFrame, by: list[str], positions: Sequence[Position], right_closed: bool) -> DataFrame:
     """Positions of groups known to be small: one cumulative window."""
     ordered = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    running = values.select(*by, "_x", F.sum("_w").over(ordered).alias("_cum"),
-                            F.sum("_w").over(Window.partitionBy(*by)).alias("n"))
+    running = _merged(rows, by).select(*by, "_x", F.sum("_w").over(ordered).alias("_cum"),
+                                       F.sum("_w").over(Window.partitionBy(*by)).alias("n"))
     first = [F.coalesce(F.min(F.when(_reached("_cum", p(F.col("n")).cast("double"), right_closed), F.col("_x"))),
                         F.max("_x")) for p in positions]
     at = running.groupBy(*by, "n").agg(F.array(*first).alias("_v"))
     return at.select(*by, F.posexplode("_v").alias("i", "v"), "n")
 
 
-def _in_buckets(values: DataFrame, by: list[str], positions: Sequence[Position], right_closed: bool,
-                few_groups: bool) -> DataFrame:
-    """Positions of groups of any size: sort only the buckets that hold one."""
-    cuts = F.percentile_approx("_x", [i / BUCKETS for i in range(1, BUCKETS)], SKETCH_ACCURACY)
-    groups = values.groupBy(*by).agg(F.sum("_w").alias("n"), cuts.alias("_cuts"))
-    if few_groups:
-        groups = checked_broadcast(groups, MAX_LOCAL_GROUPS)
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
-    placed = values.join(groups.select(*by, "_cuts"), by).select(*by, "_x", "_w", bucket.alias("_b"))
-
-    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    totals = placed.groupBy(*by, "_b").agg(F.sum("_w").alias("_bw"))
-    spans = totals.select(*by, "_b", F.sum("_bw").over(upto).alias("_upto"),
-                          (F.sum("_bw").over(upto) - F.col("_bw")).alias("_before"),
-                          (F.max("_b").over(Window.partitionBy(*by)) == F.col("_b")).alias("_last"))
+def _in_buckets(rows: DataFrame, by: list[str], positions: Sequence[Position], right_closed: bool, levels: int,
+                sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Positions of groups of any size: ``levels`` cuts, then a window over each bucket that holds one."""
     wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), p(F.col("n")).cast("double").alias("_pos"))
                                  for i, p in enumerate(positions)])).alias("_p")
-    asked = groups.select(*by, "n", wanted).select(*by, "n", "_p.i", "_p._pos")
-    pos, before, end = F.col("_pos"), F.col("_before"), F.col("_upto")
-    if right_closed:
-        inside = ((pos > before) | ((before == 0) & (pos <= 0))) & ((pos <= end) | F.col("_last"))
-    else:
-        inside = (pos >= before) & ((pos < end) | F.col("_last"))
-    hits = checked_broadcast(spans.join(asked, by).where(inside).select(*by, "_b", "_before", "n", "i", "_pos"))
-
-    within = Window.partitionBy(*by, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    opened = placed.join(hits.select(*by, "_b", "_before").distinct(), [*by, "_b"])
-    running = opened.select(*by, "_b", "_x", (F.col("_before") + F.sum("_w").over(within)).alias("_cum"))
-    first = F.coalesce(F.min(F.when(_reached("_cum", pos, right_closed), F.col("_x"))), F.max("_x"))
-    return (running.join(hits.select(*by, "_b", "n", "i", "_pos"), [*by, "_b"])
+    asked = (rows.groupBy(*by).agg(F.sum("_w").alias("n")).select(*by, "n", wanted)
+             .select(*by, "n", "_p.i", "_p._pos", F.lit(0.0).alias("_before")))
+    path, cut = list(by), F.percentile_approx("_x", [i / BUCKETS for i in range(1, BUCKETS)], SKETCH_ACCURACY)
+    for level in range(levels):
+        b = f"_b{level}"
+        cuts = rows.groupBy(*path).agg(cut.alias("_cuts"))
+        bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
+        placed = rows.join(sent(cuts), path).select(*path, bucket.alias(b), "_x", "_w")
+        upto = Window.partitionBy(*path).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)
+        totals = placed.groupBy(*path, b).agg(F.sum("_w").alias("_bw"))
+        spans = totals.select(*path, b, F.sum("_bw").over(upto).alias("_upto"), "_bw",
+                              (F.max(b).over(Window.partitionBy(*path)) == F.col(b)).alias("_last"))
+        pos, before, end = F.col("_pos"), F.col("_from"), F.col("_to")
+        if right_closed:
+            inside = ((pos > before) | F.col("_first")) & ((pos <= end) | F.col("_last"))
+        else:
+            inside = ((pos >= before) | F.col("_first")) & ((pos < end) | F.col("_last"))
+        asked = (spans.join(sent(asked), path).withColumns({
+            "_to": F.col("_before") + F.col("_upto"), "_from": F.col("_before") + F.col("_upto") - F.col("_bw"),
+            "_first": F.col("_upto") == F.col("_bw")})
+            .where(inside).select(*path, b, "n", "i", "_pos", F.col("_from").alias("_before")))
+        path = [*path, b]
+        # Both are small beside what was cut; written down, so the next cut reads nothing else.
+        asked = cut_lineage(asked)
+        rows = cut_lineage(placed.join(sent(asked.select(*path).distinct()), path, "left_semi"))
+    within = Window.partitionBy(*path).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    running = _merged(rows, path).select(*path, "_x", F.sum("_w").over(within).alias("_in"))
+    first = F.coalesce(F.min(F.when(_reached("_cum", F.col("_pos"), right_closed), F.col("_x"))), F.max("_x"))
+    return (running.join(sent(asked), path).withColumn("_cum", F.col("_before") + F.col("_in"))
             .groupBy(*by, "i", "n").agg(first.alias("v")))
 
 

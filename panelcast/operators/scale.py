@@ -38,10 +38,15 @@ def fit_global_sd(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def scale_global(df: DataFrame, sd: DataFrame, value: str = "value") -> DataFrame:
-    """Divide every value by the global sd."""
-    return df.withColumn(value, F.try_divide(F.col(value), F.lit(sd.first()["sd_all"])))
+    """Divide every value by the global sd, a one-row table."""
+    return df.join(F.broadcast(_one_row(sd))).withColumn(value, F.try_divide(F.col(value), F.col("_sd_all"))).select(*df.columns)
 
 
 def unscale_global(df: DataFrame, sd: DataFrame, value: str = "value") -> DataFrame:
-    """Multiply every value by the global sd."""
-    return df.withColumn(value, F.col(value) * F.lit(sd.first()["sd_all"]))
+    """Multiply every value by the global sd, a one-row table."""
+    return df.join(F.broadcast(_one_row(sd))).withColumn(value, F.col(value) * F.col("_sd_all")).select(*df.columns)
+
+
+def _one_row(sd: DataFrame) -> DataFrame:
+    """One row whatever the input; without rows the sd is null."""
+    return sd.agg(F.max("sd_all").alias("_sd_all"))

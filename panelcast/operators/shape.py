@@ -105,9 +105,16 @@ def to_wide(df: DataFrame, metrics: Sequence[str], ids: Sequence[str] = (TIME, *
     return df.groupBy(*ids).agg(*[F.expr(f"{max_when_sql(value, name, m)} AS `{m}`") for m in metrics])
 
 
-def transpose(df: DataFrame, row: str, columns: Sequence[str], to: str = "measure") -> DataFrame:
-    """Swap a small report table: one row per column, one column per row label."""
-    return df.select(row, *columns).transpose(row).withColumnRenamed("key", to)
+def transpose(df: DataFrame, row: str, columns: Sequence[str], to: str = "measure",
+              labels: Sequence | None = None) -> DataFrame:
+    """Swap a report table: one row per column, one column per row label, as a pivot.
+
+    ``labels`` fixes the columns; without it they are read from the table, which is then worth only for small ones.
+    """
+    if labels is None:
+        labels = [r[0] for r in df.select(row).distinct().orderBy(row).collect()]
+    cells = df.select(row, *columns).unpivot([row], list(columns), to, "_cell")
+    return cells.groupBy(to).pivot(row, list(labels)).agg(F.max("_cell"))
 
 
 def with_quantile_dim(df: DataFrame, quantiles: Sequence[float], q: str = "q") -> DataFrame:

@@ -11,6 +11,7 @@ from panelcast.operators.clean import clean_sentinel, fill_missing, zero_metrics
 from panelcast.operators.derive import pct_to_count
 from panelcast.operators.relate import decode, split_by_list
 from panelcast.operators.shape import align_vintage, stack_releases
+from panelcast.operators.sizing import cut_lineage
 from panelcast.sources.releases import stack_all
 
 
@@ -38,6 +39,7 @@ def collect_panels(releases: Mapping[int, DataFrame], holdout: DataFrame | None
     stacked = fill_missing(stack_releases(cleaned))
     if legacy_order:
         stacked = clean_sentinel(stacked)
+    stacked = cut_lineage(stacked)  # releases are parsed once, not for the measures and for each panel again
     if holdout is None:
         return stacked.drop(*zero_metrics(stacked)), None
     held, training = split_by_list(stacked, holdout)

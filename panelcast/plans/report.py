@@ -36,6 +36,13 @@ def projection_series(paths: DataFrame, names: Mapping[float, str], bins: Sequen
     return fill_missing(shaped, cols=REPORT_COLUMNS)
 
 
+def with_history(paths: DataFrame, observed: DataFrame, models: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+    """``paths`` with the observed years ``(year, state, place, metric, value)`` in front, once for each model and quantile."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(q)).alias("q")) for m in models for q in quantiles]))
+    before = observed.withColumn("_of", each).select("*", "_of.model", "_of.q").drop("_of")
+    return before.select(*paths.columns).unionByName(paths)
+
+
 def total_comparison(series: DataFrame, paths: Sequence[tuple[str, str]], value: str = "total") -> DataFrame:
     """One column per (model, quantile); the first one decides the rows."""
     return compare_projections({
@@ -49,8 +56,16 @@ def tagged_series(series: DataFrame, value: str = "working_senior_ratio") -> Dat
             .withColumn("quantile_order", in_order("quantile", QUANTILE_ORDER)))
 
 
-def ratio_distribution(series: DataFrame, years: Sequence[int], lo: float = -8.0, hi: float = 10.0) -> DataFrame:
-    """Density of the working/senior ratio by year and model: median paths, entities only."""
+def ratio_distribution(series: DataFrame, years: Sequence[int], lo: float = -8.0, hi: float = 10.0,
+                       last_observed: int | None = None, model: str | None = None) -> DataFrame:
+    """Density of the working/senior ratio by year and model: median paths, entities only.
+
+    Years up to ``last_observed`` are the same for all models; they get one curve, from the rows of ``model``.
+    """
     rows = series.where(F.col(TIME).isin(*years) & (F.col("place") != TOTAL_KEY) & (F.col("quantile") == "Middle"))
     kind = F.concat_ws("_", F.col(TIME).cast("string"), "model")
+    if last_observed is not None:
+        seen = F.col(TIME) <= last_observed
+        rows = rows.where(~seen | (F.col("model") == model))
+        kind = F.when(seen, F.col(TIME).cast("string")).otherwise(kind)
     return kde(rows.withColumn("type", kind), "working_senior_ratio", ["type"], lo, hi)

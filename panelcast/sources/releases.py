@@ -35,9 +35,12 @@ def panel_schema(names: Sequence[str], ids: Sequence[str] = (TIME, *KEYS)) -> T.
 
 
 def read_release(spark: SparkSession, path: str, year: int) -> DataFrame:
-    """One release from CSV with a header, year first, keys as text, measures as doubles."""
+    """One release from CSV with a header, year first, keys as text, measures as doubles.
+
+    What is not a number, such as ``(X)``, ``-`` or ``N``, is null, which the cleaning turns into 0.
+    """
     raw = spark.read.option("header", True).csv(path)
-    typed = raw.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in raw.columns if c not in KEYS])
+    typed = raw.select(*KEYS, *[F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns if c not in KEYS])
     return tag(typed, **{TIME: year})
 
 

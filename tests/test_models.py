@@ -148,7 +148,9 @@ def test_projection_without_local_leaves_is_the_same(spark, monkeypatch):
                               F.element_at("y", i + 1).alias("y"))
         models[m] = forest.QuantileForest(num_trees=5, max_depth=4, min_leaf=2).fit(rows, ["state", "place", "year"])
     windows = features.latest_window(panel, ["a", "dn"], 11)
-    args = (windows, models, {("a", 0.4): 1.0}, 11, 2, [0.4, 0.6])
+    args = (windows, models, {("a", 0.4): 1.0, ("dn", 0.4): 0.0}, 11, 2, [0.4, 0.6])
+    with pytest.raises(KeyError, match="no qhat"):
+        project.project_forest(windows, models, {("a", 0.4): 1.0}, 11, 2, [0.4, 0.6])
     local = project.project_forest(*args)
     monkeypatch.setattr(forest, "MAX_LOCAL_LEAVES", 0)
     joined = project.project_forest(*args)
@@ -193,8 +195,10 @@ def test_sequence_scores_feed_calibration(spark):
     got = {r["target"]: r["qhat"] for r in qhat.collect()}
     assert got == {"a": pytest.approx(1 - 0.01), "dn": pytest.approx(2 - 0.01)}
     windows = features.latest_window(wide_panel(spark, 6), ["a", "dn"], 11)
+    with pytest.raises(KeyError, match="no qhat"):
+        project.project_sequences(windows, steady, ["a", "dn"], 11, 1, [0.49, 0.51], qhat={("a", 0.49): 5.0})
     shifted = project.project_sequences(windows, steady, ["a", "dn"], 11, 1, [0.49, 0.51],
-                                        qhat={("a", 0.49): 5.0}, floor={"a": 8.0, "dn": 1e9})
+                                        qhat={("a", 0.49): 5.0, ("dn", 0.49): 0.0}, floor={"a": 8.0, "dn": 1e9})
     first = {(r["metric"], r["q"]): r["value"] for r in shifted.where("place = 'p00'").collect()}
     assert first["a", 0.49] == 8.0 and first["a", 0.51] == pytest.approx(11 + 0.01 + 5)
     assert first["dn", 0.51] == pytest.approx(22.01)

@@ -123,3 +123,35 @@ def test_densities_integrate_to_one(spark):
     bars = aggregate.histogram_density(df, "x", -8, 10, 30).collect()
     assert sum(r["density"] for r in bars) * (18 / 30) == pytest.approx(1)
     assert sum(r["n"] for r in bars) == 500
+
+
+def test_many_groups_stay_lazy_and_leave_nothing_cached(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.range(24_000).selectExpr("id % 6000 AS g", "CAST(id AS DOUBLE) AS x")
+    got = quantiles.exact_quantiles(df, "x", [0.5], ["g"])
+    assert got.count() == 6000
+    assert got.where("value <> g + 9000").count() == 0
+    curves = aggregate.kde(df.where("g < 600"), "x", ["g"], -10.0, 30_000.0, points=8)
+    assert curves.count() == 600 * 8
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_one_group_over_many_buckets(spark):
+    df = spark.range(20_000).selectExpr("CAST((id * 7919) % 20000 AS DOUBLE) AS x")
+    got = {r["level"]: r["value"] for r in quantiles.exact_quantiles(df, "x", [0.1, 0.5], small_group=1000).collect()}
+    assert got == {0.1: pytest.approx(1999.9), 0.5: pytest.approx(9999.5)}
+
+
+def test_a_group_of_one_value_has_no_curve_and_empty_bins_are_listed(spark):
+    df = spark.createDataFrame([("one", 1.0), ("two", 1.0), ("two", 2.0)], "g string, x double")
+    assert {r["g"] for r in aggregate.kde(df, "x", ["g"], 0.0, 3.0).collect()} == {"two"}
+    bars = aggregate.histogram_density(df, "x", 0.0, 4.0, bins=4, by=["g"]).orderBy("g", "bin").collect()
+    assert [(b["g"], b["n"]) for b in bars] == [("one", n) for n in (0, 1, 0, 0)] + [("two", n) for n in (0, 1, 1, 0)]
+
+
+def test_a_missing_qhat_is_an_error(spark):
+    preds = spark.createDataFrame([("a", 0.1, 1.0), ("a", 0.5, 2.0)], "target string, q double, pred double")
+    qhat = spark.createDataFrame([("a", 0.1, 0.5)], "target string, alpha double, qhat double")
+    assert sorted(r["pred"] for r in conformal.cqr_adjust(preds, qhat).collect()) == [0.5, 2.0]
+    with pytest.raises(Exception, match="no qhat"):
+        conformal.cqr_adjust(preds, qhat.withColumn("alpha", F.lit(0.2))).collect()

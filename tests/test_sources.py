@@ -64,3 +64,10 @@ def test_stages(spark, tmp_path):
     stats = spark.createDataFrame([("m", 2.0, 0.5, -4.0)], "metric string, mean double, sd double, zero_value double")
     stages.save_stats(stats, "scaler")
     assert stages.load_stats("scaler").first() == stats.first()
+
+
+def test_cells_that_are_no_numbers(spark, tmp_path):
+    path = tmp_path / "2018.csv"
+    path.write_text("state,place,S0101_C01_001E\n06,00001,(X)\n06,00002,-\n06,00003,12.5\n06,00004,\n")
+    got = {r["place"]: r["S0101_C01_001E"] for r in releases.read_release(spark, str(path), 2018).collect()}
+    assert got == {"00001": None, "00002": None, "00003": 12.5, "00004": None}

@@ -124,6 +124,15 @@ GROUP BY col, row"""
 ORACLES["typed_reread"] = """SELECT o_orderstatus, count(*) AS n, max(o_custkey) AS last_customer,
   round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 6) + 0.0 AS total FROM orders GROUP BY o_orderstatus"""
 
+ORACLES["read_release_files"] = """WITH c AS (SELECT year, c_custkey, c_nationkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS a,
+  CASE WHEN c_nationkey % 3 = 0 OR c_nationkey % 5 = 0 THEN 0 ELSE c_nationkey + year END AS b FROM customer, (VALUES (2016), (2018)) y(year))
+SELECT CAST(year AS INTEGER) AS year, metric, count(*) AS n, round(CAST(sum(value) AS DOUBLE), 6) + 0.0 AS total,
+       min(lpad(CAST(c_custkey AS VARCHAR), 10, '0')) AS first_place, max(lpad(CAST(c_nationkey AS VARCHAR), 2, '0')) AS last_state
+FROM (SELECT year, c_custkey, c_nationkey, 'S0101_C01_001E' AS metric, a AS value FROM c
+      UNION ALL SELECT year, c_custkey, c_nationkey, 'S0101_C01_002E', b FROM c) GROUP BY year, metric"""
+
+ORACLES["read_lookup_file"] = """SELECT n_name AS state, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"""
+
 ORACLES["predicate_filter"] = """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority, count(*) AS n
 FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND o_orderstatus IN ('F', 'O') AND o_orderpriority <> '5-LOW'
 GROUP BY ALL"""
@@ -394,6 +403,10 @@ ORACLES["unstandardize"] = f"""WITH {YEARLY_MODEL}, {STATS}
 SELECT year, state, place, f.metric, round(CASE WHEN f.metric = 'dn' THEN (value - mean) / sd - 0.5
   ELSE greatest((value - mean) / sd - 0.5, -mean / sd) END * sd + mean, 6) + 0.0 AS value
 FROM f JOIN st ON f.metric = st.metric"""
+ORACLES["scaler_artefact"] = f"""WITH {YEARLY_MODEL},
+st AS (SELECT metric, avg(value) AS mean, stddev_samp(value) AS sd FROM f WHERE year >= 1998 GROUP BY metric)
+SELECT f.metric, count(value) AS n, {rnd('sum((value - mean) / sd)', 6, 'total')}
+FROM f JOIN st ON f.metric = st.metric WHERE year < 1998 GROUP BY f.metric"""
 ORACLES["global_scale"] = f"""WITH {YEARLY_MODEL}
 SELECT metric, {rnd('sum(value) / (SELECT stddev_samp(value) FROM f)', 6, 'scaled_total')},
        {rnd('sum(value) / 2', 6, 'halved_total')} FROM f GROUP BY metric"""
@@ -422,8 +435,8 @@ gr AS (SELECT state, place, max(CASE WHEN year = 1995 THEN v END) AS a, max(CASE
   FROM (SELECT year, state, place, {' + '.join(FIVE)} AS v FROM c) GROUP BY state, place)"""
 ORACLES["histogram_density"] = f"""WITH {GROWTH},
 x AS (SELECT (b - a) / a * 100 AS g FROM gr WHERE a IS NOT NULL AND b IS NOT NULL),
-h AS (SELECT least(floor((g + 250) / (CAST(500 AS DOUBLE) / 30)), 29) AS bin, count(*) AS n
-      FROM x WHERE g BETWEEN -250 AND 250 GROUP BY 1)
+h AS (SELECT r.bin, count(g) AS n FROM range(30) r(bin) LEFT JOIN (
+      SELECT g, least(floor((g + 250) / (CAST(500 AS DOUBLE) / 30)), 29) AS b FROM x WHERE g BETWEEN -250 AND 250) ON b = r.bin GROUP BY 1)
 SELECT CAST(bin AS INTEGER) AS bin, round(-250 + bin * (CAST(500 AS DOUBLE) / 30), 6) + 0.0 AS bin_start, n,
        round(n / (sum(n) OVER () * (CAST(500 AS DOUBLE) / 30)), 6) AS density FROM h"""
 
@@ -577,10 +590,13 @@ SELECT CAST(sort AS INTEGER) AS sort, label, round_even(mae_smooth, 6) AS mae_sm
        round_even(mape_smooth, 6) AS mape_smooth, round_even(mape_steady, 6) AS mape_steady FROM fu"""
 
 _pivot = ", ".join(f"max(CASE WHEN metric = '{m}' THEN h6 END) AS {m}" for m in AGES)
-REPORTS = f"""{QUARTERS_AGES}, {projection('f', 4, 'p1')},
-{projection('f', 4, 'p2', STEADY)},
+REPORTS = f"""{QUARTERS_AGES}, {projection('f', 39, 'p1')},
+{projection('f', 39, 'p2', STEADY)},
 pw AS (SELECT model, q, period AS year, state, place, {_pivot}
-  FROM (SELECT 'smooth' AS model, * FROM p1 UNION ALL SELECT 'steady', * FROM p2) WHERE period > 27
+  FROM (SELECT 'smooth' AS model, q, period, state, place, metric, h6 FROM p1 WHERE period > 27
+        UNION ALL SELECT 'steady', q, period, state, place, metric, h6 FROM p2 WHERE period > 27
+        UNION ALL SELECT model, q, period, state, place, metric, value FROM f, (VALUES ('smooth'), ('steady')) m(model),
+          (VALUES (CAST(0.4 AS DOUBLE)), (0.5), (0.6)) v(q))
   GROUP BY model, q, period, state, place),
 pt AS (SELECT * FROM pw UNION ALL SELECT model, q, year, '0', '0', {', '.join(f'sum({m})' for m in AGES)}
   FROM pw GROUP BY model, q, year),
@@ -590,8 +606,8 @@ ORACLES["projection_report"] = f"""WITH RECURSIVE {REPORTS}
 SELECT model, quantile, year, state, place, {rnd(ratio('working', 'senior'), 6, 'working_senior_ratio')},
        CASE quantile WHEN 'Upper' THEN 1 WHEN 'Middle' THEN 2 ELSE 3 END AS quantile_order FROM rs"""
 ORACLES["ratio_distribution"] = f"""WITH RECURSIVE {REPORTS},
-x AS (SELECT year || '_' || model AS type, {ratio('working', 'senior')} AS v FROM rs
-      WHERE quantile = 'Middle' AND place <> '0' AND year IN (28, 31)), {kde_of('x', 'type')}"""
+x AS (SELECT CASE WHEN year > 27 THEN year || '_' || model ELSE CAST(year AS VARCHAR) END AS type, {ratio('working', 'senior')} AS v FROM rs
+      WHERE quantile = 'Middle' AND place <> '0' AND year IN (27, 28, 66) AND (year > 27 OR model = 'smooth')), {kde_of('x', 'type')}"""
 _cmp = ", ".join(
     f"round(max(CASE WHEN model = '{m}' AND quantile = '{q}' THEN total END), 6) + 0.0 AS total_{q.lower()}_{m}"
     for m in ("smooth", "steady") for q in ("Lower", "Middle", "Upper"))
@@ -620,6 +636,10 @@ g AS (SELECT year, state, place, {FIVE[0]} + {FIVE[1]} AS youth, {FIVE[2]} + {FI
       {' + '.join(FIVE)} AS total FROM a)
 SELECT year, state, place, total, youth, working, senior, {RATIOS} FROM g"""
 
+ORACLES["stage_tables"] = f"""WITH {CUSTOMER}
+SELECT year, state, segment AS place, {', '.join(rnd(f'coalesce(sum({m}), 0)', 6, m) for m in FIVE)}
+FROM c GROUP BY year, state, segment"""
+
 _keep = [c for c in sorted([*S0101, *S0701, *S1301]) if c[:9] not in ("S1301_C03", "S1301_C04") and not (
     c[:5] == "S0701" and c[10:] in ("011E", "048E")) and c not in ("S1301_C01_031E", "S1301_C01_032E")]
 

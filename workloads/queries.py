@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -18,10 +19,11 @@ from panelcast.operators import relate, scale, shape, split
 from panelcast.operators.forest import QuantileForest
 from panelcast.operators.sizing import cut_lineage
 from panelcast.plans import describe, evaluate, report, train
-from panelcast.plans.collect import collect_panels
+from panelcast.plans.collect import collect_panels, sorted_panel
 from panelcast.plans.prepare import MOBILITY_NON_COUNT_ROWS, MOBILITY_PARTS, NON_COUNT_PATTERNS, REDUNDANT_PATTERN
 from panelcast.plans.prepare import prepare_panel as run_prepare
-from panelcast.sources.releases import codebook, read_panel
+from panelcast.sources.releases import codebook, read_lookup, read_panel, read_releases, stack_all, write_csv
+from panelcast.sources.stages import Stages
 from workloads import panels as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +110,62 @@ def typed_reread(spark, sf):
                                                r(money).alias("total"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, where every executor can read and write."""
+    cut_lineage(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def release_file(spark: SparkSession, sf: str, year: int, folder: str) -> str:
+    """A release of two measures by customer as CSV, with the cells real releases have where no number is."""
+    balance = F.col("c_acctbal").cast("string")
+    nation = F.when(F.col("c_nationkey") % 3 == 0, "-").when(F.col("c_nationkey") % 5 == 0, "N").otherwise(
+        (F.col("c_nationkey") + year).cast("string"))
+    rows = P.table(spark, sf, "customer").select(
+        F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("state"), F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("place"),
+        F.when(F.col("c_acctbal") < 0, "(X)").otherwise(balance).alias(code("S0101", 1, 1)), nation.alias(code("S0101", 1, 2)))
+    write_csv(rows, f"{folder}/{year}.csv")
+    return f"{folder}/{year}.csv"
+
+
+@query
+def read_release_files(spark, sf):
+    """Releases written as files, read back and stacked; what is no number counts as 0."""
+    folder = scratch(spark)
+    releases = read_releases(spark, {year: release_file(spark, sf, year, folder) for year in (2016, 2018)})
+    cells = shape.to_long(clean.fill_missing(stack_all(releases)), YEARLY)
+    return cells.groupBy("year", "metric").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value")).alias("total"),
+                                               F.min("place").alias("first_place"), F.max("state").alias("last_state"))
+
+
+@query
+def read_lookup_file(spark, sf):
+    """Nations written as a pipe-delimited file with carriage returns, read back by position, joined to customers."""
+    path = f"{scratch(spark)}/nations.txt"
+    line = F.concat_ws("|", F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.col("n_regionkey").cast("string"), F.col("n_name"))
+    P.table(spark, sf, "nation").select(line).write.option("lineSep", "\r\n").text(path)
+    names = read_lookup(spark, path, ("FIPS", "Name"), sep="|", columns=(0, 2))
+    places = P.table(spark, sf, "customer").select(F.lit(2018).alias("year"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("state"))
+    return relate.decode(places, names, "FIPS", "Name", "state").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stage_tables(spark, sf):
+    """A stage written and read back, then totally ordered."""
+    panel = sorted_panel(Stages(spark, scratch(spark)).save(P.segment_panel(spark, sf), "segments"))
+    return panel.select(*YEARLY, *[r(c).alias(c) for c in measures(panel)])
+
+
+@query
+def scaler_artefact(spark, sf):
+    """A scaler fitted on the later years, kept, loaded and applied to the earlier ones."""
+    stages = Stages(spark, scratch(spark))
+    cells = yearly_model_series(spark, sf)
+    stages.save_stats(scale.fit_scaler(cells.where("year >= 1998")), "later")
+    earlier = scale.standardize(cells.where("year < 1998"), stages.load_stats("later"))
+    return earlier.groupBy("metric").agg(F.count("value").alias("n"), r(F.sum("value")).alias("total"))
+
+
 @query
 def predicate_filter(spark, sf):
     orders = P.table(spark, sf, "orders").select("o_orderdate", "o_orderstatus", "o_orderpriority")
@@ -425,10 +483,9 @@ def unstandardize(spark, sf):
 def global_scale(spark, sf):
     cells = yearly_model_series(spark, sf)
     sd = scale.fit_global_sd(cells)
-    scaled = scale.scale_global(cells, sd)
-    back = scale.unscale_global(scaled.withColumn("value", F.col("value") / 2), sd)
-    return scaled.withColumnRenamed("value", "scaled").join(back, [*YEARLY, "metric"]).groupBy("metric").agg(
-        r(F.sum("scaled")).alias("scaled_total"), r(F.sum("value")).alias("halved_total"))
+    scaled = scale.scale_global(cells.withColumn("scaled", F.col("value")), sd, "scaled")
+    back = scale.unscale_global(scaled.withColumn("value", F.col("scaled") / 2), sd)
+    return back.groupBy("metric").agg(r(F.sum("scaled")).alias("scaled_total"), r(F.sum("value")).alias("halved_total"))
 
 
 # Split and clusters
@@ -649,11 +706,12 @@ def evaluation_table(spark, sf):
 
 
 def projected_series(spark, sf):
-    """Report series of two scorers and three quantile paths, four quarters ahead."""
+    """Report series of two scorers and three quantile paths: the observed quarters, then 39 projected ones."""
     cells = quarterly_series(spark, sf, AGE_METRICS).withColumnRenamed("period", "year")
-    paths = [shape.tag(project.project_linear(cells, scorer, LAST_QUARTER, 4, list(PATHS.values())), model=model)
+    paths = [shape.tag(project.project_linear(cells, scorer, LAST_QUARTER, 39, list(PATHS.values())), model=model)
              for model, scorer in (("smooth", SMOOTH), ("steady", STEADY))]
-    return report.projection_series(paths[0].unionByName(paths[1]), {q: name for name, q in PATHS.items()})
+    whole = report.with_history(paths[0].unionByName(paths[1]), cells, ("smooth", "steady"), list(PATHS.values()))
+    return report.projection_series(whole, {q: name for name, q in PATHS.items()})
 
 
 @query
@@ -665,13 +723,13 @@ def projection_report(spark, sf):
 @query
 def compare_projections(spark, sf):
     columns = [(model, quantile) for model in ("smooth", "steady") for quantile in PATHS]
-    table = report.total_comparison(cut_lineage(projected_series(spark, sf)), columns)
+    table = report.total_comparison(projected_series(spark, sf), columns)
     return table.select(*YEARLY, *[r(c).alias(c) for c in table.columns if c not in YEARLY])
 
 
 @query
 def ratio_distribution(spark, sf):
-    curve = report.ratio_distribution(projected_series(spark, sf), [28, 31])
+    curve = report.ratio_distribution(projected_series(spark, sf), [LAST_QUARTER, 28, 66], last_observed=LAST_QUARTER, model="smooth")
     return curve.select("type", "i", r("x").alias("x"), r("density").alias("density"))
 
 
@@ -760,7 +818,7 @@ def project_forest(spark, sf):
 def backtest_forest(spark, sf):
     panel = forest_split(spark, sf)
     train_rows = features.window_samples(split.training_rows(panel), COMPONENTS, t="period").persist()
-    forest = QuantileForest(num_trees=10, max_depth=6, max_bins=32)
+    forest = QuantileForest(num_trees=10, max_depth=6, max_bins=32)  # fit() leaves nothing to be read from the rows later
     models = {m: forest.fit(train.target_samples(train_rows, i, len(COMPONENTS), t="period"), [*KEYS, "period"])
               for i, m in enumerate(COMPONENTS)}
     train_rows.unpersist()
