@@ -629,6 +629,30 @@ x AS (SELECT 'growth' AS kind, (max(CASE WHEN year = 2000 THEN {POP} END) - max(
              / max(CASE WHEN year = 1995 THEN {POP} END) * 100 AS v
       FROM w GROUP BY state, place HAVING count(*) = 7), {kde_of('x', 'kind', -250, 250)}"""
 
+def _soft_dtw(steps: int, gamma: float = 0.01) -> str:
+    """One table for each anti-diagonal of the soft-DTW recursion, ``t1`` holding the series ``v`` and centres ``u``."""
+    border = lambda i, j: ("0::DOUBLE" if i == j == 0 else "'inf'::DOUBLE") if not i or not j else f"r_{i}_{j}"
+    tables = []
+    for k in range(2, 2 * steps + 1):
+        cells = []
+        for i in range(max(1, k - steps), min(steps, k - 1) + 1):
+            j = k - i
+            before = [border(i - 1, j - 1), border(i - 1, j), border(i, j - 1)]
+            low = f"least({', '.join(before)})"
+            soft = " + ".join(f"exp(-({b} - {low}) / {gamma}::DOUBLE)" for b in before)
+            d = " + ".join(f"pow(v[{i}][{m}] - u[{j}][{m}], 2)" for m in (1, 2, 3))
+            cells.append(f"{d} + {low} - {gamma}::DOUBLE * ln({soft}) AS r_{i}_{j}")
+        tables.append(f"t{k} AS MATERIALIZED (SELECT *, {', '.join(cells)} FROM t{k - 1})")
+    return ",\n".join(tables)
+
+
+ORACLES["series_distances_yearly"] = f"""WITH {wide([POP, WOMEN, BIRTHS])},
+s AS (SELECT state, place, list([{POP}, {WOMEN}, {BIRTHS}] ORDER BY year) AS v FROM w GROUP BY state, place HAVING count(*) = 7),
+c AS (SELECT v AS u, row_number() OVER (ORDER BY md5(state || '|' || place)) AS centre FROM s QUALIFY centre <= 5),
+t1 AS MATERIALIZED (SELECT state, place, CAST(centre AS INTEGER) AS centre, v, u FROM s, c),
+{_soft_dtw(7)}
+SELECT state, place, centre, {rnd('r_7_7', 6, 'distance')} FROM t14"""
+
 ORACLES["segment_report"] = f"""WITH {CUSTOMER},
 s AS (SELECT year, state, segment AS place, {', '.join(f'sum({m}) AS {m}' for m in FIVE)} FROM c GROUP BY year, state, segment),
 a AS (SELECT * FROM s UNION ALL SELECT year, '0', '0', {', '.join(f'sum({m})' for m in FIVE)} FROM s GROUP BY year),

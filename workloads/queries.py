@@ -535,6 +535,15 @@ def series_distances(spark, sf):
     return cluster.series_distances(series, centres).withColumn("distance", r("distance"))
 
 
+@query
+def series_distances_yearly(spark, sf):
+    """Yearly series to five of them chosen by hash; short enough for SQL to write the recursion out."""
+    series = cut_lineage(cluster.entity_series(P.census(spark, sf, [POPULATION, WOMEN, BIRTHS]), 7))
+    first = series.orderBy(F.md5(F.concat_ws("|", *KEYS))).limit(5).collect()
+    centres = np.array([row["series"] for row in first], dtype=float)
+    return cluster.series_distances(series, centres).withColumn("distance", r("distance"))
+
+
 @query
 def cluster_series(spark, sf):
     assigned = cluster.cluster_series(quarterly_entity_series(spark, sf), k=5, max_iter=8)
