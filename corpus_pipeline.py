@@ -29,10 +29,11 @@ def _same(rows: DataFrame, like: DataFrame, **new: F.Column) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be determined; those without a label get the predicted one."""
     model = langid.fit(docs)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("words"))
-    kept = langid.identify(packed, model, "words", ("row",)).where(
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
+    kept = langid.identify(packed, model, "text", ("row", "text")).where(
         (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*(F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
+    new = {"lang": F.coalesce("row.lang", "lang_pred").alias("lang"), "text": F.col("text")}
+    return kept.select(*(new[c] if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

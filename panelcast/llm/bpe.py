@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words whose ids a Python worker keeps at most; they are forgotten together.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Tree leaves moved on at once, the longest words whose trees are, and characters split into words at once.
 TREE_LEAVES = 1 << 18
 LONG_WORD = 64

@@ -10,8 +10,6 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +99,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     Rows without a language, and texts without letters, teach nothing.  No rows give a model that determines nothing.
     """
+    # Imported here, as the workers that predict don't need MLlib.
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
     rows = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, F.lit(seed)).alias("draw"))
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -152,14 +154,16 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     The model travels as a broadcast of one weight for each feature and pair of names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    own = text_col not in keep  # a text that is kept anyway is sent once
+    rows = docs.select(*keep, *([F.col(text_col).cast("string").alias("__text")] if own else []))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:len(keep)])
+    at = len(keep) if own else keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(len(keep))]
+            found = [shared.value.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                [*batch.columns[:len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 [*keep, "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"{kept}lang_pred string, score double")
