@@ -19,6 +19,13 @@ from panelcast.llm import bpe, langid, mixing, pii, simhash, warc
 LEAST_SCORE = 0.3
 #: No source is read more often than this, relative to the one read least, which is read once.
 REPETITION = 1.25
+#: Bytes of an Arrow batch: an executor holds several at a time, outside its heap.
+BATCH_BYTES = "8m"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of the session's Python stages; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def _same(rows: DataFrame, like: DataFrame, **new: F.Column) -> DataFrame:
@@ -28,6 +35,7 @@ def _same(rows: DataFrame, like: DataFrame, **new: F.Column) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be determined; those without a label get the predicted one."""
+    _small_batches(spark)
     model = langid.fit(docs)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
     kept = langid.identify(packed, model, "text", ("row", "text")).where(
@@ -41,6 +49,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Documents without an id stay: no group can name them.
     """
+    _small_batches(spark)
     found = simhash.near_duplicates(docs, words=3, distance=3)
     go = found.where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(go, "doc_id", "left_anti").withColumn("__print", F.xxhash64("text"))
@@ -65,6 +74,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids) of every document read."""
+    _small_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("lang", "source"))
 
 

@@ -21,7 +21,7 @@ KEPT_WORDS = 200_000
 #: Tree leaves moved on at once, the longest words whose trees are, and characters split into words at once.
 TREE_LEAVES = 1 << 18
 LONG_WORD = 64
-SPLIT_CHARS = 1 << 21
+SPLIT_CHARS = 1 << 20
 #: The contractions the pre-tokenizer keeps as words of their own, and Unicode white space.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
