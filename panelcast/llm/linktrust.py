@@ -50,11 +50,12 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def spread_standing(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust): personalised PageRank from ``seeds`` (host, trust, distrust).
+    """(host, trust, distrust, exposure): personalised PageRank from ``seeds`` (host, trust, distrust).
 
     Trust goes from a host to those it links to, distrust back from a host to those that link to it, each in proportion to the
-    number of links.  A host keeps ``1 - damping`` of its seed and takes the rest from its neighbours.  Both run in the
-    same rounds; a host with very many links is summed before the shuffle, and its join is split by the adaptive skew join.
+    number of links.  A host keeps ``1 - damping`` of its seed and takes the rest from its neighbours.  Exposure starts as
+    distrust does, but a host takes the mean over its own links: other hosts that link to the same place don't lessen it.  All run
+    in the same rounds; a host with very many links is summed before the shuffle, and its join is split by the adaptive skew join.
     """
     total = links.groupBy("src").agg(F.sum("links").alias("n"))
     back = links.groupBy("dst").agg(F.sum("links").alias("n"))
@@ -62,8 +63,10 @@ def spread_standing(seeds: DataFrame, links: DataFrame, damping: float = DAMPING
                                               (F.col("links") / F.col("n")).alias("part"))
     backward = links.join(back, "dst").select(F.lit("d").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"),
                                               (F.col("links") / F.col("n")).alias("part"))
-    edges = cut_lineage(forward.unionByName(backward))
-    start = cut_lineage(seeds.select("host", F.expr("inline(array(struct('t' as kind, trust as seed), struct('d' as kind, distrust as seed)))"))
+    own = forward.select(F.lit("e").alias("kind"), F.col("to").alias("host"), F.col("host").alias("to"), "part")
+    edges = cut_lineage(forward.unionByName(backward).unionByName(own))
+    start = cut_lineage(seeds.select("host", F.expr("inline(array(struct('t' as kind, trust as seed), struct('d' as kind, distrust as seed), "
+                                                    "struct('e' as kind, distrust as seed)))"))
                         .where("seed > 0").withColumn("seed", F.col("seed") * (1 - damping)))
     ranks = start.select("kind", "host", F.col("seed").alias("rank"))
     # Without links every round gives the seeds again.
@@ -72,18 +75,18 @@ def spread_standing(seeds: DataFrame, links: DataFrame, damping: float = DAMPING
         ranks = moved.unionByName(start.withColumnRenamed("seed", "rank")).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if n % CUT_EVERY == 0:
             ranks = cut_lineage(ranks)
-    return ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("rank")).otherwise(0.0)).alias("trust"),
-                                     F.sum(F.when(F.col("kind") == "d", F.col("rank")).otherwise(0.0)).alias("distrust"))
+    return ranks.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(name)
+                                       for kind, name in (("t", "trust"), ("d", "distrust"), ("e", "exposure"))))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
           damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(id, host, path, rule, verdict, trust, distrust) per page.
+    """(id, host, path, rule, verdict, trust, distrust, exposure) per page.
 
     A rule ``host/path`` fits a host and its subdomains if the url's path starts with ``/path``; the longest fitting rule decides.
-    Seeds are the shares of a host's pages that rules allow and block.  Other pages are blocked if their host's distrust is
+    Seeds are the shares of a host's pages that rules allow and block.  Other pages are blocked if their host's exposure is
     above its trust and at least half of what a fully blocked host without links has, allowed if not; so are urls without a
-    host, and hosts nothing is known about.  Null html has no links; repeated rows and null ids stay; an empty table gives none.
+    host, and hosts nothing is known about.  Distrust is shared out among all who link to a host, so it has no fixed bound.  Null html has no links; repeated rows and null ids stay; an empty table gives none.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
@@ -101,6 +104,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     standing = cut_lineage(spread_standing(seeds, host_links(pages, url_col, html_col), damping, rounds))
     bound = (1 - damping) / 2
     out = ruled(rows).join(checked_broadcast(standing), "host", "left")
-    outcast = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= bound)
+    outcast = (F.col("exposure") > F.col("trust")) & (F.col("exposure") >= bound)
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(
-        F.col("hit.verdict"), F.when(outcast, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+        F.col("hit.verdict"), F.when(outcast, "block").otherwise("allow")).alias("verdict"), "trust", "distrust", "exposure")

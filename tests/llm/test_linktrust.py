@@ -86,6 +86,20 @@ def test_verdicts_match_brute_force(spark):
     assert verdicts[3] == verdicts[5] == "block" and verdicts[6] == "allow"
 
 
+@pytest.mark.parametrize("linkers", [1, 2, 50])
+def test_a_blocked_host_reaches_all_that_link_to_it(spark, linkers):
+    far = [(1000 + n, f"http://far{n}.info/", link(f"http://linker{n}.info/"), "c") for n in range(linkers)]
+    near = [(n, f"http://linker{n}.info/", link("http://bad.net/"), "c") for n in range(linkers)]
+    # One of its ten links goes to the blocked host.
+    press = [(5000, "http://press.info/", link("http://bad.net/", *[f"http://h{n}.info/" for n in range(9)]), "c")]
+    rows = [(9000, "http://bad.net/", None, "c"), *near, *far, *press]
+    got = {r.page_id: r for r in linktrust.judge(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
+    assert {got[n].verdict for n, *_ in near + far} == {"block"} and got[5000].verdict == "allow"
+    d = linktrust.DAMPING
+    for (n, *_), want in [(near[0], d * (1 - d)), (far[0], d * d * (1 - d)), (press[0], d * (1 - d) / 10)]:
+        assert got[n].exposure == pytest.approx(want, abs=1e-12)
+
+
 def test_an_empty_table(spark):
     assert linktrust.judge(spark.createDataFrame([], SCHEMA), RULES).collect() == []
 
