@@ -799,38 +799,37 @@ def collect_stage(spark, sf):
 
 
 def forest_split(spark, sf):
-    panel = quarterly_model_panel(spark, sf).select(*QUARTERLY, *COMPONENTS)
+    panel = quarterly_model_panel(spark, sf)
     return cut_lineage(split.cluster_split(panel, P.region_clusters(spark, sf)))
 
 
 @query
 def quantile_forest(spark, sf):
     panel = forest_split(spark, sf)
-    train_rows = features.window_samples(split.training_rows(panel), COMPONENTS, t="period")
-    calib_rows = features.window_samples(split.calibration_rows(panel), COMPONENTS, t="period")
-    forest = QuantileForest(num_trees=20, max_depth=8, max_bins=32)
-    fitted = train.train_target(train_rows, calib_rows, COMPONENTS, BIRTHS, forest, t="period")
-    return fitted.preds.select("target", *QUARTERLY, "q", r("pred").alias("pred"), "y")
+    train_rows, calib_rows = (cut_lineage(features.window_samples(part, MODEL_METRICS, t="period"))
+                              for part in (split.training_rows(panel), split.calibration_rows(panel)))
+    # Predictions are written before the next fit, so the driver holds one forest at a time.
+    preds = [cut_lineage(train.train_target(train_rows, calib_rows, MODEL_METRICS, m, t="period").preds) for m in MODEL_METRICS]
+    return shape.stack_releases(preds).select("target", *QUARTERLY, "q", r("pred").alias("pred"), "y")
 
 
 @query
 def project_forest(spark, sf):
     panel = forest_split(spark, sf)
-    forest = QuantileForest(num_trees=10, max_depth=6, max_bins=32)
     _, paths = train.train_and_project(
-        split.training_rows(panel), split.calibration_rows(panel), panel, COMPONENTS, LAST_QUARTER, 4,
-        list(PATHS.values()), list(range(7, 27)), forest, levels=(0.4, 0.5, 0.6), t="period")
+        split.training_rows(panel), split.calibration_rows(panel), panel, MODEL_METRICS, LAST_QUARTER, 39,
+        list(PATHS.values()), list(range(7, 27)), levels=(0.4, 0.5, 0.6), t="period")
     return paths.withColumn("value", r("value"))
 
 
 @query
 def backtest_forest(spark, sf):
     panel = forest_split(spark, sf)
-    train_rows = features.window_samples(split.training_rows(panel), COMPONENTS, t="period").persist()
-    forest = QuantileForest(num_trees=10, max_depth=6, max_bins=32)  # fit() leaves nothing to be read from the rows later
-    models = {m: forest.fit(train.target_samples(train_rows, i, len(COMPONENTS), t="period"), [*KEYS, "period"])
-              for i, m in enumerate(COMPONENTS)}
+    train_rows = features.window_samples(split.training_rows(panel), MODEL_METRICS, t="period").persist()
+    forest = QuantileForest()  # fit() leaves nothing to be read from the rows later
+    models = {m: forest.fit(train.target_samples(train_rows, i, len(MODEL_METRICS), t="period"), [*KEYS, "period"])
+              for i, m in enumerate(MODEL_METRICS)}
     train_rows.unpersist()
-    held = features.window_samples(split.calibration_rows(panel), COMPONENTS, t="period")
+    held = features.window_samples(split.calibration_rows(panel), MODEL_METRICS, t="period")
     scored = project.backtest_forest(held, models, t="period")
     return scored.select(*QUARTERLY, "metric", r("pred").alias("pred"), r("actual").alias("actual"))
