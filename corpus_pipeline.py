@@ -47,13 +47,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; rows that repeat an id and a text count as one.
 
-    Documents without an id stay: no group can name them.
+    Groups are of texts: an id with two different texts keeps a row of each, unless it copies a smaller id's.  Of the documents
+    without an id one of each group stays, beside that with an id.
     """
     _small_batches(spark)
-    found = simhash.near_duplicates(docs, words=3, distance=3)
-    go = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(go, "doc_id", "left_anti").withColumn("__print", F.xxhash64("text"))
-    return _same(left.dropDuplicates(["doc_id", "__print"]), docs)
+    key = lambda row, text: {"__id": F.coalesce(row, F.lit(0).cast("long")), "__null": row.isNull(), "__print": text}
+    go = simhash.superfluous(docs, words=3, distance=3)
+    go = go.select(*(c.alias(name) for name, c in key(F.col("id"), F.col("text_hash")).items()))
+    rows = docs.withColumns(key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    return _same(rows.join(go, go.columns, "left_anti").dropDuplicates(go.columns), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

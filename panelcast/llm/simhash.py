@@ -8,7 +8,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.graph import components
@@ -44,16 +44,17 @@ def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp) per row; ``fp`` is the fingerprint as a signed long.  A null text has no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, **more: Column) -> DataFrame:
+    """(id, fp) per row, and ``more``, longs; ``fp`` is the fingerprint as a signed long.  A null text has no words."""
+    names = ["id", "fp", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+                       *(c.alias(name) for name, c in more.items())).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _flips(part: str, bits: int) -> str:
@@ -137,3 +138,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = points.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(classes, "fp", "left").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def superfluous(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3,
+                dense: int = DENSE) -> DataFrame:
+    """Distinct (id, text_hash) of the rows that are not the one their group keeps; ``text_hash`` is ``xxhash64``.
+
+    Groups are of fingerprints, so an id that stands on several texts doesn't join them.  A group keeps its smallest (id, text_hash),
+    and of its rows without an id the smallest text_hash.
+    """
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, words, text_hash=F.xxhash64(F.col(text_col).cast("string"))))
+    named = F.struct("id", "text_hash")
+    points = cut_lineage(prints.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), named)).alias("named"),
+                                                  F.min(F.when(F.col("id").isNull(), F.col("text_hash"))).alias("nameless")))
+    joined = components(fingerprint_links(points.select(F.col("fp").alias("node"), "fp"), distance, dense))
+    classes = cut_lineage(points.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+                          .withColumn("component", F.coalesce("component", "fp")))
+    best = classes.groupBy("component").agg(F.min("named").alias("named"), F.min("nameless").alias("nameless"))
+    kept = classes.select("fp", "component").join(best, "component").drop("component")
+    other = F.when(F.col("id").isNull(), F.col("text_hash") != F.col("nameless")).otherwise(named != F.col("named"))
+    return prints.join(kept, "fp").where(other).select("id", "text_hash").distinct()

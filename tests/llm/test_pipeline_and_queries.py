@@ -72,6 +72,18 @@ def test_pipeline_stage_by_stage(spark):
     assert coded.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and coded.count() == mixed.count()
 
 
+def test_repeated_ids_and_missing_ids_lose_no_text(spark):
+    words = lambda name: " ".join(f"{name}{n}" for n in range(60))
+    near = words("a").replace("a59", "q5")
+    assert 0 < (simhash.fingerprint(words("a")) ^ simhash.fingerprint(near)).bit_count() <= 3
+    rows = [(3, words("a")), (7, words("a")), (7, words("b")), (8, near), (8, words("c")), (9, words("d")), (9, words("d")),
+            (None, words("e")), (None, words("e")), (None, words("f")), (0, words("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(5)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()]
+    want = [(3, words("a")), (7, words("b")), (8, words("c")), (9, words("d")), (None, words("e")), (None, words("f")), (0, words("f"))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pipeline_on_an_empty_table(spark):
     now = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
