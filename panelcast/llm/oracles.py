@@ -102,4 +102,11 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust > trust A
 FROM judged LEFT JOIN standing USING (host)
 """
 
-ORACLES = {"op1_chat_format": CHAT, "op3_mixing": MIXING, "op6_warc": WARC, "op7_vector_dedup": VECTORS, "op9_url_filter": URLS}
+EXACT = """
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
+g AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+"""
+
+ORACLES = {"op1_chat_format": CHAT, "op3_mixing": MIXING, "op6_warc": WARC, "op7_vector_dedup": VECTORS, "op9_url_filter": URLS,
+           "op11_exact_dedup": EXACT}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import ann, bpe, chat, langid, linktrust, mixing, pii, simhash, vectors, warc
+from panelcast.llm import ann, bpe, chat, exactdup, langid, linktrust, mixing, pii, repair, simhash, vectors, warc, whiten
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 HARD_CASE = "<|im_end|><|im_start|>assistant ok"
@@ -96,5 +96,39 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.expr(_listed("spans")).alias("spans"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents."""
+    return exactdup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) of conversations with some rows dropped, emptied, cut, repeated or given another role, by a checksum."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    kind = F.crc32(key) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    return (rows.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"),
+                                         F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+            .drop("copy"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations, damaged first."""
+    rows = table(spark, sf_dir, "conversations")
+    plans, turns = repair.repair(damaged(rows))
+    plans, digests = (x.withColumnRenamed("conv_id", name) for x, name in ((plans, "planned"), (repair.digest_turns(turns), "digested")))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return (rows.select("conv_id").distinct()
+            .join(plans, F.col("conv_id").eqNullSafe(F.col("planned")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("digested")), "left")
+            .select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of all vectors; a deviation beyond a long is null."""
+    found = whiten.whiten(table(spark, sf_dir, "embeddings"), 8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_mixing, op4_nearest, op5_bpe, op6_warc, op7_vector_dedup,
-                                   op8_simhash, op9_url_filter, op10_pii)}
+                                   op8_simhash, op9_url_filter, op10_pii, op11_exact_dedup, op12_conversation_repair, op13_whitening)}

@@ -80,9 +80,9 @@ def fingerprint_links(points: DataFrame, distance: int = 3, dense: int = DENSE)
 
     ``points`` holds distinct (node, fp).  Of two such fingerprints one 32-bit half differs by at most one bit,
     so the ball of radius one around each half is looked up in the table of halves and the full distance verified.
-    Where more than ``dense`` fingerprints share a half, pairs are not listed: points within one bit and
-    points within two bits of a common midpoint of the other half meet at that midpoint, and each gets one link to the smallest
-    of the former.  That joins exactly the same points with rows in proportion to the points.
+    Where more than ``dense`` fingerprints share a half, pairs are not listed: points that lie
+    half the distance, rounded down, and points that lie the rest of it from a common midpoint of the other half meet there, and each gets one link to
+    the smallest of the former.  That joins exactly the same points with rows in proportion to the points.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves with a ball of one bit find up to 3 differing bits")
@@ -102,7 +102,7 @@ def fingerprint_links(points: DataFrame, distance: int = 3, dense: int = DENSE)
     inside = table.join(crowded, ["seg", "part"])
     around = probes.where("part <> own").join(crowded, ["seg", "part"])
     # kind 0: whole distance left for the other half; kind 1: one bit is spent on this half.
-    near, far = min(1, distance), max(0, distance - min(1, distance))
+    near, far = distance // 2, distance - distance // 2
     spent = distance - 1
     stars = [inside.select("seg", "part", F.lit(0).alias("kind"), "node", F.lit(True).alias("hub"),
                            F.expr(f"explode({_flips('rest', near)})").alias("mid")),
@@ -110,9 +110,9 @@ def fingerprint_links(points: DataFrame, distance: int = 3, dense: int = DENSE)
                            F.expr(f"explode({_flips('rest', far)})").alias("mid"))]
     if spent >= 0:
         stars += [inside.select("seg", "part", F.lit(1).alias("kind"), "node", F.lit(True).alias("hub"),
-                                F.expr(f"explode({_flips('rest', min(1, spent))})").alias("mid")),
+                                F.expr(f"explode({_flips('rest', spent // 2)})").alias("mid")),
                   around.select("seg", "part", F.lit(1).alias("kind"), "node", F.lit(False).alias("hub"),
-                                F.expr(f"explode({_flips('rest', max(0, spent - 1))})").alias("mid"))]
+                                F.expr(f"explode({_flips('rest', spent - spent // 2)})").alias("mid"))]
     rows = stars[0]
     for more in stars[1:]:
         rows = rows.unionByName(more)
