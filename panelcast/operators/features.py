@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.functions.codes import KEYS, TIME
 from panelcast.functions.numeric import ema_steps_sql, max_when_sql
@@ -98,6 +101,51 @@ def target_vector(x: str, i: int, m: int, lookback: int = 6, span: int = 2, keep
     return F.expr(f"array({', '.join([*reversed(own), *ema, *others])})")
 
 
+def target_positions(i: int, m: int, lookback: int = 6, keep: int = 5) -> list[int]:
+    """Where the features of target ``i``, as in :func:`target_vector`, stand in those of :func:`window_features`."""
+    block = lookback + 1 + keep
+    return [*range(i * block, (i + 1) * block), *[j * block for j in range(m) if j != i]]
+
+
+def window_matrix(x: np.ndarray, span: int = 2, keep: int = 5) -> np.ndarray:
+    """For each measure of windows (rows, lookback + 1, measures) its current value, lags and EMA, side by side."""
+    a = 2.0 / (span + 1)
+    steps = [x[:, 0]]
+    for k in range(1, x.shape[1]):
+        steps.append(a * x[:, k] + (1 - a) * steps[-1])
+    return np.concatenate([x[:, ::-1], np.stack(steps[-keep:], axis=1)], axis=1).transpose(0, 2, 1).reshape(len(x), -1)
+
+
+def windows_of(column: pa.Array, measures: int) -> np.ndarray:
+    """Windows of equal length as (rows, steps, measures); a missing value is NaN."""
+    flat = column.flatten().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1, measures) if len(column) else flat.reshape(0, 0, measures)
+
+
+def as_lists(values: np.ndarray) -> pa.Array:
+    """An array of two or three dimensions as nested lists."""
+    out = pa.array(np.ascontiguousarray(values, dtype=float).ravel())
+    for axis in range(values.ndim - 1, 0, -1):
+        rows = int(np.prod(values.shape[:axis]))
+        out = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * values.shape[axis]), out)
+    return out
+
+
+def window_features(df: DataFrame, m: int, x: str = "x", out: str = "features") -> DataFrame:
+    """Add the features of all targets of windows ``x`` in one array.
+
+    Written out as expressions, hundreds of features are more code than the JVM compiles, so Arrow batches they are.
+    """
+    at = df.columns.index(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([*batch.columns, as_lists(window_matrix(windows_of(batch.column(at), m)))], [*batch.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
 def target_features(features: DataFrame, target: str, metrics: Sequence[str], lookback: int = 6, keep: int = 5,
                     keys: Sequence[str] = KEYS, t: str = TIME, metric: str = "metric",
                     value: str = "value") -> DataFrame:

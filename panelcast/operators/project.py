@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 
 from panelcast.functions.codes import KEYS, RESIDUAL, TIME
 from panelcast.functions.numeric import weighted_sum_sql
-from panelcast.operators import forest
-from panelcast.operators.features import SERIES, target_vector
+from panelcast.operators.features import SERIES, as_lists, window_features, window_matrix, windows_of
 from panelcast.operators.forest import QuantileForestModel
 from panelcast.operators.shape import with_quantile_dim
 from panelcast.operators.sizing import cut_lineage
+from panelcast.operators.trees import bins_of
 
 
 @dataclass(frozen=True)
@@ -112,90 +112,82 @@ def _paths_to_long(state: DataFrame, metrics: Sequence[str], at: int, lookback:
             .selectExpr(*keys, "q", f"CAST(_i + {at + 1} AS INT) AS {t}", f"inline(array({cells}))"))
 
 
-def _forest_quantiles(rows: DataFrame, models: Mapping[str, QuantileForestModel], x: str, levels: Sequence[float],
-                    ids: Sequence[str], lookback: int) -> DataFrame:
-    """Add ``_p_0`` .. : every measure's predictions at the levels, from windows in column ``x``.
-
-    While leaf values fit on the executors all lookups run in one Python pass and nothing is shuffled.
-    """
-    columns, metrics = rows.columns, list(models)
-    vectors = [target_vector(x, i, len(metrics), lookback) for i in range(len(metrics))]
-    if sum(model.num_leaves for model in models.values()) > forest.MAX_LOCAL_LEAVES:
-        for i, m in enumerate(metrics):
-            rows = models[m].predict(rows.withColumn("_f", vectors[i]), levels, ids, "_f", f"_p_{i}").drop("_f")
-        return rows
-    for i, m in enumerate(metrics):
-        rows = models[m].leaf_column(rows, vectors[i], f"_leaf_{i}")
-    return rows.select(*columns, *[models[m].lookup(levels)(F.col(f"_leaf_{i}")).alias(f"_p_{i}")
-                                   for i, m in enumerate(metrics)])
-
-
 def _clipped_sql(value: str, floor: float | None) -> str:
     return value if floor is None else f"greatest({value}, {float(floor)!r}D)"
 
 
-def project_forest(windows: DataFrame, models: Mapping[str, QuantileForestModel],
-                   qhat: Mapping[tuple[str, float], float], at: int, steps: int, quantiles: Sequence[float],
-                   floor: Floor = 0.0, lookback: int = 6, keys: Sequence[str] = KEYS, t: str = TIME,
-                   cut_every: int = 1) -> DataFrame:
-    """Projection with one quantile forest per measure (K8).
+def project_forest(windows: DataFrame, model: QuantileForestModel, qhat: Mapping[tuple[str, float], float], at: int, steps: int,
+                   quantiles: Sequence[float], floor: Floor = 0.0, lookback: int = 6, keys: Sequence[str] = KEYS, t: str = TIME) -> DataFrame:
+    """Projection with a quantile forest of all measures (K8).
 
     ``windows`` holds ``(keys, x)`` from :func:`latest_window`, its columns in the order
-    of ``models``.  Each step scores every measure, moves it by its conformal shift,
-    clips it and appends the row.  Every ``cut_every`` steps the state is checkpointed, its new rows go to the result and it
-    is cut back to one window, so what is written grows with the steps, not with their square.
+    of the model's targets.  Each step scores every measure, moves it by its conformal shift,
+    clips it and appends the row.  While the forests fit a task, all steps of an entity are one pass; larger ones are applied
+    step by step, in slices, with the state written in between and cut back to one window.
     """
-    metrics = list(models)
+    metrics, m = list(model.targets), len(model.targets)
     levels = sorted({float(q) for q in quantiles})
-    which = "CASE q " + " ".join(f"WHEN {v!r}D THEN {i}" for i, v in enumerate(levels)) + " END"
-
-    def next_value(i: int, m: str) -> str:
-        shift = " ".join(f"WHEN {v!r}D THEN {conformal_shift(qhat, m, v)!r}D" for v in levels)
-        return _clipped_sql(f"_p_{i}[{which}] + CASE q {shift} END", _floor_of(floor, m))
+    shift = np.array([[conformal_shift(qhat, name, q) for name in metrics] for q in levels])
+    floors = [_floor_of(floor, name) for name in metrics]
+    state = with_quantile_dim(windows.select(*keys, "x"), levels)
+    held = model.held()
+    if len(held) > 1:
+        return _project_by_step(state, model, shift, floors, at, steps, levels, lookback, keys, t)
+    bottom = np.array([-np.inf if f is None else f for f in floors])
+    shared, cuts = held[0], model.cuts
 
-    row = ", ".join(next_value(i, m) for i, m in enumerate(metrics))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            past = windows_of(batch.column("x"), m)
+            path = np.concatenate([past, np.empty((len(past), steps, m))], axis=1)
+            which = np.searchsorted(levels, batch.column("q").to_numpy())
+            for end in range(past.shape[1], path.shape[1]):
+                x = bins_of(window_matrix(path[:, end - lookback - 1:end]), cuts)
+                for i in range(m):
+                    drawn = shared.value[i].values(x)
+                    for k, q in enumerate(levels):
+                        mine = which == k
+                        path[mine, end, i] = np.quantile(drawn[mine], q, axis=1)
+                path[:, end] = np.maximum(path[:, end] + shift[which], bottom)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "q")), as_lists(path)], [*keys, "q", "x"])
+
+    out = T.StructType([state.schema[c] for c in (*keys, "q")] + [T.StructField("x", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    return _paths_to_long(state.select(*keys, "q", "x").mapInArrow(run, out), metrics, at, lookback, keys, t)
+
+
+def _project_by_step(state: DataFrame, model: QuantileForestModel, shift: np.ndarray, floors: Sequence[float | None], at: int, steps: int,
+                     levels: Sequence[float], lookback: int, keys: Sequence[str], t: str) -> DataFrame:
+    metrics = list(model.targets)
+    which = "CASE q " + " ".join(f"WHEN {v!r}D THEN {i}" for i, v in enumerate(levels)) + " END"
+    moved = ["CASE q " + " ".join(f"WHEN {v!r}D THEN {float(shift[k, i])!r}D" for k, v in enumerate(levels)) + " END" for i in range(len(metrics))]
+    row = ", ".join(_clipped_sql(f"_p[{i}][{which}] + {moved[i]}", f) for i, f in enumerate(floors))
     window = f"slice(x, -{lookback + 1}, {lookback + 1})"
-    state = with_quantile_dim(windows.select(*keys, "x"), levels).withColumn("x", F.expr(window))
-    out, done = None, 0
-    for step in range(1, steps + 1):
-        framed = state.withColumn("_w", F.expr(window))
-        scored = _forest_quantiles(framed, models, "_w", levels, [*keys, "q"], lookback)
-        state = scored.selectExpr(*keys, "q", f"concat(x, array(array({row}))) AS x")
-        if step % cut_every == 0 or step == steps:
-            state = cut_lineage(state)
-            part = _paths_to_long(state, metrics, at + done, lookback, keys, t)
-            out, done = part if out is None else out.unionByName(part), step
-            state = state.withColumn("x", F.expr(window))
+    out = None
+    for step in range(steps):
+        framed = window_features(state, len(metrics), out="_f")
+        scored = model.predict_all(framed, levels, "_f", "_p")
+        state = cut_lineage(scored.selectExpr(*keys, "q", f"concat(x, array(array({row}))) AS x"))
+        part = _paths_to_long(state, metrics, at + step, lookback, keys, t)
+        out = part if out is None else out.unionByName(part)
+        state = state.withColumn("x", F.expr(window))
     return out
 
 
-def backtest_forest(samples: DataFrame, models: Mapping[str, QuantileForestModel], floor: Floor = 0.0,
-                    lookback: int = 6, keys: Sequence[str] = KEYS, t: str = TIME) -> DataFrame:
+def backtest_forest(samples: DataFrame, model: QuantileForestModel, floor: Floor = 0.0, keys: Sequence[str] = KEYS,
+                    t: str = TIME) -> DataFrame:
     """``(keys, t, metric, pred, actual)``: medians for the time after each sample of actual history (K9)."""
-    scored = _forest_quantiles(samples.select(*keys, t, "x", "y"), models, "x", [0.5], [*keys, t], lookback)
-    cells = ", ".join(f"struct('{m}' AS metric, {_clipped_sql(f'_p_{i}[0]', _floor_of(floor, m))} AS pred, "
-                      f"y[{i}] AS actual)" for i, m in enumerate(models))
+    rows = window_features(samples.select(*keys, t, "x", "y"), len(model.targets), out="_f").drop("x")
+    scored = model.predict_all(rows, [0.5], "_f", "_p")
+    cells = ", ".join(f"struct('{m}' AS metric, {_clipped_sql(f'_p[{i}][0]', _floor_of(floor, m))} AS pred, "
+                      f"y[{i}] AS actual)" for i, m in enumerate(model.targets))
     return scored.selectExpr(*keys, f"CAST({t} + 1 AS INT) AS {t}", f"inline(array({cells}))")
 
 
 Scorer = Callable[[np.ndarray, float], np.ndarray]
 
 
-def _windows(column: pa.Array, measures: int) -> np.ndarray:
-    """Windows of equal length as (rows, steps, measures); a missing value is NaN."""
-    flat = column.flatten().flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1, measures) if len(column) else flat.reshape(0, 0, measures)
-
-
-def _lists(values: np.ndarray) -> pa.Array:
-    """An array of two or three dimensions as nested lists."""
-    out = pa.array(np.ascontiguousarray(values, dtype=float).ravel())
-    for axis in range(values.ndim - 1, 0, -1):
-        rows = int(np.prod(values.shape[:axis]))
-        out = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * values.shape[axis]), out)
-    return out
-
-
 def project_sequences(windows: DataFrame, scorer: Scorer, metrics: Sequence[str], at: int, steps: int,
                       quantiles: Sequence[float], qhat: Mapping[tuple[str, float], float] | None = None,
                       floor: Floor = 0.0, lookback: int = 6, keys: Sequence[str] = KEYS, t: str = TIME) -> DataFrame:
@@ -213,12 +205,12 @@ def project_sequences(windows: DataFrame, scorer: Scorer, metrics: Sequence[str]
             levels = batch.column("q").to_numpy()
             for q in np.unique(levels):
                 part = batch.filter(pa.array(levels == q))
-                past = _windows(part.column("x"), m)
+                past = windows_of(part.column("x"), m)
                 path = np.concatenate([past, np.empty((len(past), steps, m))], axis=1)
                 for end in range(past.shape[1], path.shape[1]):
                     nxt = np.asarray(scorer(path[:, end - lookback - 1:end, :], float(q))).reshape(-1, m) + shifts[q]
                     path[:, end] = np.maximum(nxt, bottom)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*keys, "q")), _lists(path)], [*keys, "q", "x"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*keys, "q")), as_lists(path)], [*keys, "q", "x"])
 
     state = with_quantile_dim(windows.select(*keys, "x"), quantiles)
     out = T.StructType([state.schema[c] for c in (*keys, "q")] +
@@ -243,11 +235,11 @@ def score_sequences(samples: DataFrame, scorer: Scorer, metrics: Sequence[str],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _windows(batch.column("x"), m)
+            x = windows_of(batch.column("x"), m)
             for q in levels:
                 pred = np.maximum(np.asarray(scorer(x, q), dtype=float).reshape(-1, m), bottom)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in names), pa.array(np.full(len(x), q)), _lists(pred)], [*names, "q", "pred"])
+                    [*(batch.column(c) for c in names), pa.array(np.full(len(x), q)), as_lists(pred)], [*names, "q", "pred"])
 
     rows = samples.select(*keys, t, "x", "y")
     out = T.StructType([rows.schema[c] for c in (*keys, t, "y")] + [

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.operators import cluster, conformal, features, forest, project
-from panelcast.plans.train import train_and_project
+from panelcast.operators import cluster, conformal, features, forest, project, trees
+from panelcast.plans.train import fit_forests, quantile_predictions, train_and_project
 
 
 def soft_dtw(a, b, gamma):
@@ -75,19 +75,14 @@ def test_forest_quantiles_cover_and_are_ordered(spark, tmp_path):
     train, test = df.where("cast(id as int) % 4 <> 0"), df.where("cast(id as int) % 4 = 0")
     model = forest.QuantileForest(num_trees=20, max_depth=8).fit(train, ["id"])
     levels = [0.1, 0.5, 0.9]
-    scored = model.predict(test, levels, ["id"]).cache()
+    scored = model.predict(test, levels).cache()
     assert scored.where("pred[0] > pred[1] or pred[1] > pred[2]").count() == 0
     inside = scored.where("y between pred[0] and pred[2]").count() / test.count()
     assert 0.65 < inside < 0.98
 
-    joined = model._predict_by_join(test, levels, ["id"], "features", "pred")
     a = {r["id"]: r["pred"] for r in scored.collect()}
-    b = {r["id"]: r["pred"] for r in joined.collect()}
-    assert a.keys() == b.keys()
-    assert all(a[k] == pytest.approx(b[k]) for k in a)
-
     model.save(str(tmp_path / "m"))
-    again = forest.QuantileForestModel.load(spark, str(tmp_path / "m")).predict(test, levels, ["id"])
+    again = forest.QuantileForestModel.load(spark, str(tmp_path / "m")).predict(test, levels)
     assert {r["id"]: r["pred"] for r in again.collect()} == a
 
 
@@ -130,8 +125,8 @@ def test_forest_projection_end_to_end(spark):
     trained, out = train_and_project(
         panel.where(~calib), panel.where(calib), panel, ["a", "dn"], at=11, steps=3, quantiles=[0.4, 0.5, 0.6],
         anchors=range(6, 11), forest=forest.QuantileForest(num_trees=8, max_depth=5, min_leaf=2),
-        levels=(0.4, 0.5, 0.6), cut_every=2, parallelism=2)
-    assert set(trained) == {"a", "dn"}
+        levels=(0.4, 0.5, 0.6))
+    assert trained.model.targets == ("a", "dn") and trained.metrics.count() == 2
     assert out.count() == 24 * 3 * 2 * 3
     assert {r["year"] for r in out.select("year").distinct().collect()} == {12, 13, 14}
     assert out.where("value is null or isnan(value)").count() == 0
@@ -139,27 +134,138 @@ def test_forest_projection_end_to_end(spark):
     assert wide.where("`0.4` > `0.6` + 1e-9").count() == 0
 
 
-def test_projection_without_local_leaves_is_the_same(spark, monkeypatch):
+def two_targets(samples, **how):
+    forests = forest.QuantileForest(**{"num_trees": 5, "max_depth": 4, "min_leaf": 2, **how})
+    return fit_forests(samples, ["a", "dn"], forests)
+
+
+def test_projection_in_slices_is_the_same(spark, monkeypatch):
     panel = wide_panel(spark, 8)
-    samples = features.window_samples(panel, ["a", "dn"])
-    models = {}
-    for i, m in enumerate(["a", "dn"]):
-        rows = samples.select("state", "place", "year", features.target_vector("x", i, 2).alias("features"),
-                              F.element_at("y", i + 1).alias("y"))
-        models[m] = forest.QuantileForest(num_trees=5, max_depth=4, min_leaf=2).fit(rows, ["state", "place", "year"])
+    model = two_targets(features.window_samples(panel, ["a", "dn"]))
     windows = features.latest_window(panel, ["a", "dn"], 11)
-    args = (windows, models, {("a", 0.4): 1.0, ("dn", 0.4): 0.0}, 11, 2, [0.4, 0.6])
+    args = (windows, model, {("a", 0.4): 1.0, ("dn", 0.4): 0.0}, 11, 3, [0.4, 0.6])
     with pytest.raises(KeyError, match="no qhat"):
-        project.project_forest(windows, models, {("a", 0.4): 1.0}, 11, 2, [0.4, 0.6])
-    local = project.project_forest(*args)
-    monkeypatch.setattr(forest, "MAX_LOCAL_LEAVES", 0)
-    joined = project.project_forest(*args)
-    keys = ["place", "metric", "q", "year"]
-    both = local.join(joined.withColumnRenamed("value", "v2"), keys)
-    assert both.count() == 8 * 2 * 2 * 2
+        project.project_forest(windows, model, {("a", 0.4): 1.0}, 11, 2, [0.4, 0.6])
+    local = project.project_forest(*args).cache()
+    assert local.count() == 8 * 2 * 2 * 3
+    monkeypatch.setattr(forest, "MAX_FOREST_BYTES", 400)
+    sliced = forest.QuantileForestModel(model.targets, model.cuts, model.trees)
+    assert len(sliced.slices()) > 2
+    both = local.join(project.project_forest(windows, sliced, *args[2:]).withColumnRenamed("value", "v2"), ["place", "metric", "q", "year"])
+    assert both.count() == 8 * 2 * 2 * 3
     assert both.where("abs(value - v2) > 1e-9").count() == 0
 
 
+def slow_value(tree, row):
+    at = 0
+    while tree["child"][at] != at:
+        at = tree["child"][at] + (row[tree["column"][at]] > tree["cut"][at])
+    return tree["value"][at]
+
+
+def test_one_pass_projection_against_single_steps(spark):
+    panel = wide_panel(spark, 5)
+    model = two_targets(features.window_samples(panel, ["a", "dn"]), num_trees=7)
+    qhat = {("a", 0.25): 0.5, ("dn", 0.25): 0.25}
+    windows = features.latest_window(panel, ["a", "dn"], 11)
+    got = {(r["place"], r["metric"], r["q"], r["year"]): r["value"] for r in project.project_forest(
+        windows, model, qhat, 11, 4, [0.25, 0.5, 0.75]).collect()}
+    grown = [[t for t in model.trees.orderBy("tree").collect() if t["target"] == i] for i in range(2)]
+    for w in windows.collect():
+        for q in (0.25, 0.5, 0.75):
+            path = [list(x) for x in w["x"]]
+            for year in range(12, 16):
+                row = trees_row(np.array(path[-7:]), model.cuts)
+                new = [np.quantile([slow_value(t, row) for t in grown[i]], q) + {0.25: -1, 0.5: 0, 0.75: 1}[q] * qhat[m, 0.25]
+                       for i, m in enumerate(("a", "dn"))]
+                new[0] = max(new[0], 0.0)
+                path.append(new)
+                assert [got[w["place"], m, q, year] for m in ("a", "dn")] == pytest.approx(new)
+
+
+def trees_row(window, cuts):
+    """Bins of the features of one window, by the SQL definition."""
+    block = []
+    for i in range(window.shape[1]):
+        own, ema = window[:, i], [window[0, i]]
+        for v in own[1:]:
+            ema.append(2 / 3 * v + 1 / 3 * ema[-1])
+        block += [*own[::-1], *ema[-5:]]
+    return [int(np.searchsorted(c, v, side="left")) for c, v in zip(cuts, block)]
+
+
+def test_window_features_agree(spark):
+    samples = features.window_samples(wide_panel(spark, 4), ["a", "dn"])
+    rows = features.window_features(samples, 2, out="all").withColumn("one", features.target_vector("x", 1, 2)).collect()
+    for r in rows:
+        assert [r["all"][k] for k in features.target_positions(1, 2)] == r["one"]
+
+
+def stored(model):
+    return sorted((r["target"], r["tree"], tuple(r["column"]), tuple(r["cut"]), tuple(r["child"]), tuple(map(str, r["value"]))) for r in model.trees.collect())
+
+
+def paths_of(model):
+    """Every tree as nested tuples, whatever the order of its nodes."""
+    def below(t, at):
+        if t["child"][at] == at:
+            return t["value"][at]
+        return t["column"][at], t["cut"][at], below(t, t["child"][at]), below(t, t["child"][at] + 1)
+    return {(t["target"], t["tree"]): below(t, 0) for t in model.trees.collect()}
+
+
+@pytest.mark.parametrize("local_rows", [0, 60, 10_000])
+def test_growing_by_level_gives_the_same_trees(spark, monkeypatch, local_rows):
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 9, (400, 6))
+    x[:, 4] = 3
+    rows = [(i, [float(v) if v < 8 else None for v in x[i]], [float(x[i, 0] * 5 + rng.integers(0, 4)), float(x[i, 1] % 4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, features array<double>, y array<double>").repartition(3)
+    how = forest.QuantileForest(num_trees=4, min_leaf=8, max_depth=7)
+    uses = {"p": [0, 2, 3, 4], "q": [1, 5, 4, 0]}
+    whole = how.fit_all(df, ["id"], uses)
+    assert stored(whole) == stored(how.fit_all(df.repartition(7), ["id"], uses))
+    monkeypatch.setattr(forest, "MAX_TABLE_BYTES", 0)
+    monkeypatch.setattr(forest, "LOCAL_ROWS", max(1, local_rows))
+    monkeypatch.setattr(forest, "MAX_STATISTICS_BYTES", 5 * 2 * 64 * 16)
+    monkeypatch.setattr(forest, "MAX_TOP_NODES", 4000)
+    assert paths_of(how.fit_all(df, ["id"], uses)) == paths_of(whole)
+
+
+def test_splits_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        n = 60
+        x, y, w = rng.integers(0, 6, (n, 3)).astype(np.uint8), rng.integers(0, 9, n).astype(float), rng.integers(0, 3, n).astype(float)
+        columns = np.array([[2, 0]])
+        stats = trees.histograms(x, columns, np.arange(n), np.zeros(n, int), w, w * y)
+        column, cut, left = trees.best_splits(stats, columns, 5)
+        best = None
+        for c in (2, 0):
+            for b in range(6):
+                low = x[:, c] <= b
+                if w[low].sum() >= 5 and w[~low].sum() >= 5:
+                    score = (w * y)[low].sum() ** 2 / w[low].sum() + (w * y)[~low].sum() ** 2 / w[~low].sum()
+                    best = max(best or (-1,), (score, -c, -b))
+        if best is None:
+            assert column[0] == -1
+        else:
+            low = x[:, column[0]] <= cut[0]
+            score = (w * y)[low].sum() ** 2 / w[low].sum() + (w * y)[~low].sum() ** 2 / w[~low].sum()
+            assert score == pytest.approx(best[0]) and left[0] == w[low].sum()
+
+
+def test_forest_edges(spark):
+    how = forest.QuantileForest(num_trees=3, min_leaf=2)
+    one = how.fit(spark.createDataFrame([("a", [1.0, None], 5.0)], "id string, features array<double>, y double"), ["id"])
+    assert one.predict(spark.createDataFrame([([9.0, 9.0],)], "features array<double>"), [0.1, 0.9]).first()["pred"] == [5.0, 5.0]
+    assert one.predict(spark.createDataFrame([], "features array<double>"), [0.5]).collect() == []
+    with pytest.raises(Exception, match="missing"):
+        how.fit(spark.createDataFrame([("a", [1.0], None)], "id string, features array<double>, y double"), ["id"])
+    with pytest.raises(ValueError, match="nothing"):
+        how.fit_all(spark.createDataFrame([], "id string, features array<double>, y array<double>"), ["id"], {"y": [0]})
+
+
 def test_centre_step_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x, centres, gamma = rng.normal(size=(20, 4, 2)), rng.normal(size=(3, 4, 2)), 0.5
@@ -206,31 +312,24 @@ def test_sequence_scores_feed_calibration(spark):
 
 def test_forest_backtest_matches_prediction(spark):
     samples = features.window_samples(wide_panel(spark, 12), ["a", "dn"])
-    models = {}
-    for i, m in enumerate(["a", "dn"]):
-        rows = samples.select("state", "place", "year", features.target_vector("x", i, 2).alias("features"),
-                              F.element_at("y", i + 1).alias("y"))
-        models[m] = forest.QuantileForest(num_trees=5, max_depth=4, min_leaf=2).fit(rows, ["state", "place", "year"])
-    out = project.backtest_forest(samples, models)
+    model = two_targets(samples)
+    out = project.backtest_forest(samples, model)
     assert out.count() == samples.count() * 2
     assert out.join(samples.withColumn("year", F.col("year") + 1), ["state", "place", "year"]).where(
         "actual <> y[CASE metric WHEN 'a' THEN 0 ELSE 1 END]").count() == 0
-    direct = models["a"].predict(samples.select("state", "place", "year", features.target_vector("x", 0, 2).alias("f")),
-                                 [0.5], ["state", "place", "year"], "f", "direct")
-    both = out.where("metric = 'a'").join(direct.withColumn("year", F.col("year") + 1), ["state", "place", "year"])
-    assert both.count() == samples.count() and both.where("abs(pred - greatest(direct[0], 0)) > 1e-9").count() == 0
+    direct = quantile_predictions(model, samples, [0.5]).withColumn("year", F.col("year") + 1)
+    both = out.join(direct.withColumnsRenamed({"target": "metric", "pred": "direct"}), ["state", "place", "year", "metric"])
+    assert both.count() == samples.count() * 2
+    assert both.where("abs(pred - CASE metric WHEN 'a' THEN greatest(direct, 0) ELSE direct END) > 1e-9").count() == 0
 
 
 def test_leaf_values_come_from_the_leaf(spark):
-    df = regression_rows(spark, 300).cache()
-    model = forest.QuantileForest(num_trees=3, max_depth=4).fit(df, ["id"])
-    placed = {}
-    for r in model.leaf_column(df, F.col("features"), "leaf").collect():
-        for tree, leaf in enumerate(r["leaf"]):
-            placed.setdefault((tree, int(leaf)), set()).add(r["y"])
-    drawn = {(r["tree"], r["leaf"]): r["value"] for r in model.leaves.collect()}
-    assert drawn.keys() == placed.keys()
-    assert all(v in placed[k] for k, v in drawn.items())
-    scored = model.predict(df, [0.3], ["id"]).first()
-    row = model.leaf_column(df.where(F.col("id") == scored["id"]), F.col("features"), "leaf").first()
-    assert scored["pred"][0] == pytest.approx(np.quantile([drawn[t, int(v)] for t, v in enumerate(row["leaf"])], 0.3))
+    rows = regression_rows(spark, 300).collect()
+    model = forest.QuantileForest(num_trees=3, max_depth=4).fit(spark.createDataFrame(rows), ["id"])
+    for tree in model.trees.collect():
+        met = {}
+        for r in rows:
+            bins = [int(np.searchsorted(c, v, side="left")) for c, v in zip(model.cuts, r["features"])]
+            met.setdefault(slow_value(tree, bins), set()).add(r["y"])
+        assert all(drawn in found for drawn, found in met.items())
+        assert len(met) == sum(c == i for i, c in enumerate(tree["child"])) > 4

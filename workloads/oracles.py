@@ -16,8 +16,7 @@ POP, MIG, WOMEN, BIRTHS = "S0101_C01_001E", "S0701_C06_001E", "S1301_C01_001E",
 S0101 = [_code("S0101", c, x) for c in (1, 3, 5) for x in range(1, 20)]
 S0701 = [_code("S0701", c, x) for c in range(1, 6) for x in (1, 2, 3, 11, 48)]
 S1301 = [_code("S1301", 1, x) for x in (1, 2, 31, 32)] + [_code("S1301", c, x) for c in range(2, 6) for x in (1, 2)]
-COMPONENTS = [MIG, WOMEN, BIRTHS, "dn"]
-MODEL = [*AGES, *COMPONENTS]
+MODEL = [*AGES, MIG, WOMEN, BIRTHS, "dn"]
 
 LI = """li AS (
   SELECT lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS state, lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS place,
@@ -270,7 +269,6 @@ g0 AS (SELECT {t}, state, place, {', '.join(f'coalesce({c}, 0) AS {c}' for c in
 
 YEARLY_MODEL = model("year", 1995, [POP, *MODEL])
 QUARTERS = model("period", 0, MODEL)
-QUARTERS_COMPONENTS = model("period", 0, COMPONENTS)
 QUARTERS_AGES = model("period", 0, AGES)
 
 ORACLES["residual_change"] = f"""WITH {model('year', -1, ['dn'])}
@@ -366,10 +364,10 @@ def ema_cte(source: str) -> str:
     return ",\n".join(parts)
 
 
-ORACLES["ema"] = f"""WITH {QUARTERS_COMPONENTS}, {ema_cte('f')}
+ORACLES["ema"] = f"""WITH {QUARTERS}, {ema_cte('f')}
 SELECT period, state, place, metric, {', '.join(rnd(f'ema_{i}', 6, f'ema_{i}') for i in range(5, 0, -1))} FROM em"""
 
-ORACLES["history_vector"] = f"""WITH {QUARTERS_COMPONENTS}
+ORACLES["history_vector"] = f"""WITH {QUARTERS}
 SELECT period, state, place, metric, array_to_string(list_transform(
   list(value) OVER (PARTITION BY state, place, metric ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
   lambda x: CAST(CAST(round(x) AS BIGINT) AS VARCHAR)), ',') AS history FROM f"""
@@ -483,9 +481,9 @@ def backtest(source: str, name: str = "bt", weights: tuple[str, ...] = SMOOTH) -
 
 
 BT_AGES = f"{QUARTERS_AGES}, {backtest('f')}"
-BT_COMPONENTS = f"{QUARTERS_COMPONENTS}, {backtest('f')}"
+BT_MODEL = f"{QUARTERS}, {backtest('f')}"
 
-ORACLES["backtest_linear"] = ORACLES["score_sequences"] = f"""WITH {BT_COMPONENTS}
+ORACLES["backtest_linear"] = ORACLES["score_sequences"] = f"""WITH {BT_MODEL}
 SELECT period, state, place, metric, {rnd('pred', 6, 'pred')}, {rnd('actual', 6, 'actual')} FROM bt"""
 ORACLES["mae"] = f"WITH {BT_AGES} SELECT metric, {rnd('avg(abs(pred - actual))', 6, 'mae')} FROM bt GROUP BY metric"
 
@@ -537,7 +535,7 @@ sc AS (SELECT metric AS target, alpha, abs(pred - actual) AS score
        FROM bt, (VALUES (CAST(0.05 AS DOUBLE)), (0.1), (0.2), (0.45)) v(alpha)), {qhat('sc')}
 SELECT target, alpha, n, {rnd('qhat', 6, 'qhat')}, clamped FROM qh"""
 
-CQR = f"""{BT_COMPONENTS},
+CQR = f"""{BT_MODEL},
 qp AS (SELECT state, place, period, metric AS target, q, pred * (1 + CAST(0.4 AS DOUBLE) * (q - 0.5)) AS pred, actual AS y
   FROM bt, (VALUES (CAST(0.05 AS DOUBLE)), (0.1), (0.2), (0.45), (0.5), (0.55), (0.8), (0.9), (0.95)) v(q)),
 sc AS (SELECT lo.target, lo.q AS alpha, greatest(lo.pred - lo.y, hi.y - hi.pred) AS score
@@ -567,7 +565,7 @@ def projection(source: str, steps: int, name: str = "pj", weights: tuple[str, ..
   FROM {name} WHERE period < {27 + steps})"""
 
 
-ORACLES["project_linear"] = ORACLES["project_sequences"] = f"""WITH RECURSIVE {QUARTERS_COMPONENTS}, {projection('f', 39)}
+ORACLES["project_linear"] = ORACLES["project_sequences"] = f"""WITH RECURSIVE {QUARTERS}, {projection('f', 39)}
 SELECT state, place, metric, q, period, {rnd('h6')} FROM pj WHERE period > 27"""
 
 EVAL_CASE = "CASE metric " + " ".join(f"WHEN '{a}' THEN {i + 1}" for i, a in enumerate(AGES)) + " ELSE 19 END"

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.codes import (
-    AGE_LABELS, AGE_METRICS, BIRTHS, KEYS, MIGRATION, MODEL_METRICS, POPULATION, RESIDUAL,
+    AGE_LABELS, AGE_METRICS, BIRTHS, KEYS, MODEL_METRICS, POPULATION, RESIDUAL,
     VINTAGE_RENAMES, WOMEN, code, matching, measures,
 )
 from panelcast.operators import aggregate, clean, cluster, conformal, derive, features, metrics, project, quantiles
 from panelcast.operators import relate, scale, shape, split
-from panelcast.operators.forest import QuantileForest
-from panelcast.operators.sizing import cut_lineage
+from panelcast.operators.sizing import cut_lineage, spread
 from panelcast.plans import describe, evaluate, report, train
 from panelcast.plans.collect import collect_panels, sorted_panel
 from panelcast.plans.prepare import MOBILITY_NON_COUNT_ROWS, MOBILITY_PARTS, NON_COUNT_PATTERNS, REDUNDANT_PATTERN
@@ -31,7 +30,6 @@ QUERIES: dict[str, Query] = {}
 
 YEARLY = ("year", *KEYS)
 QUARTERLY = ("period", *KEYS)
-COMPONENTS = (MIGRATION, WOMEN, BIRTHS, RESIDUAL)
 LAST_QUARTER = 27
 BACKTEST_PERIODS = range(8, 28)
 SMOOTH = project.LinearScorer([k / 21 for k in (1, 1, 2, 2, 3, 4, 8)], spread=0.1)
@@ -424,13 +422,13 @@ def lead_target(spark, sf):
 
 @query
 def ema(spark, sf):
-    cells = features.panel_features(quarterly_series(spark, sf, COMPONENTS), t="period")
+    cells = features.panel_features(quarterly_series(spark, sf, MODEL_METRICS), t="period")
     return cells.select(*QUARTERLY, "metric", *[r(f"ema_{i}").alias(f"ema_{i}") for i in range(5, 0, -1)])
 
 
 @query
 def history_vector(spark, sf):
-    cells = features.history(quarterly_series(spark, sf, COMPONENTS), t="period")
+    cells = features.history(quarterly_series(spark, sf, MODEL_METRICS), t="period")
     text = F.array_join(F.transform("history", lambda x: F.round(x).cast("long").cast("string")), ",")
     return cells.select(*QUARTERLY, "metric", text.alias("history"))
 
@@ -647,7 +645,7 @@ def conformal_qhat(spark, sf):
 
 def quantile_preds(spark, sf, levels=(0.05, 0.1, 0.2, 0.45, 0.5, 0.55, 0.8, 0.9, 0.95)):
     """Back-tested predictions widened into quantiles."""
-    wide = shape.with_quantile_dim(backtested(spark, sf, cols=COMPONENTS), levels)
+    wide = shape.with_quantile_dim(backtested(spark, sf, cols=MODEL_METRICS), levels)
     return wide.select(*KEYS, "period", F.col("metric").alias("target"), "q",
                        (F.col("pred") * (1 + 0.4 * (F.col("q") - 0.5))).alias("pred"), F.col("actual").alias("y"))
 
@@ -672,7 +670,7 @@ def cqr_adjust(spark, sf):
 
 @query
 def project_linear(spark, sf):
-    cells = quarterly_series(spark, sf, COMPONENTS)
+    cells = quarterly_series(spark, sf, MODEL_METRICS)
     paths = project.project_linear(cells, SMOOTH, LAST_QUARTER, 39, list(PATHS.values()), t="period")
     return paths.withColumn("value", r("value"))
 
@@ -689,21 +687,21 @@ def window_scorer():
 
 @query
 def score_sequences(spark, sf):
-    samples = features.window_samples(quarterly_model_panel(spark, sf), COMPONENTS, t="period")
-    scored = project.score_sequences(samples, window_scorer(), COMPONENTS, floor=0.0, t="period")
+    samples = features.window_samples(quarterly_model_panel(spark, sf), MODEL_METRICS, t="period")
+    scored = project.score_sequences(samples, window_scorer(), MODEL_METRICS, floor=0.0, t="period")
     return scored.select(*QUARTERLY, F.col("target").alias("metric"), r("pred").alias("pred"), r("y").alias("actual"))
 
 
 @query
 def project_sequences(spark, sf):
-    windows = features.latest_window(quarterly_model_panel(spark, sf), COMPONENTS, LAST_QUARTER, t="period")
-    paths = project.project_sequences(windows, window_scorer(), COMPONENTS, LAST_QUARTER, 39, list(PATHS.values()), t="period")
+    windows = features.latest_window(quarterly_model_panel(spark, sf), MODEL_METRICS, LAST_QUARTER, t="period")
+    paths = project.project_sequences(windows, window_scorer(), MODEL_METRICS, LAST_QUARTER, 39, list(PATHS.values()), t="period")
     return paths.withColumn("value", r("value"))
 
 
 @query
 def backtest_linear(spark, sf):
-    cells = backtested(spark, sf, cols=COMPONENTS)
+    cells = backtested(spark, sf, cols=MODEL_METRICS)
     return cells.select(*QUARTERLY, "metric", r("pred").alias("pred"), r("actual").alias("actual"))
 
 
@@ -803,14 +801,15 @@ def forest_split(spark, sf):
     return cut_lineage(split.cluster_split(panel, P.region_clusters(spark, sf)))
 
 
+def forest_samples(spark, sf) -> tuple[DataFrame, DataFrame]:
+    panel = forest_split(spark, sf)
+    return tuple(features.window_samples(part, MODEL_METRICS, t="period") for part in (split.training_rows(panel), split.calibration_rows(panel)))
+
+
 @query
 def quantile_forest(spark, sf):
-    panel = forest_split(spark, sf)
-    train_rows, calib_rows = (cut_lineage(features.window_samples(part, MODEL_METRICS, t="period"))
-                              for part in (split.training_rows(panel), split.calibration_rows(panel)))
-    # Predictions are written before the next fit, so the driver holds one forest at a time.
-    preds = [cut_lineage(train.train_target(train_rows, calib_rows, MODEL_METRICS, m, t="period").preds) for m in MODEL_METRICS]
-    return shape.stack_releases(preds).select("target", *QUARTERLY, "q", r("pred").alias("pred"), "y")
+    trained = train.train_forests(*forest_samples(spark, sf), MODEL_METRICS, t="period")
+    return trained.preds.select("target", *QUARTERLY, "q", r("pred").alias("pred"), "y")
 
 
 @query
@@ -822,14 +821,24 @@ def project_forest(spark, sf):
     return paths.withColumn("value", r("value"))
 
 
+def backtested_forest(spark, sf):
+    """Medians on calibration samples by forests that were fitted, saved and loaded again."""
+    training, held = forest_samples(spark, sf)
+    stages = Stages(spark, scratch(spark))
+    stages.save_model("all", train.fit_forests(training, MODEL_METRICS, t="period"))
+    return project.backtest_forest(spread(held, *QUARTERLY), stages.load_model("all"), t="period")
+
+
 @query
 def backtest_forest(spark, sf):
-    panel = forest_split(spark, sf)
-    train_rows = features.window_samples(split.training_rows(panel), MODEL_METRICS, t="period").persist()
-    forest = QuantileForest()  # fit() leaves nothing to be read from the rows later
-    models = {m: forest.fit(train.target_samples(train_rows, i, len(MODEL_METRICS), t="period"), [*KEYS, "period"])
-              for i, m in enumerate(MODEL_METRICS)}
-    train_rows.unpersist()
-    held = features.window_samples(split.calibration_rows(panel), MODEL_METRICS, t="period")
-    scored = project.backtest_forest(held, models, t="period")
-    return scored.select(*QUARTERLY, "metric", r("pred").alias("pred"), r("actual").alias("actual"))
+    return backtested_forest(spark, sf).select(*QUARTERLY, "metric", r("pred").alias("pred"), r("actual").alias("actual"))
+
+
+@query
+def evaluation_forest(spark, sf):
+    """The accuracy table of the age bins: forests beside a linear scorer, on the same rows."""
+    held = split.calibration_rows(forest_split(spark, sf))
+    forests = backtested_forest(spark, sf).where(F.col("metric").isin(*AGE_METRICS))
+    steady = project.backtest(shape.to_long(held, QUARTERLY, AGE_METRICS), STEADY, BACKTEST_PERIODS, t="period")
+    models = {name: rows.withColumnRenamed("period", "year") for name, rows in (("forest", forests), ("steady", steady))}
+    return evaluate.evaluation_table(models, digits=6)
