@@ -45,11 +45,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` hashed by ``keys`` over every core, for work that is heavy per row rather than per byte.
+def spread(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
+    """``df`` hashed by ``keys`` over every core, ``times`` tasks each, for work that is heavy per row rather than per byte.
 
     Partitions sized by bytes leave such work in a handful of tasks.
     """
     sc = df.sparkSession.sparkContext
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(sc.defaultParallelism, shuffle), *keys)
+    return df.repartition(times * max(sc.defaultParallelism, shuffle), *keys)
