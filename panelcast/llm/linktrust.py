@@ -84,9 +84,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     """(id, host, path, rule, verdict, trust, distrust, exposure) per page.
 
     A rule ``host/path`` fits a host and its subdomains if the url's path starts with ``/path``; the longest fitting rule decides.
-    Seeds are the shares of a host's pages that rules allow and block.  Other pages are blocked if their host's exposure is
-    above its trust and at least half of what a fully blocked host without links has, allowed if not; so are urls without a
-    host, and hosts nothing is known about.  Distrust is shared out among all who link to a host, so it has no fixed bound.  Null html has no links; repeated rows and null ids stay; an empty table gives none.
+    Seeds are the shares of a host's pages that rules allow and block.  Other pages are blocked if their host's distrust
+    is above its trust and its exposure at least half of what a fully blocked host without links has, allowed if not; so are urls without a
+    host, and hosts nothing is known about.  Distrust is shared out among all who link to a host, so it is weighed against trust, which is shared out
+    alike, and the fixed threshold of a host is on exposure, the part of its own links that leads to the blocked.  Null html has no links; repeated rows and null ids stay; an empty table gives none.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
@@ -104,6 +105,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     standing = cut_lineage(spread_standing(seeds, host_links(pages, url_col, html_col), damping, rounds))
     bound = (1 - damping) / 2
     out = ruled(rows).join(checked_broadcast(standing), "host", "left")
-    outcast = (F.col("exposure") > F.col("trust")) & (F.col("exposure") >= bound)
+    outcast = (F.col("distrust") > F.col("trust")) & (F.col("exposure") >= bound)
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(
         F.col("hit.verdict"), F.when(outcast, "block").otherwise("allow")).alias("verdict"), "trust", "distrust", "exposure")

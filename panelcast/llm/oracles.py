@@ -90,15 +90,16 @@ found AS (SELECT host AS src, {_LOWER.format("unnest(regexp_extract_all(html, '(
 links AS (SELECT src, dst, count(*) AS links FROM found WHERE src <> dst AND src <> '' GROUP BY src, dst),
 edges AS MATERIALIZED (
   SELECT 't' AS kind, src AS host, dst AS other, links / sum(links) OVER (PARTITION BY src) AS part FROM links
-  UNION ALL SELECT 'd', dst, src, links / sum(links) OVER (PARTITION BY dst) FROM links),
+  UNION ALL SELECT 'd', dst, src, links / sum(links) OVER (PARTITION BY dst) FROM links
+  UNION ALL SELECT 'e', dst, src, links / sum(links) OVER (PARTITION BY src) FROM links),
 seeds AS (SELECT host, count(*) FILTER (verdict = 'allow') / count(*) AS trust, count(*) FILTER (verdict = 'block') / count(*) AS distrust
   FROM judged WHERE host <> '' GROUP BY host),
 r0 AS MATERIALIZED (SELECT 't' AS kind, host, trust * (1 - {DAMPING}) AS rank FROM seeds WHERE trust > 0
-  UNION ALL SELECT 'd', host, distrust * (1 - {DAMPING}) FROM seeds WHERE distrust > 0),
+  UNION ALL SELECT unnest(['d', 'e']), host, distrust * (1 - {DAMPING}) FROM seeds WHERE distrust > 0),
 {_ranks()},
-standing AS (SELECT host, coalesce(sum(rank) FILTER (kind = 't'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'd'), 0) AS distrust
-  FROM r{ROUNDS} GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust > trust AND distrust >= (1 - {DAMPING}) / 2 THEN 'block' ELSE 'allow' END) AS verdict
+standing AS (SELECT host, coalesce(sum(rank) FILTER (kind = 't'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'd'), 0) AS distrust,
+    coalesce(sum(rank) FILTER (kind = 'e'), 0) AS exposure FROM r{ROUNDS} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust > trust AND exposure >= (1 - {DAMPING}) / 2 THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged LEFT JOIN standing USING (host)
 """
 

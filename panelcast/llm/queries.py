@@ -24,10 +24,22 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame([(-1, 0, "user", HARD_CASE), (-1, 1, "assistant", HARD_CASE)], rows.schema)
-    # Every row is a message by itself: an event without a message id.
-    events = rows.unionByName(hard).select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("string").alias("message_id"),
-                                           F.lit("message").alias("kind"), "role", "text")
-    return chat.digest_chats(chat.format_chats(chat.fold_events(events)))
+    return chat.digest_chats(chat.format_chats(chat.fold_events(streamed(rows.unionByName(hard)))))
+
+
+def streamed(rows: DataFrame) -> DataFrame:
+    """The log of conversations whose messages were streamed: each row is a message with half of its text, then a delta with the rest.
+
+    The message id is of the row, so that rows that repeat stay messages of their own.
+    """
+    half = F.floor(F.length("text") / 2).cast("int")
+    said = F.coalesce(F.substr("text", F.lit(1), half), F.lit(""))
+    rest = F.coalesce(F.substr("text", half + 1), F.lit(""))
+    turn = F.col("turn").cast("double")
+    event = lambda kind, seq, role, text: F.struct(F.lit(kind).alias("kind"), seq.alias("seq"), role.alias("role"), text.alias("text"))
+    parts = F.array(event("message", turn, F.col("role"), said), event("delta", turn + 0.5, F.lit(None).cast("string"), rest))
+    numbered = rows.withColumn("message_id", F.monotonically_increasing_id().cast("string"))
+    return numbered.select("conv_id", "message_id", F.explode(parts).alias("e")).select("conv_id", "message_id", "e.*")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

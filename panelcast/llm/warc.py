@@ -8,14 +8,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.sizing import checked_broadcast, cut_lineage
 
 VERSION = "WARC/1.1"
-#: What ends a record, and what stands between two; the latter occurs nowhere else, see ``_chunks``.
+#: What ends a record, and what stands between two; the latter occurs nowhere else, see ``pieces_of``.
 ENDING, BETWEEN = "\r\n\r\n", f"\r\n\r\n{VERSION}\r\n"
 #: Characters of a payload in one record; longer ones go on in continuation records.
 CHUNK_CHARS = 1 << 20
@@ -26,14 +25,25 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
+def pieces_of(payload: str, chunk_chars: int) -> str:
+    """SQL array of the pieces of a payload, of at most ``chunk_chars`` characters, none of which has the whole version in it.
+
+    So the text that stands between two records occurs nowhere else, whatever a piece begins or ends with.
+    """
+    parts = f"split({payload}, '(?<=W)(?={VERSION[1:].replace('.', '[.]')})')"
+    cut = f"transform(sequence(0, greatest(cast(ceil(length(p) / {chunk_chars}) as int), 1) - 1), i -> substr(p, i * {chunk_chars} + 1, {chunk_chars}))"
+    return f"if(contains({payload}, '{VERSION}') or length({payload}) > {chunk_chars}, flatten(transform({parts}, p -> {cut})), array({payload}))"
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0,
             chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(record): WARC records, one or more for each page.
 
     Of the pages with equal payloads of at least ``least`` bytes the one with the largest id is a response, the others are revisits
-    that refer to it; smaller payloads are all responses.  Payloads beyond ``chunk_chars`` characters are segmented as
-    the standard has it: a first record, then continuations with ascending segment numbers.  Payloads are compared by SHA-1 and length.
+    that refer to it; smaller payloads are all responses.  Payloads beyond ``chunk_chars`` characters become (page, chunk) rows, and segments as
+    the standard has them: a first record, then continuations with ascending segment numbers.  Payloads are compared by SHA-1 and length.
     A null payload is empty, a null url an empty target.  Rows without an id become responses nothing refers to.
+    All of it is DataFrame expressions: no payload enters Python, and a written row is one chunk.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
                         F.coalesce(F.col(payload_col), F.lit("")).alias("payload")).withColumns(
@@ -43,76 +53,42 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     shared = known.groupBy("sha1", "size").agg(F.max("id").alias("origin"), F.count("*").alias("n")).where("n > 1")
     revisits = cut_lineage(known.join(shared, ["sha1", "size"]).where("id <> origin").select("id", "url", "sha1", "size", "origin"))
     again = checked_broadcast(revisits.select("id", "sha1", "size").distinct())
-    told = (rows.join(again, ["id", "sha1", "size"], "left_anti")
-            .select("id", "url", "payload", "sha1", "size", F.lit(None).cast("long").alias("origin"))
-            .unionByName(revisits.withColumn("payload", F.lit(""))))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for n in range(len(batch)):
-                page, url, payload, sha1, size, origin = (c[n].as_py() for c in batch.columns)
-                made += 1
-                found = list(_page_records(page, url, payload, base32_sha1(bytes.fromhex(sha1)), size, origin, chunk_chars,
-                                           f"{part}-{made}"))
-                yield pa.RecordBatch.from_arrays([pa.array(found)], ["record"])
-
-    return told.mapInArrow(write, "record string")
-
-
-def _chunks(payload: str, chunk_chars: int) -> Iterator[str]:
-    """Pieces of a payload.  With the line ends that stand around it none makes up the text between two records: a piece ends
-    behind the first letter of the version in every such place.
-    """
-    start = 0
-    while True:
-        piece = payload[start:start + chunk_chars]
-        found = (ENDING + piece + BETWEEN).find(BETWEEN)
-        if found < len(ENDING) + len(piece):
-            piece = piece[:found + 1]
-        yield piece
-        start += len(piece)
-        if start >= len(payload):
-            return
-
-
-def _clean(text: str) -> str:
-    """A header value on one line, read back by ``_value``."""
-    return re.sub(r"[%\r\n]", lambda m: f"%{ord(m[0]):02X}", text)
+    whole = rows.join(again, ["id", "sha1", "size"], "left_anti").withColumn("serial", F.monotonically_increasing_id())
+    pieces = whole.selectExpr("id", "url", "sha1", "size", "serial", f"{pieces_of('payload', chunk_chars)} AS pieces")
+    chunks = pieces.selectExpr("id", "url", "sha1", "size", "serial", "size(pieces) AS many", "posexplode(pieces) AS (at, piece)")
+
+    page = "concat('<urn:page:', coalesce(cast(id as string), ''), '>')"
+    url = "replace(replace(replace(url, '%', '%25'), char(13), '%0D'), char(10), '%0A')"
+    always = [("WARC-Record-ID", page), ("WARC-Date", f"'{DATE}'"), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"concat('sha1:', {base32_sql('sha1')})")]
+    segment = [("WARC-Type", "if(at = 0, 'response', 'continuation')"), ("WARC-Segment-Number", "if(many > 1, at + 1, null)"),
+               # The serial keeps rows apart that repeat an id.
+               ("X-Serial", "if(many > 1, serial, null)"),
+               *((name, f"if(at = 0, {value}, null)") for name, value in always),
+               ("WARC-Record-ID", "if(at > 0, concat('<urn:page:', coalesce(cast(id as string), ''), ':', at + 1, '>'), null)"),
+               ("WARC-Date", f"if(at > 0, '{DATE}', null)"), ("WARC-Segment-Origin-ID", f"if(at > 0, {page}, null)"),
+               ("WARC-Segment-Total-Length", "if(many > 1 and at + 1 = many, size, null)"), ("Content-Length", "octet_length(piece)")]
+    revisit = [("WARC-Type", "'revisit'"), *always, ("WARC-Refers-To", "concat('<urn:page:', origin, '>')"),
+               ("WARC-Profile", "'http://netpreserve.org/warc/1.1/revisit/identical-payload-digest'"), ("WARC-Payload-Length", "size"), ("Content-Length", "0")]
+    return chunks.selectExpr(f"{_record_sql(segment, 'piece')} AS record").unionByName(revisits.selectExpr(f"""{_record_sql(revisit, "''")} AS record"""))
+
+
+def base32_sql(digest: str) -> str:
+    """SQL of the upper-case base32 of 160 bits in hex: each five hex digits are four letters."""
+    five = f"cast(conv(substr({digest}, cast(i div 4 * 5 + 1 as int), 5), 16, 10) as long)"
+    letter = f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((shiftright({five}, cast(15 - i % 4 * 5 as int)) & 31) + 1 as int), 1)"
+    return f"array_join(transform(sequence(0, 31), i -> {letter}), '')"
+
+
+def _record_sql(headers: list[tuple[str, str]], block: str) -> str:
+    """SQL of a record: its headers that are not null, an empty line, the block."""
+    lines = ", ".join(f"concat('{name}: ', {value})" for name, value in headers)
+    return f"concat(concat_ws('\\r\\n', '{VERSION}', {lines}), '\\r\\n\\r\\n', {block})"
 
 
 def _value(text: str) -> str:
     return re.sub(r"%(25|0D|0A)", lambda m: chr(int(m[1], 16)), text)
 
 
-def _record(headers: list[tuple[str, object]], block: str) -> str:
-    lines = [VERSION, *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block.encode())}"]
-    return "\r\n".join(lines) + ENDING + block
-
-
-def _page_records(page: int | None, url: str, payload: str, digest: str, size: int, origin: int | None,
-                  chunk_chars: int, serial: str) -> Iterator[str]:
-    name = f"<urn:page:{'' if page is None else page}>"
-    always = [("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)),
-              ("WARC-Payload-Digest", f"sha1:{digest}")]
-    if origin is not None:
-        yield _record([("WARC-Type", "revisit"), *always, ("WARC-Refers-To", f"<urn:page:{origin}>"),
-                       ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Length", size)], "")
-        return
-    pieces = list(_chunks(payload, chunk_chars))
-    if len(pieces) == 1:
-        yield _record([("WARC-Type", "response"), *always], pieces[0])
-        return
-    for number, piece in enumerate(pieces, 1):
-        # The serial keeps rows apart that repeat an id.
-        own = [("WARC-Type", "response" if number == 1 else "continuation"), ("WARC-Segment-Number", number), ("X-Serial", serial)]
-        own += always if number == 1 else [("WARC-Record-ID", f"<urn:page:{'' if page is None else page}:{number}>"), ("WARC-Date", DATE),
-                                           ("WARC-Segment-Origin-ID", name)]
-        if number == len(pieces):
-            own.append(("WARC-Segment-Total-Length", size))
-        yield _record(own, piece)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor reaches: the one the session checkpoints into."""
     cut_lineage(spark.range(0))

@@ -1,9 +1,12 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelcast.llm import linktrust
+from panelcast.llm.oracles import ORACLES
+from panelcast.llm.queries import op9_url_filter
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("org/", "block")]
 SCHEMA = "page_id long, url string, html string, rule string"
@@ -39,16 +42,18 @@ def brute(rows, rounds=linktrust.ROUNDS, d=linktrust.DAMPING):
             if host and to != host:
                 links[host, to] = links.get((host, to), 0) + 1
     out = []
-    for kind, edges in ((1, links), (2, {(b, a): n for (a, b), n in links.items()})):
+    back = {(b, a): n for (a, b), n in links.items()}
+    # Trust is shared out by the linking host, distrust by the linked one; exposure runs back too, but is shared out by the linking host.
+    for kind, edges, sharer in ((1, links, 0), (2, back, 0), (2, back, 1)):
         total = {}
-        for (a, _), n in edges.items():
-            total[a] = total.get(a, 0) + n
+        for edge, n in edges.items():
+            total[edge[sharer]] = total.get(edge[sharer], 0) + n
         start = {h: (1 - d) * n[kind] / n[0] for h, n in seeds.items()}
         rank = dict(start)
         for _ in range(rounds):
             new = dict(start)
             for (a, b), n in edges.items():
-                new[b] = new.get(b, 0) + d * rank.get(a, 0) * n / total[a]
+                new[b] = new.get(b, 0) + d * rank.get(a, 0) * n / total[(a, b)[sharer]]
             rank = new
         out.append(rank)
     return out
@@ -70,17 +75,18 @@ ROWS = [(1, "http://good.example.net/en/1", link("https://friend.info/x", "//Sec
 
 def test_verdicts_match_brute_force(spark):
     got = linktrust.judge(spark.createDataFrame(ROWS, SCHEMA).repartition(4), RULES).collect()
-    trust, distrust = brute(ROWS)
+    trust, distrust, exposure = brute(ROWS)
     want = []
     for i, url, _, _ in ROWS:
         host, path = split(url)
         rule, verdict = fitting(host, path)
-        t, u = trust.get(host, 0), distrust.get(host, 0)
-        want.append((i, host, path, rule, verdict or ("block" if u > t and u >= 0.075 else "allow")))
+        blocked = distrust.get(host, 0) > trust.get(host, 0) and exposure.get(host, 0) >= 0.075
+        want.append((i, host, path, rule, verdict or ("block" if blocked else "allow")))
     assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got), key=str) == sorted(want, key=str)
     for r in got:
         assert (r.trust or 0) == pytest.approx(trust.get(r.host, 0), abs=1e-12)
         assert (r.distrust or 0) == pytest.approx(distrust.get(r.host, 0), abs=1e-12)
+        assert (r.exposure or 0) == pytest.approx(exposure.get(r.host, 0), abs=1e-12)
     verdicts = {r.page_id: r.verdict for r in got}
     # Distrust runs back to who links to the blocked, not on to those the blocked link to.
     assert verdicts[3] == verdicts[5] == "block" and verdicts[6] == "allow"
@@ -100,6 +106,28 @@ def test_a_blocked_host_reaches_all_that_link_to_it(spark, linkers):
         assert got[n].exposure == pytest.approx(want, abs=1e-12)
 
 
+def crawl():
+    """Pages whose hosts link to one another, to blocked and to allowed hosts."""
+    rng = random.Random(4)
+    hosts = [f"h{n}.info" for n in range(40)] + ["a.net", "b.net", "c.example.net", "d.org", "example.com", "e.org"]
+    paths = ["", "/", "/en/x", "/fr/y", "/de/z"]
+    favourites = {h: rng.sample(hosts, 3) for h in hosts}
+    return [(n, f"http://{(h := rng.choice(hosts))}{rng.choice(paths)}", link(*[f"http://{rng.choice(favourites[h])}/" for _ in range(rng.randint(0, 4))]), "c")
+            for n in range(300)]
+
+
+def test_query_matches_its_sql_where_hosts_link(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame(crawl(), SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLES['op9_url_filter']})").fetchall()
+    got = [tuple(r) for r in op9_url_filter(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    open_verdicts = {verdict for *_, rule, verdict in got if rule is None}
+    assert open_verdicts == {"allow", "block"}
+
+
 def test_an_empty_table(spark):
     assert linktrust.judge(spark.createDataFrame([], SCHEMA), RULES).collect() == []
 
