@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,8 @@ def soft_dtw_kernel(gamma: float):
             yield i, total - i
 
     def table(x, centre):
-        d = (x ** 2).sum(-1)[:, :, None] + (centre ** 2).sum(-1)[None, None, :] - 2 * x @ centre.T
+        """Cumulated costs of series against one centre, or each against one of its own (n, S, m)."""
+        d = (x ** 2).sum(-1)[:, :, None] + (centre ** 2).sum(-1)[..., None, :] - 2 * x @ np.swapaxes(centre, -1, -2)
         d = np.maximum(d, 0.0)
         n, steps, width = d.shape
         r = np.full((n, steps + 1, width + 1), np.inf)
@@ -128,21 +129,186 @@ def series_distances(series: DataFrame, centres: np.ndarray, gamma: float = 0.01
     return _on_series(series, centres, keys, _keyed(series, keys, "centre"), work)
 
 
+def path_slack(steps: int, width: int, gamma: float) -> float:
+    """By how much soft-DTW can fall below DTW: ``gamma`` times the logarithm of the number of paths, of which there are at most 3^(T+S)."""
+    return gamma * (steps + width) * float(np.log(3))
+
+
+def nearest_centres(x: np.ndarray, centres: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(number, distance, alignments computed) of the nearest centre of each series; ties go to the lower number.
+
+    Whatever a step of a series is aligned to lies between the smallest and the largest values of a centre, so what it exceeds them by bounds DTW
+    from below, and, less ``path_slack``, soft-DTW.  A series is aligned to the centre with the lowest bound first, then only to those
+    whose bound doesn't exceed the best distance found.
+    """
+    values, _ = soft_dtw_kernel(gamma)
+    n, k = len(x), len(centres)
+    low, high = centres.min(axis=1), centres.max(axis=1)
+    bound = np.empty((n, k))
+    for c in range(k):
+        over = np.maximum(np.maximum(x - high[c], low[c] - x), 0)
+        bound[:, c] = (over * over).sum(axis=(1, 2))
+    bound -= path_slack(x.shape[1], centres.shape[1], gamma)
+    rows = np.arange(n)
+    nearest = bound.argmin(axis=1)
+    first = nearest.copy()
+    best, made = values(x, centres[nearest]), n
+    for c in range(k):
+        open_ = np.flatnonzero((bound[:, c] <= best) & (first != c))
+        if not len(open_):
+            continue
+        made += len(open_)
+        d = values(x[open_], centres[c])
+        closer = (d < best[open_]) | ((d == best[open_]) & (c < nearest[open_]))
+        nearest[open_[closer]], best[open_[closer]] = c, d[closer]
+    return nearest[rows], best, made
+
+
 def assign_clusters(series: DataFrame, centres: np.ndarray, gamma: float = 0.01,
                     keys: Sequence[str] = KEYS) -> DataFrame:
     """``(keys, cluster, distance)``: the nearest centre of every series; ties go to the lower number."""
-    values, _ = soft_dtw_kernel(gamma)
     names = [*keys, "cluster", "distance"]
 
     def work(chunks, centres):
         for ids, x in chunks:
-            d = np.stack([values(x, c) for c in centres], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*ids, pa.array((d.argmin(1) + 1).astype("int32")), pa.array(d.min(1))], names)
+            nearest, best, _ = nearest_centres(x, centres, gamma)
+            yield pa.RecordBatch.from_arrays([*ids, pa.array((nearest + 1).astype("int32")), pa.array(best)], names)
 
     return _on_series(series, centres, keys, _keyed(series, keys, "cluster"), work)
 
 
+def _chance(seed: int, salt: str, keys: Sequence[str]) -> Column:
+    """A number in [0, 1) for every entity, by hash."""
+    digest = F.md5(F.concat_ws("|", F.lit(f"{seed}:{salt}"), *[F.col(c).cast("string") for c in keys]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _fetched(series: DataFrame, at_most: int) -> np.ndarray:
+    """A few series as (n, T, m)."""
+    rows = series.select("series").limit(at_most + 1).collect()
+    if len(rows) > at_most:
+        raise ValueError(f"more than {at_most} series")
+    return np.array([r["series"] for r in rows], dtype=float)
+
+
+def seed_centres(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, rounds: int = 4, oversampling: float = 0.5,
+                 keys: Sequence[str] = KEYS) -> np.ndarray:
+    """``k`` series far apart, by oversampling (k-means||).
+
+    Each round adds every series with a chance in proportion to its distance to the candidates so far, about ``oversampling * k`` of them;
+    chances are hashes.  The candidates, weighted by how many series are nearest to them, are then thinned out on the driver: some ``rounds *
+    oversampling * k`` series and their distances, however many series there are.
+    """
+    order = _chance(seed, "start", keys)
+    some = series.orderBy(order, *keys).limit(max(1, k // 4))
+    found = _fetched(some, k)
+    chosen = cut_lineage(some.select(*keys))
+    wanted = max(1.0, oversampling * k)
+    for n in range(rounds):
+        _check_centres(found)
+        far = cut_lineage(assign_clusters(series, found, gamma, keys).withColumn("distance", F.greatest("distance", F.lit(0.0))))
+        total = far.agg(F.sum("distance")).first()[0] or 0.0
+        if total <= 0:
+            break
+        lucky = far.where(_chance(seed, f"round {n}", keys) < F.col("distance") * (wanted / total)).select(*keys)
+        lucky = cut_lineage(lucky.join(chosen, list(keys), "left_anti"))
+        more = _fetched(series.join(F.broadcast(lucky), list(keys), "left_semi").orderBy(*keys), int(20 * wanted) + 100)
+        if len(more):
+            found, chosen = np.concatenate([found, more]), chosen.unionByName(lucky)
+    if len(found) < k:
+        rest = series.join(chosen, list(keys), "left_anti").orderBy(order, *keys).limit(k - len(found))
+        more = _fetched(rest, k)
+        found = np.concatenate([found, more]) if len(more) else found
+    if len(found) <= k:
+        return found
+    weight = np.zeros(len(found))
+    for row in assign_clusters(series, found, gamma, keys).groupBy("cluster").count().collect():
+        weight[row["cluster"] - 1] = row["count"]
+    # One candidate after the other, each time that which takes most off the weighted distances.
+    spark = series.sparkSession
+    candidates = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(found)], "i int, series array<array<double>>")
+    apart = np.zeros((len(found), len(found)))
+    cells = series_distances(spread(candidates, "i", times=2), found, gamma, keys=["i"]).toArrow()
+    apart[cells["i"].to_numpy(), cells["centre"].to_numpy() - 1] = np.maximum(cells["distance"].to_numpy(), 0.0)
+    taken = [int(weight.argmax())]
+    least = apart[:, taken[0]].copy()
+    while len(taken) < k:
+        gain = (weight[:, None] * np.maximum(least[:, None] - apart, 0)).sum(axis=0)
+        gain[taken] = -1
+        taken.append(int(gain.argmax()))
+        least = np.minimum(least, apart[:, taken[-1]])
+    return found[taken]
+
+
+def medoids(assigned: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, sample: int = 32, confidence: float = 3.0, keep: int = 8,
+            keys: Sequence[str] = KEYS) -> np.ndarray:
+    """The member of each cluster with the smallest total distance to the others, from ``(keys, series, cluster)``.
+
+    Members race: each round compares those left with a hash sample of their cluster, four times the one before, and drops
+    those whose mean distance is surely, within ``confidence`` standard errors, above that of the best.  A cluster no larger than the sample is
+    decided exactly, as is one with at most ``keep`` members left once its sample is all of it.  The first round is linear in the series, later ones see
+    few of them.
+    """
+    values, _ = soft_dtw_kernel(gamma)
+    left = cut_lineage(assigned.select(*keys, "series", "cluster"))
+    size = {r["cluster"]: r["count"] for r in left.groupBy("cluster").count().collect()}
+    everyone, best, n = left, {}, sample
+    while True:
+        drawn = Window.partitionBy("cluster").orderBy(_chance(seed, f"sample {n}", keys), *keys)
+        # Only members whose chance can be among the first n are ranked.
+        sizes = F.create_map(*[F.lit(v) for c, z in size.items() for v in (c, float(z))])
+        likely = everyone.where(_chance(seed, f"sample {n}", keys) * sizes[F.col("cluster")] < 2 * n + 100)
+        rows = likely.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= n).select("cluster", "series").collect()
+        against = {c: np.array([r["series"] for r in rows if r["cluster"] == c], dtype=float) for c in size if c not in best}
+        if sum(v.size for v in against.values()) > MAX_CENTRE_CELLS:
+            raise ValueError("samples of clusters exceed the cells a task may hold")
+        shared = left.sparkSession.sparkContext.broadcast(against)
+        names, at = [*keys, "cluster", "mean", "error"], len(keys)
+
+        def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clusters = batch.column(at).to_numpy()
+                for c in np.unique(clusters):
+                    part = batch.filter(pa.array(clusters == c))
+                    others = shared.value[c]
+                    x = np.asarray(part.column(at + 1).flatten().flatten()).reshape(len(part), -1, others.shape[2])
+                    d = np.stack([values(x, o) for o in others], axis=1)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:at], part.column(at), pa.array(d.mean(axis=1)),
+                                                      pa.array(d.std(axis=1) / np.sqrt(d.shape[1]))], names)
+
+        fields = [left.schema[c] for c in (*keys, "cluster")] + [T.StructField(c, T.DoubleType()) for c in ("mean", "error")]
+        run = left.where(F.col("cluster").isin(list(against))).select(*keys, "cluster", "series").mapInArrow(race, T.StructType(fields))
+        exact = F.when(sizes[F.col("cluster")] <= n, 0.0).otherwise(confidence)
+        raced = cut_lineage(run.withColumn("low", F.col("mean") - exact * F.col("error")).withColumn("high", F.col("mean") + exact * F.col("error")))
+        bar = raced.groupBy("cluster").agg(F.min("high").alias("bar"), F.count("*").alias("n"))
+        ahead = cut_lineage(raced.join(F.broadcast(bar.select("cluster", "bar")), "cluster").where("low <= bar").select(*keys, "cluster", "mean"))
+        best_of = ahead.groupBy("cluster").agg(F.min_by(F.struct(*keys), F.struct("mean", *keys)).alias("m"), F.count("*").alias("n")).collect()
+        done = {r["cluster"]: r["m"] for r in best_of if size[r["cluster"]] <= n or r["n"] == 1 or (r["n"] <= keep and n >= 64 * sample)}
+        best.update(done)
+        if len(best) == len(size):
+            break
+        left = cut_lineage(left.join(ahead.where(~F.col("cluster").isin(list(best) or [0])).select(*keys, "cluster"), [*keys, "cluster"], "left_semi"))
+        n *= 4
+    chosen = left.sparkSession.createDataFrame([(c, *m) for c, m in best.items()], T.StructType([assigned.schema["cluster"], *[assigned.schema[c] for c in keys]]))
+    rows = everyone.join(F.broadcast(chosen), [*keys, "cluster"]).dropDuplicates(["cluster"]).orderBy("cluster").select("series").collect()
+    return np.array([r["series"] for r in rows], dtype=float)
+
+
+def fit_medoids(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, max_iter: int = 10, keys: Sequence[str] = KEYS) -> tuple[np.ndarray, bool]:
+    """Medoids (k, steps, measures) and whether they came to rest: seeds, then assignment and the medoid of each cluster in turn (K2).
+
+    Members are centres, as in partitioning around medoids; a cluster that loses all members is left out.
+    """
+    centres = seed_centres(series, k, gamma, seed, keys=keys)
+    for _ in range(max_iter):
+        assigned = assign_clusters(series, centres, gamma, keys).drop("distance").join(series, list(keys))
+        moved = medoids(assigned, len(centres), gamma, seed, keys=keys)
+        if moved.shape == centres.shape and (moved == centres).all():
+            return centres, True
+        centres = moved
+    return centres, False
+
+
 def _moved_centres(series: DataFrame, centres: np.ndarray, gamma: float) -> np.ndarray:
     """One barycentre step: every centre step becomes the mean of what is aligned to it.
 
@@ -150,12 +316,12 @@ def _moved_centres(series: DataFrame, centres: np.ndarray, gamma: float) -> np.n
     made, so neither a crowded cluster nor the number of tasks gathers anything in one place.
     """
     k, steps, m = centres.shape
-    values, alignment = soft_dtw_kernel(gamma)
+    _, alignment = soft_dtw_kernel(gamma)
 
     def work(chunks, centres):
         total, mass = np.zeros((k, steps, m)), np.zeros((k, steps))
         for _, x in chunks:
-            nearest = np.stack([values(x, c) for c in centres], axis=1).argmin(1)
+            nearest, _, _ = nearest_centres(x, centres, gamma)
             for c in np.unique(nearest):
                 mine = x[nearest == c]
                 e = alignment(mine, centres[c])
@@ -182,12 +348,10 @@ def fit_centres(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123,
                 tol: float = 1e-6, keys: Sequence[str] = KEYS) -> tuple[np.ndarray, bool]:
     """Soft-DTW k-means centres (k, steps, measures) and whether they settled within ``max_iter`` rounds (K2).
 
-    They start from the series with the ``k`` lowest md5 values; settled means that no coordinate moved by more than ``tol``
+    They start from :func:`seed_centres`; settled means that no coordinate moved by more than ``tol``
     times the largest one.
     """
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys]))
-    first = series.orderBy(digest, *keys).limit(k).collect()
-    centres = np.array([r["series"] for r in first], dtype=float)
+    centres = seed_centres(series, k, gamma, seed, keys=keys)
     _check_centres(centres)
     for _ in range(max_iter):
         moved = _moved_centres(series, centres, gamma)
@@ -199,13 +363,14 @@ def fit_centres(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123,
 
 
 def cluster_series(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, max_iter: int = 20,
-                   keys: Sequence[str] = KEYS) -> DataFrame:
+                   keys: Sequence[str] = KEYS, around: str = "means") -> DataFrame:
     """``(keys, cluster, distance, settled)``; ``series`` is written once and read per round (K2).
 
-    ``settled`` says whether the centres came to rest within ``max_iter`` rounds.
+    Clusters lie around soft-DTW ``means`` or around ``medoids``.  ``settled`` says whether the centres came to rest within ``max_iter`` rounds.
     """
     series = cut_lineage(spread(series, *keys))
-    centres, settled = fit_centres(series, k, gamma, seed, max_iter, keys=keys)
+    fit = {"means": fit_centres, "medoids": fit_medoids}[around]
+    centres, settled = fit(series, k, gamma, seed, max_iter, keys=keys)
     return assign_clusters(series, centres, gamma, keys).withColumn("settled", F.lit(settled))
 
 

@@ -290,6 +290,61 @@ def test_centre_step_against_brute_force(spark):
         assert cluster._moved_centres(df.repartition(parts), centres, gamma) == pytest.approx(want)
 
 
+def walks(n, t=6, m=2, seed=21):
+    rng = np.random.default_rng(seed)
+    return np.cumsum(rng.normal(size=(n, t, m)), axis=1) + 6 * rng.integers(0, 6, (n, 1, 1))
+
+
+def as_series(spark, x):
+    return spark.createDataFrame([(f"p{i:03d}", s.tolist()) for i, s in enumerate(x)], "place string, series array<array<double>>").repartition(4)
+
+
+def test_pruned_assignment_is_the_full_one():
+    x = walks(120)
+    for gamma in (0.01, 0.5):
+        centres = np.concatenate([x[::7], x[3:4], x[3:4]])
+        values, _ = cluster.soft_dtw_kernel(gamma)
+        d = np.stack([values(x, c) for c in centres], axis=1)
+        nearest, best, made = cluster.nearest_centres(x, centres, gamma)
+        assert nearest.tolist() == d.argmin(1).tolist() and best == pytest.approx(d.min(1))
+        assert made < 0.7 * d.size
+
+
+def test_medoids_equal_exhaustive_ones(spark):
+    x, gamma = walks(90), 0.1
+    d = np.array([[soft_dtw(a, b, gamma) for b in x] for a in x])
+    label = np.arange(90) % 3 + 1
+    label[:40] = 1
+    df = as_series(spark, x).withColumn("cluster", F.element_at(F.array(*[F.lit(int(v)) for v in label]), F.substring("place", 2, 3).cast("int") + 1))
+    want = []
+    for c in (1, 2, 3):
+        mine = np.flatnonzero(label == c)
+        want.append(x[mine[d[np.ix_(mine, mine)].mean(axis=1).argmin()]])
+    for sample in (100, 12):
+        got = cluster.medoids(df, 3, gamma, sample=sample, confidence=6.0, keys=["place"])
+        assert got == pytest.approx(np.array(want))
+
+
+def test_seeds_lie_better_than_hashed_ones(spark):
+    x, gamma, k = walks(200), 0.1, 12
+    df = as_series(spark, x)
+    centres = cluster.seed_centres(df, k, gamma, keys=["place"])
+    assert len(np.unique(centres.reshape(k, -1), axis=0)) == k
+    hashed = np.array([r["series"] for r in df.orderBy(F.md5("place")).limit(k).collect()])
+
+    def cost(c):
+        return cluster.nearest_centres(x, c, gamma)[1].sum()
+    assert cost(centres) < 0.7 * cost(hashed)
+    assert len(cluster.seed_centres(df.where("place < 'p005'"), 9, gamma, keys=["place"])) == 5
+
+
+def test_clusters_around_medoids(spark):
+    x = walks(60)
+    out = cluster.cluster_series(as_series(spark, x), 6, 0.1, max_iter=8, keys=["place"], around="medoids").collect()
+    assert len(out) == 60 and {r["cluster"] for r in out} == set(range(1, 7)) and all(r["settled"] for r in out)
+    assert sum(r["distance"] <= cluster.soft_dtw_kernel(0.1)[0](x[:1], x[0])[0] + 1e-9 or r["distance"] < 0 for r in out) >= 6
+
+
 def test_sequence_scores_feed_calibration(spark):
     samples = features.window_samples(wide_panel(spark, 6), ["a", "dn"])
 

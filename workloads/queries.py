@@ -548,6 +548,17 @@ def cluster_series(spark, sf):
     return assigned.withColumn("distance", r("distance"))
 
 
+@query
+def cluster_medoids(spark, sf):
+    """Clusters around medoids over all modelling measures, each scaled by its standard deviation, one for every five entities."""
+    panel = cut_lineage(quarterly_model_panel(spark, sf))
+    stats = panel.agg(*[F.stddev_samp(m).alias(m) for m in MODEL_METRICS]).first()
+    scaled = panel.select(*QUARTERLY, *[(F.col(m) / F.lit(stats[m] or 1.0)).alias(m) for m in MODEL_METRICS])
+    series = cut_lineage(cluster.entity_series(scaled, LAST_QUARTER, MODEL_METRICS, t="period"))
+    assigned = cluster.cluster_series(series, k=max(1, min(1000, series.count() // 5)), max_iter=6, around="medoids")
+    return assigned.withColumn("distance", r("distance"))
+
+
 # Aggregates and distributions
 
 
