@@ -21,6 +21,8 @@ FEATURES = 1 << 14
 SAMPLE_PARTITIONS, AT_ONCE = 4, 3
 #: Bytes of a text hashed at once.
 BLOCK = 1 << 20
+#: Languages learnt at most, the most frequent ones: their SVMs grow with the square of their number.
+MOST_LANGUAGES = 200
 UNDETERMINED = "und"
 #: Families by language; a language that isn't here is a family of its own.
 FAMILIES = {
@@ -98,6 +100,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     """Learn from about ``per_language`` rows of each language, chosen by a hash of their id; MLlib fits the SVMs.
 
     Rows without a language, and texts without letters, teach nothing.  No rows give a model that determines nothing.
+    Of more than ``MOST_LANGUAGES`` names in ``lang_col`` those that most rows have are learnt, ties by name.
     """
     # Imported here, as the workers that predict don't need MLlib.
     from pyspark.ml.classification import LinearSVC
@@ -105,12 +108,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     rows = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, F.lit(seed)).alias("draw"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     # A row is drawn if its hash lies under the language's share.
-    share = F.lit(0.0)
-    for name in counts:
-        share = F.when(F.col("lang") == name, min(1.0, per_language / counts[name])).otherwise(share)
-    drawn = rows.where(F.pmod("draw", F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
+    shares = counts.select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

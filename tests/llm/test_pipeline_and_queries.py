@@ -66,7 +66,7 @@ def test_pipeline_stage_by_stage(spark):
     mixed = stages["mixture"](spark, clean, SF).cache()
     reads = mixed.groupBy("doc_id").count().agg(F.min("count"), F.max("count")).first()
     assert mixed.columns == now.columns and mixed.select("doc_id").distinct().count() == clean.select("doc_id").distinct().count()
-    assert reads[0] == 1 and reads[1] <= 2
+    assert reads[0] == 1 and reads[1] <= 5
 
     coded = stages["tokens"](spark, mixed, SF)
     assert coded.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and coded.count() == mixed.count()
