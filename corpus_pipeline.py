@@ -17,8 +17,10 @@ from panelcast.llm import bpe, langid, mixing, pii, simhash, warc
 
 #: Documents whose language is determined with a lower score go, as do those without letters.
 LEAST_SCORE = 0.3
-#: No source is read more often than this, relative to the one read least, which is read once.
-REPETITION = 1.25
+#: Target entropy of the mixture as a share of that of equal weights, and how often a source may be read to reach it.
+ENTROPY, REPETITION = 0.9, 4.0
+#: A prediction this sure replaces the label that a document came with.
+SURE = 0.9
 #: Bytes of an Arrow batch: an executor holds several at a time, outside its heap.
 BATCH_BYTES = "8m"
 
@@ -34,13 +36,14 @@ def _same(rows: DataFrame, like: DataFrame, **new: F.Column) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be determined; those without a label get the predicted one."""
+    """Keeps documents whose language can be determined; the prediction is their label where there is none and where it is sure."""
     _small_batches(spark)
     model = langid.fit(docs)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
     kept = langid.identify(packed, model, "text", ("row", "text")).where(
         (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    new = {"lang": F.coalesce("row.lang", "lang_pred").alias("lang"), "text": F.col("text")}
+    label = F.when(F.col("row.lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("row.lang"))
+    new = {"lang": label.alias("lang"), "text": F.col("text")}
     return kept.select(*(new[c] if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
@@ -51,11 +54,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     without an id one of each group stays, beside that with an id.
     """
     _small_batches(spark)
-    key = lambda row, text: {"__id": F.coalesce(row, F.lit(0).cast("long")), "__null": row.isNull(), "__print": text}
-    go = simhash.superfluous(docs, words=3, distance=3)
-    go = go.select(*(c.alias(name) for name, c in key(F.col("id"), F.col("text_hash")).items()))
-    rows = docs.withColumns(key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
-    return _same(rows.join(go, go.columns, "left_anti").dropDuplicates(go.columns), docs)
+    key = lambda row, text: F.struct(F.coalesce(row, F.lit(0).cast("long")).alias("id"), row.isNull().alias("null"), text.alias("print"))
+    go = simhash.superfluous(docs, words=3, distance=3).select(key(F.col("id"), F.col("text_hash")).alias("key"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.select("row", key(F.col("row.doc_id").cast("long"), F.xxhash64(F.col("row.text").cast("string"))).alias("key"))
+    return rows.join(go, "key", "left_anti").dropDuplicates(["key"]).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,11 +70,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reads every document at least once and those of small sources again, up to the repetition limit."""
-    _, heads, _ = mixing.mix(docs, repetition=REPETITION)
-    rows = mixing.with_copies(docs, heads, copies_col="__copies")
+    """Reads every document at least once and those of small sources again, until the mixture has the target entropy or the repetition limit holds."""
+    _, heads, _ = mixing.mix(docs, entropy=ENTROPY, repetition=REPETITION)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source")
+    rows = mixing.with_copies(packed, heads)
     # Sources without a single token have no weight; their documents are read once like all.
-    return _same(rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__copies"), F.lit(1).cast("long")).cast("int")))), docs)
+    times = F.sequence(F.lit(1), F.greatest("copies", F.lit(1).cast("long")).cast("int"))
+    return rows.select("row", F.explode(times).alias("n")).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
