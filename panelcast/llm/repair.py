@@ -216,7 +216,7 @@ def segments(faults: DataFrame) -> DataFrame:
 def plan_edits(cut: DataFrame) -> DataFrame:
     """Per conversation (conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, pieces).
 
-    ``pieces`` says for each segment which edits are its own and the state before them.  A conversation is one byte a row here, as its audit is.
+    ``pieces`` says for each segment which edits are its own and the state before them.  A conversation comes as one byte a row, and no text with it.
     """
     kind = cut.schema["conv_id"].dataType
     schema = pa.schema([("conv_id", to_arrow_type(kind)), *((c, pa.int64()) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
@@ -345,7 +345,7 @@ def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     ``s?(ua)+`` by their first letters, or nothing may be left.  ``gaps`` counts turn numbers missing between the first and
     the last, ``illegal`` neighbours whose initials are none of su, ua, au.  Null roles and texts are one space; rows without a
     conversation id are one conversation; repeated rows are duplicates; an empty table gives no rows; other columns of any name are not
-    looked at.  The search holds one byte a row of a conversation, every other step a segment.
+    looked at.  The search gets one byte a row and takes some hundred bytes a row of one conversation; every other step holds a segment.
     """
     cut = segments(row_faults(df, conv, turn, role, text))
     plans = plan_edits(cut)
