@@ -39,7 +39,11 @@ def read_release(spark: SparkSession, path: str, year: int) -> DataFrame:
 
     What is not a number, such as ``(X)``, ``-`` or ``N``, is null, which the cleaning turns into 0.
     """
-    raw = spark.read.option("header", True).csv(path)
+    return typed_release(spark.read.option("header", True).csv(path), year)
+
+
+def typed_release(raw: DataFrame, year: int) -> DataFrame:
+    """A release read as text, year first, keys as text, measures as doubles."""
     typed = raw.select(*KEYS, *[F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns if c not in KEYS])
     return tag(typed, **{TIME: year})
 
