@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
 from panelcast.functions.codes import KEYS, LAYOUT_CHANGE_YEAR, TIME, VINTAGE_RENAMES
+from panelcast.operators import packed
 from panelcast.operators.clean import clean_sentinel, fill_missing, zero_metrics
 from panelcast.operators.derive import pct_to_count
+from panelcast.operators.packed import Packed
 from panelcast.operators.relate import decode, split_by_list
 from panelcast.operators.shape import align_vintage, stack_releases
 from panelcast.operators.sizing import cut_lineage
@@ -49,6 +52,19 @@ def collect_panels(releases: Mapping[int, DataFrame], holdout: DataFrame | None
     return training.drop(*empty), held.drop(*empty)
 
 
+def collect_packed(releases: Mapping[int, DataFrame], layout_change: int = LAYOUT_CHANGE_YEAR) -> Packed:
+    """Clean panel of all releases with its measures packed, at any width: one job reads every release once.
+
+    Observations of the releases (``panelcast.sources.quality``) are filled by that job.
+    """
+    cleaned = []
+    for year, df in sorted(releases.items()):
+        p = packed.clean_sentinel(packed.fill_missing(packed.pack(df)))
+        cleaned.append(packed.align_vintage(packed.pct_to_count(p), VINTAGE_RENAMES) if year < layout_change else p)
+    stacked = packed.fill_missing(packed.stack(cleaned))
+    return replace(stacked, df=cut_lineage(stacked.df))
+
+
 def sorted_panel(df: DataFrame) -> DataFrame:
     """Total order by time and entity, for sinks only (O1)."""
     return df.orderBy(TIME, *KEYS)

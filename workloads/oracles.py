@@ -689,3 +689,76 @@ named AS (SELECT CASE WHEN h.place IS NULL THEN 'training' ELSE 'held' END AS pa
                  coalesce(h.s_name, cells.place) AS place FROM cells LEFT JOIN held h ON cells.place = h.place)
 SELECT panel, year, metric, count(*) AS n, round(sum(value), 6) + 0.0 AS total, max(place) AS last_place
 FROM named GROUP BY panel, year, metric"""
+
+# Full width, and one release at a time.
+FULL_TABLES = ("(VALUES ('S0101', 1, 19), ('S0101', 3, 19), ('S0101', 5, 19), "
+               + ", ".join(f"('S0701', {c}, 53)" for c in range(1, 6)) + ", " + ", ".join(f"('S1301', {c}, 32)" for c in range(1, 6)) + ") t(tbl, col, n)")
+NAME = "printf('%s_C%02d_%03dE', tbl, col, row)"
+FULL = f"""{LI},
+fc0 AS (SELECT year, state, place, l_quantity, tbl, col, unnest([1, 2 + (l_partkey * col + l_linenumber) % (n - 1)]) AS row
+        FROM li, {FULL_TABLES}),
+fc AS (SELECT year, state, place, {NAME} AS metric, CAST(sum(l_quantity) AS DOUBLE) AS value FROM fc0 GROUP BY ALL),
+codes AS (SELECT {NAME} AS metric FROM (SELECT tbl, col, unnest(range(1, n + 1)) AS row FROM {FULL_TABLES})),
+fw AS (SELECT DISTINCT year, state, place FROM fc),
+fg AS (SELECT fw.*, codes.metric, fc.value FROM fw CROSS JOIN codes LEFT JOIN fc ON fc.year = fw.year AND fc.state = fw.state
+       AND fc.place = fw.place AND fc.metric = codes.metric)"""
+
+
+def full_prepared(source: str) -> str:
+    """Totals by year and measure of the prepared panel, from dense cells."""
+    counted = "regexp_matches(metric, '^S0701_C0[2-5]') AND substr(metric, 11) NOT IN ('011E', '048E')"
+    return f"""fs AS (SELECT g.year, g.state, g.place, g.metric, CASE WHEN b.metric IS NULL THEN g.value ELSE b.value * g.value / 100 END AS value
+  FROM {source} g LEFT JOIN {source} b ON b.year = g.year AND b.state = g.state AND b.place = g.place
+       AND b.metric = CASE WHEN {counted.replace('metric', 'g.metric')} THEN 'S0701_C01_' || substr(g.metric, 11)
+                           WHEN g.metric LIKE 'S1301_C05%' THEN 'S1301_C02_' || substr(g.metric, 11) END),
+fsum AS (SELECT year, state, place, 'S0701_C06_' || substr(metric, 11) AS metric,
+                CASE WHEN count(value) = 4 THEN sum(value) END AS value FROM fs WHERE {counted} GROUP BY ALL),
+fall AS (SELECT * FROM fs WHERE NOT regexp_matches(metric, '^S1301_C0[34]|^S0701_C.._(011|048)E|^S1301_C01_03[12]E')
+         UNION ALL SELECT * FROM fsum),
+fn AS (SELECT year, state, place, max(value) FILTER (WHERE metric = '{POP}') AS pop, max(value) FILTER (WHERE metric = '{MIG}') AS mig,
+              max(value) FILTER (WHERE metric = '{BIRTHS}') AS births FROM fall GROUP BY ALL),
+fdn AS (SELECT year, state, place, 'dn' AS metric,
+               pop - lag(pop) OVER (PARTITION BY state, place ORDER BY year) - mig - births AS value FROM fn),
+fx AS (SELECT year, metric, coalesce(value, 0) AS value FROM (SELECT * FROM fall UNION ALL SELECT * FROM fdn) WHERE year <> 1995)
+SELECT year, metric, count(*) AS n, count(*) FILTER (WHERE value <> 0) AS n_filled, round(sum(value), 6) + 0.0 AS total
+FROM fx GROUP BY year, metric"""
+
+
+ORACLES["prepare_full_width"] = f"WITH {FULL}, {full_prepared('fg')}"
+
+ORACLES["collect_full_width"] = f"""WITH {FULL},
+fb AS (SELECT g.year, g.state, g.place, g.metric, CASE WHEN g.value IS NULL THEN 0.0
+    WHEN g.year < 1998 AND g.metric LIKE 'S0101%' AND g.metric NOT LIKE '%_001E'
+      THEN round_even(b.value * round(g.value * 100 / b.value, 1) / 100, 0) ELSE g.value END AS value
+  FROM fg g LEFT JOIN fc b ON b.year = g.year AND b.state = g.state AND b.place = g.place AND b.metric = substr(g.metric, 1, 10) || '001E'),
+{full_prepared('fb')}"""
+
+ORACLES["release_quality"] = f"""WITH {FULL},
+q AS (SELECT year, substr(metric, 1, 5) AS tbl, count(DISTINCT state || place) AS n_rows, count(*) AS cells,
+             count(*) - count(value) AS missing FROM fg GROUP BY ALL)
+SELECT year, tbl, n_rows, cells, CASE tbl WHEN 'S1301' THEN missing ELSE 0 END AS empty,
+       CASE tbl WHEN 'S0701' THEN missing ELSE 0 END AS no_number, CASE tbl WHEN 'S0101' THEN missing ELSE 0 END AS sentinel FROM q"""
+
+ORACLES["codebook_layouts"] = f"""WITH {FULL},
+laid AS (SELECT CASE WHEN year < 1998 THEN 'old' ELSE 'new' END AS layout,
+    CASE WHEN year >= 1998 THEN metric WHEN metric LIKE 'S0101_C03%' THEN replace(metric, '_C03_', '_C02_')
+         WHEN metric LIKE 'S0101_C05%' THEN replace(metric, '_C05_', '_C03_') ELSE metric END AS metric, value FROM fc),
+names AS (SELECT 'new' AS layout, metric FROM codes UNION ALL
+  SELECT 'old', CASE WHEN metric LIKE 'S0101_C03%' THEN replace(metric, '_C03_', '_C02_')
+                     WHEN metric LIKE 'S0101_C05%' THEN replace(metric, '_C05_', '_C03_') ELSE metric END FROM codes)
+SELECT n.layout, n.metric, substr(n.metric, 1, 5) AS tbl, CAST(substr(n.metric, 8, 2) AS INTEGER) AS col,
+       CAST(substr(n.metric, 11, 3) AS INTEGER) AS row, CASE WHEN count(value) > 0 THEN count(value) END AS n, sum(value) AS total
+FROM names n LEFT JOIN laid l ON l.layout = n.layout AND l.metric = n.metric GROUP BY n.layout, n.metric"""
+
+ORACLES["feature_state"] = f"""WITH {QUARTERS}, {ema_cte('f')}
+SELECT period, state, place, metric, {rnd('value')}, {', '.join(rnd(f'l{i}', 6, f'lag_{i}') for i in range(1, 7))},
+       {', '.join(rnd(f'ema_{i}', 6, f'ema_{i}') for i in range(5, 0, -1))} FROM em WHERE period >= 25"""
+
+ORACLES["scaler_merge"] = f"""WITH {YEARLY_MODEL}, {STATS}
+SELECT metric, {rnd('mean', 6, 'mean')}, {rnd('sd', 6, 'sd')}, {rnd('-mean / sd', 6, 'zero_value')},
+       {rnd('(SELECT stddev_samp(value) FROM f)', 6, 'sd_all')} FROM st"""
+
+ORACLES["replace_release"] = f"""WITH {CUSTOMER},
+r AS (SELECT year, state, place, {', '.join(f'CASE WHEN year = 1999 THEN {m} + 1 ELSE {m} END AS {m}' for m in FIVE)} FROM c)
+SELECT *, lag({FIVE[0]}) OVER (PARTITION BY state, place ORDER BY year) AS lag_1,
+       lag({FIVE[0]}, 2) OVER (PARTITION BY state, place ORDER BY year) AS lag_2 FROM r"""

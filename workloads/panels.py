@@ -14,9 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.codes import AGE_METRICS, BIRTHS, MIGRATION, POPULATION, WOMEN, code
+from panelcast.functions.codes import (
+    AGE_METRICS, BIRTHS, LAYOUT_CHANGE_YEAR, MIGRATION, POPULATION, RELEASE_TABLES_NEW, WOMEN, code, measures,
+)
 from panelcast.operators.derive import sum_columns
+from panelcast.operators.shape import to_wide
 from panelcast.plans.prepare import MOBILITY_PARTS, to_counts
+from panelcast.sources.releases import release_codes
 
 FIRST_YEAR = 1995
 LAST_YEAR = 2001
@@ -87,6 +91,37 @@ def census(spark: SparkSession, sf: str, codes: Sequence[str], t: str = "year")
         t, padded("s_nationkey", 2).alias("state"), padded("l_suppkey", 10).alias("place"), *codes)
 
 
+def full_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Long panel over every code of the releases: quantities by supplier, year and measure.
+
+    A line item counts in the first row and in one other row of every column group; most other cells are missing.
+    """
+    groups = ", ".join(f"struct('{tbl}' AS tbl, {c} AS col, {len(rows)} AS n)"
+                       for tbl, (cols, rows) in RELEASE_TABLES_NEW.items() for c in cols)
+    items = table(spark, sf, "lineitem").selectExpr(
+        "l_suppkey", "CAST(year(l_shipdate) AS INT) AS year", "l_quantity", "l_partkey", "l_linenumber", f"inline(array({groups}))")
+    cells = items.selectExpr("l_suppkey", "year", "l_quantity", "tbl", "col",
+                             "explode(array(1, CAST(2 + (l_partkey * col + l_linenumber) % (n - 1) AS INT))) AS row")
+    sums = cells.groupBy("l_suppkey", "year", "tbl", "col", "row").agg(F.sum(F.col("l_quantity").cast("double")).alias("value"))
+    places = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    return sums.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "year", padded("s_nationkey", 2).alias("state"), padded("l_suppkey", 10).alias("place"),
+        F.format_string("%s_C%02d_%03dE", "tbl", "col", "row").alias("metric"), "value")
+
+
+def full_census(spark: SparkSession, sf: str) -> DataFrame:
+    """Wide panel of all codes of the releases; a cell without line items is null."""
+    return to_wide(full_cells(spark, sf), release_codes(LAYOUT_CHANGE_YEAR))
+
+
+def release_text(panel: DataFrame, year: int) -> DataFrame:
+    """One release of a wide panel as the text its file holds; missing cells look as releases have them."""
+    empty = {"S0101": "'-888888888'", "S0701": "'(X)'", "S1301": "NULL"}
+    one = panel.where(F.col("year") == year).drop("year")
+    laid = old_layout(one) if year < LAYOUT_CHANGE else one
+    return laid.selectExpr("state", "place", *[f"coalesce(CAST({c} AS STRING), {empty[c[:5]]}) AS {c}" for c in measures(laid)])
+
+
 def age_panel(spark: SparkSession, sf: str, t: str = "year") -> DataFrame:
     """Population and the 18 age bins."""
     return census(spark, sf, [POPULATION, *AGE_METRICS], t)

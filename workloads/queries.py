@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.codes import (
-    AGE_LABELS, AGE_METRICS, BIRTHS, KEYS, MODEL_METRICS, POPULATION, RESIDUAL,
+    AGE_LABELS, AGE_METRICS, BIRTHS, KEYS, MODEL_METRICS, POPULATION, RELEASE_TABLES_NEW, RELEASE_TABLES_OLD, RESIDUAL,
     VINTAGE_RENAMES, WOMEN, code, matching, measures,
 )
 from panelcast.operators import aggregate, clean, cluster, conformal, derive, features, metrics, project, quantiles
-from panelcast.operators import relate, scale, shape, split
+from panelcast.operators import packed, relate, scale, shape, split, state
 from panelcast.operators.sizing import cut_lineage, spread
 from panelcast.plans import describe, evaluate, report, train
-from panelcast.plans.collect import collect_panels, sorted_panel
+from panelcast.plans.collect import collect_packed, collect_panels, sorted_panel
 from panelcast.plans.prepare import MOBILITY_NON_COUNT_ROWS, MOBILITY_PARTS, NON_COUNT_PATTERNS, REDUNDANT_PATTERN
+from panelcast.plans.prepare import prepare_packed
 from panelcast.plans.prepare import prepare_panel as run_prepare
+from panelcast.sources import quality
 from panelcast.sources.releases import codebook, read_lookup, read_panel, read_releases, stack_all, write_csv
 from panelcast.sources.stages import Stages
 from workloads import panels as P
@@ -853,3 +855,93 @@ def evaluation_forest(spark, sf):
     steady = project.backtest(shape.to_long(held, QUARTERLY, AGE_METRICS), STEADY, BACKTEST_PERIODS, t="period")
     models = {name: rows.withColumnRenamed("period", "year") for name, rows in (("forest", forests), ("steady", steady))}
     return evaluate.evaluation_table(models, digits=6)
+
+
+# Full width, and one release at a time
+
+
+def by_measure(p: packed.Packed) -> DataFrame:
+    return packed.to_long(p).groupBy("year", "metric").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") != 0).alias("n_filled"), r(F.sum("value")).alias("total"))
+
+
+def full_releases(spark: SparkSession, sf: str):
+    """Files of all years at full width, in the layout of their time, read with their cells counted."""
+    folder, panel = scratch(spark), cut_lineage(P.full_census(spark, sf))
+    out = {}
+    for year in range(P.FIRST_YEAR, P.LAST_YEAR + 1):
+        write_csv(P.release_text(panel, year), f"{folder}/{year}.csv")
+        out[year] = quality.read_observed_release(spark, f"{folder}/{year}.csv", year)
+    return out
+
+
+@query
+def codebook_layouts(spark, sf):
+    """All codes of both layouts with the cells the releases hold."""
+    grids = [codebook(spark, t).withColumn("layout", F.lit(n)) for n, t in (("old", RELEASE_TABLES_OLD), ("new", RELEASE_TABLES_NEW))]
+    cells = P.full_cells(spark, sf)
+    later = cells.where(F.col("year") >= P.LAYOUT_CHANGE).withColumn("layout", F.lit("new"))
+    moved = {"C03": "C02", "C05": "C03"}
+    earlier = shape.align_vintage_long(cells.where(F.col("year") < P.LAYOUT_CHANGE), {"S0101": moved}, before=P.LAYOUT_CHANGE)
+    seen = later.unionByName(earlier.withColumn("layout", F.lit("old"))).groupBy("layout", "metric").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return shape.stack_releases(grids).join(seen, ["layout", "metric"], "left").select("layout", "metric", "tbl", "col", "row", "n", "total")
+
+
+@query
+def prepare_full_width(spark, sf):
+    """All 482 measures from raw cells to the model-ready panel, in one array."""
+    return by_measure(prepare_packed(packed.pack(P.full_census(spark, sf)), first=P.FIRST_YEAR))
+
+
+@query
+def collect_full_width(spark, sf):
+    """Release files of both layouts at full width, read, cleaned, stacked and prepared."""
+    releases = {y: df for y, (df, _) in full_releases(spark, sf).items()}
+    return by_measure(prepare_packed(collect_packed(releases, P.LAYOUT_CHANGE), first=P.FIRST_YEAR))
+
+
+@query
+def release_quality(spark, sf):
+    """Empty cells, cells that are no number and sentinels, counted by the job that collects the releases."""
+    observed = full_releases(spark, sf)
+    collect_packed({y: df for y, (df, _) in observed.items()}, P.LAYOUT_CHANGE)
+    return quality.quality_report(spark, observed)
+
+
+@query
+def feature_state(spark, sf):
+    """Lags and EMA of the last three quarters, each from the state the quarter before left."""
+    cells = quarterly_series(spark, sf, MODEL_METRICS)
+    now = cut_lineage(state.build_state(cells.where(f"period < {LAST_QUARTER - 2}"), t="period"))
+    out = []
+    for period in range(LAST_QUARTER - 2, LAST_QUARTER + 1):
+        release = cells.where(F.col("period") == period)
+        out.append(state.release_features(now, release, t="period"))
+        now = cut_lineage(state.advance(now, release, t="period"))
+    return shape.stack_releases(out).select(
+        *QUARTERLY, "metric", r("value").alias("value"), *[r(f"lag_{i}").alias(f"lag_{i}") for i in range(1, 7)],
+        *[r(f"ema_{i}").alias(f"ema_{i}") for i in range(5, 0, -1)])
+
+
+@query
+def scaler_merge(spark, sf):
+    """Moments kept by year, the last year's added as a release, and the scaler and global sd of them all."""
+    stages = Stages(spark, scratch(spark))
+    cells = yearly_model_series(spark, sf)
+    old, last = (cells.where(f"year {c} {P.LAST_YEAR}") for c in ("<", "="))
+    by = ("year", "metric")
+    kept = stages.save(scale.fit_moments(old, by), "moments").unionByName(stages.save(scale.fit_moments(last, by), "release"))
+    stats = scale.scaler_from_moments(scale.merge_moments(kept))
+    return stats.join(scale.global_sd_from_moments(kept)).select("metric", *[r(c).alias(c) for c in ("mean", "sd", "zero_value", "sd_all")])
+
+
+@query
+def replace_release(spark, sf):
+    """A corrected year put in place of the old one in a bucketed stage, and lags over the stage."""
+    panel = clean.fill_missing(P.customer_panel(spark, sf))
+    stages = Stages(spark, scratch(spark))
+    stages.save_bucketed(panel, "customers", 8)
+    corrected = panel.where("year = 1999").selectExpr(*YEARLY, *[f"{c} + 1 AS {c}" for c in P.PRIORITY_BINS])
+    stage = stages.replace_partitions(corrected, "customers")
+    return features.lag_features(stage, 2, P.PRIORITY_BINS[0], KEYS).select(*YEARLY, *P.PRIORITY_BINS, "lag_1", "lag_2")
