@@ -41,6 +41,14 @@ class Packed:
         df = self.df.selectExpr(*[f"`{c}`" for c in self.ids], f"{expr} AS `{self.vector}`")
         return replace(self, df=df, names=self.names if names is None else tuple(names))
 
+    def computed(self, expr: str, names: Sequence[str] | None = None) -> Packed:
+        """The array replaced by an expression of ``w``, the whole old array.
+
+        ``w`` is bound once.  Named inside a lambda, the column would be replaced by its own expression when Spark merges
+        projections, and that be evaluated again for every element.
+        """
+        return self.with_vector(f"transform(array(`{self.vector}`), w -> {expr})[0]", names)
+
     def cell(self, name: str) -> str:
         """Expression of one measure."""
         return f"`{self.vector}`[{self.at(name)}]"
@@ -73,7 +81,7 @@ def take(p: Packed, names: Sequence[str]) -> Packed:
     """The chosen measures in the given order; one the panel lacks is null."""
     where = {n: i for i, n in enumerate(p.names)}
     chosen = _ints([where.get(n, -1) for n in names])
-    return p.with_vector(f"transform({chosen}, i -> if(i < 0, CAST(NULL AS DOUBLE), `{p.vector}`[i]))", names)
+    return p.computed(f"transform({chosen}, i -> if(i < 0, CAST(NULL AS DOUBLE), w[i]))", names)
 
 
 def drop(p: Packed, *patterns: str) -> Packed:
@@ -121,9 +129,9 @@ def _percent(p: Packed, base_of: Callable[[str, str, str], str | None], wrap: st
         bases.append(-1 if base is None else p.at(base))
     if max(bases, default=-1) < 0:
         return p
-    count = wrap.format(percent_of_sql(f"`{p.vector}`[{_ints(bases)}[i]]", "x"))
-    changed = f"transform(`{p.vector}`, (x, i) -> if({_ints(bases)}[i] < 0, x, {count}))"
-    return p.with_vector(changed if when is None else f"if({when}, {changed}, `{p.vector}`)")
+    count = wrap.format(percent_of_sql(f"w[{_ints(bases)}[i]]", "x"))
+    changed = f"transform(w, (x, i) -> if({_ints(bases)}[i] < 0, x, {count}))"
+    return p.computed(changed if when is None else f"if({when}, {changed}, w)")
 
 
 def pct_to_count(p: Packed, tbl: str = "S0101", base_row: str = "001E", cols: Sequence[str] = ("C01", "C02", "C03"),
@@ -148,8 +156,8 @@ def sum_family(p: Packed, families: Mapping[str, Sequence[str]]) -> Packed:
     if not families:
         return p
     parts = "array(" + ", ".join(_ints([p.at(n) for n in names]) for names in families.values()) + ")"
-    sums = f"transform({parts}, f -> aggregate(f, 0D, (a, i) -> a + `{p.vector}`[i]))"
-    return p.with_vector(f"concat(`{p.vector}`, {sums})", [*p.names, *families])
+    sums = f"transform({parts}, f -> aggregate(f, 0D, (a, i) -> a + w[i]))"
+    return p.computed(f"concat(w, {sums})", [*p.names, *families])
 
 
 def sum_columns(p: Packed, tbl: str, cols: Sequence[str], into: str, exclude_rows: Sequence[str] = ()) -> Packed:

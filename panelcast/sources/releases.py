@@ -44,7 +44,7 @@ def read_release(spark: SparkSession, path: str, year: int) -> DataFrame:
 
 def typed_release(raw: DataFrame, year: int) -> DataFrame:
     """A release read as text, year first, keys as text, measures as doubles."""
-    typed = raw.select(*KEYS, *[F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns if c not in KEYS])
+    typed = raw.selectExpr(*KEYS, *[f"try_cast(`{c}` AS DOUBLE) AS `{c}`" for c in raw.columns if c not in KEYS])
     return tag(typed, **{TIME: year})
 
 
