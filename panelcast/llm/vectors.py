@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from panelcast.llm.graph import components
 from panelcast.operators.sizing import cut_lineage
 
-#: Bytes of vectors in one block; a task holds two blocks.
+#: Bytes of vectors in one block; a task holds those of one stripe and one more.
 BLOCK_BYTES = 1 << 21
+#: Most blocks in a stripe.
+STRIPE = 8
 #: Rows and columns of the products computed at once.
 TILE = 1024
 #: Leading dimensions of the first pass; each later one doubles them.
@@ -118,22 +121,22 @@ def _blocks(groups: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        part, made, key = TaskContext.get().partitionId(), 0, None
+        part, made, nth, key = TaskContext.get().partitionId(), 0, 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal made
+            nonlocal made, nth
             if held:
                 x = np.concatenate([matrix(b.column(0)) for b in held])
                 ids = np.concatenate([b.column(1).to_numpy() for b in held])
                 copies = np.concatenate([b.column(2).to_numpy() for b in held])
                 spots = unit(x) @ axes[x.shape[1]][:, :BOX]
-                row = {"block": part << 32 | made, "width": x.shape[1], "low": spots.min(axis=0).tolist(),
+                row = {"block": part << 32 | made, "width": x.shape[1], "run": int(key[1]), "nth": nth, "low": spots.min(axis=0).tolist(),
                        "high": spots.max(axis=0).tolist(), "ids": ids.astype("i8").tobytes(),
                        "copies": copies.astype("i8").tobytes(), "vecs": x.astype(kind).tobytes()}
-                made += 1
+                made, nth = made + 1, nth + 1
                 held.clear()
                 yield pa.RecordBatch.from_pylist([row], pa.schema(
-                    [("block", pa.int64()), ("width", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
+                    [("block", pa.int64()), ("width", pa.int32()), ("run", pa.int64()), ("nth", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
                      ("ids", pa.binary()), ("copies", pa.binary()), ("vecs", pa.binary())]))
 
         for batch in batches:
@@ -142,7 +145,7 @@ def _blocks(groups: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
             for a, b in zip(edges, edges[1:]):
                 if (new := tuple(keys[a])) != key:
                     yield from flush()
-                    key = new
+                    key, nth = new, 0
                 while a < b:
                     room = most(int(key[0])) - sum(map(len, held))
                     if not room:
@@ -155,7 +158,7 @@ def _blocks(groups: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
     numbered = groups.select("vec", "id", "copies").mapInArrow(
         number, f"vec {element}, id long, copies long, width int, run long")
     return cut_lineage(numbered.repartition("width", "run").sortWithinPartitions("width", "run").mapInArrow(
-        pack, "block long, width int, low array<double>, high array<double>, ids binary, copies binary, vecs binary"))
+        pack, "block long, width int, run long, nth long, low array<double>, high array<double>, ids binary, copies binary, vecs binary"))
 
 
 def _block_pairs(blocks: DataFrame, reach: float) -> DataFrame:
@@ -238,39 +241,76 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, threshold:
                 yield i[total >= threshold], j[total >= threshold]
 
 
-def _compare(pairs: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """(id, links, root): per pair of blocks, for each linked vector, its number of links there and a class mate."""
+def _tiles(pairs: DataFrame, blocks: DataFrame, span: int) -> DataFrame:
+    """Rows (s, t, block, partners, payload) of pairs of stripes: the blocks of s, partners null, before those of t with theirs in s.
 
-    def unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.frombuffer(row["ids" + side], np.int64)
-        size = len(row["vecs" + side]) // (row["width"] * len(ids))
-        x = np.frombuffer(row["vecs" + side], f"f{size}").astype(np.float64).reshape(len(ids), -1)
-        return ids, np.frombuffer(row["copies" + side], np.int64), x
+    A stripe is up to ``span`` blocks that follow one another along the first axis; further blocks of a run with more rows than
+    one holds make stripes of their own.  A block is sent once to each pair of stripes in which it has a partner, not once for each partner.
+    Within one stripe every block comes once, after those of its partners that are smaller.
+    """
+    stripe = (f"concat_ws('/', width, CASE WHEN nth = 0 THEN CAST(run div {span} AS STRING) "
+              f"ELSE concat(run, '+', (nth - 1) div {span}) END)")
+    place = blocks.select("block", F.expr(stripe).alias("stripe"))
+    at = (pairs.join(place.withColumnRenamed("stripe", "s"), "block")
+          .join(place.select(F.col("block").alias("other"), F.col("stripe").alias("t")), "other"))
+    turned = at.selectExpr("least(s, t) AS s", "greatest(s, t) AS t", "if(s <= t, block, other) AS block", "if(s <= t, other, block) AS other")
+    first = turned.where("s <> t").select("s", "t", "block").distinct().withColumn("partners", F.lit(None).cast("array<long>"))
+    alone = turned.where("s = t").selectExpr("s", "t", "block AS o", "CAST(NULL AS LONG) AS partner")
+    second = turned.selectExpr("s", "t", "other AS o", "block AS partner").unionByName(alone).groupBy("s", "t", "o").agg(
+        F.collect_list("partner").alias("partners"))
+    rows = first.unionByName(second.withColumnRenamed("o", "block"))
+    return (rows.join(blocks.select("block", "width", "ids", "copies", "vecs"), "block")
+            .select("s", "t", "block", "partners", "width", "ids", "copies", "vecs")
+            .repartition("s", "t").sortWithinPartitions("s", "t", F.col("partners").isNotNull(), "block"))
+
+
+def _compare(tiles: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """(id, links, root): per pair of blocks, for each linked vector, its number of links there and a class mate.
+
+    A task holds the blocks of one stripe and lets those of the other pass.
+    """
+
+    def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.frombuffer(row["ids"], np.int64)
+        size = len(row["vecs"]) // (row["width"] * len(ids))
+        x = np.frombuffer(row["vecs"], f"f{size}").astype(np.float64).reshape(len(ids), -1)
+        return ids, np.frombuffer(row["copies"], np.int64), x
+
+    def linked(left: dict, right: dict) -> pa.RecordBatch:
+        ids, copies, x = unpack(left)
+        y, shift = None, 0
+        if left["block"] != right["block"]:
+            ids2, copies2, y = unpack(right)
+            shift, ids, copies = len(x), np.concatenate([ids, ids2]), np.concatenate([copies, copies2])
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, j in tile_links(x, y, axes[x.shape[1]], threshold):
+            j = j + shift
+            links += np.bincount(i, copies[j], len(ids)).astype(np.int64)
+            links += np.bincount(j, copies[i], len(ids)).astype(np.int64)
+            _join_up(parent, rank[i], rank[j])
+        hit = np.nonzero(links)[0]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[order][parent[rank[hit]]])], ["id", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1).to_pylist()[0]
-                ids, copies, x = unpack(row, "")
-                own = row["block"] == row["other"]
-                y, shift = None, 0
-                if not own:
-                    ids2, copies2, y = unpack(row, "2")
-                    shift, ids, copies = len(x), np.concatenate([ids, ids2]), np.concatenate([copies, copies2])
-                order = np.argsort(ids, kind="stable")
-                rank = np.empty(len(ids), np.int64)
-                rank[order] = np.arange(len(ids))
-                links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-                for i, j in tile_links(x, y, axes[x.shape[1]], threshold):
-                    j = j + shift
-                    links += np.bincount(i, copies[j], len(ids)).astype(np.int64)
-                    links += np.bincount(j, copies[i], len(ids)).astype(np.int64)
-                    _join_up(parent, rank[i], rank[j])
-                hit = np.nonzero(links)[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[order][parent[rank[hit]]])], ["id", "links", "root"])
+                if (row["s"], row["t"]) != tile:
+                    tile, held = (row["s"], row["t"]), {}
+                if row["partners"] is None:
+                    held[row["block"]] = row
+                    continue
+                if row["s"] == row["t"]:
+                    held[row["block"]] = row
+                for partner in row["partners"]:
+                    yield linked(held[partner], row)
 
-    return pairs.mapInArrow(run, "id long, links long, root long")
+    return tiles.mapInArrow(run, "id long, links long, root long")
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -289,12 +329,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     axes = principal_axes(groups)
     blocks = _blocks(groups, axes)
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    sides = [F.col(c).alias(c + "2") for c in ("ids", "copies", "vecs")]
-    pairs = _block_pairs(blocks, reach)
-    met = (pairs.join(blocks.select("block", "width", "ids", "copies", "vecs"), "block")
-           .join(blocks.select(F.col("block").alias("other"), *sides), "other")
-           .select("block", "other", "width", "ids", "copies", "vecs", "ids2", "copies2", "vecs2"))
-    found = cut_lineage(_compare(met, axes, threshold))
+    pairs = cut_lineage(_block_pairs(blocks, reach))
+    # Wider stripes send fewer bytes, but there must be tiles enough for every core; the result is the same.
+    span = min(STRIPE, max(1, isqrt(pairs.count() // df.sparkSession.sparkContext.defaultParallelism)))
+    found = cut_lineage(_compare(_tiles(pairs, blocks, span), axes, threshold))
     joined = components(found.where("id <> root"), "id", "root")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = (groups.join(links, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")

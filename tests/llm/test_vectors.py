@@ -53,6 +53,45 @@ def test_links_match_brute_force(spark, monkeypatch, block_bytes, tile, kind):
     assert len(got) == len(x) + len(ODD)
 
 
+@pytest.mark.parametrize("span", [1, 2, 8])
+def test_stripes_compare_every_pair_of_blocks_once(spark, span):
+    """Pairs are those asked for, whichever way the stripes turn them, a crowded run of blocks included."""
+    places = [(b, 3, b % 7 if b < 14 else 4, b // 7 if b < 14 else b - 12) for b in range(40)]
+    blocks = spark.createDataFrame([(b, w, r, n, bytes([b]), b"", b"") for b, w, r, n in places],
+                                   "block long, width int, run long, nth long, ids binary, copies binary, vecs binary")
+    asked = [(a, b) for a in range(40) for b in range(a, 40) if (a * b) % 3 != 1]
+    tiles = vectors._tiles(spark.createDataFrame(asked, "block long, other long"), blocks, span).collect()
+    held = {}
+    for r in tiles:
+        if r.partners is None or r.s == r.t:
+            assert r.block not in held.setdefault((r.s, r.t), set())
+            held[r.s, r.t].add(r.block)
+            assert all(p in held[r.s, r.t] for p in r.partners or [])
+    assert max(map(len, held.values())) <= span
+    met = [tuple(sorted((p, r.block))) for r in tiles if r.partners is not None for p in r.partners]
+    assert all(p in held[r.s, r.t] for r in tiles if r.partners is not None for p in r.partners)
+    assert sorted(met) == asked
+    assert all(r.ids == bytes([r.block]) for r in tiles)
+
+
+def test_stripes_send_blocks_less_often(spark):
+    blocks = spark.createDataFrame([(b, 3, b, 0, b"", b"", b"") for b in range(64)],
+                                   "block long, width int, run long, nth long, ids binary, copies binary, vecs binary")
+    pairs = spark.range(64).crossJoin(spark.range(64).withColumnRenamed("id", "other")).where("id <= other").withColumnRenamed("id", "block")
+    sent = {span: vectors._tiles(pairs, blocks, span).count() for span in (1, 8)}
+    assert sent[1] == 64 * 64 and sent[8] == 64 * 64 / 8
+
+
+@pytest.mark.parametrize("stripe", [1, 8])
+def test_wide_stripes_give_the_same_links(spark, monkeypatch, stripe):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 16 * 4 * 10)
+    monkeypatch.setattr(vectors, "STRIPE", stripe)
+    x = planted(np.random.default_rng(9), 600, 16, [(60, 0.0), (200, 0.15), (30, 0.2)])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(table(spark, x), 0.95).collect()}
+    links, label = brute(x, 0.95)
+    assert got == {i: (links[i], label[i]) for i in range(len(x))}
+
+
 def test_repeated_rows_missing_ids_and_empty_tables(spark):
     rows = [(1, [1.0, 0.0], ""), (1, [1.0, 0.0], ""), (2, [1.0, 0.01], ""), (None, [1.0, 0.0], "")]
     got = sorted(map(tuple, vectors.near_duplicates(table(spark, [], rows), 0.95).collect()), key=str)
