@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.vectors import by_width, matrix, unit, usable
-from panelcast.operators.sizing import cut_lineage
+from panelcast.operators.sizing import cut_lineage, spread
 
 #: Projected dimensions; even, which gives the chi-square distribution a closed form.
 DIMENSIONS = 6
@@ -22,7 +22,11 @@ CONFIDENCE = 0.98
 LEAF_ROWS = 4096
 SAMPLE_ROWS = 65_536
 #: Vectors of a bucket of the tree within a leaf.
-BUCKET = 128
+BUCKET = 512
+#: Queries that meet vectors of a leaf in one task.
+QUERY_ROWS = 2048
+#: By how much a cosine summed in another order may differ.
+ROUNDING = 1e-9
 SEED = 7
 
 
@@ -128,6 +132,10 @@ class Leaf:
             near = near[~np.isin(self.order[near], skip)]
             if not len(near):
                 continue
+            rough = self.vectors[near] @ vector / (self.norms[near] * norm)
+            pool = np.concatenate([scores, rough])
+            if len(pool) > k:
+                near = near[rough >= np.partition(pool, len(pool) - k)[len(pool) - k] - ROUNDING]
             # Sums along rows are the same for equal vectors wherever they stand.
             found = (self.vectors[near] * vector).sum(axis=1) / (self.norms[near] * norm)
             rows, scores = np.concatenate([rows, near]), np.concatenate([scores, found])
@@ -143,14 +151,15 @@ class Leaf:
 
 def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
             dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, leaf_rows: int = LEAF_ROWS,
-            sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+            sample_rows: int = SAMPLE_ROWS, seed: int = SEED, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): up to ``k`` nearest others of each row for which ``queries`` holds, by cosine.
 
     Null or zero vectors, those with a null or non-finite component and rows without an id take no part; vectors of
     different lengths are never compared.  Of equal vectors the ``k + 1`` smallest ids can be wanted, so no more enter the index; ties go to the
     smaller id.  The tree is fitted on about ``sample_rows`` projected rows chosen by hash, every row is indexed.  A query
-    searches its own leaf first and with that bound every leaf the chi-square test cannot rule out.  Repeated rows are copies; an
-    empty table or one without queries gives no rows.
+    searches its own leaf first and with that bound every leaf the chi-square test cannot rule out.  A leaf of more than ``2 * leaf_rows``
+    vectors is dealt by hash to several tasks, and so are the queries that meet it, about ``query_rows`` to a task.  Repeated rows are
+    copies; an empty table or one without queries gives no rows.
     """
     spark = df.sparkSession
     rows = usable(df, id_col, vec_col).where("id is not null").distinct()
@@ -186,7 +195,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
     homes = placed(asked.select(F.col("id").alias("key"), "vec"), "long").withColumn("reach", F.lit(2.0))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        """All queries that meet one leaf; a leaf without vectors answers a query with an empty list."""
+        """Queries that meet one share of a leaf; a share without vectors answers a query with an empty list."""
         out = {"query_id": [], "reach": [], "ids": [], "scores": []}
         if len(right):
             ids = left["key"].to_pylist()
@@ -211,12 +220,31 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
 
     answer = "query_id long, reach double, ids array<long>, scores array<double>"
     key = ["width", "leaf"]
+    group = [*key, "part", "turn"]
     held = cut_lineage(held.select("key", "vec", "point", *key))
-    first = cut_lineage(held.groupBy(*key).cogroup(homes.select("key", "vec", "point", "reach", *key).groupBy(*key))
-                        .applyInArrow(search, answer))
-
-    ends = held.groupBy(*key).agg(*(F.min(F.col("point")[d]).alias(f"low{d}") for d in range(dimensions)),
+    ends = held.groupBy(*key).agg(F.count("*").alias("rows"), *(F.min(F.col("point")[d]).alias(f"low{d}") for d in range(dimensions)),
                                   *(F.max(F.col("point")[d]).alias(f"high{d}") for d in range(dimensions))).toArrow()
+    sizes = spark.createDataFrame(ends.select([*key, "rows"]))
+    own_part = F.pmod(F.xxhash64("vec"), F.col("parts"))
+
+    def meet(wanted: DataFrame, counts: DataFrame, part: Column) -> DataFrame:
+        """Answers of ``wanted`` from the parts of their leaves that ``part`` lists; leaves nobody asks stay where they are."""
+        asked_of = spark.createDataFrame(counts.toArrow())  # a row per leaf
+        shares = F.broadcast(asked_of.join(sizes, key, "left").select(
+            *key, F.expr(f"greatest(ceil(coalesce(rows, 0) / {2 * leaf_rows}), 1)").alias("parts"),
+            F.ceil(F.col("asked") / query_rows).alias("turns")))
+        left = held.join(shares, key).select("key", "vec", "point", *key, own_part.alias("part"),
+                                             F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"))
+        right = (wanted.join(shares, key).withColumn("part", F.explode(part))
+                 .withColumn("turn", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("turns"))))
+        if "home" in right.columns:
+            right = right.where((F.col("leaf") != F.col("home")) | (F.col("part") != own_part))
+        right = right.select("key", "vec", "point", "reach", *group)
+        return spread(left, *group).groupBy(*group).cogroup(spread(right, *group).groupBy(*group)).applyInArrow(search, answer)
+
+    homes = homes.select("key", "vec", "point", "reach", *key)
+    first = cut_lineage(meet(homes, homes.groupBy(*key).agg(F.count("*").alias("asked")), F.array(own_part)))
+
     boxes = {}
     for width in trees:
         mine = ends.filter(pa.array(ends["width"].to_numpy() == width))
@@ -224,23 +252,33 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
                              for side in ("low", "high")) + (mine["leaf"].to_numpy(),)
     sent = spark.sparkContext.broadcast(boxes)  # a box per leaf: at most 2 * SAMPLE_ROWS / 16
 
+    def visits(part: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+        """For each query the leaves that the chi-square test can't rule out."""
+        low, high, leaves = sent.value[width]
+        for point, reach in zip(matrix(part.column(2)), part.column(3).to_pylist()):
+            gaps = np.maximum(np.maximum(low - point, point - high), 0)
+            yield leaves[(gaps * gaps).sum(axis=1) <= limit * reach * reach]
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for width, part in by_width(batch, 1):
-                low, high, leaves = sent.value[width]
-                points = matrix(part.column(2))
-                for n in range(len(part)):
-                    reach, home = part.column(3)[n].as_py(), part.column(4)[n].as_py()
-                    gaps = np.maximum(np.maximum(low - points[n], points[n] - high), 0)
-                    near = leaves[((gaps * gaps).sum(axis=1) <= limit * reach * reach) & (leaves != home)]
+                for n, near in enumerate(visits(part, width)):
                     row = part.slice(n, 1).take(pa.array(np.zeros(len(near), np.int64)))
-                    yield pa.RecordBatch.from_arrays([*row.columns[:4], pa.array(np.full(len(near), width), pa.int32()), pa.array(near)],
-                                                     ["key", "vec", "point", "reach", "width", "leaf"])
+                    yield pa.RecordBatch.from_arrays([*row.columns, pa.array(np.full(len(near), width), pa.int32()), pa.array(near)],
+                                                     ["key", "vec", "point", "reach", "home", "width", "leaf"])
 
-    bounds = homes.drop("reach").join(first.groupBy(F.col("query_id").alias("key")).agg(F.max("reach").alias("reach")), "key")
-    routed = bounds.select("key", "vec", "point", "reach", "leaf").mapInArrow(
-        route, f"key long, vec {element}, point array<double>, reach double, width int, leaf long")
-    second = held.groupBy(*key).cogroup(routed.groupBy(*key)).applyInArrow(search, answer)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width, part in by_width(batch, 1):
+                leaves, times = np.unique(np.concatenate(list(visits(part, width))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaves), width), pa.int32()), pa.array(leaves), pa.array(times)],
+                                                 ["width", "leaf", "asked"])
+
+    bounds = cut_lineage(homes.drop("reach").join(first.groupBy(F.col("query_id").alias("key")).agg(F.max("reach").alias("reach")), "key")
+                         .select("key", "vec", "point", "reach", F.col("leaf").alias("home")))
+    routed = bounds.mapInArrow(route, f"key long, vec {element}, point array<double>, reach double, home long, width int, leaf long")
+    counts = bounds.mapInArrow(count, "width int, leaf long, asked long").groupBy(*key).agg(F.sum("asked").alias("asked"))
+    second = meet(routed, counts, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (first.unionByName(second).select("query_id", F.expr("inline(arrays_zip(ids, scores))"))

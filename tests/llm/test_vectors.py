@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from panelcast.llm import ann, vectors
@@ -108,12 +109,12 @@ def exact(x, ids, query, k):
     return [(i, -v) for v, i in order[:k]]
 
 
-@pytest.mark.parametrize("leaf_rows", [4096, 40])
-def test_neighbours_and_recall(spark, leaf_rows):
+@pytest.mark.parametrize("sizes", [{}, {"leaf_rows": 40}, {"leaf_rows": 40, "sample_rows": 40, "query_rows": 7}])
+def test_neighbours_and_recall(spark, sizes):
     rng = np.random.default_rng(5)
     x = planted(rng, 900, 16, [(40, 0.0), (200, 0.3), (50, 0.05)])
     got = {}
-    for r in ann.nearest(table(spark, x, ODD), F.col("vec_id") % 10 == 0, leaf_rows=leaf_rows).collect():
+    for r in ann.nearest(table(spark, x, ODD), F.col("vec_id") % 10 == 0, **sizes).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     hits = wanted = 0
     for q in range(0, 900, 10):
@@ -130,6 +131,29 @@ def test_neighbours_and_recall(spark, leaf_rows):
     assert [m[1] for m in sorted(got[0])] == [1, 2, 3, 4, 5] and [m[1] for m in sorted(got[30])] == [0, 1, 2, 3, 4]
 
 
+def test_groups_of_a_search_are_bounded(spark, monkeypatch):
+    """However many vectors and queries one leaf gets, no task sees more than a share of them."""
+    rng = np.random.default_rng(6)
+    rows = [(i, v, "") for i, v in enumerate(rng.standard_normal((600, 8)).tolist())]
+    seen, crowded = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    inside = ann.Leaf.__init__
+
+    def watched(self, vectors, points):
+        seen.add(1)
+        crowded.add(int(len(vectors) > 100))
+        inside(self, vectors, points)
+
+    monkeypatch.setattr(ann.Leaf, "__init__", watched)
+    cloudpickle.register_pickle_by_value(ann)  # workers get the watched class
+    try:
+        found = ann.nearest(table(spark, [], rows), F.col("vec_id") >= 0, leaf_rows=25, sample_rows=16, query_rows=50).collect()
+        assert len(found) == 600 * 5 and seen.value > 600 / 50 and crowded.value == 0
+        ann.nearest(table(spark, [], rows), F.col("vec_id") >= 0, sample_rows=16).collect()
+        assert crowded.value > 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(ann)
+
+
 def test_few_candidates(spark):
     rows = [(0, [1.0, 0.0], ""), (1, [0.0, 1.0], ""), (2, [1.0, 1.0], ""), (2, [1.0, 1.0], ""), (10, [1.0, 2.0, 3.0], ""), (None, [1.0, 0.0], "")]
     got = sorted(map(tuple, ann.nearest(table(spark, [], rows), F.col("vec_id") % 10 == 0).collect()))
