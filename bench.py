@@ -3,7 +3,8 @@
 Each query is built and fully materialised (no-op sink) once untimed, then
 up to ``BENCH_RUNS`` times, no more once they have taken ``ENOUGH`` seconds; the figure is
 the median.  One whose first run takes ``LONG`` seconds isn't run again: that run is its figure.  Every figure goes to the error stream as it
-comes, forests come last, and no query is begun after ``BENCH_SECONDS``, so a slow one can't cost the others.
+comes, forests come last, no query is begun after ``BENCH_SECONDS``, and one still running after ``BENCH_DEADLINE`` is cancelled and
+left out, so a slow one can't cost the others.
 ``BENCH_QUERIES`` is a comma separated list, or ``all``.
 """
 
@@ -13,6 +14,7 @@ import json
 import os
 import statistics
 import sys
+import threading
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -43,6 +45,17 @@ def run(fn, spark, sf) -> float:
     return time.perf_counter() - start
 
 
+def cancel_after(spark, seconds: float, over: threading.Event) -> None:
+    """Once ``seconds`` are over, cancel whatever runs, again and again, as a query may start many jobs."""
+    def watch() -> None:
+        while not over.wait(1.0):
+            if time.perf_counter() - begun > seconds:
+                spark.sparkContext.cancelAllJobs()
+
+    begun = time.perf_counter()
+    threading.Thread(target=watch, daemon=True).start()
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
@@ -55,17 +68,26 @@ def main() -> None:
     for name in WARM_UP:
         run(QUERIES[name], spark, sf)
     times, begun, limit = {}, time.perf_counter(), float(os.environ.get("BENCH_SECONDS", "900"))
+    deadline, over = float(os.environ.get("BENCH_DEADLINE", "1500")), threading.Event()
+    cancel_after(spark, deadline, over)
     for name in sorted(chosen, key=lambda n: ("forest" in n) + (n == "project_forest")):
         if time.perf_counter() - begun > limit:
             print(f"{name}: not run, {limit:.0f} s are over", file=sys.stderr, flush=True)
             continue
-        took = [run(QUERIES[name], spark, sf)]
-        if took[0] < LONG:
+        try:
             took = [run(QUERIES[name], spark, sf)]
-            while len(took) < runs and sum(took) < ENOUGH:
-                took.append(run(QUERIES[name], spark, sf))
+            if took[0] < LONG:
+                took = [run(QUERIES[name], spark, sf)]
+                while len(took) < runs and sum(took) < ENOUGH:
+                    took.append(run(QUERIES[name], spark, sf))
+        except Exception as error:
+            if time.perf_counter() - begun < deadline:
+                raise
+            print(f"{name}: cancelled, {deadline:.0f} s are over ({type(error).__name__})", file=sys.stderr, flush=True)
+            break
         times[name] = round(statistics.median(took), 3)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
+    over.set()
     print(json.dumps({"metric": "total query time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf).removeprefix("sf"), "cpus": int(cpus)}))
     spark.stop()
