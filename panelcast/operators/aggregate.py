@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.codes import AGE_METRICS, KEYS, TIME, TOTAL_KEY, measures
 from panelcast.operators.quantiles import exact_quantiles
+from panelcast.operators.sizing import staged
 from panelcast.operators.shape import to_long
 
 
@@ -73,9 +74,10 @@ def kde(df: DataFrame, x: str, by: Sequence[str], lo: float, hi: float, points:
     Values are split linearly between the two nearest of ``points`` bins spanning
     [lo - 4 bw, hi + 4 bw], which one partial aggregate does for any number of rows;
     the curve is then a sum over bins, a fixed amount of work per group.  A group of one value has no bandwidth and no curve.
+    The values are made once and written, as the bandwidth takes several passes over them.
     """
     by = list(by)
-    used = df.where(F.col(x).between(lo, hi)).select(*by, F.col(x).cast("double").alias("_x"))
+    used = staged(df.where(F.col(x).between(lo, hi)).select(*by, F.col(x).cast("double").alias("_x")))
     bw = bandwidth(used, "_x", by).where("bw is not null")
     start = F.lit(lo) - 4 * F.col("bw")
     step = (F.lit(hi - lo) + 8 * F.col("bw")) / (points - 1)

@@ -11,7 +11,7 @@ from panelcast.functions.codes import AGE_GROUPS, AGE_METRICS, KEYS, TIME, TOTAL
 from panelcast.operators.aggregate import kde, with_totals
 from panelcast.operators.clean import fill_missing
 from panelcast.operators.derive import add_age_groups, add_ratios
-from panelcast.operators.relate import compare_projections
+from panelcast.operators.relate import compare_tagged
 from panelcast.operators.shape import in_order, to_wide
 
 # Report order of the quantile paths.
@@ -45,9 +45,11 @@ def with_history(paths: DataFrame, observed: DataFrame, models: Sequence[str], q
 
 def total_comparison(series: DataFrame, paths: Sequence[tuple[str, str]], value: str = "total") -> DataFrame:
     """One column per (model, quantile); the first one decides the rows."""
-    return compare_projections({
-        f"{value}_{quantile.lower()}_{model}": series.where((F.col("model") == model) & (F.col("quantile") == quantile))
-        for model, quantile in paths}, value)
+    name, names = F.lit(None).cast("string"), []
+    for model, quantile in paths:
+        names.append(f"{value}_{quantile.lower()}_{model}")
+        name = F.when((F.col("model") == model) & (F.col("quantile") == quantile), names[-1]).otherwise(name)
+    return compare_tagged(series.withColumn("_series", name).where("_series IS NOT NULL"), "_series", names, value)
 
 
 def tagged_series(series: DataFrame, value: str = "working_senior_ratio") -> DataFrame:
