@@ -10,6 +10,7 @@ customer or supplier holding a large share of all rows is reduced before any shu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import lcm
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from panelcast.functions.codes import (
 )
 from panelcast.operators.derive import sum_columns
 from panelcast.operators.shape import to_wide
+from panelcast.operators.sizing import spread
 from panelcast.plans.prepare import MOBILITY_PARTS, to_counts
 from panelcast.sources.releases import release_codes
 
@@ -91,27 +93,43 @@ def census(spark: SparkSession, sf: str, codes: Sequence[str], t: str = "year")
         t, padded("s_nationkey", 2).alias("state"), padded("l_suppkey", 10).alias("place"), *codes)
 
 
-def full_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Long panel over every code of the releases: quantities by supplier, year and measure.
+#: What a line item's part number counts by in the rows of the releases: the least common multiple of their numbers of rows less one.
+PART_CYCLE = lcm(*[len(rows) - 1 for _, rows in RELEASE_TABLES_NEW.values()])
+
+
+def full_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantities ``(l_suppkey, year, metric, value)`` over every code of the releases.
 
     A line item counts in the first row and in one other row of every column group; most other cells are missing.
+    Items meet by supplier before they count in their cells, so narrow rows are shuffled and no cell is; those that count in the
+    same cells are added up before, so a supplier with a large share of all items has a bounded number of rows.
     """
     groups = ", ".join(f"struct('{tbl}' AS tbl, {c} AS col, {len(rows)} AS n)"
                        for tbl, (cols, rows) in RELEASE_TABLES_NEW.items() for c in cols)
-    items = table(spark, sf, "lineitem").selectExpr(
-        "l_suppkey", "CAST(year(l_shipdate) AS INT) AS year", "l_quantity", "l_partkey", "l_linenumber", f"inline(array({groups}))")
-    cells = items.selectExpr("l_suppkey", "year", "l_quantity", "tbl", "col",
-                             "explode(array(1, CAST(2 + (l_partkey * col + l_linenumber) % (n - 1) AS INT))) AS row")
-    sums = cells.groupBy("l_suppkey", "year", "tbl", "col", "row").agg(F.sum(F.col("l_quantity").cast("double")).alias("value"))
+    part = f"CASE WHEN l_partkey >= 0 THEN l_partkey % {PART_CYCLE} ELSE l_partkey END AS l_partkey"
+    items = (table(spark, sf, "lineitem")
+             .selectExpr("l_suppkey", "CAST(year(l_shipdate) AS INT) AS year", part, "l_linenumber", "CAST(l_quantity AS DOUBLE) AS l_quantity")
+             .groupBy("l_suppkey", "year", "l_partkey", "l_linenumber").agg(F.sum("l_quantity").alias("l_quantity")))
+    cells = spread(items, "l_suppkey", per_core=4).selectExpr(
+        "l_suppkey", "year", "l_quantity", "l_partkey", "l_linenumber", f"inline(array({groups}))").selectExpr(
+        "l_suppkey", "year", "l_quantity", "tbl", "col", "explode(array(1, CAST(2 + (l_partkey * col + l_linenumber) % (n - 1) AS INT))) AS row")
+    sums = cells.groupBy("l_suppkey", "year", "tbl", "col", "row").agg(F.sum("l_quantity").alias("value"))
+    return sums.select("l_suppkey", "year", F.format_string("%s_C%02d_%03dE", "tbl", "col", "row").alias("metric"), "value")
+
+
+def full_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Long panel over every code of the releases: quantities by supplier, year and measure."""
     places = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    return sums.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        "year", padded("s_nationkey", 2).alias("state"), padded("l_suppkey", 10).alias("place"),
-        F.format_string("%s_C%02d_%03dE", "tbl", "col", "row").alias("metric"), "value")
+    return full_sums(spark, sf).join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "year", padded("s_nationkey", 2).alias("state"), padded("l_suppkey", 10).alias("place"), "metric", "value")
 
 
 def full_census(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide panel of all codes of the releases; a cell without line items is null."""
-    return to_wide(full_cells(spark, sf), release_codes(LAYOUT_CHANGE_YEAR))
+    """Wide panel of all codes of the releases, a row for each place and year; a cell without line items is null."""
+    codes = release_codes(LAYOUT_CHANGE_YEAR)
+    wide = to_wide(full_sums(spark, sf), codes, ("l_suppkey", "year"))
+    places = table(spark, sf, "supplier").select("s_suppkey", padded("s_nationkey", 2).alias("state")).distinct()
+    return wide.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select("year", "state", padded("l_suppkey", 10).alias("place"), *codes)
 
 
 def release_text(panel: DataFrame, year: int) -> DataFrame:
