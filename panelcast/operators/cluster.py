@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,10 @@ from panelcast.operators.sizing import cut_lineage, spread
 MAX_CENTRE_CELLS = 20_000_000
 # Cells worked on at a time inside a task.
 CHUNK_CELLS = 4_000_000
+# Cells of the distance tables swept together: they fit a core's cache.
+TABLE_CELLS = 400_000
+# Members of a cluster, and sampled ones, that meet in one group; small clusters share one.
+SLICE = 256
 
 
 def entity_series(df: DataFrame, n: int, cols: Sequence[str] | None = None, keys: Sequence[str] = KEYS,
@@ -34,6 +38,55 @@ def entity_series(df: DataFrame, n: int, cols: Sequence[str] | None = None, keys
     return packed.where(F.size("_s") == n).select(*keys, F.transform("_s", lambda r: r["v"]).alias("series"))
 
 
+def sweep(costs: np.ndarray, gamma: float = 0.0) -> np.ndarray:
+    """Soft-DTW of n pairs from their costs (T, S, n); DTW if ``gamma`` is 0.
+
+    Cells of an anti-diagonal lie at even distances in the table, so they are taken together without copies, and only the last two are kept.
+    The softened minimum is the minimum, to the last bit, unless another value is within 40 ``gamma`` of it; only such cells take exponentials.
+    """
+    steps, width, n = costs.shape
+    cells = costs.reshape(steps * width, n)
+    two, one, now = (np.full((steps + 1, n), np.inf) for _ in range(3))
+    two[0] = 0.0
+    for total in range(2, steps + width + 1):
+        lo, hi = max(1, total - width), min(steps, total - 1)
+        cost = cells[(lo - 1) * width + total - lo - 1::max(1, width - 1)][:hi - lo + 1]
+        a, b, c, r = two[lo - 1:hi], one[lo - 1:hi], one[lo:hi + 1], now[lo:hi + 1]
+        low = np.minimum(a, b)
+        if gamma:
+            second = np.minimum(np.maximum(a, b), np.maximum(low, c))
+        np.minimum(low, c, out=low)
+        np.add(cost, low, out=r)
+        if gamma:
+            close = np.flatnonzero(second - low < 40 * gamma)
+            if len(close):
+                before = np.stack([v.reshape(-1)[close] for v in (a, b, c)])
+                # Below -60 a share is lost beside the minimum's 1, and exponentials are slow.
+                share = np.exp(np.maximum(-(before - low.reshape(-1)[close]) / gamma, -60.0))
+                r.reshape(-1)[close] -= gamma * np.log(share.sum(0))
+        if lo == 1:
+            now[0] = np.inf
+        if hi < steps:
+            now[hi + 1] = np.inf
+        two, one, now = one, now, two
+    return one[steps].copy()
+
+
+def _pairs_at_once(steps: int, width: int) -> int:
+    return max(16, TABLE_CELLS // (steps * width))
+
+
+def pair_distances(x: np.ndarray, centres: np.ndarray, i: np.ndarray, j: np.ndarray, gamma: float) -> np.ndarray:
+    """Soft-DTW (DTW if ``gamma`` is 0) of the pairs (x[i], centres[j]); a pair's value doesn't depend on what is computed beside it."""
+    found = np.empty(len(i))
+    size = _pairs_at_once(x.shape[1], centres.shape[1])
+    for lo in range(0, len(i), size):
+        a, b = x[i[lo:lo + size]], centres[j[lo:lo + size]]
+        d = (a ** 2).sum(-1)[:, :, None] + (b ** 2).sum(-1)[:, None, :] - 2 * a @ np.swapaxes(b, -1, -2)
+        found[lo:lo + size] = sweep(np.ascontiguousarray(np.moveaxis(np.maximum(d, 0.0), 0, -1)), gamma)
+    return found
+
+
 def soft_dtw_kernel(gamma: float):
     """``(values, alignment)`` functions of a batch of series (n, T, m) against one centre (S, m)."""
 
@@ -44,7 +97,7 @@ def soft_dtw_kernel(gamma: float):
             yield i, total - i
 
     def table(x, centre):
-        """Cumulated costs of series against one centre, or each against one of its own (n, S, m)."""
+        """Cumulated costs of series against one centre."""
         d = (x ** 2).sum(-1)[:, :, None] + (centre ** 2).sum(-1)[..., None, :] - 2 * x @ np.swapaxes(centre, -1, -2)
         d = np.maximum(d, 0.0)
         n, steps, width = d.shape
@@ -57,7 +110,8 @@ def soft_dtw_kernel(gamma: float):
         return r
 
     def values(x, centre):
-        return table(x, centre)[:, -1, -1]
+        centres = centre if centre.ndim == 3 else centre[None]
+        return pair_distances(x, centres, np.arange(len(x)), np.arange(len(x)) if centre.ndim == 3 else np.zeros(len(x), int), gamma)
 
     def alignment(x, centre):
         """Expected alignment (n, T, S): how much each step of a series is matched to each step of the centre."""
@@ -93,12 +147,12 @@ def _on_series(df: DataFrame, centres: np.ndarray, keys: Sequence[str], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
-        m = centres.shape[2]
 
         def chunks():
             for batch in batches:
                 if not batch.num_rows:
                     continue
+                m = centres.shape[2]
                 x = np.asarray(batch.column("series").flatten().flatten()).reshape(batch.num_rows, -1, m)
                 size = max(1, chunk_cells // (x.shape[1] * (m + 4 * centres.shape[1])))
                 for lo in range(0, len(x), size):
@@ -106,7 +160,7 @@ def _on_series(df: DataFrame, centres: np.ndarray, keys: Sequence[str], schema:
 
         yield from work(chunks(), centres)
 
-    return df.select(*keys, "series").mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keys, "series"])).mapInArrow(run, schema)
 
 
 def _keyed(series: DataFrame, keys: Sequence[str], column: str) -> T.StructType:
@@ -134,34 +188,67 @@ def path_slack(steps: int, width: int, gamma: float) -> float:
     return gamma * (steps + width) * float(np.log(3))
 
 
-def nearest_centres(x: np.ndarray, centres: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(number, distance, alignments computed) of the nearest centre of each series; ties go to the lower number.
+def nearest_centres(x: np.ndarray, centres: np.ndarray, gamma: float, among: np.ndarray | None = None, nearest: np.ndarray | None = None,
+                    best: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(number, distance, soft alignments computed) of the nearest centre of each series; ties go to the lower number.
 
-    Whatever a step of a series is aligned to lies between the smallest and the largest values of a centre, so what it exceeds them by bounds DTW
-    from below, and, less ``path_slack``, soft-DTW.  A series is aligned to the centre with the lowest bound first, then only to those
-    whose bound doesn't exceed the best distance found.
+    Plain DTW lies above soft-DTW by at most ``path_slack`` and is far cheaper, so only centres whose DTW is within that of the least are aligned
+    softly.  A path starts and ends with both series, which bounds DTW from below; centres beyond the least DTW by that bound are skipped.
+    Given the ``nearest`` centres and their distances ``best`` so far, only the centres ``among`` are tried against them.
     """
-    values, _ = soft_dtw_kernel(gamma)
-    n, k = len(x), len(centres)
-    low, high = centres.min(axis=1), centres.max(axis=1)
-    bound = np.empty((n, k))
-    for c in range(k):
-        over = np.maximum(np.maximum(x - high[c], low[c] - x), 0)
-        bound[:, c] = (over * over).sum(axis=(1, 2))
-    bound -= path_slack(x.shape[1], centres.shape[1], gamma)
-    rows = np.arange(n)
-    nearest = bound.argmin(axis=1)
-    first = nearest.copy()
-    best, made = values(x, centres[nearest]), n
-    for c in range(k):
-        open_ = np.flatnonzero((bound[:, c] <= best) & (first != c))
-        if not len(open_):
-            continue
-        made += len(open_)
-        d = values(x[open_], centres[c])
-        closer = (d < best[open_]) | ((d == best[open_]) & (c < nearest[open_]))
-        nearest[open_[closer]], best[open_[closer]] = c, d[closer]
-    return nearest[rows], best, made
+    n, steps, m = x.shape
+    width = centres.shape[1]
+    among = np.arange(len(centres)) if among is None else among
+    fresh = nearest is None
+    nearest = np.full(n, -1) if fresh else nearest.copy()
+    best = np.full(n, np.inf) if fresh else best.astype(float)
+    if not n or not len(among):
+        return nearest, best, 0
+    tried, made, slack = centres[among], 0, path_slack(steps, width, gamma)
+    square = (tried ** 2).sum(-1)
+    # Squared distances of all steps as one product.
+    sides = np.concatenate([-2 * tried, np.ones((len(among), width, 1)), square[..., None]], axis=-1)
+    size = _pairs_at_once(steps, width)
+    for lo in range(0, n, size):
+        part = x[lo:lo + size]
+        own = (part ** 2).sum(-1)
+        flat = np.ascontiguousarray(np.concatenate([part, own[..., None], np.ones((*own.shape, 1))], axis=-1).transpose(1, 2, 0))
+        # What rounding may add to a sum of squares along a path.
+        slip = 1e-12 * (steps + width) * (own.max() + square.max())
+        ends = own[:, :1] + square[:, 0] - 2 * part[:, 0] @ tried[:, 0].T
+        if steps + width > 2:
+            ends = ends + own[:, -1:] + square[:, -1] - 2 * part[:, -1] @ tried[:, -1].T
+        ends = ends - (slack + 2 * slip)
+        hard = np.full(ends.shape, np.inf)
+        least = best[lo:lo + size].copy()
+        if fresh:
+            rows, first = np.arange(len(part)), ends.argmin(axis=1)
+            hard[rows, first] = pair_distances(part, tried, rows, first, 0.0)
+            least = hard[rows, first] + slip
+        few = []
+        for c in np.flatnonzero((ends <= least[:, None]).any(axis=0)):
+            rows = np.flatnonzero((ends[:, c] <= least) & (hard[:, c] == np.inf))
+            if 4 * len(rows) < len(part):
+                few.append((rows, np.full(len(rows), c)))
+                continue
+            hard[:, c] = sweep(sides[c] @ flat)
+            least = np.minimum(least, hard[:, c] + slip)
+        if few:
+            rows, c = (np.concatenate(v) for v in zip(*few, strict=True))
+            open_ = ends[rows, c] <= least[rows]
+            rows, c = rows[open_], c[open_]
+            hard[rows, c] = pair_distances(part, tried, rows, c, 0.0)
+            least = np.minimum(least, hard.min(axis=1) + slip)
+        rows, c = np.nonzero(hard - (slack + slip) <= least[:, None])
+        made += len(rows)
+        soft = pair_distances(part, tried, rows, c, gamma)
+        order = np.lexsort((among[c], soft, rows))
+        rows, at = np.unique(rows[order], return_index=True)
+        soft, c, rows = soft[order][at], among[c[order][at]], rows + lo
+        closer = (soft < best[rows]) | ((soft == best[rows]) & (c < nearest[rows])) | (nearest[rows] < 0)
+        nearest[rows[closer]], best[rows[closer]] = c[closer], soft[closer]
+    best[nearest < 0] = np.nan
+    return np.maximum(nearest, 0), best, made
 
 
 def assign_clusters(series: DataFrame, centres: np.ndarray, gamma: float = 0.01,
@@ -177,6 +264,33 @@ def assign_clusters(series: DataFrame, centres: np.ndarray, gamma: float = 0.01,
     return _on_series(series, centres, keys, _keyed(series, keys, "cluster"), work)
 
 
+def reassign(state: DataFrame, centres: np.ndarray, gamma: float, keys: Sequence[str], numbers: np.ndarray | None = None,
+             known: np.ndarray | None = None) -> DataFrame:
+    """``(keys, series, cluster, distance)``: the nearest centre of every series.
+
+    ``state`` has the same columns, if ``numbers`` and ``known`` are given, else keys and series: ``numbers`` holds, for each centre it was made with,
+    its place among ``centres`` (-1 if none), and ``known`` says which of ``centres`` are as they were.  A series whose centre is known
+    is aligned to the other centres only.
+    """
+    before = [] if known is None else ["cluster", "distance"]
+    passed = [*keys, "series"]
+    names = [*passed, "cluster", "distance"]
+    schema = T.StructType([state.schema[c] for c in passed] + [T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+
+    def work(chunks, centres):
+        for ids, x in chunks:
+            if known is None:
+                nearest, best, _ = nearest_centres(x, centres, gamma)
+            else:
+                nearest, best = numbers[ids[-2].to_numpy() - 1], np.array(ids[-1].to_numpy(zero_copy_only=False), dtype=float)
+                stays = (nearest >= 0) & known[nearest]
+                nearest[stays], best[stays], _ = nearest_centres(x[stays], centres, gamma, np.flatnonzero(~known), nearest[stays], best[stays])
+                nearest[~stays], best[~stays], _ = nearest_centres(x[~stays], centres, gamma)
+            yield pa.RecordBatch.from_arrays([*ids[:len(passed)], pa.array((nearest + 1).astype("int32")), pa.array(best)], names)
+
+    return _on_series(state, centres, [*passed, *before], schema, work)
+
+
 def _chance(seed: int, salt: str, keys: Sequence[str]) -> Column:
     """A number in [0, 1) for every entity, by hash."""
     digest = F.md5(F.concat_ws("|", F.lit(f"{seed}:{salt}"), *[F.col(c).cast("string") for c in keys]))
@@ -185,10 +299,18 @@ def _chance(seed: int, salt: str, keys: Sequence[str]) -> Column:
 
 def _fetched(series: DataFrame, at_most: int) -> np.ndarray:
     """A few series as (n, T, m)."""
-    rows = series.select("series").limit(at_most + 1).collect()
-    if len(rows) > at_most:
+    rows = series.select("series").limit(at_most + 1).toArrow()
+    if rows.num_rows > at_most:
         raise ValueError(f"more than {at_most} series")
-    return np.array([r["series"] for r in rows], dtype=float)
+    return _matrices(rows)
+
+
+def _matrices(rows: pa.Table, name: str = "series") -> np.ndarray:
+    """A column of series as (n, T, m)."""
+    if not rows.num_rows:
+        return np.array([])
+    column = rows.column(name).combine_chunks()
+    return np.asarray(column.flatten().flatten(), dtype=float).reshape(rows.num_rows, len(column[0]), -1)
 
 
 def seed_centres(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, rounds: int = 4, oversampling: float = 0.5,
@@ -204,13 +326,23 @@ def seed_centres(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123
     found = _fetched(some, k)
     chosen = cut_lineage(some.select(*keys))
     wanted = max(1.0, oversampling * k)
+    far, seen = series, 0
+
+    def assigned():
+        """Every series with its nearest candidate; a round aligns it to the candidates of the round before only."""
+        if not seen:
+            return reassign(series, found, gamma, keys)
+        return reassign(far, found, gamma, keys, np.arange(seen), np.arange(len(found)) < seen)
+
     for n in range(rounds):
         _check_centres(found)
-        far = cut_lineage(assign_clusters(series, found, gamma, keys).withColumn("distance", F.greatest("distance", F.lit(0.0))))
-        total = far.agg(F.sum("distance")).first()[0] or 0.0
+        state = cut_lineage(assigned())
+        far, seen = state, len(found)
+        reach = F.greatest("distance", F.lit(0.0))
+        total = far.agg(F.sum(reach)).first()[0] or 0.0
         if total <= 0:
             break
-        lucky = far.where(_chance(seed, f"round {n}", keys) < F.col("distance") * (wanted / total)).select(*keys)
+        lucky = far.where(_chance(seed, f"round {n}", keys) < reach * (wanted / total)).select(*keys)
         lucky = cut_lineage(lucky.join(chosen, list(keys), "left_anti"))
         more = _fetched(series.join(F.broadcast(lucky), list(keys), "left_semi").orderBy(*keys), int(20 * wanted) + 100)
         if len(more):
@@ -222,22 +354,53 @@ def seed_centres(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123
     if len(found) <= k:
         return found
     weight = np.zeros(len(found))
-    for row in assign_clusters(series, found, gamma, keys).groupBy("cluster").count().collect():
+    for row in assigned().groupBy("cluster").count().collect():
         weight[row["cluster"] - 1] = row["count"]
-    # One candidate after the other, each time that which takes most off the weighted distances.
-    spark = series.sparkSession
-    candidates = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(found)], "i int, series array<array<double>>")
-    apart = np.zeros((len(found), len(found)))
-    cells = series_distances(spread(candidates, "i", times=2), found, gamma, keys=["i"]).toArrow()
-    apart[cells["i"].to_numpy(), cells["centre"].to_numpy() - 1] = np.maximum(cells["distance"].to_numpy(), 0.0)
+    return found[_spread_out(_all_distances(series.sparkSession, found, gamma), weight, k)]
+
+
+def _all_distances(spark: SparkSession, found: np.ndarray, gamma: float) -> np.ndarray:
+    """Soft-DTW, not below 0, between a bounded number of series on the driver; a task takes some rows of the matrix."""
+    n, steps, m = found.shape
+    inner = pa.ListArray.from_arrays(np.arange(0, n * steps * m + 1, m, dtype="int32"), pa.array(found.ravel()))
+    table = pa.table({"i": pa.array(np.arange(n, dtype="int32")),
+                      "series": pa.ListArray.from_arrays(np.arange(0, n * steps + 1, steps, dtype="int32"), inner)})
+
+    def work(chunks, centres):
+        every = np.arange(len(centres))
+        for ids, x in chunks:
+            for i in range(len(x)):
+                d = np.maximum(pair_distances(x, centres, np.full(len(every), i), every, gamma), 0.0)
+                yield pa.RecordBatch.from_arrays([ids[0].slice(i, 1), pa.array([d])], ["i", "d"])
+
+    candidates = spread(spark.createDataFrame(table, "i int, series array<array<double>>"), "i", times=2)
+    cells = _on_series(candidates, found, ["i"], "i int, d array<double>", work).toArrow()
+    apart = np.zeros((n, n))
+    apart[cells["i"].to_numpy()] = np.asarray(cells["d"].combine_chunks().flatten()).reshape(n, n)
+    return apart
+
+
+def _spread_out(apart: np.ndarray, weight: np.ndarray, k: int) -> list[int]:
+    """``k`` of the candidates one after the other, each time that which takes most off the weighted distances.
+
+    What a candidate takes off never grows, so candidates are valued anew, 32 at a time, only while their last value reaches the best one.
+    """
     taken = [int(weight.argmax())]
     least = apart[:, taken[0]].copy()
+    gain = np.full(len(apart), np.inf)
     while len(taken) < k:
-        gain = (weight[:, None] * np.maximum(least[:, None] - apart, 0)).sum(axis=0)
+        gain[taken] = -1
+        order, best = np.argsort(-gain, kind="stable"), -1.0
+        for lo in range(0, len(order), 32):
+            some = order[lo:lo + 32]
+            if gain[some[0]] < best:
+                break
+            gain[some] = (weight[:, None] * np.maximum(least[:, None] - apart[:, some], 0)).sum(axis=0)
+            best = max(best, gain[some].max())
         gain[taken] = -1
         taken.append(int(gain.argmax()))
         least = np.minimum(least, apart[:, taken[-1]])
-    return found[taken]
+    return taken
 
 
 def medoids(assigned: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, sample: int = 32, confidence: float = 3.0, keep: int = 8,
@@ -249,49 +412,110 @@ def medoids(assigned: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, s
     decided exactly, as is one with at most ``keep`` members left once its sample is all of it.  The first round is linear in the series, later ones see
     few of them.
     """
-    values, _ = soft_dtw_kernel(gamma)
-    left = cut_lineage(assigned.select(*keys, "series", "cluster"))
-    size = {r["cluster"]: r["count"] for r in left.groupBy("cluster").count().collect()}
-    everyone, best, n = left, {}, sample
+    return _race(cut_lineage(assigned.select(*keys, "series", "cluster")), gamma, seed, sample, confidence, keep, keys)[1]
+
+
+def _listed(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A short list as a local table."""
+    return spark.createDataFrame(pa.table(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True))), schema)
+
+
+def _race(everyone: DataFrame, gamma: float, seed: int, sample: int, confidence: float, keep: int,
+          keys: Sequence[str]) -> tuple[list[int], np.ndarray]:
+    """Numbers of the clusters that have members, in order, and their medoids; ``everyone`` is a checkpoint.
+
+    Members and sampled ones meet by slices of their cluster, at most about ``SLICE`` of each in a group, so no cluster is gathered whole;
+    clusters smaller than that share a group.
+    """
+    spark, cluster_type = everyone.sparkSession, T.StructField("cluster", everyone.schema["cluster"].dataType)
+    everyone = everyone.select(*keys, "series", "cluster").withColumn("_id", F.monotonically_increasing_id())
+    size = {r["cluster"]: r["count"] for r in everyone.groupBy("cluster").count().collect()}
+    if not size:
+        return [], np.array([])
+    left, running, best, n = everyone, dict(size), {}, sample
     while True:
-        drawn = Window.partitionBy("cluster").orderBy(_chance(seed, f"sample {n}", keys), *keys)
+        rows, group, held = [], 0, 0
+        for c, m in sorted(running.items()):
+            sampled = min(n, size[c])
+            if held + max(m, sampled) > SLICE // 2:
+                group, held = group + 1, 0
+            held += max(m, sampled)
+            rows.append((c, float(size[c]), group, -(-m // SLICE), -(-sampled // SLICE)))
+        info = F.broadcast(_listed(spark, rows, T.StructType([
+            cluster_type, T.StructField("_size", T.DoubleType()), *[T.StructField(f, T.IntegerType()) for f in ("_g", "_a", "_b")]])))
+        chance = _chance(seed, f"sample {n}", keys)
         # Only members whose chance can be among the first n are ranked.
-        sizes = F.create_map(*[F.lit(v) for c, z in size.items() for v in (c, float(z))])
-        likely = everyone.where(_chance(seed, f"sample {n}", keys) * sizes[F.col("cluster")] < 2 * n + 100)
-        rows = likely.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= n).select("cluster", "series").collect()
-        against = {c: np.array([r["series"] for r in rows if r["cluster"] == c], dtype=float) for c in size if c not in best}
-        if sum(v.size for v in against.values()) > MAX_CENTRE_CELLS:
-            raise ValueError("samples of clusters exceed the cells a task may hold")
-        shared = left.sparkSession.sparkContext.broadcast(against)
-        names, at = [*keys, "cluster", "mean", "error"], len(keys)
-
-        def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clusters = batch.column(at).to_numpy()
-                for c in np.unique(clusters):
-                    part = batch.filter(pa.array(clusters == c))
-                    others = shared.value[c]
-                    x = np.asarray(part.column(at + 1).flatten().flatten()).reshape(len(part), -1, others.shape[2])
-                    d = np.stack([values(x, o) for o in others], axis=1)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:at], part.column(at), pa.array(d.mean(axis=1)),
-                                                      pa.array(d.std(axis=1) / np.sqrt(d.shape[1]))], names)
-
-        fields = [left.schema[c] for c in (*keys, "cluster")] + [T.StructField(c, T.DoubleType()) for c in ("mean", "error")]
-        run = left.where(F.col("cluster").isin(list(against))).select(*keys, "cluster", "series").mapInArrow(race, T.StructType(fields))
-        exact = F.when(sizes[F.col("cluster")] <= n, 0.0).otherwise(confidence)
-        raced = cut_lineage(run.withColumn("low", F.col("mean") - exact * F.col("error")).withColumn("high", F.col("mean") + exact * F.col("error")))
-        bar = raced.groupBy("cluster").agg(F.min("high").alias("bar"), F.count("*").alias("n"))
-        ahead = cut_lineage(raced.join(F.broadcast(bar.select("cluster", "bar")), "cluster").where("low <= bar").select(*keys, "cluster", "mean"))
-        best_of = ahead.groupBy("cluster").agg(F.min_by(F.struct(*keys), F.struct("mean", *keys)).alias("m"), F.count("*").alias("n")).collect()
+        likely = everyone.drop("series").join(info, "cluster").where(chance * F.col("_size") < 2 * n + 100)
+        drawn = Window.partitionBy("cluster").orderBy(chance, *keys, "_id")
+        ranked = likely.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= n).select("_id", "_n")
+        others = everyone.join(ranked, "_id").join(info, "cluster").select(
+            F.col("cluster").alias("_of"), "_n", F.col("_g").alias("_og"), F.col("series").alias("drawn"), ((F.col("_n") - 1) / SLICE).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_a") - 1)).alias("_a"))
+        members = left.join(info, "cluster").select(
+            *keys, "_id", "cluster", "series", "_g", F.pmod(F.xxhash64("_id"), F.col("_a")).cast("int").alias("_a"),
+            F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_b"))
+        fields = [everyone.schema[c] for c in (*keys, "_id", "cluster")]
+        schema = T.StructType(fields + [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("mean", "off")])
+        names = schema.names
+
+        def race(mine: pa.Table, sampled: pa.Table) -> pa.Table:
+            sampled = sampled.sort_by("_n")
+            of, drawn_of = mine.column("cluster").to_numpy(), sampled.column("_of").to_numpy()
+            meet = [(np.flatnonzero(of == c), np.flatnonzero(drawn_of == c)) for c in np.unique(drawn_of) if (of == c).any()]
+            taken = np.concatenate([np.array([], int), *[i for i, _ in meet]])
+            count, mean, off = np.zeros(len(taken), int), np.zeros(len(taken)), np.zeros(len(taken))
+            if len(taken):
+                d = pair_distances(_matrices(mine), _matrices(sampled, "drawn"), np.concatenate([np.repeat(i, len(j)) for i, j in meet]),
+                                   np.concatenate([np.tile(j, len(i)) for i, j in meet]), gamma)
+                ends = np.cumsum([0, *[len(i) * len(j) for i, j in meet]])
+                at = np.cumsum([0, *[len(i) for i, _ in meet]])
+                for (i, j), lo, hi, a in zip(meet, ends, ends[1:], at, strict=False):
+                    part, rows = d[lo:hi].reshape(len(i), len(j)), slice(a, a + len(i))
+                    count[rows], mean[rows] = len(j), part.mean(axis=1)
+                    off[rows] = ((part - mean[rows, None]) ** 2).sum(axis=1)
+            mine = mine.select(names[:-3]).take(pa.array(taken))
+            return pa.Table.from_arrays([*mine.columns, pa.array(count), pa.array(mean), pa.array(off)], names)
+
+        mine_by, other_by = ["_g", "_a", "_b"], ["_og", "_a", "_b"]
+        raced = spread(members, *mine_by, times=2).groupBy(*mine_by).cogroup(spread(others, *other_by, times=2).groupBy(*other_by)).applyInArrow(race, schema)
+        if any(b > 1 for *_, b in rows):
+            mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+            raced = raced.groupBy(*keys, "_id", "cluster").agg(
+                F.sum("n").alias("n"), F.when(F.count("*") == 1, F.max("mean")).otherwise(mean).alias("mean"),
+                F.greatest(F.sum(F.col("off") + F.col("n") * F.col("mean") * F.col("mean")) - F.sum("n") * mean * mean, F.lit(0.0)).alias("off"))
+        exact = F.when(F.col("_size") <= n, 0.0).otherwise(confidence)
+        margin = exact * F.sqrt("off") / F.col("n")
+        raced = cut_lineage(raced.join(info, "cluster").select(
+            *keys, "_id", "cluster", "mean", (F.col("mean") - margin).alias("low"), (F.col("mean") + margin).alias("high")))
+        bar = raced.groupBy("cluster").agg(F.min("high").alias("bar"))
+        ahead = raced.join(F.broadcast(bar), "cluster").where("low <= bar")
+        best_of = ahead.groupBy("cluster").agg(F.min_by("_id", F.struct("mean", *keys, "_id")).alias("m"), F.count("*").alias("n")).collect()
         done = {r["cluster"]: r["m"] for r in best_of if size[r["cluster"]] <= n or r["n"] == 1 or (r["n"] <= keep and n >= 64 * sample)}
         best.update(done)
-        if len(best) == len(size):
+        running = {r["cluster"]: r["n"] for r in best_of if r["cluster"] not in best}
+        if not running:
             break
-        left = cut_lineage(left.join(ahead.where(~F.col("cluster").isin(list(best) or [0])).select(*keys, "cluster"), [*keys, "cluster"], "left_semi"))
+        going = _listed(spark, [(c,) for c in running], T.StructType([cluster_type]))
+        left = cut_lineage(left.join(ahead.join(F.broadcast(going), "cluster", "left_semi").select("_id"), "_id", "left_semi"))
         n *= 4
-    chosen = left.sparkSession.createDataFrame([(c, *m) for c, m in best.items()], T.StructType([assigned.schema["cluster"], *[assigned.schema[c] for c in keys]]))
-    rows = everyone.join(F.broadcast(chosen), [*keys, "cluster"]).dropDuplicates(["cluster"]).orderBy("cluster").select("series").collect()
-    return np.array([r["series"] for r in rows], dtype=float)
+    chosen = _listed(spark, [(m,) for m in best.values()], T.StructType([T.StructField("_id", T.LongType())]))
+    rows = everyone.join(F.broadcast(chosen), "_id").select("cluster", "series").toArrow().sort_by("cluster")
+    return rows.column("cluster").to_pylist(), _matrices(rows)
+
+
+def _fit_medoids(series: DataFrame, k: int, gamma: float, seed: int, max_iter: int, keys: Sequence[str]) -> tuple[np.ndarray, bool, DataFrame]:
+    """Medoids, whether they came to rest, and ``(keys, series, cluster, distance)`` to them."""
+    centres = seed_centres(series, k, gamma, seed, keys=keys)
+    state = cut_lineage(reassign(series, centres, gamma, keys))
+    for _ in range(max_iter):
+        clusters, moved = _race(state.dropna(subset=list(keys)) if keys else state, gamma, seed, 32, 3.0, 8, keys)
+        if moved.shape == centres.shape and (moved == centres).all():
+            return centres, True, state
+        numbers = np.full(len(centres), -1)
+        numbers[np.array(clusters, dtype=int) - 1] = np.arange(len(clusters))
+        known = np.array([(m == centres[c - 1]).all() for c, m in zip(clusters, moved, strict=True)], dtype=bool)
+        state = cut_lineage(reassign(state, moved, gamma, keys, numbers, known))
+        centres = moved
+    return centres, False, state
 
 
 def fit_medoids(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, max_iter: int = 10, keys: Sequence[str] = KEYS) -> tuple[np.ndarray, bool]:
@@ -299,14 +523,7 @@ def fit_medoids(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 123,
 
     Members are centres, as in partitioning around medoids; a cluster that loses all members is left out.
     """
-    centres = seed_centres(series, k, gamma, seed, keys=keys)
-    for _ in range(max_iter):
-        assigned = assign_clusters(series, centres, gamma, keys).drop("distance").join(series, list(keys))
-        moved = medoids(assigned, len(centres), gamma, seed, keys=keys)
-        if moved.shape == centres.shape and (moved == centres).all():
-            return centres, True
-        centres = moved
-    return centres, False
+    return _fit_medoids(series, k, gamma, seed, max_iter, keys)[:2]
 
 
 def _moved_centres(series: DataFrame, centres: np.ndarray, gamma: float) -> np.ndarray:
@@ -369,9 +586,13 @@ def cluster_series(series: DataFrame, k: int, gamma: float = 0.01, seed: int = 1
     Clusters lie around soft-DTW ``means`` or around ``medoids``.  ``settled`` says whether the centres came to rest within ``max_iter`` rounds.
     """
     series = cut_lineage(spread(series, *keys))
-    fit = {"means": fit_centres, "medoids": fit_medoids}[around]
-    centres, settled = fit(series, k, gamma, seed, max_iter, keys=keys)
-    return assign_clusters(series, centres, gamma, keys).withColumn("settled", F.lit(settled))
+    if around == "medoids":
+        _, settled, state = _fit_medoids(series, k, gamma, seed, max_iter, keys)
+        assigned = state.drop("series")
+    else:
+        centres, settled = {"means": fit_centres}[around](series, k, gamma, seed, max_iter, keys=keys)
+        assigned = assign_clusters(series, centres, gamma, keys)
+    return assigned.withColumn("settled", F.lit(settled))
 
 
 def exemplars(assignment: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
