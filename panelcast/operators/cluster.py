@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ MAX_CENTRE_CELLS = 20_000_000
 CHUNK_CELLS = 4_000_000
 # Cells of the distance tables swept together: they fit a core's cache.
 TABLE_CELLS = 400_000
-# Members of a cluster, and sampled ones, that meet in one group; small clusters share one.
+# Members of a cluster that meet as many others in one group; small clusters share one.
 SLICE = 256
 
 
@@ -265,28 +265,33 @@ def assign_clusters(series: DataFrame, centres: np.ndarray, gamma: float = 0.01,
 
 
 def reassign(state: DataFrame, centres: np.ndarray, gamma: float, keys: Sequence[str], numbers: np.ndarray | None = None,
-             known: np.ndarray | None = None) -> DataFrame:
+             known: np.ndarray | None = None, was: bool = False) -> DataFrame:
     """``(keys, series, cluster, distance)``: the nearest centre of every series.
 
     ``state`` has the same columns, if ``numbers`` and ``known`` are given, else keys and series: ``numbers`` holds, for each centre it was made with,
     its place among ``centres`` (-1 if none), and ``known`` says which of ``centres`` are as they were.  A series whose centre is known
-    is aligned to the other centres only.
+    is aligned to the other centres only.  With ``was``, that column holds the place (from 1) of its centre so far, 0 if it has none.
     """
     before = [] if known is None else ["cluster", "distance"]
     passed = [*keys, "series"]
     names = [*passed, "cluster", "distance"]
     schema = T.StructType([state.schema[c] for c in passed] + [T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+    if was:
+        names, schema = [*names, "was"], schema.add("was", T.IntegerType())
 
     def work(chunks, centres):
         for ids, x in chunks:
+            so_far = np.full(len(x), -1)
             if known is None:
                 nearest, best, _ = nearest_centres(x, centres, gamma)
             else:
-                nearest, best = numbers[ids[-2].to_numpy() - 1], np.array(ids[-1].to_numpy(zero_copy_only=False), dtype=float)
+                so_far = numbers[ids[-2].to_numpy() - 1]
+                nearest, best = so_far.copy(), np.array(ids[-1].to_numpy(zero_copy_only=False), dtype=float)
                 stays = (nearest >= 0) & known[nearest]
                 nearest[stays], best[stays], _ = nearest_centres(x[stays], centres, gamma, np.flatnonzero(~known), nearest[stays], best[stays])
                 nearest[~stays], best[~stays], _ = nearest_centres(x[~stays], centres, gamma)
-            yield pa.RecordBatch.from_arrays([*ids[:len(passed)], pa.array((nearest + 1).astype("int32")), pa.array(best)], names)
+            out = [*ids[:len(passed)], pa.array((nearest + 1).astype("int32")), pa.array(best)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array((so_far + 1).astype("int32"))] if was else out, names)
 
     return _on_series(state, centres, [*passed, *before], schema, work)
 
@@ -405,14 +410,12 @@ def _spread_out(apart: np.ndarray, weight: np.ndarray, k: int) -> list[int]:
 
 def medoids(assigned: DataFrame, k: int, gamma: float = 0.01, seed: int = 123, sample: int = 32, confidence: float = 3.0, keep: int = 8,
             keys: Sequence[str] = KEYS) -> np.ndarray:
-    """The member of each cluster with the smallest total distance to the others, from ``(keys, series, cluster)``.
+    """The member of each cluster with the smallest total distance to all its members, from ``(keys, series, cluster)``.
 
-    Members race: each round compares those left with a hash sample of their cluster, four times the one before, and drops
-    those whose mean distance is surely, within ``confidence`` standard errors, above that of the best.  A cluster no larger than the sample is
-    decided exactly, as is one with at most ``keep`` members left once its sample is all of it.  The first round is linear in the series, later ones see
-    few of them.
+    Exact for clusters of any size, whatever ``seed``, ``sample``, ``confidence`` and ``keep`` are: they steered a race against samples, which
+    could drop the best member, and are still taken for callers that name them.
     """
-    return _race(cut_lineage(assigned.select(*keys, "series", "cluster")), gamma, seed, sample, confidence, keep, keys)[1]
+    return _central(cut_lineage(assigned.select(*keys, "series", "cluster")), gamma, keys)[1]
 
 
 def _listed(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
@@ -420,101 +423,89 @@ def _listed(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> Dat
     return spark.createDataFrame(pa.table(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True))), schema)
 
 
-def _race(everyone: DataFrame, gamma: float, seed: int, sample: int, confidence: float, keep: int,
-          keys: Sequence[str]) -> tuple[list[int], np.ndarray]:
-    """Numbers of the clusters that have members, in order, and their medoids; ``everyone`` is a checkpoint.
+def _central(everyone: DataFrame, gamma: float, keys: Sequence[str], among: Sequence[int] | None = None) -> tuple[list[int], np.ndarray]:
+    """Numbers of the clusters that have members, in order, and their medoids; ``everyone`` is a checkpoint.  Given ``among``, only of these clusters.
 
-    Members and sampled ones meet by slices of their cluster, at most about ``SLICE`` of each in a group, so no cluster is gathered whole;
-    clusters smaller than that share a group.
+    All members of a cluster meet, by pairs of slices of about ``SLICE`` members: no cluster is gathered whole, and a pair is aligned
+    once for both.  Clusters smaller than that share a group.
     """
     spark, cluster_type = everyone.sparkSession, T.StructField("cluster", everyone.schema["cluster"].dataType)
     everyone = everyone.select(*keys, "series", "cluster").withColumn("_id", F.monotonically_increasing_id())
+    if among is not None:
+        if not among:
+            return [], np.array([])
+        everyone = everyone.join(F.broadcast(_listed(spark, [(c,) for c in among], T.StructType([cluster_type]))), "cluster", "left_semi")
     size = {r["cluster"]: r["count"] for r in everyone.groupBy("cluster").count().collect()}
     if not size:
         return [], np.array([])
-    left, running, best, n = everyone, dict(size), {}, sample
-    while True:
-        rows, group, held = [], 0, 0
-        for c, m in sorted(running.items()):
-            sampled = min(n, size[c])
-            if held + max(m, sampled) > SLICE // 2:
-                group, held = group + 1, 0
-            held += max(m, sampled)
-            rows.append((c, float(size[c]), group, -(-m // SLICE), -(-sampled // SLICE)))
-        info = F.broadcast(_listed(spark, rows, T.StructType([
-            cluster_type, T.StructField("_size", T.DoubleType()), *[T.StructField(f, T.IntegerType()) for f in ("_g", "_a", "_b")]])))
-        chance = _chance(seed, f"sample {n}", keys)
-        # Only members whose chance can be among the first n are ranked.
-        likely = everyone.drop("series").join(info, "cluster").where(chance * F.col("_size") < 2 * n + 100)
-        drawn = Window.partitionBy("cluster").orderBy(chance, *keys, "_id")
-        ranked = likely.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= n).select("_id", "_n")
-        others = everyone.join(ranked, "_id").join(info, "cluster").select(
-            F.col("cluster").alias("_of"), "_n", F.col("_g").alias("_og"), F.col("series").alias("drawn"), ((F.col("_n") - 1) / SLICE).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_a") - 1)).alias("_a"))
-        members = left.join(info, "cluster").select(
-            *keys, "_id", "cluster", "series", "_g", F.pmod(F.xxhash64("_id"), F.col("_a")).cast("int").alias("_a"),
-            F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_b"))
-        fields = [everyone.schema[c] for c in (*keys, "_id", "cluster")]
-        schema = T.StructType(fields + [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("mean", "off")])
-        names = schema.names
-
-        def race(mine: pa.Table, sampled: pa.Table) -> pa.Table:
-            sampled = sampled.sort_by("_n")
-            of, drawn_of = mine.column("cluster").to_numpy(), sampled.column("_of").to_numpy()
-            meet = [(np.flatnonzero(of == c), np.flatnonzero(drawn_of == c)) for c in np.unique(drawn_of) if (of == c).any()]
-            taken = np.concatenate([np.array([], int), *[i for i, _ in meet]])
-            count, mean, off = np.zeros(len(taken), int), np.zeros(len(taken)), np.zeros(len(taken))
-            if len(taken):
-                d = pair_distances(_matrices(mine), _matrices(sampled, "drawn"), np.concatenate([np.repeat(i, len(j)) for i, j in meet]),
-                                   np.concatenate([np.tile(j, len(i)) for i, j in meet]), gamma)
-                ends = np.cumsum([0, *[len(i) * len(j) for i, j in meet]])
-                at = np.cumsum([0, *[len(i) for i, _ in meet]])
-                for (i, j), lo, hi, a in zip(meet, ends, ends[1:], at, strict=False):
-                    part, rows = d[lo:hi].reshape(len(i), len(j)), slice(a, a + len(i))
-                    count[rows], mean[rows] = len(j), part.mean(axis=1)
-                    off[rows] = ((part - mean[rows, None]) ** 2).sum(axis=1)
-            mine = mine.select(names[:-3]).take(pa.array(taken))
-            return pa.Table.from_arrays([*mine.columns, pa.array(count), pa.array(mean), pa.array(off)], names)
-
-        mine_by, other_by = ["_g", "_a", "_b"], ["_og", "_a", "_b"]
-        raced = spread(members, *mine_by, times=2).groupBy(*mine_by).cogroup(spread(others, *other_by, times=2).groupBy(*other_by)).applyInArrow(race, schema)
-        if any(b > 1 for *_, b in rows):
-            mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
-            raced = raced.groupBy(*keys, "_id", "cluster").agg(
-                F.sum("n").alias("n"), F.when(F.count("*") == 1, F.max("mean")).otherwise(mean).alias("mean"),
-                F.greatest(F.sum(F.col("off") + F.col("n") * F.col("mean") * F.col("mean")) - F.sum("n") * mean * mean, F.lit(0.0)).alias("off"))
-        exact = F.when(F.col("_size") <= n, 0.0).otherwise(confidence)
-        margin = exact * F.sqrt("off") / F.col("n")
-        raced = cut_lineage(raced.join(info, "cluster").select(
-            *keys, "_id", "cluster", "mean", (F.col("mean") - margin).alias("low"), (F.col("mean") + margin).alias("high")))
-        bar = raced.groupBy("cluster").agg(F.min("high").alias("bar"))
-        ahead = raced.join(F.broadcast(bar), "cluster").where("low <= bar")
-        best_of = ahead.groupBy("cluster").agg(F.min_by("_id", F.struct("mean", *keys, "_id")).alias("m"), F.count("*").alias("n")).collect()
-        done = {r["cluster"]: r["m"] for r in best_of if size[r["cluster"]] <= n or r["n"] == 1 or (r["n"] <= keep and n >= 64 * sample)}
-        best.update(done)
-        running = {r["cluster"]: r["n"] for r in best_of if r["cluster"] not in best}
-        if not running:
-            break
-        going = _listed(spark, [(c,) for c in running], T.StructType([cluster_type]))
-        left = cut_lineage(left.join(ahead.join(F.broadcast(going), "cluster", "left_semi").select("_id"), "_id", "left_semi"))
-        n *= 4
-    chosen = _listed(spark, [(m,) for m in best.values()], T.StructType([T.StructField("_id", T.LongType())]))
-    rows = everyone.join(F.broadcast(chosen), "_id").select("cluster", "series").toArrow().sort_by("cluster")
-    return rows.column("cluster").to_pylist(), _matrices(rows)
+    rows, group, held = [], 0, 0
+    for c, m in sorted(size.items()):
+        if held + m > SLICE // 2:
+            group, held = group + 1, 0
+        held += m
+        rows.append((c, float(m), group, -(-m // SLICE)))
+    info = F.broadcast(_listed(spark, rows, T.StructType([
+        cluster_type, T.StructField("_size", T.DoubleType()), *[T.StructField(f, T.IntegerType()) for f in ("_g", "_slices")]])))
+    at = F.pmod(F.xxhash64("_id"), F.col("_slices")).cast("int")
+    met = everyone.join(info, "cluster").withColumn("_at", at).select(
+        *keys, "_id", "cluster", "series", "_g", "_at", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_other"))
+    tiles = met.select(*keys, "_id", "cluster", "series", "_g", "_at", F.least("_at", "_other").alias("_a"), F.greatest("_at", "_other").alias("_b"))
+    fields = [everyone.schema[c] for c in (*keys, "_id", "cluster")]
+    schema = T.StructType([*fields, T.StructField("total", T.DoubleType())])
+    order = [(c, "ascending") for c in (*keys, "_id")]
+
+    def totals(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by(order)
+        of, x = tile.column("cluster").to_numpy(), _matrices(tile)
+        first = tile.column("_at").to_numpy() == tile.column("_a").to_numpy()
+        one = bool(first.all()) and tile.column("_a")[0] == tile.column("_b")[0]
+        total, meet = np.zeros(len(of)), []
+        for c in np.unique(of):
+            i, j = np.flatnonzero((of == c) & first), np.flatnonzero((of == c) & (one | ~first))
+            pairs = np.triu_indices(len(i)) if one else tuple(v.ravel() for v in np.indices((len(i), len(j))))
+            meet.append((i, j, pairs))
+        d = pair_distances(x, x, np.concatenate([i[p] for i, _, (p, _) in meet]), np.concatenate([j[q] for _, j, (_, q) in meet]), gamma)
+        lo = 0
+        for i, j, (p, q) in meet:
+            part = np.empty((len(i), len(j)))
+            part[p, q] = d[lo:lo + len(p)]
+            lo += len(p)
+            if one:
+                part[q, p] = part[p, q]
+            else:
+                total[j] = part.sum(axis=0)
+            total[i] = part.sum(axis=1)
+        return pa.Table.from_arrays([*tile.select(schema.names[:-1]).columns, pa.array(total)], schema.names)
+
+    by = ["_g", "_a", "_b"]
+    summed = spread(tiles, *by, times=2).groupBy(*by).applyInArrow(totals, schema).groupBy(*keys, "_id", "cluster").agg(F.sum("total").alias("total"))
+    mean = summed.join(info, "cluster").withColumn("mean", F.col("total") / F.col("_size"))
+    best = mean.groupBy("cluster").agg(F.min_by("_id", F.struct("mean", *keys, "_id")).alias("m")).collect()
+    chosen = _listed(spark, [(r["m"],) for r in best], T.StructType([T.StructField("_id", T.LongType())]))
+    found = everyone.join(F.broadcast(chosen), "_id").select("cluster", "series").toArrow().sort_by("cluster")
+    return found.column("cluster").to_pylist(), _matrices(found)
 
 
 def _fit_medoids(series: DataFrame, k: int, gamma: float, seed: int, max_iter: int, keys: Sequence[str]) -> tuple[np.ndarray, bool, DataFrame]:
     """Medoids, whether they came to rest, and ``(keys, series, cluster, distance)`` to them."""
     centres = seed_centres(series, k, gamma, seed, keys=keys)
-    state = cut_lineage(reassign(series, centres, gamma, keys))
+    state, changed = cut_lineage(reassign(series, centres, gamma, keys)), None
     for _ in range(max_iter):
-        clusters, moved = _race(state.dropna(subset=list(keys)) if keys else state, gamma, seed, 32, 3.0, 8, keys)
+        clusters, moved = _central(state.dropna(subset=list(keys)) if keys else state, gamma, keys, changed)
+        if changed is not None:
+            # A cluster with the members it had keeps its medoid.
+            medoid = {c: centres[c - 1] for c in range(1, len(centres) + 1) if c not in set(changed)} | dict(zip(clusters, moved, strict=True))
+            clusters = sorted(medoid)
+            moved = np.array([medoid[c] for c in clusters])
         if moved.shape == centres.shape and (moved == centres).all():
             return centres, True, state
         numbers = np.full(len(centres), -1)
         numbers[np.array(clusters, dtype=int) - 1] = np.arange(len(clusters))
         known = np.array([(m == centres[c - 1]).all() for c, m in zip(clusters, moved, strict=True)], dtype=bool)
-        state = cut_lineage(reassign(state, moved, gamma, keys, numbers, known))
-        centres = moved
+        state = cut_lineage(reassign(state, moved, gamma, keys, numbers, known, was=True))
+        changes = state.where("was <> cluster").select(F.explode(F.array("was", "cluster")).alias("c")).distinct()
+        changed = sorted(r["c"] for r in changes.collect() if r["c"])  # at most k
+        state, centres = state.drop("was"), moved
     return centres, False, state
 
 

@@ -72,3 +72,26 @@ def test_medoids_of_clusters_larger_than_a_task_may_hold(spark, monkeypatch):
     monkeypatch.setattr(cluster, "SLICE", 16)
     for sample in (100, 12):
         assert cluster.medoids(df, 11, gamma, sample=sample, confidence=6.0, keys=["place"]) == pytest.approx(want)
+
+
+def test_medoids_are_exact_whatever_the_sample(spark, monkeypatch):
+    x, gamma = walks(64), 0.1
+    df = as_series(spark, x).withColumn("cluster", F.when(F.col("place") < "p050", 1).otherwise(2))
+    d = np.array([[soft_dtw(a, b, gamma) for b in x] for a in x])
+    want = np.stack([x[d[:50, :50].sum(axis=1).argmin()], x[50 + d[50:, 50:].sum(axis=1).argmin()]])
+    for size in (256, 9):
+        monkeypatch.setattr(cluster, "SLICE", size)
+        assert (cluster.medoids(df, 2, gamma, sample=1, confidence=0.0, keep=60, keys=["place"]) == want).all()
+
+
+def test_a_cluster_whose_members_stay_keeps_its_medoid(spark, monkeypatch):
+    x, gamma, asked, central = walks(90), 0.1, [], cluster._central
+
+    def noted(everyone, gamma, keys, among=None):
+        asked.append(among)
+        return central(everyone, gamma, keys, among)
+
+    monkeypatch.setattr(cluster, "_central", noted)
+    some, settled, state = cluster._fit_medoids(as_series(spark, x).cache(), 12, gamma, 123, 8, ["place"])
+    assert settled and asked[0] is None and all(len(a) < 12 for a in asked[1:])
+    assert (central(cluster.cut_lineage(state), gamma, ["place"])[1] == some).all()

@@ -553,7 +553,10 @@ def cluster_series(spark, sf):
 
 @query
 def cluster_medoids(spark, sf):
-    """Clusters around medoids over all modelling measures, each scaled by its standard deviation, one for every five entities."""
+    """Clusters around exact medoids over all modelling measures, each scaled by its standard deviation.
+
+    There are 1,000, as in the original analysis, or one for every five entities if these are fewer than 5,000.
+    """
     panel = cut_lineage(quarterly_model_panel(spark, sf))
     stats = panel.agg(*[F.stddev_samp(m).alias(m) for m in MODEL_METRICS]).first()
     scaled = panel.select(*QUARTERLY, *[(F.col(m) / F.lit(stats[m] or 1.0)).alias(m) for m in MODEL_METRICS])
